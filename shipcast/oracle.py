@@ -163,3 +163,113 @@ def sql(select: str, *extra: str, items: bool = False) -> str:
 
 ORDERS_ENRICHED = sql("SELECT * FROM oe")
 ORDER_ITEMS = sql("SELECT * FROM oi", items=True)
+
+
+# --- expression helpers (SQL text) ---------------------------------------
+
+PTS, APPR = "order_purchase_timestamp", "order_approved_at"
+CARR, DELIV = "order_delivered_carrier_date", "order_delivered_customer_date"
+EST, SLF = "order_estimated_delivery_date", "ship_limit_final"
+
+
+def days(a: str, b: str) -> str:
+    return f"(date_diff('second', {a}, {b}) / 86400.0)"
+
+
+def hours(a: str, b: str) -> str:
+    return f"(date_diff('second', {a}, {b}) / 3600.0)"
+
+
+def flag(cond: str) -> str:
+    return f"CAST(coalesce({cond}, false) AS INTEGER)"
+
+
+def rate(num: str, den: str) -> str:
+    return f"round(CAST({num} AS DOUBLE) / nullif(CAST({den} AS DOUBLE), 0), 6)"
+
+
+def distance(lat1: str, long1: str, lat2: str, long2: str) -> str:
+    r = [f"({c} * pi() / 180.0)" for c in (lat1, long1, lat2, long2)]
+    cv = f"(sin({r[0]}) * sin({r[2]}) + cos({r[0]}) * cos({r[2]}) * cos({r[1]} - {r[3]}))"
+    fixed = f"(CASE WHEN abs({cv}) > 1 THEN round({cv}, 6) ELSE {cv} END)"
+    return f"(CASE WHEN abs({fixed}) > 1 THEN NULL ELSE 6371.01 * acos({fixed}) END)"
+
+
+def year_frac(ts: str) -> str:
+    return f"(year({ts}) + CAST(month({ts}) - 1 AS DOUBLE) / 12.0)"
+
+
+FEAT = f"""
+feat AS (
+  SELECT *,
+    {days(PTS, DELIV)} AS fulfill_duration,
+    {flag(f"{DELIV} >= {EST} + INTERVAL 1 DAY")} AS late_delivery_flag,
+    CAST(ceil({days(PTS, EST)}) AS INTEGER) AS est_delivery_time_days,
+    {days(PTS, APPR)} AS approval_time_days,
+    {flag(f"{CARR} > {SLF}")} AS shipping_limit_missed,
+    {days(SLF, CARR)} AS shipping_limit_miss_amt,
+    {days(f"CASE WHEN {CARR} <= {SLF} THEN {CARR} ELSE {SLF} END", EST)} AS days_remaining,
+    {distance('lat_seller', 'long_seller', 'lat_customer', 'long_customer')} AS distance_km,
+    CAST(coalesce(customer_state, 'nan') = coalesce(seller_state, 'nan') AS INTEGER) AS states_same_or_diff,
+    coalesce(customer_state, 'nan') || '-' || coalesce(seller_state, 'nan') AS state_pair,
+    CAST(month({PTS}) AS INTEGER) AS purchase_mo,
+    monthname({PTS}) AS purchase_mo_name,
+    CAST(year({PTS}) * 100 + month({PTS}) AS INTEGER) AS purchase_yr_and_mo,
+    {year_frac(PTS)} AS purchase_yr_frac,
+    CAST(isodow({PTS}) - 1 AS INTEGER) AS purchase_day_of_wk,
+    dayname({PTS}) AS purchase_day_name,
+    CAST(month({EST}) AS INTEGER) AS est_delivery_mo,
+    monthname({EST}) AS est_delivery_mo_name,
+    {year_frac(EST)} AS est_delivery_yr_frac,
+    dayname({EST}) AS est_delivery_day_name
+  FROM oe
+)"""
+
+_OUT_OF_BOX = "(lat_customer < -34 OR lat_customer > 6 OR long_customer < -74 OR long_customer > -34)"
+
+ITEM_FEAT = f"""
+oif AS (
+  SELECT *,
+    {hours(PTS, DELIV)} AS delivery_hours,
+    {hours(CARR, DELIV)} AS carrier_to_customer_hours,
+    {hours(PTS, DELIV)} - {hours(CARR, DELIV)} AS order_to_carrier_hours,
+    {flag(f"{DELIV} > {EST} + INTERVAL 1 DAY")} AS late_flag,
+    CASE WHEN coalesce({_OUT_OF_BOX}, false) THEN NULL
+         ELSE {distance('lat_seller', 'long_seller', 'lat_customer', 'long_customer')} END AS distance_km
+  FROM oi
+),
+ci AS (
+  SELECT * FROM oif
+  WHERE {DELIV} IS NOT NULL AND {CARR} IS NOT NULL AND {CARR} <= {DELIV}
+    AND {APPR} IS NOT NULL AND {APPR} <= {DELIV} AND {APPR} <= {CARR}
+)"""
+
+REG_CC_COLS = [PTS, DELIV, "distance_km", APPR, CARR, "ttl_pd"]
+CLF_CC_COLS = [DELIV, "distance_km", "days_remaining", PTS, APPR, CARR, EST, SLF, "nbr_items",
+               "est_delivery_time_days", "shipping_limit_missed", "shipping_limit_miss_amt"]
+
+
+def _split_cte(name: str, src: str, seed: int = 42, fraction: float = 0.25) -> str:
+    from .operators.sampling import key_hash_sql
+    return f"""
+{name}_h AS (SELECT *, {key_hash_sql('Rww_ID', seed)} AS _h FROM {src}),
+{name} AS (
+  SELECT * EXCLUDE (_h, _rn, _n), CAST(_rn <= ceil({fraction} * _n) AS INTEGER) AS is_test
+  FROM (SELECT *, row_number() OVER (ORDER BY _h, Rww_ID) AS _rn, count(*) OVER () AS _n FROM {name}_h)
+),
+{name}_train AS (SELECT * EXCLUDE (is_test) FROM {name} WHERE is_test = 0),
+{name}_test AS (SELECT * EXCLUDE (is_test) FROM {name} WHERE is_test = 1)"""
+
+
+CC = f"""
+reg_cc AS (SELECT * FROM feat WHERE {' AND '.join(c + ' IS NOT NULL' for c in REG_CC_COLS)}),
+clf_cc AS (SELECT * FROM feat WHERE {' AND '.join(c + ' IS NOT NULL' for c in CLF_CC_COLS)}),""" + \
+    _split_cte("reg", "reg_cc") + "," + _split_cte("clf", "clf_cc")
+
+
+def on_features(select: str, *extra: str) -> str:
+    return sql(select, FEAT, CC, *extra)
+
+
+def on_items(select: str, *extra: str) -> str:
+    return sql(select, ITEM_FEAT, *extra, items=True)
