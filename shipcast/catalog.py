@@ -326,3 +326,7 @@ def q_count_by_category(spark, sf):
     "count(*) AS n_ttl FROM ci GROUP BY customer_state"))
 def q_delivery_stats(spark, sf):
     return rollups.delivery_stats_by_state(ds.clean_items(spark, sf))
+
+
+# further query groups register themselves on import
+from . import catalog_profile  # noqa: E402,F401

@@ -273,3 +273,44 @@ def on_features(select: str, *extra: str) -> str:
 
 def on_items(select: str, *extra: str) -> str:
     return sql(select, ITEM_FEAT, *extra, items=True)
+
+
+def quantiles_cte(name: str, src: str, groups: list[str], value: str, ps: list[float]) -> str:
+    """CTE ``name`` with rows (groups..., p, v): exact quantiles interpolated
+    the way Spark's ``percentile`` does it,
+    v = (ceil(pos) - pos) * x[floor(pos)] + (pos - floor(pos)) * x[ceil(pos)], pos = (n - 1) * p,
+    with x[...] the order statistics (0-based) and v = x[floor] when both are equal."""
+    gsel = "".join(f"{g}, " for g in groups)
+    part = f"PARTITION BY {', '.join(groups)}" if groups else ""
+    qg = "".join(f"q.{g}, " for g in groups)
+
+    def match(alias: str) -> str:
+        return "".join(f"{alias}.{g} IS NOT DISTINCT FROM q.{g} AND " for g in groups)
+
+    plist = ", ".join(f"{p!r}" for p in ps)
+    return f"""
+{name}_r AS (
+  SELECT {gsel}CAST({value} AS DOUBLE) AS x, row_number() OVER ({part} ORDER BY {value}) - 1 AS rk,
+         count(*) OVER ({part}) AS n
+  FROM {src} WHERE {value} IS NOT NULL
+),
+{name}_q AS (
+  SELECT {gsel}p, (n - 1) * p AS pos
+  FROM (SELECT DISTINCT {gsel}n FROM {name}_r) t, (SELECT unnest([{plist}]::DOUBLE[]) AS p) ps
+),
+{name} AS (
+  SELECT {qg}q.p,
+         CASE WHEN floor(q.pos) = ceil(q.pos) OR lo.x = hi.x THEN lo.x
+              ELSE (ceil(q.pos) - q.pos) * lo.x + (q.pos - floor(q.pos)) * hi.x END AS v
+  FROM {name}_q q
+  JOIN {name}_r lo ON {match('lo')}lo.rk = floor(q.pos)
+  JOIN {name}_r hi ON {match('hi')}hi.rk = ceil(q.pos)
+)"""
+
+
+def long_values_cte(name: str, src: str, cols: list[str], keep: list[str] = ()) -> str:
+    """(keep..., variabl, value DOUBLE) rows, nulls dropped (UNION ALL per column)."""
+    k = "".join(f"{c}, " for c in keep)
+    parts = [f"SELECT {k}'{c}' AS variabl, CAST({c} AS DOUBLE) AS value FROM {src} WHERE {c} IS NOT NULL"
+             for c in cols]
+    return f"\n{name} AS (\n  " + "\n  UNION ALL ".join(parts) + "\n)"
