@@ -35,8 +35,22 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def round6(c):
+    """Round to 6 decimals as floor(x * 1e6 + 0.5) / 1e6: the same IEEE steps
+    in Spark and in the oracle SQL, so ties round identically in both."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * 1000000.0 + 0.5) / 1000000.0
+
+
 def r6(c: str, alias: str | None = None):
-    return F.round(F.col(c), 6).alias(alias or c)
+    return round6(c).alias(alias or c)
+
+
+def r9(c: str, alias: str | None = None):
+    """9-decimal rounding for means of exact day fractions, whose 6-decimal
+    ties are frequent (a mean of k/86400 values often ends in ...5 at the
+    7th decimal, where 1-ulp summation noise would decide the rounding)."""
+    return (F.floor(F.col(c) * 1e9 + 0.5) / 1e9).alias(alias or c)
 
 
 def s6(c: str, alias: str | None = None) -> str:
@@ -240,7 +254,8 @@ FROM slf_orders GROUP BY shipping_limit_problem_flag""", _SLO)
 def conditional_late_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: does missing the shipping limit raise the odds of a late delivery?"""
     orders = rollups.shipping_limit_orders(ds.clean_items(spark, sf))
-    return rollups.conditional_late_rates(orders, "shipping_limit_problem_flag")
+    out = rollups.conditional_late_rates(orders, "shipping_limit_problem_flag")
+    return out.withColumn("pct_late", round6("pct_late"))
 
 
 register("conditional_late_rates", CONDITIONAL_LATE_RATES_SQL)(conditional_late_rates)
@@ -274,8 +289,9 @@ SELECT CAST(approval_time > 1 AS INTEGER) AS slow_approval, count(*) AS n_orders
        CAST(sum(late_delivery_flag) AS BIGINT) AS n_late, {O.rate('sum(late_delivery_flag)', 'count(*)')} AS pct_late
 FROM otr GROUP BY 1""", _OTR))
 def q_clr_approval(spark, sf):
-    return rollups.conditional_late_rates(_timing_rollup(spark, sf),
-                                          (F.col("approval_time") > 1).cast("int"), "slow_approval")
+    out = rollups.conditional_late_rates(_timing_rollup(spark, sf),
+                                         (F.col("approval_time") > 1).cast("int"), "slow_approval")
+    return out.withColumn("pct_late", round6("pct_late"))
 
 
 @register("late_rate_by_items", O.on_items(f"""
@@ -283,7 +299,8 @@ SELECT nbr_items, count(*) AS ttl_orders, CAST(sum(late_delivery_flag) AS BIGINT
        {O.rate('sum(late_delivery_flag)', 'count(*)')} AS pct_late
 FROM otr GROUP BY nbr_items""", _OTR))
 def q_late_by_items(spark, sf):
-    return rollups.late_rate_by(_timing_rollup(spark, sf), "nbr_items", "nbr_items")
+    out = rollups.late_rate_by(_timing_rollup(spark, sf), "nbr_items", "nbr_items")
+    return out.withColumn("pct_late", round6("pct_late"))
 
 
 @register("late_rate_by_est_days", O.on_items(f"""
@@ -291,7 +308,8 @@ SELECT CAST(ceil(est_time) AS BIGINT) AS est_time_daybuckets, count(*) AS ttl_or
        CAST(sum(late_delivery_flag) AS BIGINT) AS orders_late, {O.rate('sum(late_delivery_flag)', 'count(*)')} AS pct_late
 FROM otr GROUP BY 1""", _OTR))
 def q_late_by_est(spark, sf):
-    return rollups.late_rate_by(_timing_rollup(spark, sf), F.ceil("est_time"), "est_time_daybuckets")
+    out = rollups.late_rate_by(_timing_rollup(spark, sf), F.ceil("est_time"), "est_time_daybuckets")
+    return out.withColumn("pct_late", round6("pct_late"))
 
 
 @register("ecdf_at", O.on_items(f"""
@@ -299,7 +317,7 @@ SELECT count(*) FILTER (WHERE approval_time <= 1) AS n_at_or_below, count(approv
        {O.rate('count(*) FILTER (WHERE approval_time <= 1)', 'count(approval_time)')} AS ecdf
 FROM otr""", _OTR))
 def q_ecdf(spark, sf):
-    return rollups.ecdf_at(_timing_rollup(spark, sf), "approval_time", 1.0)
+    return rollups.ecdf_at(_timing_rollup(spark, sf), "approval_time", 1.0).withColumn("ecdf", round6("ecdf"))
 
 
 @register("late_distinct_orders", O.on_items(
@@ -325,8 +343,9 @@ def q_count_by_category(spark, sf):
     "SELECT customer_state, round(avg(delivery_hours), 6) AS avg_ttl, round(stddev_samp(delivery_hours), 6) AS sd_ttl, "
     "count(*) AS n_ttl FROM ci GROUP BY customer_state"))
 def q_delivery_stats(spark, sf):
-    return rollups.delivery_stats_by_state(ds.clean_items(spark, sf))
+    out = rollups.delivery_stats_by_state(ds.clean_items(spark, sf))
+    return out.select("customer_state", r6("avg_ttl"), r6("sd_ttl"), "n_ttl")
 
 
 # further query groups register themselves on import
-from . import catalog_profile  # noqa: E402,F401
+from . import catalog_levels, catalog_profile  # noqa: E402,F401

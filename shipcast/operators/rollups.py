@@ -44,7 +44,7 @@ def conditional_late_rates(orders: DataFrame, condition: str | Column, name: str
     name = name or (condition if isinstance(condition, str) else "condition")
     return (orders.groupBy(cond.alias(name))
             .agg(F.count(F.lit(1)).alias("n_orders"), F.sum(flag).cast("bigint").alias("n_late"))
-            .withColumn("pct_late", F.round(rate(F.col("n_late"), F.col("n_orders")), 6)))
+            .withColumn("pct_late", rate(F.col("n_late"), F.col("n_orders"))))
 
 
 def order_timing_rollup(items: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def late_rate_by(orders: DataFrame, bucket: str | Column, name: str,
     b = F.col(bucket) if isinstance(bucket, str) else bucket
     return (orders.groupBy(b.alias(name))
             .agg(F.count(F.lit(1)).alias("ttl_orders"), F.sum(flag).cast("bigint").alias("orders_late"))
-            .withColumn("pct_late", F.round(rate(F.col("orders_late"), F.col("ttl_orders")), 6)))
+            .withColumn("pct_late", rate(F.col("orders_late"), F.col("ttl_orders"))))
 
 
 def ecdf_at(df: DataFrame, col: str, x: float) -> DataFrame:
@@ -80,7 +80,7 @@ def ecdf_at(df: DataFrame, col: str, x: float) -> DataFrame:
     return df.agg(
         F.count_if(c <= x).alias("n_at_or_below"),
         F.count(c).alias("n"),
-        F.round(rate(F.count_if(c <= x), F.count(c)), 6).alias("ecdf"),
+        rate(F.count_if(c <= x), F.count(c)).alias("ecdf"),
     )
 
 
@@ -107,8 +107,8 @@ def delivery_stats_by_state(df: DataFrame, value: str = "delivery_hours",
                             by: str = "customer_state") -> DataFrame:
     """Mean, sample sd and count of ``value`` per ``by``, descending mean."""
     return (df.groupBy(by).agg(
-        F.round(F.avg(value), 6).alias("avg_ttl"),
-        F.round(F.stddev_samp(value), 6).alias("sd_ttl"),
+        F.avg(value).alias("avg_ttl"),
+        F.stddev_samp(value).alias("sd_ttl"),
         F.count(F.lit(1)).alias("n_ttl"))
         .orderBy(F.desc("avg_ttl")))
 

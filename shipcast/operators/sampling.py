@@ -45,35 +45,60 @@ def key_hash_sql(key: str, seed: int) -> str:
     return f"(({x2}) * {MULT_2} % {MODULUS})"
 
 
-def kth_smallest(df: DataFrame, h: str, key: str, k: int) -> tuple[int, int] | None:
-    """(hash, key) of the k-th smallest (hash, key) pair of ``df``; None if k < 1.
+class HashRanks:
+    """Rank structure of a frame's (hash, key) pairs for exact-k selection.
 
-    Raises if ``df`` has fewer than k rows.  ``key`` must be unique.
+    Built with one pass over the frame (a 65,536-bucket histogram of the
+    hash, which also yields the row count); the narrow (hash, key) projection
+    is persisted so later selection passes do not recompute the lineage.
+    Call ``release`` when done.
     """
-    if k < 1:
-        return None
-    hk = df.select(F.col(h).alias("h"), F.col(key).alias("k")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        buckets = sorted(hk.groupBy(F.shiftright("h", _BUCKET_BITS).alias("b"))
-                         .agg(F.count(F.lit(1)).alias("n")).collect())
+
+    def __init__(self, df: DataFrame, key: str, seed: int):
+        self.seed = seed
+        self.key = key
+        self.hk = (df.select(key_hash(key, seed).alias("h"), F.col(key).alias("k"))
+                   .persist(StorageLevel.MEMORY_AND_DISK))
+        self.buckets = sorted(tuple(r) for r in self.hk.groupBy(F.shiftright("h", _BUCKET_BITS).alias("b"))
+                              .agg(F.count(F.lit(1)).alias("n")).collect())
+        self.n = sum(n for _, n in self.buckets)
+
+    def bound(self, k: int) -> tuple[int, int] | None:
+        """(hash, key) of the k-th smallest pair; None when k < 1."""
+        if k < 1:
+            return None
+        if k > self.n:
+            raise ValueError(f"sample of {k} rows requested from {self.n} rows")
         remaining = k
-        for b, n in buckets:
+        for b, n in self.buckets:
             if remaining <= n:
                 break
             remaining -= n
-        else:
-            raise ValueError(f"sample of {k} rows requested from a smaller frame")
-        values = sorted(hk.where(F.shiftright("h", _BUCKET_BITS) == b)
+        values = sorted(tuple(r) for r in self.hk.where(F.shiftright("h", _BUCKET_BITS) == b)
                         .groupBy("h").agg(F.count(F.lit(1)).alias("n")).collect())
         for hv, n in values:
             if remaining <= n:
                 break
             remaining -= n
-        last_key = (hk.where(F.col("h") == hv).orderBy("k").limit(remaining)
+        last_key = (self.hk.where(F.col("h") == hv).orderBy("k").limit(remaining)
                     .agg(F.max("k")).collect()[0][0])
         return int(hv), int(last_key)
+
+    def flag(self, bound: tuple[int, int] | None) -> Column:
+        """1 for rows whose (hash, key) is at or below ``bound``."""
+        return _within(key_hash(self.key, self.seed), F.col(self.key), bound).cast("int")
+
+    def release(self) -> None:
+        self.hk.unpersist()
+
+
+def kth_smallest(df: DataFrame, key: str, k: int, seed: int) -> tuple[int, int] | None:
+    """(hash, key) of the k-th smallest (hash, key) pair of ``df`` (unique key)."""
+    ranks = HashRanks(df, key, seed)
+    try:
+        return ranks.bound(k)
     finally:
-        hk.unpersist()
+        ranks.release()
 
 
 def _within(h: Column, key: Column, bound: tuple[int, int] | None) -> Column:
@@ -83,13 +108,6 @@ def _within(h: Column, key: Column, bound: tuple[int, int] | None) -> Column:
     return (h < th) | ((h == th) & (key <= tk))
 
 
-def smallest_k_flag(df: DataFrame, key: str, k: int, seed: int, h_col: str = "_h") -> Column:
-    """Column expression: 1 for the k rows with the smallest (hash, key)."""
-    marked = df.select(key_hash(key, seed).alias(h_col), F.col(key))
-    bound = kth_smallest(marked, h_col, key, k)
-    return _within(key_hash(key, seed), F.col(key), bound).cast("int")
-
-
 def hash_split(df: DataFrame, key: str, test_fraction: float, seed: int = 42,
                exact: bool = True, flag: str = "is_test") -> DataFrame:
     """Add ``flag`` (1 = test row).
@@ -99,43 +117,52 @@ def hash_split(df: DataFrame, key: str, test_fraction: float, seed: int = 42,
     """
     if not exact:
         return df.withColumn(flag, (key_hash(key, seed) < int(test_fraction * MODULUS)).cast("int"))
-    n = df.count()
-    k = math.ceil(test_fraction * n)
-    return df.withColumn(flag, smallest_k_flag(df, key, k, seed))
+    ranks = HashRanks(df, key, seed)
+    try:
+        bound = ranks.bound(math.ceil(test_fraction * ranks.n))
+    finally:
+        ranks.release()
+    return df.withColumn(flag, ranks.flag(bound))
 
 
 def sample_exact(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """Exactly k rows (all rows if the frame is smaller), chosen by key hash."""
-    n = df.count()
-    if k >= n:
-        return df
-    return df.where(smallest_k_flag(df, key, k, seed) == 1)
+    ranks = HashRanks(df, key, seed)
+    try:
+        if k >= ranks.n:
+            return df
+        bound = ranks.bound(k)
+    finally:
+        ranks.release()
+    return df.where(ranks.flag(bound) == 1)
 
 
 def undersample_balanced(train: DataFrame, label: str, key: str, test_fraction: float = 0.25,
                          seed: int = 7) -> DataFrame:
-    """Balanced sample: minority rows split train/test; majority rows sampled to
-    exactly the same sizes.  Adds ``sample_part`` ('train' | 'test').
+    """Balanced sample: minority rows (label 1) split train/test; majority rows
+    sampled to exactly the same sizes.  Adds ``sample_part`` ('train' | 'test').
 
-    Majority rows are drawn from disjoint hash ranks: the test part takes the
-    next ranks after the train part, so the two parts never overlap.
+    The majority test part takes the hash ranks right after the train part, so
+    the two parts never overlap.
     """
     minority = train.where(F.col(label) == 1)
     majority = train.where(F.col(label) == 0)
-    n_min = minority.count()
-    n_min_test = math.ceil(test_fraction * n_min)
-    n_min_train = n_min - n_min_test
+    min_ranks = HashRanks(minority, key, seed)
+    maj_ranks = HashRanks(majority, key, seed + 1)
+    try:
+        n_min = min_ranks.n
+        n_min_test = math.ceil(test_fraction * n_min)
+        n_min_train = n_min - n_min_test
+        if n_min > maj_ranks.n:
+            raise ValueError(f"majority class has {maj_ranks.n} rows, fewer than the {n_min} minority rows")
+        b_min_test = min_ranks.bound(n_min_test)
+        b_train = maj_ranks.bound(n_min_train)
+        b_all = maj_ranks.bound(n_min)
+    finally:
+        min_ranks.release()
+        maj_ranks.release()
     min_marked = minority.withColumn(
-        "sample_part", F.when(smallest_k_flag(minority, key, n_min_test, seed) == 1, "test").otherwise("train"))
-    n_maj = majority.count()
-    if n_min > n_maj:
-        raise ValueError(f"majority class has {n_maj} rows, fewer than the {n_min} minority rows")
-    h = key_hash(key, seed + 1)
-    marked = majority.select(h.alias("_h"), F.col(key))
-    b_train = kth_smallest(marked, "_h", key, n_min_train)
-    b_all = kth_smallest(marked, "_h", key, n_min)
-    in_train = _within(h, F.col(key), b_train)
-    in_all = _within(h, F.col(key), b_all)
-    maj_marked = (majority.where(in_all)
-                  .withColumn("sample_part", F.when(in_train, "train").otherwise("test")))
+        "sample_part", F.when(min_ranks.flag(b_min_test) == 1, "test").otherwise("train"))
+    maj_marked = (majority.where(maj_ranks.flag(b_all) == 1)
+                  .withColumn("sample_part", F.when(maj_ranks.flag(b_train) == 1, "train").otherwise("test")))
     return min_marked.unionByName(maj_marked)

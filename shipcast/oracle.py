@@ -155,10 +155,39 @@ def with_ctes(*fragments: str) -> str:
     return "WITH " + ",".join(f.strip("\n") for f in fragments)
 
 
+def round6(text: str) -> str:
+    """Rewrite every ``round(x, 6)`` as floor(x * 1e6 + 0.5) / 1e6 (the rule the
+    Spark side uses), so both engines take identical IEEE steps."""
+    out, i = [], 0
+    while True:
+        j = text.find("round(", i)
+        if j < 0 or (j > 0 and (text[j - 1].isalnum() or text[j - 1] == "_")):
+            if j < 0:
+                out.append(text[i:])
+                return "".join(out)
+            out.append(text[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 1, j + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[k], 0)
+            k += 1
+        inner = text[j + 6:k - 1]
+        if inner.rstrip().endswith(", 6"):
+            arg = round6(inner.rstrip()[:-3])
+            out.append(text[i:j] + f"(floor(({arg}) * 1000000.0 + 0.5) / 1000000.0)")
+        elif inner.rstrip().endswith(", 9"):
+            arg = round6(inner.rstrip()[:-3])
+            out.append(text[i:j] + f"(floor(({arg}) * 1000000000.0 + 0.5) / 1000000000.0)")
+        else:
+            out.append(text[i:j] + "round(" + round6(inner) + ")")
+        i = k
+
+
 def sql(select: str, *extra: str, items: bool = False) -> str:
     """Full statement: fixture CTEs (+ item table) + extra CTEs + final SELECT."""
     frags = [_ITEMS] + ([_ORDER_ITEMS] if items else []) + list(extra)
-    return with_ctes(*frags) + "\n" + select.strip() + "\n"
+    return round6(with_ctes(*frags) + "\n" + select.strip() + "\n")
 
 
 ORDERS_ENRICHED = sql("SELECT * FROM oe")
@@ -314,3 +343,11 @@ def long_values_cte(name: str, src: str, cols: list[str], keep: list[str] = ())
     parts = [f"SELECT {k}'{c}' AS variabl, CAST({c} AS DOUBLE) AS value FROM {src} WHERE {c} IS NOT NULL"
              for c in cols]
     return f"\n{name} AS (\n  " + "\n  UNION ALL ".join(parts) + "\n)"
+
+
+def long_levels_cte(name: str, src: str, cols: list[str], keep: list[str]) -> str:
+    """(keep..., variabl, ctgry_lvl VARCHAR) rows, null levels dropped."""
+    k = "".join(f"{c}, " for c in keep)
+    parts = [f"SELECT {k}'{c}' AS variabl, CAST({c} AS VARCHAR) AS ctgry_lvl FROM {src} WHERE {c} IS NOT NULL"
+             for c in cols]
+    return f"\n{name} AS (\n  " + "\n  UNION ALL ".join(parts) + "\n)"
