@@ -53,3 +53,19 @@ def reg_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def clf_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return split(clf_frame(spark, sf_dir))
+
+
+def clf_prepared(spark: SparkSession, sf_dir: str, cols: list[str] | None = None):
+    """Classifier frames after impute -> outlier drop -> standardise (train-fitted).
+
+    Returns (train_imputed, test_imputed, train_clean, test_clean, train_scaled, test_scaled).
+    """
+    from ..operators import prep
+    from . import variables as V
+    cols = cols or V.CLF_BASIC
+    train, test = clf_split(spark, sf_dir)
+    train_i, test_i = prep.impute_mean(train, [test], cols)
+    train_o, test_o = prep.drop_outliers(train_i), prep.drop_outliers(test_i)
+    scaled = [c for c in cols if c not in V.CLF_NOT_SCALED]
+    train_s, test_s = prep.standardize(train_o, [test_o], scaled)
+    return train_i, test_i, train_o, test_o, train_s, test_s
