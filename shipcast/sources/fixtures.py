@@ -13,9 +13,11 @@ first level pre-aggregates map-side, so an order holding a huge share of the
 line items is already reduced to its distinct (supplier | part | type) values
 before any row crosses the network; the second level keeps O(1) state per
 order (``min`` of a struct picks the most frequent value, ties to the
-smallest).  Dimension tables join through the planner: nation is broadcast
-after a bounded size probe, customer/supplier/part are left to the planner
-and AQE, which broadcast only when runtime statistics show they are small.
+smallest).  Dimension tables: nation, customer and supplier are broadcast only
+after a bounded ``limit(n + 1).count()`` probe proves them small; otherwise
+(customer and supplier at terabyte scale) they join by shuffle, and ``part``
+is left to the planner and AQE, which broadcast only when runtime statistics
+show it is small.
 """
 
 from __future__ import annotations
@@ -95,8 +97,18 @@ def _place_columns(key: Column, nation_name: Column, nationkey: Column, prefix:
     ]
 
 
+# customer / supplier dimension rows broadcast when the bounded probe proves
+# them within this many rows; larger dimensions join by shuffle
+DIM_BROADCAST_ROWS = 500_000
+
+
 def orders_enriched(t: Tables) -> DataFrame:
     """One row per order with the reference's order-level columns."""
+    return _orders(t).drop("max_line")
+
+
+def _orders(t: Tables) -> DataFrame:
+    """orders_enriched plus the order's highest line number (for the item table)."""
     nation = sized_broadcast(t.nation.select("n_nationkey", "n_name"), 10_000)
     cust = t.customer.select("c_custkey", "c_nationkey")
     cust = cust.join(nation, cust.c_nationkey == nation.n_nationkey, "left")
@@ -110,6 +122,7 @@ def orders_enriched(t: Tables) -> DataFrame:
         F.when(F.col("c_custkey") % 53 == 0, None)
         .otherwise(F.lit(-73.0) + (F.col("c_nationkey") * 53) % 38).alias("long_customer"),
     )
+    cust = sized_broadcast(cust, DIM_BROADCAST_ROWS)
     supp = t.supplier.select("s_suppkey", "s_nationkey")
     supp = supp.join(nation, supp.s_nationkey == nation.n_nationkey, "left")
     supp = supp.select(
@@ -118,6 +131,7 @@ def orders_enriched(t: Tables) -> DataFrame:
         (F.lit(-33.0) + (F.col("s_nationkey") * 37) % 38).alias("lat_seller"),
         (F.lit(-73.0) + (F.col("s_nationkey") * 53) % 38).alias("long_seller"),
     )
+    supp = sized_broadcast(supp, DIM_BROADCAST_ROWS)
 
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     df = (o.join(order_item_rollup(t), o.o_orderkey == F.col("l_orderkey"), "left")
@@ -175,24 +189,24 @@ def orders_enriched(t: Tables) -> DataFrame:
         F.when(deliv.isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("int").alias("nbr_rws"),
         (1 + k * 7 % 5).cast("double").alias("avg_score"),
         "lat_customer", "long_customer", "lat_seller", "long_seller",
+        "max_line",
     )
 
 
 def order_items(t: Tables) -> DataFrame:
     """One row per line item, carrying its order's timeline (item-level table)."""
     nation = sized_broadcast(t.nation.select("n_nationkey", "n_name"), 10_000)
-    oe = orders_enriched(t)
-    rollup_max = (t.lineitem.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("max_line")))
+    oe = _orders(t)
     supp = t.supplier.select("s_suppkey", "s_nationkey")
     supp = supp.join(nation, supp.s_nationkey == nation.n_nationkey, "left").select(
         "s_suppkey", F.col("n_name").alias("item_seller_state"),
         (F.lit(-33.0) + (F.col("s_nationkey") * 37) % 38).alias("item_lat_seller"),
         (F.lit(-73.0) + (F.col("s_nationkey") * 53) % 38).alias("item_long_seller"))
+    supp = sized_broadcast(supp, DIM_BROADCAST_ROWS)
     li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                            "l_extendedprice", "l_tax")
     part = t.part.select("p_partkey", "p_type", "p_size")
     items = (li.join(part, li.l_partkey == part.p_partkey, "left")
-             .join(rollup_max, "l_orderkey", "left")
              .join(supp, li.l_suppkey == supp.s_suppkey, "left"))
     df = items.join(oe, items.l_orderkey == oe.Rww_ID, "inner")
     k = F.col("Rww_ID")
