@@ -40,7 +40,7 @@ def key_hash(key: str | Column, seed: int) -> Column:
 
 def key_hash_sql(key: str, seed: int) -> str:
     """The same hash as DuckDB SQL text (used by the oracle)."""
-    x1 = f"(((({key}) % {MODULUS}) + {MODULUS}) % {MODULUS}) * {MULT_1} % {MODULUS}"
+    x1 = f"(((CAST({key} AS BIGINT) % {MODULUS}) + {MODULUS}) % {MODULUS}) * {MULT_1} % {MODULUS}"
     x2 = f"(({x1}) * ({x1}) + {seed}) % {MODULUS}"
     return f"(({x2}) * {MULT_2} % {MODULUS})"
 
