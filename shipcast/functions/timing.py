@@ -1,8 +1,8 @@
 """Timeline column expressions (durations, late flags, calendar parts).
 
 All are native Catalyst expressions: they stay inside whole-stage codegen.
-Timestamps are TIMESTAMP_NTZ; differences use ``timestampdiff`` (a cast of
-an NTZ value to a number is not allowed).
+Timestamps are TIMESTAMP_NTZ (wall-clock values); every expression here is
+independent of the session time zone.
 """
 
 from __future__ import annotations
@@ -17,9 +17,20 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _second_of_day(ts: Column) -> Column:
+    return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def seconds_between(start, end) -> Column:
-    """end - start in whole seconds (bigint); null if either is null."""
-    return F.timestamp_diff("SECOND", _c(start), _c(end))
+    """end - start in whole seconds (bigint); null if either is null.
+
+    Computed from calendar fields (days between the dates x 86400 + the
+    difference of the seconds of day), which is free of the session time zone:
+    ``timestamp_diff`` would pass the wall-clock values through the session
+    zone and lose an hour across a daylight-saving gap."""
+    s, e = _c(start), _c(end)
+    return (F.datediff(F.to_date(e), F.to_date(s)).cast("bigint") * DAY
+            + (_second_of_day(e) - _second_of_day(s)))
 
 
 def days_between(start, end) -> Column:

@@ -22,7 +22,10 @@ TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 def parse_ts(col: str | Column, fmt: str = TS_FORMAT) -> Column:
     """Text -> TIMESTAMP_NTZ; text that does not match the pattern gives null."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+    # try_to_timestamp only screens the text (its value is zone-aware and would
+    # shift wall-clock times that fall in a daylight-saving gap); the value is
+    # parsed zone-free, and only for text that parses
+    return F.when(F.try_to_timestamp(c, F.lit(fmt)).isNotNull(), F.to_timestamp_ntz(c, F.lit(fmt)))
 
 
 def text_schema(schema: StructType) -> tuple[StructType, list[str]]:
@@ -34,9 +37,11 @@ def text_schema(schema: StructType) -> tuple[StructType, list[str]]:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; timestamps written in the parse pattern."""
-    cols = [F.date_format(F.col(f.name), TS_FORMAT).alias(f.name)
-            if isinstance(f.dataType, (TimestampNTZType, TimestampType)) else F.col(f.name)
-            for f in df.schema.fields]
+    # NTZ -> text by cast: 'yyyy-MM-dd HH:mm:ss' for whole seconds, zone-free
+    # (date_format would route the value through the session time zone)
+    cols = [F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, TimestampNTZType)
+            else F.date_format(F.col(f.name), TS_FORMAT).alias(f.name) if isinstance(f.dataType, TimestampType)
+            else F.col(f.name) for f in df.schema.fields]
     df.select(*cols).write.mode("overwrite").option("header", True).csv(path)
 
 

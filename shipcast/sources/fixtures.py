@@ -168,7 +168,9 @@ def _orders(t: Tables) -> DataFrame:
             add_seconds(F.col("order_purchase_timestamp"), k * 104729 % 259200)).alias("order_approved_at"),
         "order_delivered_carrier_date",
         "order_delivered_customer_date",
-        add_seconds(F.date_trunc("day", F.col("order_purchase_timestamp")).cast("timestamp_ntz"),
+        # day start without a time zone: NTZ -> date -> NTZ midnight (date_trunc would
+        # return a zone-aware timestamp and depend on the session time zone)
+        add_seconds(F.to_date(F.col("order_purchase_timestamp")).cast("timestamp_ntz"),
                     DAY * (16 + k * 613 % 15)).alias("order_estimated_delivery_date"),
         F.when(F.col("nbr_items") > 1, add_seconds(slf, F.lit(-DAY))).otherwise(slf).alias("ship_limit_initial"),
         slf.alias("ship_limit_final"),
