@@ -286,3 +286,23 @@ def q_score_distribution(spark, sf):
     _, _, preds = _gnb(spark, sf)
     return (preds["train"].groupBy(F.round("prob_late", 2).alias("prob_late"))
             .agg(F.count(F.lit(1)).alias("n")))
+
+
+# --- stream scoring -----------------------------------------------------------------
+
+def _gnb_confusion_sql() -> str:
+    from .catalog import ORACLE
+    return ORACLE["gnb_confusion"]
+
+
+@register("stream_scoring", _gnb_confusion_sql())
+def q_stream_scoring(spark, sf):
+    """Test orders arrive as files; a Structured Streaming query (availableNow)
+    imputes, applies the outlier rules, scales and scores them with the
+    train-fitted naive-Bayes pipeline.  Reported as the confusion matrix of the
+    streamed predictions (equal to the batch model's)."""
+    from .operators import evaluate as E
+    from .streaming.scoring import stream_predictions
+    train, test = ds.clf_split(spark, sf)
+    preds = stream_predictions(train, test, V.CLF_BASIC, V.CLF_NOT_SCALED, "Rww_ID", V.CLF_TARGET)
+    return E.confusion_matrix(preds, V.CLF_TARGET, "predicted_late_flag")
