@@ -130,7 +130,20 @@ def q_null_census(spark, sf):
     return audit.null_census(ds.order_features(spark, sf))
 
 
-@register("profile_columns")
+# the order table's schema contract (column -> Spark type name)
+_OE_TYPES = {c: "string" for c in _OE_COLS}
+_OE_TYPES.update({c: "timestamp_ntz" for c in [O.PTS, O.APPR, O.CARR, O.DELIV, O.EST, "ship_limit_initial",
+                                                O.SLF, "earliest_review_dt", "latest_review_dt"]})
+_OE_TYPES.update({c: "double" for c in ["ttl_pd", "ttl_price", "ttl_freight", "ttl_wt", "ttl_length", "ttl_height",
+                                        "ttl_width", "avg_score", "lat_customer", "long_customer", "lat_seller",
+                                        "long_seller"]})
+_OE_TYPES.update({c: "int" for c in ["nbr_items", "nbr_sellers", "nbr_products", "nbr_photos", "pmt_mthds_used",
+                                     "installments_used_ttl", "payment_types_used", "nbr_rws"]})
+_OE_TYPES["Rww_ID"] = "bigint"
+
+
+@register("profile_columns", O.sql(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{t}' AS data_type, count({c}) AS non_null FROM oe" for c, t in _OE_TYPES.items())))
 def q_profile_columns(spark, sf):
     return audit.profile_columns(ds.orders(spark, sf))
 
