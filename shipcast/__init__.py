@@ -1,0 +1,3 @@
+"""shipcast: delivery-performance analytics as Spark DataFrame operators."""
+
+__version__ = "0.1.0"

@@ -55,10 +55,8 @@ def q_box_stats(spark, sf):
                     "n_outliers")
 
 
-_OTR = None  # set below from catalog's order timing rollup CTE
-
-
 def _otr_sql():
+    """The order-timing rollup CTE shared with the rollup queries."""
     from .catalog import _OTR as otr
     return otr
 
