@@ -96,7 +96,7 @@ def q_clean_timeline(spark, sf):
 
 @register("suspect_approvals", O.on_items(f"""
 SELECT CAST(({O.APPR} > {O.DELIV} OR {O.APPR} > {O.CARR}) AS INTEGER) AS approval_suspect,
-       count(*) AS n_rows, sum({O.flag(f"{O.DELIV} > {O.EST}")}) AS n_late
+       count(*) AS n_rows, CAST(sum({O.flag(f"{O.DELIV} > {O.EST}")}) AS BIGINT) AS n_late
 FROM oif WHERE {O.DELIV} IS NOT NULL AND {O.CARR} IS NOT NULL AND {O.CARR} <= {O.DELIV} AND {O.APPR} IS NOT NULL
 GROUP BY 1
 """))

@@ -141,7 +141,7 @@ def q_late_rate_by_month(spark, sf):
 
 @register("odds_with_others", O.on_features(f"""
 SELECT lo.variabl, CASE WHEN k.ctgry_lvl IS NOT NULL THEN lo.ctgry_lvl ELSE '{L.ALL_OTHERS_ODDS}' END AS ctgry_lvl_str,
-       sum(lo.nbr) AS nbr, sum(lo.nbr_late) AS nbr_late,
+       CAST(sum(lo.nbr) AS BIGINT) AS nbr, CAST(sum(lo.nbr_late) AS BIGINT) AS nbr_late,
        round(CAST(sum(lo.nbr_late) AS DOUBLE) / sum(lo.nbr), 6) AS odds
 FROM lo LEFT JOIN (SELECT DISTINCT variabl, ctgry_lvl FROM maj) k USING (variabl, ctgry_lvl)
 WHERE lo.variabl IN (SELECT variabl FROM maj)

@@ -178,22 +178,29 @@ RF_DEPTHS = list(range(1, 11)) + list(range(12, 31, 2))
 
 
 def rf_sweep(train: DataFrame, test: DataFrame, label: str, cols: list[str], depths: list[int] = RF_DEPTHS,
-             trees: list[int] = (20,), train_cap: float | None = 50.0) -> DataFrame:
+             trees: list[int] = (20,), train_cap: float | None = 50.0, parallelism: int = 4) -> DataFrame:
     """Random-forest regressor over a (trees x depth) grid: train/test R^2 and RMSE.
-    All features are considered at each split.  Features are assembled and
-    persisted once for the whole grid."""
+    All features are considered at each split.  Features are assembled,
+    checkpointed and persisted once for the whole grid; up to ``parallelism``
+    grid points are fitted as concurrent Spark jobs (as ``CrossValidator``'s
+    ``parallelism`` does), so small fits do not leave the cluster idle."""
+    from concurrent.futures import ThreadPoolExecutor
     tr_base = train.where(F.col(label) <= train_cap) if train_cap is not None else train
     tr = cut_lineage(assemble(tr_base.withColumn("_y", F.col(label).cast("double")), cols, keep=["_y"]))
     te = cut_lineage(assemble(test.withColumn("_y", F.col(label).cast("double")), cols, keep=["_y"]))
     tr, te = tr.persist(), te.persist()
-    rows = []
+
+    def fit_one(point):
+        t, d = point
+        m = RandomForestRegressor(labelCol="_y", numTrees=t, maxDepth=d, featureSubsetStrategy="all",
+                                  seed=SEED, maxMemoryInMB=TREE_MEMORY_MB, cacheNodeIds=True).fit(tr)
+        a, b = _r2_rmse(m.transform(tr)), _r2_rmse(m.transform(te))
+        return (t, d, a["r2"], b["r2"], a["rmse"], b["rmse"])
+
+    grid = [(t, d) for t in trees for d in depths]
     try:
-        for t in trees:
-            for d in depths:
-                m = RandomForestRegressor(labelCol="_y", numTrees=t, maxDepth=d, featureSubsetStrategy="all",
-                                          seed=SEED, maxMemoryInMB=TREE_MEMORY_MB, cacheNodeIds=True).fit(tr)
-                a, b = _r2_rmse(m.transform(tr)), _r2_rmse(m.transform(te))
-                rows.append((t, d, a["r2"], b["r2"], a["rmse"], b["rmse"]))
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            rows = list(pool.map(fit_one, grid))
     finally:
         tr.unpersist()
         te.unpersist()
