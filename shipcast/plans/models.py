@@ -274,23 +274,40 @@ def classify(train: DataFrame, scored: dict[str, DataFrame], cols: list[str], la
     return out
 
 
+def hard_label_scores(tn: int, fp: int, fn: int, tp: int) -> tuple[float | None, float | None, float | None]:
+    """Accuracy, average precision and ROC AUC of 0/1 predictions from the
+    confusion cells alone (the predictions take at most two score values):
+    AP = R1 * P1 + (1 - R1) * prevalence when anything is predicted late, else
+    the prevalence; AUC = (TPR + TNR) / 2 (ties count one half)."""
+    n, pos, neg = tn + fp + fn + tp, tp + fn, tn + fp
+    acc = (tp + tn) / n if n else None
+    if pos == 0:
+        return acc, None, None
+    prevalence = pos / n
+    if tp + fp:
+        r1, p1 = tp / pos, tp / (tp + fp)
+        ap = r1 * p1 + (1 - r1) * prevalence
+    else:
+        ap = prevalence
+    auc = (tp / pos + tn / neg) / 2 if neg else None
+    return acc, ap, auc
+
+
 def classifier_report(preds: dict[str, DataFrame], label: str) -> DataFrame:
-    """Long report per scored set: accuracy, confusion cells, average precision
-    and ROC AUC of the hard predictions (as the analysed scripts score them)."""
+    """Report per scored set: accuracy, confusion cells, average precision and
+    ROC AUC of the hard predictions (as the analysed scripts score them).
+    One aggregate job per set: with 0/1 predictions every score follows from
+    the four confusion cells."""
     spark: SparkSession | None = None
     rows = []
     for name, p in preds.items():
         if name.startswith("_"):
             continue
         spark = p.sparkSession
-        p = p.select(label, "predicted_late_flag").persist()  # scored once, read by four aggregates
-        acc = E.accuracy(p, label, "predicted_late_flag").first()
         cm = {(r[0], r[1]): r[2] for r in E.confusion_matrix(p, label, "predicted_late_flag").collect()}
-        ap = E.average_precision(p, label, "predicted_late_flag").first()[0]
-        auc = E.roc_auc(p, label, "predicted_late_flag").first()[0]
-        p.unpersist()
-        rows.append((name, int(acc["n"]), float(acc["accuracy"]), cm.get((0, 0), 0), cm.get((0, 1), 0),
-                     cm.get((1, 0), 0), cm.get((1, 1), 0), ap, auc))
+        tn, fp, fn, tp = (cm.get(c, 0) for c in [(0, 0), (0, 1), (1, 0), (1, 1)])
+        acc, ap, auc = hard_label_scores(tn, fp, fn, tp)
+        rows.append((name, tn + fp + fn + tp, acc, tn, fp, fn, tp, ap, auc))
     return spark.createDataFrame(rows, "dataset string, n long, accuracy double, tn long, fp long, fn long, "
                                        "tp long, average_precision double, roc_auc double")
 

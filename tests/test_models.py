@@ -36,3 +36,19 @@ def test_gaussian_nb_params(spark):
     assert params[(1, "a")][1] == pytest.approx(11.0)
     assert params[(1, "a")][2] == pytest.approx(np.var([10.0, 12.0, 11.0]) + eps)
     assert params[(0, "b")][0] == pytest.approx(np.log(2 / 5))
+
+
+def test_hard_label_scores_match_curves(spark):
+    from shipcast.operators import evaluate as E
+    labels = [1, 1, 0, 0, 0, 1, 0, 0, 1, 0]
+    preds = [1, 0, 0, 1, 0, 1, 0, 0, 0, 0]
+    df = spark.createDataFrame(list(zip(labels, preds)), "y int, p int")
+    cells = {(a, b): sum(1 for x, z in zip(labels, preds) if (x, z) == (a, b)) for a in (0, 1) for b in (0, 1)}
+    acc, ap, auc = M.hard_label_scores(cells[(0, 0)], cells[(0, 1)], cells[(1, 0)], cells[(1, 1)])
+    assert ap == pytest.approx(E.average_precision(df, "y", "p").first()[0])
+    assert auc == pytest.approx(E.roc_auc(df, "y", "p").first()[0])
+    assert acc == pytest.approx(7 / 10)
+    none_pred = spark.createDataFrame([(1, 0), (0, 0), (0, 0)], "y int, p int")
+    _, ap0, auc0 = M.hard_label_scores(2, 0, 1, 0)
+    assert ap0 == pytest.approx(E.average_precision(none_pred, "y", "p").first()[0])
+    assert auc0 == pytest.approx(E.roc_auc(none_pred, "y", "p").first()[0])
