@@ -182,12 +182,17 @@ def _major_levels(train) -> dict[str, list[str]]:
 
 
 def _clf_frames(spark, sf, long: bool):
+    """Prepared (and for ``long`` level-encoded) classifier frames, checkpointed
+    once so sampling, fitting and scoring read them instead of re-running the
+    fixture -> split -> preparation lineage."""
+    from .session import cut_lineage
     *_, train, test = ds.clf_prepared(spark, sf)
     cols = list(V.CLF_BASIC)
     if long:
         (train, test), vec_cols = M.encode_levels(train, [test], _major_levels(train))
         cols += vec_cols
-    return train, test, cols
+    keep = ["Rww_ID", V.CLF_TARGET, *cols]
+    return cut_lineage(train.select(*keep)), cut_lineage(test.select(*keep)), cols
 
 
 def _clf_query(spark, sf, estimator: str, long: bool, **params):
