@@ -83,6 +83,14 @@ def q_residuals(spark, sf):
     return M.residual_diagnostics(items, fit, "Rww_ID")
 
 
+@register("residual_qq")
+def q_residual_qq(spark, sf):
+    """Normal QQ points of the OLS standardized residuals."""
+    items = ds.clean_items(spark, sf)
+    fit = M.ols(items, "delivery_hours", OLS_X)
+    return M.residual_qq(M.residual_diagnostics(items, fit, "Rww_ID"))
+
+
 # --- regression models ---------------------------------------------------------------
 
 REG_CAP = 50.0

@@ -146,6 +146,20 @@ def residual_diagnostics(df: DataFrame, fit: OlsFit, key: str) -> DataFrame:
             .withColumn("std_residual", F.col("residual") / (F.lit(sigma) * F.sqrt(1 - F.col("leverage")))))
 
 
+def residual_qq(diag: DataFrame, n_points: int = 99) -> DataFrame:
+    """Normal QQ data of the standardized residuals on a probability grid:
+    (p, sample_quantile, normal_quantile).  The sample side is one exact
+    ``percentile`` aggregate (no per-row ranking); the normal side is computed
+    from the grid on the driver (n_points numbers)."""
+    from statistics import NormalDist
+    ps = [(i + 1) / (n_points + 1) for i in range(n_points)]
+    normal = [NormalDist().inv_cdf(p) for p in ps]
+    q = diag.agg(F.percentile("std_residual", F.array(*[F.lit(p) for p in ps])).alias("_q"))
+    pts = F.arrays_zip(F.array(*[F.lit(p) for p in ps]).alias("p"), F.col("_q").alias("sample_quantile"),
+                       F.array(*[F.lit(z) for z in normal]).alias("normal_quantile"))
+    return q.select(F.explode(pts).alias("r")).select("r.p", "r.sample_quantile", "r.normal_quantile")
+
+
 # --- regression comparisons -----------------------------------------------------------
 
 def _r2_rmse(pred: DataFrame, label: str = "_y", col: str = "prediction") -> dict:
