@@ -14,7 +14,7 @@ from conftest import SF_SMALL  # noqa: E402
 KEYS = ["order_rollup", "build_order_items", "chronology_violations", "conditional_late_rates", "null_census",
         "late_rate_by_est_days", "describe_numeric", "odds_by_quantile_bin", "corr_listwise", "level_odds",
         "impactful_levels", "group_rare_levels", "hash_split", "undersample_balanced", "standardize",
-        "roc_curve", "average_precision", "ols_duration", "gnb_params", "scan_orders"]
+        "roc_curve", "average_precision", "ols_duration", "gnb_params", "scan_orders", "stream_scoring"]
 
 
 @pytest.fixture(scope="module")
