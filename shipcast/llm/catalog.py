@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import bitpack
+from . import bitpack, packing, simhash, token_counts
 
 QUERIES = {
     "op1_packed_token_ids": bitpack.query,
+    "op2_simhash_groups": simhash.query,
+    "op4_token_counts": token_counts.query,
+    "op6_packed_sequences": packing.query,
 }
 ORACLE: dict[str, str] = {}
