@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bitpack, packing, simhash, token_counts
+from . import bitpack, packing, quality_classifier, quality_rules, simhash, token_counts
 
 QUERIES = {
     "op1_packed_token_ids": bitpack.query,
     "op2_simhash_groups": simhash.query,
+    "op3_compression_quality": quality_classifier.query,
     "op4_token_counts": token_counts.query,
     "op6_packed_sequences": packing.query,
+    "op10_quality_rules": quality_rules.query,
 }
 ORACLE: dict[str, str] = {}
