@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bitpack, packing, quality_classifier, quality_rules, simhash, token_counts
+from . import bitpack, packing, quality_classifier, quality_rules, sharding, simhash, spotsigs, token_counts
 
 QUERIES = {
     "op1_packed_token_ids": bitpack.query,
     "op2_simhash_groups": simhash.query,
     "op3_compression_quality": quality_classifier.query,
     "op4_token_counts": token_counts.query,
+    "op5_uniform_shards": sharding.query,
     "op6_packed_sequences": packing.query,
+    "op7_spot_signatures": spotsigs.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLE: dict[str, str] = {}
