@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from . import bitpack, packing, quality_classifier, quality_rules, sharding, simhash, spotsigs, token_counts
+from . import (
+    bitpack,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    simhash,
+    spotsigs,
+    suffix_tree,
+    token_counts,
+)
 
 QUERIES = {
     "op1_packed_token_ids": bitpack.query,
@@ -12,6 +22,7 @@ QUERIES = {
     "op5_uniform_shards": sharding.query,
     "op6_packed_sequences": packing.query,
     "op7_spot_signatures": spotsigs.query,
+    "op8_suffix_tree_scores": suffix_tree.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLE: dict[str, str] = {}
