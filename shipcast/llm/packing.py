@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common, ragged, tokens
 
 CAPACITY = 1024
-GROUP_ITEMS = 8192
+GROUP_ITEMS = 16384
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -48,100 +48,103 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
+def _pair_sums(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sums of two of the items, and one pair of places for each."""
+    a, b = np.triu_indices(len(sizes), k=1)
+    sums, at = np.unique(sizes[a] + sizes[b], return_index=True)
+    return sums, np.stack([a[at], b[at]], axis=1)
+
+
 class LocalSearch:
-    """Moves and exchanges between underfull bins that raise the sum of squared fills."""
+    """Moves and exchanges between underfull bins that raise the sum of squared fills.
+
+    The emptiest bin gives: one or two of its items move to a fuller bin, or go
+    there in exchange for one smaller item, or one item goes for two smaller ones.
+    Of all such steps the one with the greatest gain is taken, until the bin is
+    empty or has no step; then the next emptiest gives.  Shifting weight d from a
+    bin filled f to one filled t gains 2 d (t - f + d).
+    """
 
     def __init__(self, sizes: np.ndarray, bins: np.ndarray, capacity: int):
         self.sizes, self.bins, self.capacity = sizes.astype(np.int64), bins.copy(), capacity
-        self.fill = np.bincount(bins, weights=sizes, minlength=int(bins.max(initial=-1)) + 1).astype(np.int64)
+        self.fill = np.bincount(bins, weights=sizes).astype(np.int64) if len(bins) else np.zeros(0, dtype=np.int64)
         self.bound = -(-int(self.sizes.sum()) // capacity)
-
-    @property
-    def n_bins(self) -> int:
-        return int((self.fill > 0).sum())
-
-    def _shift(self, items: list[int], to: int) -> None:
-        for i in items:
-            self.fill[self.bins[i]] -= self.sizes[i]
-            self.fill[to] += self.sizes[i]
-            self.bins[i] = to
-
-    def _step(self, donor: int, pool: np.ndarray, targets: np.ndarray) -> bool:
-        """The best step that shifts weight out of ``donor``; False if none raises the sum."""
-        own = np.flatnonzero(self.bins == donor)
-        if not len(own):
+        under = np.flatnonzero(self.fill < capacity)
+        self.items = {b: [] for b in under.tolist()}
+        for i in np.flatnonzero(np.isin(bins, under)).tolist():
+            self.items[int(bins[i])].append(i)
+        self.left = len(self.fill)
+
+    def _step(self, donor: int) -> bool:
+        sizes, fill = self.sizes, self.fill
+        own = np.array(self.items[donor])
+        targets = np.array([t for t in self.items if t != donor])
+        if not len(targets):
             return False
-        d_fill, sizes = int(self.fill[donor]), self.sizes
-        gain, plan = 0, None
-        room = self.capacity - self.fill[targets]
-        # weights that may leave: one item, or two of them
-        give = [(int(sizes[i]), [int(i)]) for i in own]
-        distinct = {s: i for s, i in give}
-        order = sorted(((s, i) for s, (i) in distinct.items()), reverse=True)
-        pairs = {}
-        for a in range(len(own)):
-            for b in range(a + 1, len(own)):
-                pairs.setdefault(int(sizes[own[a]] + sizes[own[b]]), [int(own[a]), int(own[b])])
-        for weight, items in order + sorted(pairs.items(), reverse=True):
-            fits = np.flatnonzero(room >= weight)  # move
-            if len(fits):
-                t = fits[np.argmin(room[fits])]
-                g = weight * (int(self.fill[targets[t]]) - d_fill + weight)
-                if g > gain:
-                    gain, plan = g, (items, [], int(targets[t]))
-            x = sizes[pool]  # exchange for one smaller item of another bin
-            t_fill = self.fill[self.bins[pool]]
-            delta = weight - x
-            ok = (delta > 0) & (t_fill + delta <= self.capacity) & (self.bins[pool] != donor)
-            g = np.where(ok, delta * (t_fill - d_fill + delta), 0)
-            best = int(np.argmax(g)) if len(g) else 0
-            if len(g) and g[best] > gain:
-                gain, plan = int(g[best]), (items, [int(pool[best])], int(self.bins[pool[best]]))
-        for weight, items in order:  # one item for two of another bin
-            for t in targets.tolist():
-                if t == donor:
-                    continue
-                there = np.flatnonzero(self.bins == t)
-                if len(there) < 2 or len(there) > 64:
-                    continue
-                x = sizes[there][:, None] + sizes[there][None, :]
-                delta = weight - x
-                ok = (delta > 0) & (self.fill[t] + delta <= self.capacity)
-                np.fill_diagonal(ok, False)
-                g = np.where(ok, delta * (self.fill[t] - d_fill + delta), 0)
-                best = int(np.argmax(g))
-                if g.flat[best] > gain:
-                    a, b = divmod(best, len(there))
-                    gain, plan = int(g.flat[best]), (items, [int(there[a]), int(there[b])], t)
-        if plan is None:
+        room, t_fill, d_fill = self.capacity - fill[targets], fill[targets], fill[donor]
+        single, at = np.unique(sizes[own], return_index=True)
+        gives = [[int(own[k])] for k in at]
+        sums, pairs = _pair_sums(sizes[own])
+        weights = np.concatenate([single, sums])
+        gives += [[int(own[a]), int(own[b])] for a, b in pairs]
+
+        best = (0, None)
+        # a move: no weight comes back
+        d = weights[:, None]
+        gain = np.where(d <= room[None, :], d * (t_fill[None, :] - d_fill + d), 0)
+        k = int(gain.argmax())
+        if gain.flat[k] > best[0]:
+            best = (int(gain.flat[k]), (gives[k // len(targets)], [], int(targets[k % len(targets)])))
+        # an exchange for one smaller item
+        pool = np.concatenate([self.items[t] for t in targets.tolist()]).astype(np.int64)
+        owner = self.bins[pool]
+        d = weights[:, None] - sizes[pool][None, :]
+        gain = np.where((d > 0) & (d <= (self.capacity - fill[owner])[None, :]), d * (fill[owner][None, :] - d_fill + d), 0)
+        k = int(gain.argmax())
+        if gain.flat[k] > best[0]:
+            i = int(pool[k % len(pool)])
+            best = (int(gain.flat[k]), (gives[k // len(pool)], [i], int(self.bins[i])))
+        # one item for two smaller ones, where it would gain more than the steps so far
+        for t in targets[np.argsort(room)[::-1][:64]].tolist():
+            there = np.array(self.items[t])
+            back, places = _pair_sums(sizes[there])
+            if not len(back):
+                continue
+            d = single[:, None] - back[None, :]
+            gain = np.where((d > 0) & (d <= self.capacity - fill[t]), d * (fill[t] - d_fill + d), 0)
+            k = int(gain.argmax())
+            if gain.flat[k] > best[0]:
+                a, b = places[k % len(back)]
+                best = (int(gain.flat[k]), (gives[k // len(back)], [int(there[a]), int(there[b])], t))
+        if best[1] is None:
             return False
-        items, back, target = plan
-        self._shift(items, target)
-        self._shift(back, donor)
+        give, back, target = best[1]
+        for moved, source, to in ((give, donor, target), (back, target, donor)):
+            for i in moved:
+                self.items[source].remove(i)
+                self.items[to].append(i)
+                self.bins[i] = to
+                self.fill[source] -= sizes[i]
+                self.fill[to] += sizes[i]
+        for b in (donor, target):
+            if self.fill[b] in (0, self.capacity):
+                self.left -= self.fill[b] == 0
+                del self.items[b]
         return True
 
-    def run(self, max_donors: int = 64) -> np.ndarray:
-        """Drain the emptiest bins until the bound is met or none of them has a step.
-
-        ``max_donors`` bounds the time of the search: only that many of the
-        emptiest bins, and as many of the fullest underfull ones as targets, are
-        in play at once.  Every item stays packed whatever it is.
-        """
-        active = True
-        while active and self.n_bins > self.bound:
-            active = False
-            under = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
-            by_fill = under[np.argsort(self.fill[under], kind="stable")]
-            for donor in by_fill[:max_donors].tolist():
-                while self.fill[donor] > 0 and self.n_bins > self.bound:
-                    targets = np.array([t for t in by_fill[-4 * max_donors:].tolist()
-                                        if t != donor and 0 < self.fill[t] < self.capacity], dtype=np.int64)
-                    if not len(targets):
-                        break
-                    pool = np.flatnonzero(np.isin(self.bins, targets))
-                    if not self._step(donor, pool, targets):
-                        break
-                    active = True
+    def run(self, max_steps: int = 2000, max_stuck: int = 16) -> np.ndarray:
+        """Drain bins until the bound is met, ``max_stuck`` bins in a row have no step, or
+        ``max_steps`` are taken.  The limits bound time; every item stays packed."""
+        steps = 0
+        while self.left > self.bound and steps < max_steps:
+            before = steps
+            for donor in sorted(self.items, key=lambda b: self.fill[b])[:max_stuck]:
+                while donor in self.items and self.left > self.bound and steps < max_steps and self._step(donor):
+                    steps += 1
+                if self.left <= self.bound:
+                    break
+            if steps == before:
+                break
         return self.bins
 
 
@@ -204,8 +207,12 @@ def pack_rows(rows: DataFrame, size: str, capacity: int = CAPACITY, group_items:
     """Add sequence_id and offset to every row; ``rows`` has a column ``spread``.
 
     No sequence holds more than ``capacity`` of ``size`` (rows are never larger),
-    and offsets in it are gapless from 0.  Other columns go through unchanged.
+    and offsets in it are gapless from 0.  A row that fills a sequence has one of
+    its own (numbers below 0) and is not shuffled.  Other columns go through.
     """
+    whole = rows.where(F.col(size) >= capacity)
+    alone = whole.withColumn("sequence_id", -1 - F.col("spread")).withColumn("offset", F.lit(0).cast("long")).drop("spread")
+    rows = rows.where(F.col(size) < capacity)
     n_groups = max(1, -(-rows.count() // group_items))
     grouped = rows.withColumn("spread", F.pmod(F.xxhash64("spread"), F.lit(n_groups)))
     out = grouped.drop("spread").schema
@@ -217,7 +224,7 @@ def pack_rows(rows: DataFrame, size: str, capacity: int = CAPACITY, group_items:
         return (group.drop_columns(["spread"]).append_column("sequence_id", pa.array(bins + (number << 32)))
                 .append_column("offset", pa.array(offsets)))
 
-    return grouped.groupBy("spread").applyInArrow(run, kinds)
+    return alone.unionByName(grouped.groupBy("spread").applyInArrow(run, kinds))
 
 
 def packed_sequences(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = CAPACITY,

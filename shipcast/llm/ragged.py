@@ -130,9 +130,10 @@ def chunks(text: Text, blank: np.ndarray, at_marks: bool = False) -> Pieces:
 class Memo:
     """Ragged int32 results of distinct strings, computed once and kept.
 
-    ``encode`` maps a list of distinct byte strings to a list of id lists.  The
-    memo holds at most ``limit`` strings and starts afresh beyond that, so its
-    memory is bounded; results never depend on what it holds.
+    ``encode`` maps a list of distinct byte strings to the lengths and the
+    concatenation of their ids.  Beyond ``limit`` strings the memo keeps those
+    that came in two slices or more (or starts afresh where that is over half),
+    so its memory is bounded; results never depend on what it holds.
     """
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 700_000):
@@ -143,12 +144,24 @@ class Memo:
         self.known: dict[bytes, int] = {}
         self.starts = np.zeros(0, dtype=np.int64)
         self.lengths = np.zeros(0, dtype=np.int64)
+        self.uses = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.int32)
 
+    def _shrink(self) -> None:
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > self.limit // 2:
+            self._clear()
+            return
+        names, starts, lengths = list(self.known), self.starts[keep], self.lengths[keep]
+        self.known = {names[k]: i for i, k in enumerate(keep.tolist())}  # known is in row order
+        ends = np.cumsum(lengths)
+        self.ids = self.ids[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        self.starts, self.lengths, self.uses = ends - lengths, lengths, np.ones(len(keep), dtype=np.int64)
+
     def rows(self, values: list[bytes]) -> np.ndarray:
         """Row numbers of the strings, encoding those not seen yet."""
         if len(self.known) + len(values) > self.limit:
-            self._clear()
+            self._shrink()
         known = self.known
         fresh = [v for v in values if v not in known]
         if fresh:
@@ -158,8 +171,11 @@ class Memo:
             starts = np.cumsum(lengths) - lengths + len(self.ids)
             self.starts = np.concatenate([self.starts, starts])
             self.lengths = np.concatenate([self.lengths, lengths])
+            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), dtype=np.int64)])
             self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-        return np.fromiter((known[v] for v in values), dtype=np.int64, count=len(values))
+        rows = np.fromiter((known[v] for v in values), dtype=np.int64, count=len(values))
+        self.uses[rows] += 1
+        return rows
 
     def gather(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
         """Ids of every row of a slice: (row offsets into ids, ids)."""

@@ -30,6 +30,10 @@ _FOLD[0x41:0x5B] += 32
 _LEAD = np.zeros(256, dtype=bool)
 _LEAD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 
+# the byte-level alphabet: printable Latin-1 characters stand for their own byte, others for 256 and on
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
 
 class Encoder:
     """Ids of whole texts as the library gives them (add_special_tokens=False)."""
@@ -43,8 +47,25 @@ class Encoder:
         self.memo = ragged.Memo(self._chunks)
 
     def _chunks(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        encoded = self.tokenizer.encode_batch_fast([v.decode() for v in values], add_special_tokens=False)
-        return ragged.flat([e.ids for e in encoded])
+        """Ids of distinct chunks.  A run of Latin-1 letters, with one blank before it or
+        none, is one pre-token: the library's model takes it as it is, without the
+        stages before the merges.  Other chunks go through all of them."""
+        texts = [v.decode() for v in values]
+        out: list = [None] * len(texts)
+        rest = []
+        for i, t in enumerate(texts):
+            word = t[1:] if t[:1] == " " else t
+            if word.isalpha() and max(word) <= "\xff":
+                if self.folds:
+                    t = word.lower()
+                out[i] = [k.id for k in self.tokenizer.model.tokenize(t.encode().decode("latin-1").translate(_BYTE_CHARS))]
+            else:
+                rest.append(i)
+        if rest:
+            encoded = self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
+            for i, e in zip(rest, encoded):
+                out[i] = e.ids
+        return ragged.flat(out)
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(row offsets, ids) of a slice of texts; null is the empty text."""
