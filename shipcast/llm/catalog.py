@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (
     bitpack,
+    nbest,
     packing,
     quality_classifier,
     quality_rules,
@@ -23,6 +24,7 @@ QUERIES = {
     "op6_packed_sequences": packing.query,
     "op7_spot_signatures": spotsigs.query,
     "op8_suffix_tree_scores": suffix_tree.query,
+    "op9_nbest_segmentations": nbest.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLE: dict[str, str] = {}

@@ -131,13 +131,14 @@ class Memo:
     """Ragged int32 results of distinct strings, computed once and kept.
 
     ``encode`` maps a list of distinct byte strings to the lengths and the
-    concatenation of their ids.  Beyond ``limit`` strings the memo keeps those
+    concatenation of their ids (and, with ``n_extra``, as many numbers for each
+    string, kept in ``extra``).  Beyond ``limit`` strings the memo keeps those
     that came in two slices or more (or starts afresh where that is over half),
     so its memory is bounded; results never depend on what it holds.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 700_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, ...]], limit: int = 700_000, n_extra: int = 0):
+        self.encode, self.limit, self.n_extra = encode, limit, n_extra
         self._clear()
 
     def _clear(self) -> None:
@@ -146,6 +147,7 @@ class Memo:
         self.lengths = np.zeros(0, dtype=np.int64)
         self.uses = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.int32)
+        self.extra = np.zeros((0, self.n_extra), dtype=np.int64)
 
     def _shrink(self) -> None:
         keep = np.flatnonzero(self.uses > 1)
@@ -156,6 +158,7 @@ class Memo:
         self.known = {names[k]: i for i, k in enumerate(keep.tolist())}  # known is in row order
         ends = np.cumsum(lengths)
         self.ids = self.ids[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        self.extra = self.extra[keep]
         self.starts, self.lengths, self.uses = ends - lengths, lengths, np.ones(len(keep), dtype=np.int64)
 
     def rows(self, values: list[bytes]) -> np.ndarray:
@@ -165,21 +168,24 @@ class Memo:
         known = self.known
         fresh = [v for v in values if v not in known]
         if fresh:
-            lengths, ids = self.encode(fresh)
+            lengths, ids, *extra = self.encode(fresh)
             for i, v in enumerate(fresh, len(known)):
                 known[v] = i
             starts = np.cumsum(lengths) - lengths + len(self.ids)
             self.starts = np.concatenate([self.starts, starts])
             self.lengths = np.concatenate([self.lengths, lengths])
+            if extra:
+                self.extra = np.concatenate([self.extra, extra[0]])
             self.uses = np.concatenate([self.uses, np.zeros(len(fresh), dtype=np.int64)])
             self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
         rows = np.fromiter((known[v] for v in values), dtype=np.int64, count=len(values))
         self.uses[rows] += 1
         return rows
 
-    def gather(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of every row of a slice: (row offsets into ids, ids)."""
-        rows = self.rows(pieces.values.to_pylist())[pieces.codes] if len(pieces.codes) else pieces.codes
+    def gather(self, pieces: Pieces, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of every row of a slice: (row offsets into ids, ids).  ``rows``: what rows() gave for its values."""
+        rows = self.rows(pieces.values.to_pylist()) if rows is None else rows
+        rows = rows[pieces.codes] if len(pieces.codes) else pieces.codes
         lengths = self.lengths[rows]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         at = np.repeat(self.starts[rows] - ends[:-1], lengths) + np.arange(ends[-1])
