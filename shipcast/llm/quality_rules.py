@@ -185,12 +185,13 @@ def _verdict(c, f):
 
 def judged(rows: DataFrame, name: str, fences: DataFrame, verdict: str) -> DataFrame:
     """``rows`` with a boolean column ``verdict``: kept by the base rules and the fences."""
-    limits = fences.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"),
-                           F.col("fences").alias("__fences"))
-    joined = rows.join(limits, rows["lang"].eqNullSafe(F.col("__lang")) & rows["source"].eqNullSafe(F.col("__source")),
-                       "left")
-    keep = ~base_failed(F.col(name)) & _verdict(F.col(name), F.col("__fences"))
-    return joined.withColumn(verdict, keep).drop("__lang", "__source", "__fences")
+    own = {c: common.free_name(rows, f"fence_{c}") for c in ("lang", "source", "limits")}
+    limits = fences.select(F.col("lang").alias(own["lang"]), F.col("source").alias(own["source"]),
+                           F.col("fences").alias(own["limits"]))
+    joined = rows.join(limits, F.col("lang").eqNullSafe(F.col(own["lang"]))
+                       & F.col("source").eqNullSafe(F.col(own["source"])), "left")
+    keep = ~base_failed(F.col(name)) & _verdict(F.col(name), F.col(own["limits"]))
+    return joined.withColumn(verdict, keep).drop(*own.values())
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -208,10 +209,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def keep_passing(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, all columns unchanged."""
-    name = "__counts"
+    name = common.free_name(docs, "counts")
     rows = common.stored(measured(docs, name), "quality-measured")
-    found = judged(rows, name, thresholds(rows, name), "__kept")
-    return found.where("__kept").select(docs.columns)
+    kept = common.free_name(docs, "kept")
+    return judged(rows, name, thresholds(rows, name), kept).where(F.col(kept)).drop(name, kept)
 
 
 def query(spark, sf_dir) -> DataFrame:

@@ -209,9 +209,10 @@ def keep_one_per_group(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
     found = near_duplicates(docs, shingle, radius)
     first = found.groupBy("group").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
-    keys = first.select(F.xxhash64("first.doc_id", "first.text_key").alias("row_key")).distinct()
-    keyed = docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    return keyed.join(keys, "row_key", "left_semi").dropDuplicates(["row_key"]).select(docs.columns)
+    name = common.free_name(docs, "row_key")
+    keys = first.select(F.xxhash64("first.doc_id", "first.text_key").alias(name)).distinct()
+    keyed = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    return keyed.join(keys, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def query(spark, sf_dir) -> DataFrame:

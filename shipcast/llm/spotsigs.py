@@ -217,7 +217,8 @@ def likeness_to_edits(docs: DataFrame, part_bytes: int = common.TARGET_BYTES) ->
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
-    ranged = (plain.repartitionByRange(common.parts_for(common.text_bytes(docs), part_bytes), *order)
+    n_parts = common.parts_for(common.text_bytes(docs), part_bytes)
+    ranged = (plain.repartitionByRange(n_parts, *order)
               .sortWithinPartitions(*order, "text").select("doc_id", "text"))
     fields = ", ".join(f"{n} {k}" for n, k in _FIELDS)
     walked = common.stored(ranged.mapInArrow(walk, f"{fields}, part int, head string, tail string"), "spot-walk")
@@ -235,7 +236,8 @@ def likeness_to_edits(docs: DataFrame, part_bytes: int = common.TARGET_BYTES) ->
             for doc_id, tail, following in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tail", "next"))):
                 yield common.batch_of(final, *([v] for v in _compared(_Seen(doc_id, tail), _Seen(None, following))))
 
-    ends = joined.select("doc_id", "tail", "next").mapInArrow(complete, fields)
+    # one row per range: a task takes many of them
+    ends = joined.select("doc_id", "tail", "next").coalesce(-(-n_parts // 64)).mapInArrow(complete, fields)
     return walked.where("part is null").select(*(n for n, _ in _FIELDS)).union(ends)
 
 
