@@ -177,7 +177,7 @@ class Lattice:
     # --- backward search -----------------------------------------------------------
 
     def n_best(self, word: str, n: int) -> list[tuple[int, list[int]]]:
-        """The n best (score, ids) of a word, best first; ties in the order of the search."""
+        """The n best (score, ids) of a word, best first; of equal scores, those with longer last pieces first."""
         word = word.replace(" ", MARK)
         into: list[list[tuple[int, int, int]]] = [[] for _ in range(len(word) + 1)]  # (start, piece, score) by end
         forward = [0] + [int(LOW)] * len(word)
@@ -193,10 +193,12 @@ class Lattice:
             if not alone:
                 into[i + 1].append((i, -1, self.unknown))
                 forward[i + 1] = max(forward[i + 1], forward[i] + self.unknown)
-        heap = [(-forward[-1], 0, len(word), 0, None)]  # (-estimate, turn, node, score after it, path)
+        # (-estimate, node, turn, score after the node, path): of equal estimates the one
+        # nearest to the start goes on, else ties would spread over all their paths
+        heap = [(-forward[-1], len(word), 0, 0, None)]
         found, turn = [], 0
         while heap and len(found) < n:
-            estimate, _, node, after, path = heapq.heappop(heap)
+            estimate, node, _, after, path = heapq.heappop(heap)
             if node == 0:
                 ids = []
                 while path:
@@ -206,7 +208,7 @@ class Lattice:
                 continue
             for i, p, s in into[node]:
                 turn += 1
-                heapq.heappush(heap, (-(forward[i] + s + after), turn, i, s + after, (i, p, path)))
+                heapq.heappush(heap, (-(forward[i] + s + after), i, turn, s + after, (i, p, path)))
         return found
 
     # --- decoding --------------------------------------------------------------------

@@ -117,12 +117,11 @@ def spot_fingerprints(docs: DataFrame) -> DataFrame:
 def similar_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, fingerprint, component_id: documents joined by likeness of ``least`` or more.
 
-    Equal sets are one node.  A node of length n lies in length class
-    floor(log(n) / log(1 / least)); nodes that can reach ``least`` lie in the same
-    class or in neighbouring ones, and share one of their ``n - ceil(least * n) + 1``
-    rarest signatures.  Each (class pair, signature) list is cut into runs of
-    bounded length; every node is compared with the run's first nodes that are
-    not yet linked to it, and links form a spanning forest per run.
+    Equal sets are one node, so copies make no pairs.  A node of length n lies in
+    length class floor(log(n) / log(1 / least)); nodes that can reach ``least`` lie
+    in the same class or in neighbouring ones, their lengths are within the factor
+    ``least``, and they share one of their ``n - ceil(least * n) + 1`` rarest
+    signatures.  Only such pairs of nodes are compared.  Every document has a row.
     """
     rows = common.stored(spot_fingerprints(docs), "spotsigs")
     nodes = common.stored(
@@ -136,10 +135,10 @@ def similar_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
     rare = (listed.join(common_ness, "sig").where("df > 1").withColumn("place", F.row_number().over(order))
             .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1))
     # a node meets its own class under that class's number, and the class above under the next
-    met = (rare.select("node", "sig", F.explode(F.array("rank", F.col("rank") + 1)).alias("length_class"))
+    met = (rare.select("node", "n", "sig", F.explode(F.array("rank", F.col("rank") + 1)).alias("length_class"))
            .withColumn("key", F.xxhash64("length_class", "sig")))
     groups = met.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    pairs = _candidates(met.join(groups, "key"))
+    pairs = _candidates(met.join(groups, "key"), least)
     lists = nodes.select("node", "signatures")
     checked = (pairs.join(lists.withColumnRenamed("node", "u").withColumnRenamed("signatures", "a"), "u")
                .join(lists.withColumnRenamed("node", "v").withColumnRenamed("signatures", "b"), "v"))
@@ -153,11 +152,12 @@ def similar_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
     return (found.withColumn("label", label).join(ids, "label").select("doc_id", "fingerprint", "component_id"))
 
 
-def _candidates(met: DataFrame) -> DataFrame:
-    """Distinct pairs of nodes that meet under a key."""
-    left = met.select("key", F.col("node").alias("u"))
-    right = met.select("key", F.col("node").alias("v"))
-    return left.join(right, "key").where("u < v").select("u", "v").distinct()
+def _candidates(met: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs of nodes that meet under a key and whose lengths allow ``least``."""
+    left = met.select("key", F.col("node").alias("u"), F.col("n").alias("u_n"))
+    right = met.select("key", F.col("node").alias("v"), F.col("n").alias("v_n"))
+    near = F.least("u_n", "v_n") >= F.greatest("u_n", "v_n") * least - 1e-9
+    return left.join(right, "key").where((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
 
 
 # --- likeness to an edited text and to the next document ------------------------

@@ -196,11 +196,10 @@ class Grams:
             out[first] = -1
             return out
 
-        ends = np.where(symbols == self.end, -1, symbols).astype(np.int64)
-        found = [before(ends)]
+        plain = np.where(symbols == self.end, -1, symbols).astype(np.int64)  # no context holds the end
+        found = [before(plain)]
         for level in range(1, depth):
-            ends = self.find(level, found[-1], ends)
-            found.append(before(ends))
+            found.append(before(self.find(level, found[-1], plain)))
         return found
 
 
