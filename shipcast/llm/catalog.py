@@ -27,4 +27,6 @@ QUERIES = {
     "op9_nbest_segmentations": nbest.query,
     "op10_quality_rules": quality_rules.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_quality_rules": quality_rules.ORACLE_SQL,
+}

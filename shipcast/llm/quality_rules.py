@@ -218,3 +218,59 @@ def keep_passing(docs: DataFrame) -> DataFrame:
 def query(spark, sf_dir) -> DataFrame:
     """op10: rules over all documents."""
     return quality_rules(common.documents(spark, sf_dir))
+
+
+def _oracle() -> str:
+    """DuckDB SQL for the query's rows, from the same rules."""
+    word = "[^\\x20\\x09-\\x0D]"
+    ratios = {"symbol_ratio": ("n_symbols", "word_chars"), "repeat_ratio": ("n_repeat_words", "n_words"),
+              "line_ratio": ("n_dup_lines", "n_lines"), "word_length": ("word_chars", "n_words")}
+    values = ", ".join(f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} END AS {m}" for m, (a, b) in ratios.items())
+    each = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS value FROM ratios "
+                              f"WHERE NOT base_failed AND {m} IS NOT NULL" for m in ratios)
+    scopes = {"own": "lang, source", "wide": "lang", "whole": "0"}
+    parts = []
+    for scope, keys in scopes.items():
+        names = "" if scope == "whole" else f"{keys}, "
+        sums = ", ".join(
+            f"max(CASE WHEN measure = '{m}' THEN q50 + {up!r} * greatest(q50 - q25, {least!r}) END) AS {m}_max"
+            + (f", max(CASE WHEN measure = '{m}' THEN q50 - {down!r} * greatest(q75 - q50, {least!r}) END) AS {m}_min"
+               if down is not None else "") for m, (least, up, down) in RULES.items())
+        reach = ", ".join(f"min(CASE WHEN upto >= ceil(n_rows * {q!r}) THEN v END) AS {a}"
+                          for a, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)))
+        parts.append(f"""
+{scope}_c AS (SELECT {names}measure, bucket, count(*) AS n FROM bucketed GROUP BY {names}measure, bucket),
+{scope}_u AS (SELECT *, sum(n) OVER (PARTITION BY {names}measure) AS n_rows,
+  sum(n) OVER (PARTITION BY {names}measure ORDER BY bucket NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto,
+  CASE WHEN bucket IS NULL THEN 0.0 ELSE pow({GAMMA!r}, bucket) * {2.0 / (GAMMA + 1.0)!r} END AS v FROM {scope}_c),
+{scope}_q AS (SELECT {names}measure, max(n_rows) AS n_rows, {reach} FROM {scope}_u GROUP BY {names}measure),
+{scope}_f AS (SELECT {names}min(n_rows) AS n_rows, {sums} FROM {scope}_q {"GROUP BY " + keys if names else ""})""")
+    fences = [f"{m}_max" for m in RULES] + [f"{m}_min" for m in RULES if RULES[m][2] is not None]
+    chosen = ", ".join(f"CASE WHEN o.n_rows >= {MIN_ROWS} THEN o.{f} WHEN w.n_rows >= {MIN_ROWS} THEN w.{f} ELSE a.{f} END AS {f}"
+                       for f in fences)
+    inside = " AND ".join([f"coalesce({m} <= {m}_max, true)" for m in RULES]
+                          + [f"coalesce({m} >= {m}_min, true)" for m in RULES if RULES[m][2] is not None])
+    return f"""
+WITH docs AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+parted AS (SELECT *, regexp_extract_all(text, '{word}+') AS words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM docs),
+windows AS (SELECT doc_id, unnest(list_transform(range(1, len(words) - {WINDOW - 2}),
+  lambda i: struct_pack(i := i, w := array_to_string(words[i:i + {WINDOW - 1}], ' ')))) AS win FROM parted WHERE len(words) > {WINDOW}),
+again AS (SELECT doc_id, win.i AS i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win.w) > 1),
+cover AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range({WINDOW}) AS t(k) GROUP BY doc_id),
+counts AS (SELECT p.doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words,
+  CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - list_unique(lines) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+  len(lines) AS n_lines FROM parted p LEFT JOIN cover c ON p.doc_id = c.doc_id),
+ratios AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {values} FROM counts),
+bucketed AS (SELECT lang, source, measure,
+  CASE WHEN value > 0 THEN CAST(ceil(ln(value) / {float(np.log(GAMMA))!r}) AS INTEGER) END AS bucket FROM ({each})),
+{",".join(parts)},
+fences AS (SELECT o.lang, o.source, {chosen} FROM own_f o LEFT JOIN wide_f w ON o.lang IS NOT DISTINCT FROM w.lang, whole_f a)
+SELECT doc_id, {", ".join(COUNTS)}, base_failed, NOT base_failed AND {inside} AS kept
+FROM ratios r LEFT JOIN fences f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source
+"""
+
+
+ORACLE_SQL = _oracle()
