@@ -35,11 +35,17 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def round6(c):
-    """Round to 6 decimals as floor(x * 1e6 + 0.5) / 1e6: the same IEEE steps
-    in Spark and in the oracle SQL, so ties round identically in both."""
+def _rounded(c, scale: float):
+    """floor(x * scale + 0.5) / scale: the same IEEE steps in Spark and in the
+    oracle SQL, so ties round identically in both.  From 2**52 / scale on a double
+    has no such decimals left (and floor would pass through bigint): unchanged."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.floor(c * 1000000.0 + 0.5) / 1000000.0
+    return F.when(F.abs(c) < 2.0 ** 52 / scale, F.floor(c * scale + 0.5) / scale).otherwise(c)
+
+
+def round6(c):
+    """Round to 6 decimals."""
+    return _rounded(c, 1000000.0)
 
 
 def r6(c: str, alias: str | None = None):
@@ -50,7 +56,7 @@ def r9(c: str, alias: str | None = None):
     """9-decimal rounding for means of exact day fractions, whose 6-decimal
     ties are frequent (a mean of k/86400 values often ends in ...5 at the
     7th decimal, where 1-ulp summation noise would decide the rounding)."""
-    return (F.floor(F.col(c) * 1e9 + 0.5) / 1e9).alias(alias or c)
+    return _rounded(c, 1e9).alias(alias or c)
 
 
 def s6(c: str, alias: str | None = None) -> str:

@@ -13,8 +13,9 @@ from .plans import variables as V
 LVL_PS = [0.25, 0.75]
 
 
-def _scaled(n: str, ref: int) -> str:
-    return f"greatest(1, ceil({n} * {ref} / {L.REFERENCE_TRAIN_ROWS}))"
+# Level-count limits of these queries, the same at every scale factor: the small
+# tables have few levels with the defaults' 37, 75 and 50 rows.
+MIN_LOW, MIN_HIGH, MIN_MOVER = 6, 11, 8
 
 
 # --- SQL fragments ------------------------------------------------------------
@@ -33,8 +34,8 @@ ls AS (
     USING (variabl, ctgry_lvl)
 ),
 bm AS (
-  SELECT ls.* FROM ls, (SELECT avg(fulfill_duration) AS m, count(*) AS n FROM reg_train) o
-  WHERE ls.nbr > """ + _scaled("o.n", L.MIN_N_MOVER) + """ AND (ls.lvl_1qtle > o.m OR ls.lvl_3qtle < o.m)
+  SELECT ls.* FROM ls, (SELECT avg(fulfill_duration) AS m FROM reg_train) o
+  WHERE ls.nbr > """ + str(MIN_MOVER) + """ AND (ls.lvl_1qtle > o.m OR ls.lvl_3qtle < o.m)
 )""")
 
 _LO = (O.long_levels_cte("lo_lv", "clf_train", V.CLF_CATEGORICAL, [V.CLF_TARGET]) + """,
@@ -53,9 +54,9 @@ imp AS (
   FROM lo, lo_all a
   WHERE (lo.odds > a.rate * """ + repr(L.IMPACT_HIGH) + " OR lo.odds < a.rate * " + repr(L.IMPACT_LOW) + """)
     AND ((lo.variabl IN (""" + ", ".join(f"'{v}'" for v in V.CLF_LOWCARD) + ") AND lo.nbr >= "
-       + _scaled("a.n", L.MIN_N_LOWCARD) + """)
+       + str(MIN_LOW) + """)
       OR (lo.variabl IN (""" + ", ".join(f"'{v}'" for v in V.CLF_HICARD) + ") AND lo.nbr >= "
-       + _scaled("a.n", L.MIN_N_HICARD) + """))
+       + str(MIN_HIGH) + """))
 ),
 maj AS (SELECT * FROM imp WHERE major_impact_flag = 1)""")
 
@@ -69,7 +70,7 @@ def _level_stats(spark, sf):
 
 def _movers(spark, sf):
     train, stats = _level_stats(spark, sf)
-    return L.big_movers(stats, train, V.REG_TARGET)
+    return L.big_movers(stats, train, V.REG_TARGET, MIN_MOVER)
 
 
 def _odds(spark, sf):
@@ -79,7 +80,7 @@ def _odds(spark, sf):
 
 def _impactful(spark, sf):
     train, odds = _odds(spark, sf)
-    return odds, L.impactful_levels(odds, train, V.CLF_TARGET, V.CLF_LOWCARD, V.CLF_HICARD)
+    return odds, L.impactful_levels(odds, train, V.CLF_TARGET, V.CLF_LOWCARD, V.CLF_HICARD, MIN_LOW, MIN_HIGH)
 
 
 _STAT_OUT = ["lvl_mean", "lvl_std", "lvl_min", "lvl_max", "lvl_1qtle", "lvl_3qtle"]
@@ -171,7 +172,7 @@ _GRPD = [c + "__grpd" for c in V.REG_HICARD]
 def _grouped(spark, sf):
     train, test = ds.reg_split(spark, sf)
     stats = L.level_stats(train, V.REG_HICARD, V.REG_TARGET)
-    movers = L.big_movers(stats, train, V.REG_TARGET)
+    movers = L.big_movers(stats, train, V.REG_TARGET, MIN_MOVER)
     both = (train.select("Rww_ID", F.lit("train").alias("part"), *V.REG_HICARD)
             .unionByName(test.select("Rww_ID", F.lit("test").alias("part"), *V.REG_HICARD)))
     return L.group_rare_levels(both, movers, V.REG_HICARD).select("Rww_ID", "part", *_GRPD)
@@ -207,7 +208,7 @@ def q_one_hot_major(spark, sf):
     (levels compared as strings, so numeric-looking zip prefixes match)."""
     train, test = ds.clf_split(spark, sf)
     odds = L.level_odds(train, V.CLF_CATEGORICAL, V.CLF_TARGET)
-    major = L.impactful_levels(odds, train, V.CLF_TARGET, V.CLF_LOWCARD, V.CLF_HICARD).where(
+    major = L.impactful_levels(odds, train, V.CLF_TARGET, V.CLF_LOWCARD, V.CLF_HICARD, MIN_LOW, MIN_HIGH).where(
         F.col("major_impact_flag") == 1)
     cols = V.CLF_LOWCARD + V.CLF_HICARD
     both = (train.select("Rww_ID", F.lit("train").alias("part"), *cols)

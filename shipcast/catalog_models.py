@@ -7,10 +7,12 @@ rows-only (their results depend on the library's randomisation / solver).
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from . import oracle as O
-from .catalog import FLAG_STATES, r6, register
+from .catalog import FLAG_STATES, r6, r9, register
+from .catalog_levels import _LO, MIN_HIGH, MIN_LOW, MIN_MOVER
 from .catalog_prep import _PREP, _SCALED
 from .functions import geo
 from .operators import levels as L
@@ -18,6 +20,7 @@ from .operators import sampling as S
 from .plans import datasets as ds
 from .plans import models as M
 from .plans import variables as V
+from .session import cut_lineage
 
 OLS_X = ["distance_km", "review_score"]
 
@@ -55,8 +58,7 @@ def _ols_query(spark, sf, label: str, log: bool = False):
     fit = M.ols(ds.clean_items(spark, sf), label, OLS_X, log_label=log)
     t = M.ols_table(fit)
     return t.select("term", r6("estimate"), r6("std_error"), r6("t_value"), "n",
-                    (F.floor(F.col("r2") * 1e9 + 0.5) / 1e9).alias("r2"),
-                    (F.floor(F.col("r2adj") * 1e9 + 0.5) / 1e9).alias("r2adj"), r6("f_stat"))
+                    r9("r2"), r9("r2adj"), r6("f_stat"))
 
 
 @register("ols_duration", O.on_items(_OLS_SELECT, _ols_sql("delivery_hours")))
@@ -150,61 +152,57 @@ def q_rf_depth_sweep(spark, sf):
 
 def _reg_with_dummies(spark, sf):
     """Regression frames with the grouped high-cardinality columns one-hot
-    encoded as sparse vectors (training levels; unseen test levels are zeros)."""
+    encoded as sparse vectors (training levels; unseen test levels are zeros),
+    their predictor columns, and a name per slot of the assembled vector."""
     train, test = ds.reg_split(spark, sf)
     stats = L.level_stats(train, V.REG_HICARD, V.REG_TARGET)
-    movers = L.big_movers(stats, train, V.REG_TARGET)
-    g_train = L.group_rare_levels(train, movers, V.REG_HICARD)
-    g_test = L.group_rare_levels(test, movers, V.REG_HICARD)
-    grpd = [c + "__grpd" for c in V.REG_HICARD]
-    levels: dict[str, list[str]] = {c: [] for c in grpd}
-    for r in L.long_levels(g_train, grpd, []).distinct().collect():  # one row per encoded level
-        levels[r["variabl"]].append(r["ctgry_lvl"])
-    (tr, te), vec_cols = M.encode_levels(g_train, [g_test], levels)
-    return tr, te, V.REG_PREDICTORS + vec_cols
+    movers = L.big_movers(stats, train, V.REG_TARGET, MIN_MOVER)
+    g_train = cut_lineage(L.group_rare_levels(train, movers, V.REG_HICARD))
+    g_test = cut_lineage(L.group_rare_levels(test, movers, V.REG_HICARD))
+    levels = L.long_levels(g_train, [c + "__grpd" for c in V.REG_HICARD], [])
+    (tr, te), vec_cols, slots = M.encode_levels([g_train, g_test], levels)
+    return tr, te, V.REG_PREDICTORS + vec_cols, V.REG_PREDICTORS + slots
 
 
 @register("rf_trees_sweep")
 def q_rf_trees_sweep(spark, sf):
     """Random-forest regressor on continuous predictors + level dummies, depth 10."""
-    tr, te, cols = _reg_with_dummies(spark, sf)
+    tr, te, cols, _ = _reg_with_dummies(spark, sf)
     return M.rf_sweep(tr, te, V.REG_TARGET, cols, depths=[10], trees=[40], train_cap=REG_CAP)
 
 
 @register("rf_importances")
 def q_rf_importances(spark, sf):
-    tr, _, cols = _reg_with_dummies(spark, sf)
-    return M.rf_importances(tr, V.REG_TARGET, cols, trees=40, depth=10, train_cap=REG_CAP)
+    """Importances of the regressor, one row per predictor and level indicator."""
+    tr, _, cols, names = _reg_with_dummies(spark, sf)
+    return M.rf_importances(tr, V.REG_TARGET, cols, names, trees=40, depth=10, train_cap=REG_CAP)
 
 
 # --- classifiers ---------------------------------------------------------------------
 
-def _major_levels(train) -> dict[str, list[str]]:
+def _major_levels(train):
+    """(variabl, ctgry_lvl) of the major-impact levels of the training rows."""
     odds = L.level_odds(train, V.CLF_CATEGORICAL, V.CLF_TARGET)
-    major = (L.impactful_levels(odds, train, V.CLF_TARGET, V.CLF_LOWCARD, V.CLF_HICARD)
-             .where(F.col("major_impact_flag") == 1).select("variabl", "ctgry_lvl").distinct().collect())
-    out: dict[str, list[str]] = {}
-    for r in major:  # one row per major level
-        out.setdefault(r["variabl"], []).append(r["ctgry_lvl"])
-    return out
+    return (L.impactful_levels(odds, train, V.CLF_TARGET, V.CLF_LOWCARD, V.CLF_HICARD, MIN_LOW, MIN_HIGH)
+            .where(F.col("major_impact_flag") == 1).select("variabl", "ctgry_lvl"))
 
 
 def _clf_frames(spark, sf, long: bool):
     """Prepared (and for ``long`` level-encoded) classifier frames, checkpointed
     once so sampling, fitting and scoring read them instead of re-running the
-    fixture -> split -> preparation lineage."""
-    from .session import cut_lineage
+    fixture -> split -> preparation lineage; predictor columns; slot names."""
     *_, train, test = ds.clf_prepared(spark, sf)
-    cols = list(V.CLF_BASIC)
+    cols, names = list(V.CLF_BASIC), list(V.CLF_BASIC)
     if long:
-        (train, test), vec_cols = M.encode_levels(train, [test], _major_levels(train))
-        cols += vec_cols
+        train, test = cut_lineage(train), cut_lineage(test)
+        (train, test), vec_cols, slots = M.encode_levels([train, test], _major_levels(train))
+        cols, names = cols + vec_cols, names + slots
     keep = ["Rww_ID", V.CLF_TARGET, *cols]
-    return cut_lineage(train.select(*keep)), cut_lineage(test.select(*keep)), cols
+    return cut_lineage(train.select(*keep)), cut_lineage(test.select(*keep)), cols, names
 
 
 def _clf_query(spark, sf, estimator: str, long: bool, **params):
-    train, test, cols = _clf_frames(spark, sf, long)
+    train, test, cols, _ = _clf_frames(spark, sf, long)
     preds = M.classify(train, {"test": test}, cols, V.CLF_TARGET, estimator, **params)
     return M.classifier_report(preds, V.CLF_TARGET)
 
@@ -229,11 +227,46 @@ def q_rf_clf_long(spark, sf):
     return _clf_query(spark, sf, "rf", long=True)
 
 
+@register("rf_clf_importances")
+def q_rf_clf_importances(spark, sf):
+    """Importances of the long classifier's forest, one row per predictor and level indicator."""
+    train, _, cols, names = _clf_frames(spark, sf, long=True)
+    preds = M.classify(train, {}, cols, V.CLF_TARGET, "rf")
+    return M.named_importances(spark, preds["_model"].featureImportances, names)
+
+
+@register("one_hot_vector_counts", O.on_features("""
+SELECT l.variabl || '=' || l.ctgry_lvl AS slot, CAST(count(*) FILTER (WHERE l.part = 'train') AS BIGINT) AS ones_train,
+       CAST(count(*) FILTER (WHERE l.part = 'test') AS BIGINT) AS ones_test
+FROM vl l JOIN (SELECT DISTINCT variabl, ctgry_lvl FROM maj) m USING (variabl, ctgry_lvl) GROUP BY 1""",
+    _LO + ",\nvboth AS (SELECT *, 'train' AS part FROM clf_train UNION ALL SELECT *, 'test' AS part FROM clf_test),"
+    + O.long_levels_cte("vl", "vboth", V.CLF_LOWCARD + V.CLF_HICARD, ["part"])))
+def q_one_hot_vector_counts(spark, sf):
+    """Ones per indicator in train and test, read back from the encoded vectors."""
+    train, test = (cut_lineage(d) for d in ds.clf_split(spark, sf))
+    (tr, te), cols, names = M.encode_levels([train, test], _major_levels(train))
+    offset, parts = 0, []
+    sizes = [sum(n.startswith(c.removesuffix("__ohe") + "=") for n in names) for c in cols]
+    for c, size in zip(cols, sizes):
+        for part, df in (("train", tr), ("test", te)):
+            hot = F.explode(F.filter(F.transform(vector_to_array(c), lambda x, i: F.when(x == 1.0, i)),
+                                     lambda i: i.isNotNull())).alias("i")
+            parts.append(df.select(hot).select((F.col("i") + offset).alias("slot"), F.lit(part).alias("part")))
+        offset += size
+    ones = parts[0]
+    for p in parts[1:]:
+        ones = ones.union(p)
+    slots = spark.createDataFrame(list(enumerate(names)), "slot int, name string")
+    return (ones.join(slots, "slot").groupBy(F.col("name").alias("slot"))
+            .agg(F.count_if(F.col("part") == "train").alias("ones_train"),
+                 F.count_if(F.col("part") == "test").alias("ones_test")))
+
+
 @register("rf_undersampled")
 def q_rf_undersampled(spark, sf):
     """RF (100 trees) on the balanced sample; scored on its test part and on the
     training rows left out of the sample (validation)."""
-    train, _, cols = _clf_frames(spark, sf, long=True)
+    train, _, cols, _ = _clf_frames(spark, sf, long=True)
     us = S.undersample_balanced(train.select("Rww_ID", V.CLF_TARGET), V.CLF_TARGET, "Rww_ID", seed=7)
     part = us.select("Rww_ID", "sample_part")
     us_train = train.join(part.where("sample_part = 'train'").select("Rww_ID"), "Rww_ID", "left_semi")
@@ -245,9 +278,12 @@ def q_rf_undersampled(spark, sf):
 
 # --- Gaussian naive Bayes (closed form, SQL-checkable) -------------------------------
 
-def _gnb(spark, sf):
-    *_, train, test = ds.clf_prepared(spark, sf)
-    return train, test, M.classify(train, {"test": test}, V.CLF_BASIC, V.CLF_TARGET, "gnb")
+def _gnb(spark, sf, test: bool = False):
+    """Naive Bayes on the prepared training rows; scored test rows where asked for."""
+    *_, train, te = ds.clf_prepared(spark, sf)
+    keep = ["Rww_ID", V.CLF_TARGET, *V.CLF_BASIC]
+    scored = {"test": cut_lineage(te.select(*keep))} if test else {}
+    return M.classify(cut_lineage(train.select(*keep)), scored, V.CLF_BASIC, V.CLF_TARGET, "gnb")
 
 
 _GNB = _PREP + """,
@@ -266,11 +302,10 @@ gnb AS (SELECT g.k, g.feature, g.j, c.log_prior, avg(g.x) AS theta, var_pop(g.x)
     "round(sigma, 9) AS sigma FROM gnb", _GNB))
 def q_gnb_params(spark, sf):
     """Gaussian naive Bayes on the scaled basic predictors: log priors, means, variances."""
-    _, _, preds = _gnb(spark, sf)
+    preds = _gnb(spark, sf)
     rows = M.gnb_params(preds["_model"], V.CLF_BASIC)
     df = spark.createDataFrame(rows, "class int, feature string, log_prior double, theta double, sigma double")
-    nine = lambda c: (F.floor(F.col(c) * 1e9 + 0.5) / 1e9).alias(c)
-    return df.select("class", "feature", nine("log_prior"), nine("theta"), nine("sigma"))
+    return df.select("class", "feature", r9("log_prior"), r9("theta"), r9("sigma"))
 
 
 @register("gnb_confusion", O.on_features("""
@@ -289,14 +324,14 @@ SELECT actual_late_flag, predicted_late_flag, count(*) AS cnt FROM (
 GROUP BY 1, 2""", _GNB))
 def q_gnb_confusion(spark, sf):
     from .operators import evaluate as E
-    _, _, preds = _gnb(spark, sf)
+    preds = _gnb(spark, sf, test=True)
     return E.confusion_matrix(preds["test"], V.CLF_TARGET, "predicted_late_flag")
 
 
 @register("score_distribution")
 def q_score_distribution(spark, sf):
     """How the naive-Bayes late probabilities are distributed (2-decimal bins)."""
-    _, _, preds = _gnb(spark, sf)
+    preds = _gnb(spark, sf)
     return (preds["train"].groupBy(F.round("prob_late", 2).alias("prob_late"))
             .agg(F.count(F.lit(1)).alias("n")))
 

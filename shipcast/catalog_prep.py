@@ -117,14 +117,16 @@ def q_drop_outliers(spark, sf):
             .unionByName(te.select("Rww_ID", F.lit("test").alias("part"))))
 
 
-@register("semi_align", O.on_features(
-    "SELECT Rww_ID, late_delivery_flag FROM clf_train t WHERE EXISTS (SELECT 1 FROM clf_train_o o WHERE o.Rww_ID = t.Rww_ID)",
-    _PREP))
+@register("semi_align", O.on_features(" UNION ALL ".join(
+    f"SELECT Rww_ID, '{part}' AS part, late_delivery_flag FROM clf_{part} t "
+    f"WHERE EXISTS (SELECT 1 FROM clf_{part}_o o WHERE o.Rww_ID = t.Rww_ID)" for part in ("train", "test")), _PREP))
 def q_semi_align(spark, sf):
-    """Labels of the training rows that survive the outlier rules (semi join)."""
-    train, _ = ds.clf_split(spark, sf)
-    _, _, tr, _, _, _ = ds.clf_prepared(spark, sf)
-    return train.select("Rww_ID", V.CLF_TARGET).join(tr.select("Rww_ID"), "Rww_ID", "left_semi")
+    """Labels of the training and test rows that survive the outlier rules (semi join)."""
+    train, test = ds.clf_split(spark, sf)
+    _, _, tr, te, _, _ = ds.clf_prepared(spark, sf)
+    out = [d.select("Rww_ID", F.lit(part).alias("part"), V.CLF_TARGET).join(o.select("Rww_ID"), "Rww_ID", "left_semi")
+           for part, d, o in (("train", train, tr), ("test", test, te))]
+    return out[0].unionByName(out[1])
 
 
 @register("standardize", O.on_features(
@@ -174,8 +176,7 @@ run AS (SELECT *, sum(tp) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS
 @register("pr_curve", O.on_features("""
 SELECT score AS threshold, round(CAST(cum_tp AS DOUBLE) / (cum_tp + cum_fp), 9) AS precision,
        round(CAST(cum_tp AS DOUBLE) / P, 9) AS recall
-FROM run WHERE score >= (SELECT max(score) FROM run WHERE cum_tp = P)
-UNION ALL SELECT NULL, 1.0, 0.0""", _SCORES.format(score=_RULE_PRED)))
+FROM run UNION ALL SELECT NULL, 1.0, 0.0""", _SCORES.format(score=_RULE_PRED)))
 def q_pr_curve(spark, sf):
     c = E.pr_curve(_test(spark, sf), V.CLF_TARGET, _RULE_PRED)
     return c.select("threshold", r9("precision"), r9("recall"))

@@ -65,10 +65,10 @@ HOUR = 1 / 24
 
 
 @register("histogram_hourly", O.on_items(f"""
-SELECT CAST(bin AS BIGINT) AS bin, 0.0 + bin * {HOUR!r} AS bin_left, 0.0 + (bin + 1) * {HOUR!r} AS bin_right,
+SELECT CAST(bin AS BIGINT) AS bin, CASE WHEN bin >= 0 THEN 0.0 + bin * {HOUR!r} END AS bin_left, 0.0 + (bin + 1) * {HOUR!r} AS bin_right,
        count(*) AS n
-FROM (SELECT greatest(ceil((approval_time - 0.0) / {HOUR!r}) - 1, 0) AS bin FROM otr
-      WHERE approval_time IS NOT NULL AND approval_time >= 0.0)
+FROM (SELECT CASE WHEN approval_time < 0 THEN -1 ELSE greatest(ceil((approval_time - 0.0) / {HOUR!r}) - 1, 0) END AS bin
+      FROM otr WHERE approval_time IS NOT NULL)
 GROUP BY bin""", _otr_sql()))
 def q_histogram_hourly(spark, sf):
     """Approval time in hourly bins, right-closed with the first bin closed."""

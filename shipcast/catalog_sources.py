@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import oracle as O
-from .catalog import register
+from .catalog import r9, register
 from .operators import distributions as D
 from .operators import levels as L
 from .plans import datasets as ds
@@ -56,26 +56,32 @@ def q_parse_ts(spark, sf):
     return wide.select(rows.alias("r")).select("r.*")
 
 
-@register("checkpoint_roundtrip", O.on_features(
-    "SELECT Rww_ID, " + ", ".join(V.REG_PREDICTORS) + ", fulfill_duration FROM reg_train"))
+@register("checkpoint_roundtrip", O.on_features(" UNION ALL ".join(
+    f"SELECT Rww_ID, '{part}' AS part, " + ", ".join(V.REG_PREDICTORS) + f", fulfill_duration FROM reg_{part}"
+    for part in ("train", "test"))))
 def q_checkpoint_roundtrip(spark, sf):
-    """Prepared training rows written (typed parquet + predictor list) to the
-    shared folder and read back for a later session."""
-    train, _ = ds.reg_split(spark, sf)
-    cols = ["Rww_ID", *V.REG_PREDICTORS, V.REG_TARGET]
-    path = files.write_prepared(train.select(*cols), files.table_name("reg_train", sf), V.REG_PREDICTORS)
-    df, preds = files.read_prepared(spark, path)
-    return df.select("Rww_ID", *(preds or V.REG_PREDICTORS), V.REG_TARGET)
-
-
-@register("project", O.on_features("SELECT Rww_ID, " + ", ".join(V.CLF_BASIC) + " FROM clf_test"))
+    """Prepared training and test rows written (typed parquet + predictor list)
+    to the shared folder and read back for a later session."""
+    out = None
+    for part, rows in zip(("train", "test"), ds.reg_split(spark, sf)):
+        path = files.write_prepared(rows.select("Rww_ID", *V.REG_PREDICTORS, V.REG_TARGET),
+                                    files.table_name(f"reg_{part}", sf), V.REG_PREDICTORS)
+        df, preds = files.read_prepared(spark, path)
+        df = df.select("Rww_ID", F.lit(part).alias("part"), *preds, V.REG_TARGET)
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+@register("project", O.on_features(" UNION ALL ".join(
+    f"SELECT Rww_ID, '{part}' AS part, " + ", ".join(V.CLF_BASIC) + f" FROM clf_{part}" for part in ("train", "test"))))
 def q_project(spark, sf):
     """Column projection by name list (pruned down to the parquet scans)."""
-    _, test = ds.clf_split(spark, sf)
-    return test.select("Rww_ID", *V.CLF_BASIC)
+    train, test = ds.clf_split(spark, sf)
+    return (train.select("Rww_ID", F.lit("train").alias("part"), *V.CLF_BASIC)
+            .unionByName(test.select("Rww_ID", F.lit("test").alias("part"), *V.CLF_BASIC)))
 
 
-_BOX_VARS = ["customer_state", "seller_state", "product_ctgry_mfu", "payment_type_mfu"]
+_BOX_VARS = V.REG_LOWCARD
 
 
 @register("box_stats_by_level", O.on_features("""
@@ -104,6 +110,5 @@ def q_box_stats_by_level(spark, sf):
     train, _ = ds.reg_split(spark, sf)
     lv = L.long_levels(train.where(F.col(V.REG_TARGET).isNotNull()), _BOX_VARS, [V.REG_TARGET])
     b = D.box_stats(lv, V.REG_TARGET, ["variabl", "ctgry_lvl"])
-    nine = lambda c: (F.floor(F.col(c) * 1e9 + 0.5) / 1e9).alias(c)
-    return b.select("variabl", "ctgry_lvl", "n", nine("q1"), nine("median"), nine("q3"), "whisker_lo", "whisker_hi",
+    return b.select("variabl", "ctgry_lvl", "n", r9("q1"), r9("median"), r9("q3"), "whisker_lo", "whisker_hi",
                     "n_outliers")

@@ -3,12 +3,9 @@ R^2 / RMSE, precision-recall and ROC curves, average precision, ROC AUC.
 
 Curves first collapse the scored rows to one row per distinct score (a
 partially aggregated ``groupBy``), then need running sums in descending score
-order.  When the number of distinct scores is within a checked bound a
-single ordered window runs over that small table; above it, a two-level
-prefix sum is used: range-partition the distinct scores, checkpoint (so the
-partition assignment is fixed), total each partition, and add each
-partition's offset from a table of per-partition totals (one row per
-partition).
+order: range-partition the distinct scores, checkpoint (so the partition
+assignment is fixed), total each partition, and add each partition's offset
+from a table of per-partition totals (one row per partition).
 """
 
 from __future__ import annotations
@@ -18,8 +15,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-MAX_SINGLE_WINDOW_SCORES = 200_000
-
 
 def confusion_matrix(df: DataFrame, label: str, pred: str) -> DataFrame:
     """(actual, predicted, cnt); absent cells are absent."""
@@ -50,12 +45,9 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
             .agg(F.sum(y).alias("tp"), F.sum(1 - y).alias("fp")))
 
 
-def _running(counts: DataFrame, num_partitions: int = 64) -> DataFrame:
+def _running(counts: DataFrame) -> DataFrame:
     """Add cum_tp, cum_fp: sums over scores >= this score."""
-    n = counts.limit(MAX_SINGLE_WINDOW_SCORES + 1).count()
-    if n <= MAX_SINGLE_WINDOW_SCORES:
-        w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return counts.select("*", F.sum("tp").over(w).alias("cum_tp"), F.sum("fp").over(w).alias("cum_fp"))
+    num_partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parted = cut_lineage(counts.repartitionByRange(num_partitions, F.desc("score"))
                          .withColumn("_pid", F.spark_partition_id()))
     totals = parted.groupBy("_pid").agg(F.sum("tp").alias("_ttp"), F.sum("fp").alias("_tfp"))
@@ -75,14 +67,16 @@ def _with_totals(run: DataFrame) -> DataFrame:
     return run.crossJoin(F.broadcast(tot))  # one row
 
 
-def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
+def pr_curve(df: DataFrame, label: str, score: str, stop_at_full_recall: bool = False) -> DataFrame:
     """Precision-recall points, one per distinct score threshold (score >= t),
-    from the highest threshold down to the first one reaching full recall,
-    plus the end point (precision 1, recall 0, threshold null)."""
+    from the highest threshold down, plus the end point (precision 1, recall 0,
+    threshold null).  ``stop_at_full_recall`` ends the curve at the first
+    threshold that reaches full recall."""
     r = _with_totals(_running(score_counts(df, label, score)))
-    full = r.where(F.col("cum_tp") == F.col("P")).agg(F.max("score").alias("_t_full"))
-    pts = (r.crossJoin(F.broadcast(full)).where(F.col("score") >= F.col("_t_full"))
-           .select(F.col("score").alias("threshold"),
+    if stop_at_full_recall:
+        full = r.where(F.col("cum_tp") == F.col("P")).agg(F.max("score").alias("_t_full"))
+        r = r.crossJoin(F.broadcast(full)).where(F.col("score") >= F.col("_t_full"))  # one row
+    pts = (r.select(F.col("score").alias("threshold"),
                    (F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))).alias("precision"),
                    F.try_divide(F.col("cum_tp").cast("double"), F.col("P").cast("double")).alias("recall")))
     end = df.sparkSession.createDataFrame([(None, 1.0, 0.0)], "threshold double, precision double, recall double")

@@ -10,30 +10,25 @@ shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored_table
 from ..sources.tables import sized_broadcast
-from .distributions import quantiles
+from .distributions import group_quantiles
 
 ALL_OTHERS_GROUPED = " ALL OTHERS"   # bucket name of rare-level grouping (fixed value)
 ALL_OTHERS_ODDS = "_All others"      # bucket name of the key-level odds view (fixed value)
 
 # Fixed values of the significant-level rules: thresholds relative to the
-# overall rate, and minimum level counts that were set for 71,986 training rows
-# (37 for low-cardinality, 75 for high-cardinality variables; more than 50
-# rows for duration statistics).  Counts are rescaled to the training size.
+# overall rate, and minimum level counts (37 for low-cardinality, 75 for
+# high-cardinality variables; more than 50 rows for duration statistics).  They
+# are absolute counts: they do not change with the size of the table.
 IMPACT_LOW, IMPACT_HIGH = 0.75, 1.25
 MAJOR_LOW, MAJOR_HIGH = 0.5, 1.5
-REFERENCE_TRAIN_ROWS = 71986
 MIN_N_LOWCARD, MIN_N_HICARD, MIN_N_MOVER = 37, 75, 50
 
 
-def scaled_min_count(n_train: Column, ref_count: int) -> Column:
-    """Minimum level size scaled from the reference training size (at least 1)."""
-    return F.greatest(F.lit(1), F.ceil(n_train * ref_count / REFERENCE_TRAIN_ROWS))
-
-
 def long_levels(df: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
     """(keep..., variabl, ctgry_lvl) with levels cast to string; null levels dropped."""
     casted = df.select(*keep, *[F.col(c).cast("string").alias(c) for c in cols])
@@ -44,27 +39,23 @@ def long_levels(df: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
 def level_stats(df: DataFrame, cols: list[str], target: str, exact: bool = True) -> DataFrame:
     """Per (variabl, ctgry_lvl): nbr, mean, sample std, min, max, q25, q75 of ``target``."""
     lv = long_levels(df.where(F.col(target).isNotNull()), cols, [target])
-    return (lv.groupBy("variabl", "ctgry_lvl").agg(
-        F.count(F.lit(1)).alias("nbr"),
-        F.avg(target).alias("lvl_mean"),
-        F.stddev_samp(target).alias("lvl_std"),
-        F.min(target).alias("lvl_min"),
-        F.max(target).alias("lvl_max"),
-        quantiles(target, [0.25, 0.75], exact).alias("_q"))
-        .select("variabl", "ctgry_lvl", "nbr", "lvl_mean", "lvl_std", "lvl_min", "lvl_max",
-                F.col("_q")[0].alias("lvl_1qtle"), F.col("_q")[1].alias("lvl_3qtle")))
-
-
-def big_movers(stats: DataFrame, train: DataFrame, target: str, min_n: int | None = None) -> DataFrame:
+    keys = ["variabl", "ctgry_lvl"]
+    q = group_quantiles(lv, keys, target, [0.25, 0.75], exact)
+    stats = lv.groupBy(*keys).agg(F.avg(target).alias("lvl_mean"), F.stddev_samp(target).alias("lvl_std"),
+                                  F.min(target).alias("lvl_min"), F.max(target).alias("lvl_max"))
+    return (stats.join(q, keys)
+            .select(*keys, F.col("n").alias("nbr"), "lvl_mean", "lvl_std", "lvl_min", "lvl_max",
+                    F.col("q")[0].alias("lvl_1qtle"), F.col("q")[1].alias("lvl_3qtle")))
+
+
+def big_movers(stats: DataFrame, train: DataFrame, target: str, min_n: int = MIN_N_MOVER) -> DataFrame:
     """Levels with more than ``min_n`` rows whose interquartile box lies wholly
-    above or below the overall mean of the target.  ``min_n`` defaults to the
-    reference count rescaled to the training size."""
-    overall = train.agg(F.avg(target).alias("_mean"), F.count(F.lit(1)).alias("_n"))
-    limit = F.lit(min_n) if min_n is not None else scaled_min_count(F.col("_n"), MIN_N_MOVER)
+    above or below the overall mean of the target."""
+    overall = train.agg(F.avg(target).alias("_mean"))
     return (stats.crossJoin(F.broadcast(overall))  # one row
-            .where((F.col("nbr") > limit)
+            .where((F.col("nbr") > min_n)
                    & ((F.col("lvl_1qtle") > F.col("_mean")) | (F.col("lvl_3qtle") < F.col("_mean"))))
-            .drop("_mean", "_n"))
+            .drop("_mean"))
 
 
 def level_odds(df: DataFrame, cols: list[str], flag: str) -> DataFrame:
@@ -76,7 +67,7 @@ def level_odds(df: DataFrame, cols: list[str], flag: str) -> DataFrame:
 
 
 def impactful_levels(odds: DataFrame, train: DataFrame, flag: str, lowcard: list[str], hicard: list[str],
-                     min_low: int | None = None, min_high: int | None = None) -> DataFrame:
+                     min_low: int = MIN_N_LOWCARD, min_high: int = MIN_N_HICARD) -> DataFrame:
     """Levels whose late rate is far from the overall rate.
 
     impactful: odds > 1.25 x overall or < 0.75 x overall (strict); low-cardinality
@@ -84,16 +75,14 @@ def impactful_levels(odds: DataFrame, train: DataFrame, flag: str, lowcard: list
     major_impact_flag: odds > 1.5 x or < 0.5 x overall.  The overall rate is
     computed from ``train``, not hard-coded.
     """
-    overall = train.agg(F.avg(F.col(flag).cast("double")).alias("_rate"), F.count(F.lit(1)).alias("_n"))
-    lo_min = F.lit(min_low) if min_low is not None else scaled_min_count(F.col("_n"), MIN_N_LOWCARD)
-    hi_min = F.lit(min_high) if min_high is not None else scaled_min_count(F.col("_n"), MIN_N_HICARD)
+    overall = train.agg(F.avg(F.col(flag).cast("double")).alias("_rate"))
     o = odds.crossJoin(F.broadcast(overall))  # one row
     rate = F.col("_rate")
     impact = (F.col("odds") > rate * IMPACT_HIGH) | (F.col("odds") < rate * IMPACT_LOW)
     major = (F.col("odds") > rate * MAJOR_HIGH) | (F.col("odds") < rate * MAJOR_LOW)
     card = (F.when(F.col("variabl").isin(lowcard), F.lit("low"))
             .when(F.col("variabl").isin(hicard), F.lit("high")))
-    size_ok = F.when(card == "low", F.col("nbr") >= lo_min).otherwise(F.col("nbr") >= hi_min)
+    size_ok = F.when(card == "low", F.col("nbr") >= min_low).otherwise(F.col("nbr") >= min_high)
     return (o.where(card.isNotNull() & impact & size_ok)
             .select("variabl", "ctgry_lvl", "nbr", "nbr_late", "odds", card.alias("cardinality"),
                     major.cast("int").alias("major_impact_flag")))
@@ -122,24 +111,19 @@ def odds_with_others(odds: DataFrame, key_levels: DataFrame) -> DataFrame:
             .withColumn("odds", F.try_divide(F.col("nbr_late").cast("double"), F.col("nbr").cast("double"))))
 
 
-def group_rare_levels(df: DataFrame, movers: DataFrame, cols: list[str], suffix: str = "__grpd",
-                      max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def group_rare_levels(df: DataFrame, movers: DataFrame, cols: list[str], suffix: str = "__grpd") -> DataFrame:
     """Add ``<col>__grpd``: the level when (col, level) is a significant level,
     else ' ALL OTHERS' (a missing level too).  Fitted on training statistics,
     applied to any frame.
 
-    The significant-level set is persisted once and its size checked once; one
-    left join per column then runs as a broadcast join when the set is within
-    ``max_broadcast_rows`` and as a shuffle join (AQE splits skewed levels)
-    otherwise.
+    The significant levels are written to the shared folder once, so each
+    column's left join is a broadcast or a shuffle join by their known size.
     """
-    sig = movers.select("variabl", "ctgry_lvl").distinct().persist()
-    small = sig.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
+    sig = stored_table(movers.select("variabl", "ctgry_lvl").distinct(), "significant-levels")
     out = df
     for c in cols:
         lv = (sig.where(F.col("variabl") == c)
               .select(F.col("ctgry_lvl").alias(f"_lvl_{c}"), F.lit(True).alias(f"_hit_{c}")))
-        lv = F.broadcast(lv) if small else lv
         out = (out.join(lv, F.col(c).cast("string") == F.col(f"_lvl_{c}"), "left")
                .withColumn(c + suffix, F.when(F.col(f"_hit_{c}"), F.col(c).cast("string"))
                            .otherwise(F.lit(ALL_OTHERS_GROUPED)))
@@ -147,11 +131,6 @@ def group_rare_levels(df: DataFrame, movers: DataFrame, cols: list[str], suffix:
     return out
 
 
-def dummy_name(prefix: str, level: Column, sep: str) -> Column:
-    """Indicator column name: prefix + sep + level with spaces replaced by '_'."""
-    return F.concat(F.lit(prefix + sep), F.regexp_replace(level, " ", "_"))
-
-
 def one_hot_long(df: DataFrame, key: str, cols: list[str], levels: DataFrame, sep: str,
                  strip_suffix: str = "") -> DataFrame:
     """Sparse long form of a one-hot encoding: (key, dummy) for every indicator

@@ -27,21 +27,31 @@ from pyspark.sql import functions as F
 MODULUS = 2147483647
 MULT_1 = 48271
 MULT_2 = 69621
+SEED_STEP = 40692
 _BUCKET_BITS = 15
 
 
 def key_hash(key: str | Column, seed: int) -> Column:
-    """Integer hash in [0, 2^31 - 1) of a bigint key."""
+    """Integer hash in [0, 2^31 - 1) of a bigint key.
+
+    The seed is added before the quadratic step, so the orders of two seeds
+    differ by a term that depends on the key: their samples are independent.
+    """
     k = F.col(key) if isinstance(key, str) else key
-    x1 = F.pmod(k.cast("bigint"), F.lit(MODULUS)) * MULT_1 % MODULUS
-    x2 = (x1 * x1 + seed) % MODULUS
+    x1 = (F.pmod(k.cast("bigint"), F.lit(MODULUS)) * MULT_1 + _shift(seed)) % MODULUS
+    x2 = x1 * x1 % MODULUS
     return x2 * MULT_2 % MODULUS
 
 
+def _shift(seed: int) -> int:
+    """Where a seed starts: spread over the modulus, so near seeds are far apart."""
+    return (seed + 1) * SEED_STEP % MODULUS * SEED_STEP % MODULUS
+
+
 def key_hash_sql(key: str, seed: int) -> str:
     """The same hash as DuckDB SQL text (used by the oracle)."""
-    x1 = f"(((CAST({key} AS BIGINT) % {MODULUS}) + {MODULUS}) % {MODULUS}) * {MULT_1} % {MODULUS}"
-    x2 = f"(({x1}) * ({x1}) + {seed}) % {MODULUS}"
+    x1 = f"((((CAST({key} AS BIGINT) % {MODULUS}) + {MODULUS}) % {MODULUS}) * {MULT_1} + {_shift(seed)}) % {MODULUS}"
+    x2 = f"(({x1}) * ({x1})) % {MODULUS}"
     return f"(({x2}) * {MULT_2} % {MODULUS})"
 
 
@@ -125,18 +135,6 @@ def hash_split(df: DataFrame, key: str, test_fraction: float, seed: int = 42,
     return df.withColumn(flag, ranks.flag(bound))
 
 
-def sample_exact(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
-    """Exactly k rows (all rows if the frame is smaller), chosen by key hash."""
-    ranks = HashRanks(df, key, seed)
-    try:
-        if k >= ranks.n:
-            return df
-        bound = ranks.bound(k)
-    finally:
-        ranks.release()
-    return df.where(ranks.flag(bound) == 1)
-
-
 def undersample_balanced(train: DataFrame, label: str, key: str, test_fraction: float = 0.25,
                          seed: int = 7) -> DataFrame:
     """Balanced sample: minority rows (label 1) split train/test; majority rows

@@ -15,15 +15,16 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
-from ..session import cut_lineage
+from ..operators.distributions import group_quantiles
+from ..session import cut_lineage, stored_table
 
 SEED = 42
 INTERCEPT = "(Intercept)"
@@ -39,32 +40,41 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features", keep: list[s
     return VectorAssembler(inputCols=cols, outputCol=out).transform(base).select(*keep, out)
 
 
-def encode_levels(train: DataFrame, others: list[DataFrame], levels: dict[str, list[str]],
-                  suffix: str = "__ohe") -> tuple[list[DataFrame], list[str]]:
-    """One sparse indicator vector per variable for the listed levels only
-    (compared as strings); any other level, a missing one, or a level unseen in
-    training encodes as all zeros.  Equivalent to one indicator column per
-    level, without hundreds of columns in the plan.
+def encode_levels(frames: list[DataFrame], levels: DataFrame, suffix: str = "__ohe") -> tuple[list[DataFrame], list[str], list[str]]:
+    """One sparse indicator vector per variable for the listed levels only.
 
-    Index order is alphabetical, fitted on ``train``; returns the frames with
-    ``<var>__ohe`` columns added and the list of those columns.
+    ``levels`` is a table (variabl, ctgry_lvl); levels are compared as strings.
+    A vector has one slot per listed level, in alphabetical order; any other
+    level, a missing one, or one unseen in training is a vector of zeros.  The
+    frames get ``<var>__ohe`` columns by a left join with the level table, which
+    is written to the shared folder first, so the planner knows its size.
+
+    Returns the frames, the new columns, and the name ``<var>=<level>`` of every
+    slot, in the order in which the assembled vectors have them.
     """
-    frames = [train, *others]
-    keyed = []
-    for v, lv in levels.items():
-        key = F.when(F.col(v).cast("string").isin(list(lv)), F.col(v).cast("string"))
-        frames = [d.withColumn(f"{v}__key", key) for d in frames]
-        keyed.append(v)
-    if not keyed:
-        return frames, []
-    idx = StringIndexer(inputCols=[f"{v}__key" for v in keyed], outputCols=[f"{v}__idx" for v in keyed],
-                        handleInvalid="keep", stringOrderType="alphabetAsc").fit(frames[0])
-    enc = OneHotEncoder(inputCols=[f"{v}__idx" for v in keyed], outputCols=[v + suffix for v in keyed],
-                        dropLast=True, handleInvalid="keep")
-    staged = [idx.transform(d) for d in frames]
-    model = enc.fit(staged[0])
-    out = [model.transform(d).drop(*[f"{v}__key" for v in keyed], *[f"{v}__idx" for v in keyed]) for d in staged]
-    return out, [v + suffix for v in keyed]
+    table = stored_table(levels.select("variabl", "ctgry_lvl").distinct().withColumn(
+        "slot", (F.row_number().over(Window.partitionBy("variabl").orderBy("ctgry_lvl")) - 1).cast("double")), "levels")
+    listed: dict[str, list[str]] = {}
+    for r in table.orderBy("variabl", "slot").collect():  # a name for every slot of the model's vector
+        listed.setdefault(r["variabl"], []).append(r["ctgry_lvl"])
+    if not listed:
+        return list(frames), [], []
+    variables = list(listed)
+    # category sizes come from one row holding each variable's last slot
+    last = table.sparkSession.createDataFrame([tuple(float(len(v) - 1) for v in listed.values())],
+                                              ", ".join(f"`{v}__slot` double" for v in variables))
+    encoder = OneHotEncoder(inputCols=[f"{v}__slot" for v in variables], outputCols=[v + suffix for v in variables],
+                            dropLast=True, handleInvalid="keep").fit(last)
+    out = []
+    for df in frames:
+        for v in variables:
+            slots = table.where(F.col("variabl") == v).select(F.col("ctgry_lvl").alias("__lvl"),
+                                                              F.col("slot").alias(f"{v}__slot"))
+            # a slot past the last is invalid to the encoder, which writes zeros for it
+            df = (df.join(slots, F.col(v).cast("string") == F.col("__lvl"), "left").drop("__lvl")
+                  .withColumn(f"{v}__slot", F.coalesce(f"{v}__slot", F.lit(float(len(listed[v]))))))
+        out.append(encoder.transform(df).drop(*[f"{v}__slot" for v in variables]))
+    return out, [v + suffix for v in variables], [f"{v}={lvl}" for v in variables for lvl in listed[v]]
 
 
 # --- ordinary least squares ---------------------------------------------------------
@@ -148,14 +158,14 @@ def residual_diagnostics(df: DataFrame, fit: OlsFit, key: str) -> DataFrame:
 
 def residual_qq(diag: DataFrame, n_points: int = 99) -> DataFrame:
     """Normal QQ data of the standardized residuals on a probability grid:
-    (p, sample_quantile, normal_quantile).  The sample side is one exact
-    ``percentile`` aggregate (no per-row ranking); the normal side is computed
-    from the grid on the driver (n_points numbers)."""
+    (p, sample_quantile, normal_quantile).  The sample side takes exact
+    quantiles of the whole column; the normal side is computed from the grid on
+    the driver (n_points numbers)."""
     from statistics import NormalDist
     ps = [(i + 1) / (n_points + 1) for i in range(n_points)]
     normal = [NormalDist().inv_cdf(p) for p in ps]
-    q = diag.agg(F.percentile("std_residual", F.array(*[F.lit(p) for p in ps])).alias("_q"))
-    pts = F.arrays_zip(F.array(*[F.lit(p) for p in ps]).alias("p"), F.col("_q").alias("sample_quantile"),
+    q = group_quantiles(diag.select(F.lit(0).alias("_all"), "std_residual"), ["_all"], "std_residual", ps)
+    pts = F.arrays_zip(F.array(*[F.lit(p) for p in ps]).alias("p"), F.col("q").alias("sample_quantile"),
                        F.array(*[F.lit(z) for z in normal]).alias("normal_quantile"))
     return q.select(F.explode(pts).alias("r")).select("r.p", "r.sample_quantile", "r.normal_quantile")
 
@@ -222,16 +232,23 @@ def rf_sweep(train: DataFrame, test: DataFrame, label: str, cols: list[str], dep
         rows, "num_trees int, max_depth int, r2_train double, r2_test double, rmse_train double, rmse_test double")
 
 
-def rf_importances(train: DataFrame, label: str, cols: list[str], trees: int = 40, depth: int = 10,
+def named_importances(spark: SparkSession, importances, names: list[str]) -> DataFrame:
+    """(feature, importance) with one row per slot of the feature vector, largest first."""
+    values = [float(v) for v in importances.toArray()]
+    if len(values) != len(names):
+        raise ValueError(f"{len(values)} importances for {len(names)} feature names")
+    rows = sorted(zip(names, values), key=lambda r: (-r[1], r[0]))
+    return spark.createDataFrame(rows, "feature string, importance double")
+
+
+def rf_importances(train: DataFrame, label: str, cols: list[str], names: list[str], trees: int = 40, depth: int = 10,
                    train_cap: float | None = 50.0) -> DataFrame:
-    """Feature importances of a random-forest regressor, largest first."""
+    """Feature importances of a random-forest regressor; ``names`` has one name per vector slot."""
     tr_base = train.where(F.col(label) <= train_cap) if train_cap is not None else train
-    tr = assemble(tr_base.withColumn("_y", F.col(label).cast("double")), cols, keep=["_y"])
+    tr = cut_lineage(assemble(tr_base.withColumn("_y", F.col(label).cast("double")), cols, keep=["_y"]))
     m = RandomForestRegressor(labelCol="_y", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all",
                               seed=SEED, maxMemoryInMB=TREE_MEMORY_MB, cacheNodeIds=True).fit(tr)
-    imp = m.featureImportances.toArray()
-    rows = sorted(((c, float(v)) for c, v in zip(cols, imp)), key=lambda r: -r[1])
-    return train.sparkSession.createDataFrame(rows, "feature string, importance double")
+    return named_importances(train.sparkSession, m.featureImportances, names)
 
 
 # --- classifiers ---------------------------------------------------------------------
@@ -258,12 +275,7 @@ def classify(train: DataFrame, scored: dict[str, DataFrame], cols: list[str], la
              key: str = "Rww_ID", **params) -> dict[str, DataFrame]:
     """Fit on ``train``; return {name: (key, label, prediction, probability)} per scored frame.
 
-    Inputs are checkpointed first (shared checkpoint folder) so fitting and
-    every scoring pass read materialised rows instead of re-running the
-    preparation lineage; a lost executor then recomputes from the checkpoint."""
-    needed = list(dict.fromkeys([key, label, *cols]))
-    train = cut_lineage(train.select(*needed))
-    scored = {n: cut_lineage(d.select(*needed)) for n, d in scored.items()}
+    The frames are read several times: callers pass checkpointed ones."""
     tr = assemble(train.withColumn("label", F.col(label).cast("double")), cols, keep=[key, "label"]).persist()
     try:
         if estimator == "logistic":

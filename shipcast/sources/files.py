@@ -64,14 +64,15 @@ def write_prepared(df: DataFrame, name: str, predictors: list[str] | None = None
 
 
 def read_prepared(spark: SparkSession, path: str) -> tuple[DataFrame, list[str] | None]:
-    df = spark.read.parquet(path)
-    meta_path = path.rstrip("/") + "_meta"
+    """A prepared table and its predictor list (None only where none was saved with it)."""
+    from pyspark.errors import AnalysisException
     try:
-        row = spark.read.json(meta_path).first()
-        preds = json.loads(row["predictors"]) if row else None
-    except Exception:  # noqa: BLE001 - no predictor list was saved
-        preds = None
-    return df, preds
+        row = spark.read.json(path.rstrip("/") + "_meta").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        row = None
+    return spark.read.parquet(path), json.loads(row["predictors"]) if row else None
 
 
 def table_name(*parts: str) -> str:

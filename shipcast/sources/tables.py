@@ -54,9 +54,9 @@ def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
 def sized_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
 
-    The probe is a bounded ``limit(max_rows + 1).count()``; above the bound
-    the frame is returned untouched so the planner (and AQE at runtime)
-    chooses a shuffle join instead.
+    The probe is a plain count (one number per task; a limit would send up to
+    ``max_rows`` rows of every partition to one task); above the bound the
+    frame is returned untouched so the planner (and AQE at runtime) chooses a
+    shuffle join instead.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -58,3 +58,31 @@ def test_box_stats_whiskers(spark):
     q1, q3 = np.percentile(vals, [25, 75])
     assert (r.q1, r.q3) == (q1, q3)
     assert r.whisker_hi == 5.0 and r.whisker_lo == 1.0 and r.n_outliers == 1
+
+
+def test_group_quantiles_vs_numpy(spark):
+    rng = np.random.default_rng(2)
+    ps = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    groups = {"a": rng.normal(size=501).round(1), "b": rng.normal(size=64), "c": np.array([3.0]), "d": np.full(40, 2.0)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.n, r.q) for r in D.group_quantiles(df, ["g"], "v", ps).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert got[g][0] == len(vs)
+        assert got[g][1] == pytest.approx(np.quantile(vs, ps).tolist(), abs=1e-12)
+
+
+def test_histogram_counts_values_below_the_first_break(spark):
+    df = spark.createDataFrame([(-3.0,), (-0.1,), (0.0,), (0.4,), (1.0,), (1.2,)], "x double")
+    got = [tuple(r) for r in D.histogram(df, "x", right=True, lo=0.0, width=1.0).orderBy("bin").collect()]
+    assert got == [(-1, None, 0.0, 2), (0, 0.0, 1.0, 3), (1, 1.0, 2.0, 1)]
+
+
+def test_rounding_leaves_large_values_alone(spark):
+    from shipcast.catalog import r6, r9
+
+    df = spark.createDataFrame([(2.5e10,), (-2.5e10,), (1e300,), (1.23456789012,), (-0.5,), (None,)], "x double")
+    got = df.select(r6("x", "a"), r9("x", "b")).collect()
+    assert [r.a for r in got] == [2.5e10, -2.5e10, 1e300, 1.234568, -0.5, None]
+    assert [r.b for r in got] == [2.5e10, -2.5e10, 1e300, 1.23456789, -0.5, None]

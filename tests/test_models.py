@@ -52,3 +52,36 @@ def test_hard_label_scores_match_curves(spark):
     _, ap0, auc0 = M.hard_label_scores(2, 0, 1, 0)
     assert ap0 == pytest.approx(E.average_precision(none_pred, "y", "p").first()[0])
     assert auc0 == pytest.approx(E.roc_auc(none_pred, "y", "p").first()[0])
+
+
+def test_encode_levels_gives_zeros_for_other_levels(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    train = spark.createDataFrame([(1, "a", "x y"), (2, "b", "x y"), (3, "z", None), (4, None, "q"), (5, "a", "q")],
+                                  "k long, u string, w string")
+    test = spark.createDataFrame([(6, "new", "q"), (7, "b", "x y")], "k long, u string, w string")
+    levels = spark.createDataFrame([("u", "b"), ("u", "a"), ("w", "x y"), ("u", "a")], "variabl string, ctgry_lvl string")
+    (tr, te), cols, names = M.encode_levels([train, test], levels)
+    assert cols == ["u__ohe", "w__ohe"] and names == ["u=a", "u=b", "w=x y"]
+    got = {r.k: (r.u, r.w) for d in (tr, te)
+           for r in d.select("k", vector_to_array("u__ohe").alias("u"), vector_to_array("w__ohe").alias("w")).collect()}
+    assert got == {1: ([1, 0], [1]), 2: ([0, 1], [1]), 3: ([0, 0], [0]), 4: ([0, 0], [0]), 5: ([1, 0], [0]),
+                   6: ([0, 0], [0]), 7: ([0, 1], [1])}
+    assert tr.columns == ["k", "u", "w", "u__ohe", "w__ohe"]
+    assert M.encode_levels([train], levels.where("false"))[1:] == ([], [])
+
+
+def test_importances_have_a_row_per_slot(spark):
+    import random
+
+    rng = random.Random(0)
+    rows = [(i, rng.random(), rng.choice("abcd")) for i in range(400)]
+    df = spark.createDataFrame([(i, x, c, 3 * x + (5 if c == "b" else 0)) for i, x, c in rows],
+                               "k long, x double, c string, y double")
+    levels = spark.createDataFrame([("c", v) for v in "abc"], "variabl string, ctgry_lvl string")
+    (tr,), cols, names = M.encode_levels([df], levels)
+    imp = M.rf_importances(tr, "y", ["x", *cols], ["x", *names], trees=5, depth=4).collect()
+    assert {r.feature for r in imp} == {"x", "c=a", "c=b", "c=c"} and imp[0].feature == "c=b"
+    assert sum(r.importance for r in imp) == pytest.approx(1)
+    with pytest.raises(ValueError):
+        M.rf_importances(tr, "y", ["x", *cols], ["x", "c=a"], trees=2, depth=2)

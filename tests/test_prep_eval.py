@@ -39,10 +39,7 @@ def _brute_ap(labels, scores):
     return ap
 
 
-@pytest.mark.parametrize("single_window", [True, False])
-def test_curves_vs_brute_force(spark, monkeypatch, single_window):
-    if not single_window:
-        monkeypatch.setattr(E, "MAX_SINGLE_WINDOW_SCORES", 3)   # force the two-level prefix sums
+def test_curves_vs_brute_force(spark):
     rng = np.random.default_rng(7)
     labels = [int(v) for v in rng.integers(0, 2, 300)]
     scores = [float(round(v, 1)) for v in rng.normal(size=300) + np.array(labels) * 0.7]   # many ties
@@ -53,6 +50,9 @@ def test_curves_vs_brute_force(spark, monkeypatch, single_window):
     assert (roc[0].fpr, roc[0].tpr) == (0.0, 0.0) and max(r.tpr for r in roc) == 1.0
     pr = E.pr_curve(df, "y", "s").collect()
     assert any(r.threshold is None and r.precision == 1.0 and r.recall == 0.0 for r in pr)
+    assert len(pr) == len(set(scores)) + 1
+    cut = E.pr_curve(df, "y", "s", stop_at_full_recall=True).collect()
+    assert {r.threshold for r in cut} == {None} | {t for t in scores if t >= min(s for l, s in zip(labels, scores) if l)}
 
 
 def test_hard_label_identities(spark):

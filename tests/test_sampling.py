@@ -52,3 +52,15 @@ def test_undersample_too_few_majority(spark):
     df = spark.createDataFrame([(i, 1 if i < 8 else 0) for i in range(10)], "k long, y int")
     with pytest.raises(ValueError):
         S.undersample_balanced(df, "y", "k")
+
+
+def test_seeds_give_independent_samples(spark):
+    n = 40000
+    df = spark.range(n).withColumnRenamed("id", "k")
+    picked = {}
+    for seed in (7, 8, 42, 43):
+        rows = S.hash_split(df, "k", 0.25, seed=seed).where("is_test = 1").select("k").collect()
+        picked[seed] = {r.k for r in rows}
+        assert len(rows) == n // 4
+    for a, b in ((7, 8), (42, 43), (7, 42)):
+        assert abs(len(picked[a] & picked[b]) / (n // 4) - 0.25) < 0.03
