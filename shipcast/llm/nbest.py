@@ -126,7 +126,6 @@ class Lattice:
         cuts = np.searchsorted(offset[by_offset], np.arange(sizes.max(initial=0) + 1))
         for r in range(len(cuts) - 1):  # edges that start r characters into their word
             e = by_offset[cuts[r]:cuts[r + 1]]
-            e = e[np.argsort(target[e] - source[e], kind="stable")]
             value = forward[source[e]] + weight[e]
             better = value > forward[target[e]]
             forward[target[e[better]]], via[target[e[better]]] = value[better], e[better]
@@ -167,12 +166,14 @@ class Lattice:
 
     def _written(self, owner, piece, char, n) -> tuple[np.ndarray, np.ndarray]:
         """Ids by owner; unknown characters become the ids of their bytes."""
-        if not (piece < 0).any():
-            return np.bincount(owner, minlength=n).astype(np.int64), piece.astype(np.int32)
-        lists: list[list[int]] = [[] for _ in range(n)]
-        for o, p, c in zip(owner.tolist(), piece.tolist(), char.tolist()):
-            lists[o].extend([p] if p >= 0 else self.byte_ids[list(chr(c).encode())].tolist())
-        return ragged.flat(lists)
+        sizes = np.ones(len(piece), dtype=np.int64)
+        unknown = np.flatnonzero(piece < 0)
+        spelt = [chr(c).encode() for c in char[unknown].tolist()]
+        sizes[unknown] = list(map(len, spelt))
+        ids = np.repeat(piece, sizes).astype(np.int32)
+        if len(unknown):
+            ids[ids < 0] = self.byte_ids[np.frombuffer(b"".join(spelt), dtype=np.uint8)]
+        return np.bincount(owner, weights=sizes, minlength=n).astype(np.int64), ids
 
     # --- backward search -----------------------------------------------------------
 
