@@ -358,6 +358,14 @@ def q_count_by_category(spark, sf):
     return rollups.count_by_category(ds.clean_items(spark, sf), "product_category_name_english")
 
 
+for _col in ("seller_state", "customer_state", "order_status"):
+    def _q_count_by(spark, sf, col=_col):
+        """A1: item counts by one more column."""
+        return rollups.count_by_category(ds.clean_items(spark, sf), col)
+
+    register(f"count_by_{_col}", O.on_items(f"SELECT {_col}, count(*) AS n FROM ci GROUP BY {_col}"))(_q_count_by)
+
+
 @register("delivery_stats_by_state", O.on_items(
     "SELECT customer_state, round(avg(delivery_hours), 6) AS avg_ttl, round(stddev_samp(delivery_hours), 6) AS sd_ttl, "
     "count(*) AS n_ttl FROM ci GROUP BY customer_state"))

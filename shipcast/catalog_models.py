@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from . import oracle as O
-from .catalog import FLAG_STATES, r6, r9, register
+from .catalog import FLAG_STATES, r6, r9, register, round6
 from .catalog_levels import _LO, MIN_HIGH, MIN_LOW, MIN_MOVER
 from .catalog_prep import _PREP, _SCALED
 from .functions import geo
@@ -77,20 +77,42 @@ def q_ols_carrier_leg(spark, sf):
     return _ols_query(spark, sf, "carrier_to_customer_hours")
 
 
-@register("residual_diagnostics")
+_RESIDUALS = _ols_sql("delivery_hours") + """,
+resid0 AS (
+  SELECT CAST(c.order_id AS BIGINT) * 1048576 + c.order_item_id AS Rww_ID, c.delivery_hours AS actual,
+         g.b0 + g.b1 * c.distance_km + g.b2 * c.review_score AS fitted, g.s2,
+         1.0 / g.n + (power(c.distance_km - g.m1, 2) * g.s22 - 2 * (c.distance_km - g.m1) * (c.review_score - g.m2) * g.s12
+                      + power(c.review_score - g.m2, 2) * g.s11) / (g.det * (g.n - 1)) AS leverage
+  FROM ci c, og g
+  WHERE c.delivery_hours IS NOT NULL AND c.distance_km IS NOT NULL AND c.review_score IS NOT NULL
+),
+resid AS (SELECT *, actual - fitted AS residual, (actual - fitted) / (sqrt(s2) * sqrt(1 - leverage)) AS std_residual FROM resid0)"""
+
+
+@register("residual_diagnostics", O.on_items(
+    "SELECT Rww_ID, actual, round(fitted, 6) AS fitted, round(leverage, 9) AS leverage, round(residual, 6) AS residual, "
+    "round(std_residual, 6) AS std_residual FROM resid", _RESIDUALS))
 def q_residuals(spark, sf):
     """Fitted values, residuals, leverage and standardized residuals of the OLS."""
     items = ds.clean_items(spark, sf)
     fit = M.ols(items, "delivery_hours", OLS_X)
-    return M.residual_diagnostics(items, fit, "Rww_ID")
+    d = M.residual_diagnostics(items, fit, "Rww_ID")
+    return d.select("Rww_ID", "actual", r6("fitted"), r9("leverage"), r6("residual"), r6("std_residual"))
+
 
+QQ_PS = [(i + 1) / 100 for i in range(99)]
 
-@register("residual_qq")
+
+@register("residual_qq", O.on_items(
+    "SELECT p, round(v, 6) AS sample_quantile FROM rq",
+    _RESIDUALS, "\nrqv AS (SELECT 0 AS g, std_residual FROM resid)", O.quantiles_cte("rq", "rqv", ["g"], "std_residual", QQ_PS)))
 def q_residual_qq(spark, sf):
-    """Normal QQ points of the OLS standardized residuals."""
+    """Sample side of the normal QQ points of the OLS standardized residuals (the
+    normal side is a function of p alone)."""
     items = ds.clean_items(spark, sf)
     fit = M.ols(items, "delivery_hours", OLS_X)
-    return M.residual_qq(M.residual_diagnostics(items, fit, "Rww_ID"))
+    qq = M.residual_qq(M.residual_diagnostics(items, fit, "Rww_ID"), len(QQ_PS))
+    return qq.select("p", r6("sample_quantile"))
 
 
 # --- regression models ---------------------------------------------------------------
@@ -328,14 +350,59 @@ def q_gnb_confusion(spark, sf):
     return E.confusion_matrix(preds["test"], V.CLF_TARGET, "predicted_late_flag")
 
 
-@register("score_distribution")
+_GNB_TRAIN = _GNB + """,
+gnb_ll AS (
+  SELECT tl.Rww_ID, g.k, any_value(g.log_prior) - 0.5 * sum(ln(2 * pi() * g.sigma))
+         - 0.5 * sum(power(tl.x - g.theta, 2) / g.sigma) AS ll
+  FROM (""" + "\n  UNION ALL ".join(
+    f"SELECT Rww_ID, {j} AS j, {c} AS x FROM clf_train_s" for j, c in enumerate(V.CLF_BASIC)) + """) tl
+  JOIN gnb g ON g.j = tl.j GROUP BY tl.Rww_ID, g.k
+),
+gnb_prob AS (
+  SELECT Rww_ID, any_value(t.late_delivery_flag) AS y,
+         1 / (1 + exp(least(700, sum(CASE WHEN k = 0 THEN ll ELSE -ll END)))) AS prob
+  FROM gnb_ll JOIN clf_train_s t USING (Rww_ID) GROUP BY Rww_ID
+),
+gnb_scores AS (
+  SELECT floor(prob * 1e6 + 0.5) / 1e6 AS score, sum(y) AS tp, sum(1 - y) AS fp FROM gnb_prob GROUP BY 1
+),
+gnb_run AS (
+  SELECT *, sum(tp) OVER w AS cum_tp, sum(fp) OVER w AS cum_fp, sum(tp) OVER () AS P, sum(fp) OVER () AS N
+  FROM gnb_scores WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)
+)"""
+
+
+def _gnb_train_scores(spark, sf):
+    """Naive-Bayes late probabilities of the training rows, to 6 decimals."""
+    return _gnb(spark, sf)["train"].withColumn("prob_late", round6("prob_late"))
+
+
+@register("score_distribution", O.on_features(
+    "SELECT floor(score * 100 + 0.5) / 100 AS prob_late, CAST(sum(tp + fp) AS BIGINT) AS n FROM gnb_scores GROUP BY 1",
+    _GNB_TRAIN))
 def q_score_distribution(spark, sf):
     """How the naive-Bayes late probabilities are distributed (2-decimal bins)."""
-    preds = _gnb(spark, sf)
-    return (preds["train"].groupBy(F.round("prob_late", 2).alias("prob_late"))
+    return (_gnb_train_scores(spark, sf).groupBy((F.floor(F.col("prob_late") * 100 + 0.5) / 100).alias("prob_late"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+@register("gnb_roc_curve", O.on_features("""
+SELECT score AS threshold, round(CAST(cum_fp AS DOUBLE) / N, 9) AS fpr, round(CAST(cum_tp AS DOUBLE) / P, 9) AS tpr
+FROM gnb_run UNION ALL SELECT NULL, 0.0, 0.0""", _GNB_TRAIN))
+def q_gnb_roc_curve(spark, sf):
+    """ROC points of the naive-Bayes training probabilities."""
+    from .operators import evaluate as E
+    return E.roc_curve(_gnb_train_scores(spark, sf), V.CLF_TARGET, "prob_late").select("threshold", r9("fpr"), r9("tpr"))
+
+
+@register("gnb_roc_auc", O.on_features(
+    "SELECT round(sum(tp * (N - cum_fp + fp / 2.0)) / any_value(CAST(P AS DOUBLE) * N), 9) AS roc_auc FROM gnb_run", _GNB_TRAIN))
+def q_gnb_roc_auc(spark, sf):
+    """Area under the ROC curve of the naive-Bayes training probabilities."""
+    from .operators import evaluate as E
+    return E.roc_auc(_gnb_train_scores(spark, sf), V.CLF_TARGET, "prob_late").select(r9("roc_auc"))
+
+
 # --- stream scoring -----------------------------------------------------------------
 
 def _gnb_confusion_sql() -> str:

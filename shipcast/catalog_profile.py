@@ -196,3 +196,61 @@ def q_tail_rows(spark, sf):
     train, _ = ds.clf_split(spark, sf)
     t = audit.tail_rows(train, "distance_km", V.DISTANCE_MAX_KM, _TAIL_COLS + ["distance_km"])
     return t.select(*_TAIL_COLS, r6("distance_km"))
+
+
+@register("describe_order_timing", O.on_items(f"""
+SELECT s.variabl, s.n, round(s.mean, 6) AS mean, round(s.std, 6) AS std, round(s.min, 6) AS min,
+       round(q.q25, 6) AS q25, round(q.median, 6) AS median, round(q.q75, 6) AS q75, round(s.max, 6) AS max
+FROM (SELECT variabl, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min,
+             max(value) AS max FROM tlv GROUP BY variabl) s
+JOIN ({_quant_pivot('tq', ['variabl'], {0.25: 'q25', 0.5: 'median', 0.75: 'q75'})}) q USING (variabl)""",
+    _otr_sql(), O.long_values_cte("tlv", "otr", ["nbr_items", "approval_time", "est_time"]),
+    O.quantiles_cte("tq", "tlv", ["variabl"], "value", [0.25, 0.5, 0.75])))
+def q_describe_timing(spark, sf):
+    """A15: summary of the order-timing rollup and the promised days."""
+    otr = rollups.order_timing_rollup(ds.clean_items(spark, sf))
+    d = D.describe_numeric(otr, ["nbr_items", "approval_time", "est_time"])
+    return d.select("variabl", "n", *[r6(c) for c in ("mean", "std", "min", "q25", "median", "q75", "max")])
+
+
+@register("histogram_by_flag", O.on_features("""
+SELECT variabl, late_delivery_flag, CAST(bin AS BIGINT) AS bin, round(_lo + bin * _w, 6) AS bin_left,
+       round(_lo + (bin + 1) * _w, 6) AS bin_right, count(*) AS n
+FROM (
+  SELECT b.variabl, b.late_delivery_flag, r._lo, r._w,
+         CASE WHEN r._w = 0 THEN 0 ELSE least(floor((b.value - r._lo) / r._w), 10 - 1) END AS bin
+  FROM hl b JOIN (SELECT variabl, late_delivery_flag, min(value) AS _lo, (max(value) - min(value)) / 10 AS _w
+                  FROM hl GROUP BY 1, 2) r USING (variabl, late_delivery_flag))
+GROUP BY ALL""", O.long_values_cte("hl", "clf_train", V.CLF_CONT_EDA, keep=["late_delivery_flag"])))
+def q_histogram_by_flag(spark, sf):
+    """A17: ten equal-width bins of every continuous variable per late flag."""
+    train, _ = ds.clf_split(spark, sf)
+    lv = D.long_values(train, V.CLF_CONT_EDA, keep=["late_delivery_flag"])
+    h = D.histogram(lv, "value", bins=10, by=["variabl", "late_delivery_flag"])
+    return h.select("variabl", "late_delivery_flag", "bin", r6("bin_left"), r6("bin_right"), "n")
+
+
+@register("box_stats_by_flag", O.on_features("""
+SELECT q.variabl, q.late_delivery_flag, q.n, round(q.q1, 6) AS q1, round(q.median, 6) AS median, round(q.q3, 6) AS q3,
+       round(w.whisker_lo, 6) AS whisker_lo, round(w.whisker_hi, 6) AS whisker_hi, w.n_outliers
+FROM fb_piv q JOIN (
+  SELECT l.variabl, l.late_delivery_flag, min(l.value) FILTER (WHERE l.value >= f.lo) AS whisker_lo,
+         max(l.value) FILTER (WHERE l.value <= f.hi) AS whisker_hi,
+         count(*) FILTER (WHERE l.value < f.lo OR l.value > f.hi) AS n_outliers
+  FROM fb l JOIN (SELECT variabl, late_delivery_flag, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM fb_piv) f
+    USING (variabl, late_delivery_flag)
+  GROUP BY 1, 2) w USING (variabl, late_delivery_flag)""",
+    O.long_values_cte("fb", "clf_train", V.CLF_CONT_EDA, keep=["late_delivery_flag"]),
+    O.quantiles_cte("fb_q", "fb", ["variabl", "late_delivery_flag"], "value", [0.25, 0.5, 0.75]), """
+fb_piv AS (
+  SELECT variabl, late_delivery_flag, any_value(n) AS n, max(v) FILTER (WHERE p = 0.25) AS q1,
+         max(v) FILTER (WHERE p = 0.5) AS median, max(v) FILTER (WHERE p = 0.75) AS q3
+  FROM fb_q JOIN (SELECT variabl, late_delivery_flag, count(*) AS n FROM fb GROUP BY 1, 2) c
+    USING (variabl, late_delivery_flag) GROUP BY 1, 2)"""))
+def q_box_stats_by_flag(spark, sf):
+    """A16: box statistics of every continuous variable by late flag."""
+    train, _ = ds.clf_split(spark, sf)
+    lv = D.long_values(train, V.CLF_CONT_EDA, keep=["late_delivery_flag"])
+    b = D.box_stats(lv, "value", ["variabl", "late_delivery_flag"])
+    return b.select("variabl", "late_delivery_flag", "n", *[r6(c) for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")],
+                    "n_outliers")

@@ -8,13 +8,13 @@ Every derived value uses integer ``%``, ``*`` and ``+`` on keys only, so the
 same rules written in SQL give identical rows (the oracle does exactly that).
 
 Plan shape: line items are joined to ``part`` once, then rolled up to orders
-by three two-level aggregates keyed on (order, value) and then order.  The
+by a two-level aggregate: grouping sets over (order, value), then order.  The
 first level pre-aggregates map-side, so an order holding a huge share of the
 line items is already reduced to its distinct (supplier | part | type) values
 before any row crosses the network; the second level keeps O(1) state per
 order (``min`` of a struct picks the most frequent value, ties to the
 smallest).  Dimension tables: nation, customer and supplier are broadcast only
-after a bounded ``limit(n + 1).count()`` probe proves them small; otherwise
+after a count proves them small; otherwise
 (customer and supplier at terabyte scale) they join by shuffle, and ``part``
 is left to the planner and AQE, which broadcast only when runtime statistics
 show it is small.
@@ -28,25 +28,13 @@ from pyspark.sql import functions as F
 from .tables import Tables, sized_broadcast
 
 DAY = 86400
+ITEM_STRIDE = 1 << 20  # more lines than an order has
 
 
 def add_seconds(ts: Column, secs: Column) -> Column:
     return F.timestamp_add("SECOND", secs, ts)
 
 
-def _most_frequent(items: DataFrame, key: str, value: str, alias: str,
-                   distinct_alias: str | None = None) -> DataFrame:
-    """Per ``key``: most frequent non-null ``value`` (ties -> smallest) and
-    the number of distinct values."""
-    per_value = (items.where(F.col(value).isNotNull())
-                 .groupBy(key, value).agg(F.count(F.lit(1)).alias("_n")))
-    aggs = [F.min(F.struct((-F.col("_n")).alias("neg_n"), F.col(value).alias("v")))
-            .getField("v").alias(alias)]
-    if distinct_alias:
-        aggs.append(F.count(F.lit(1)).cast("int").alias(distinct_alias))
-    return per_value.groupBy(key).agg(*aggs)
-
-
 def _items_with_part(t: Tables) -> DataFrame:
     li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                            "l_extendedprice", "l_tax")
@@ -55,9 +43,16 @@ def _items_with_part(t: Tables) -> DataFrame:
 
 
 def order_item_rollup(t: Tables) -> DataFrame:
-    """A14: item -> order rollup (counts, totals, most-frequent values)."""
+    """A14: item -> order rollup (counts, totals, most-frequent values).
+
+    One pass over the line items: grouping sets count them by (order, part),
+    (order, supplier) and (order, type) together, and a second aggregate per order
+    reads each set's rows.
+    """
     items = _items_with_part(t)
-    per_part = (items.groupBy("l_orderkey", "l_partkey").agg(
+    in_sets = [["l_orderkey", "l_partkey"], ["l_orderkey", "l_suppkey"], ["l_orderkey", "p_type"]]
+    counted = items.groupingSets(in_sets, "l_orderkey", "l_partkey", "l_suppkey", "p_type").agg(
+        F.grouping_id().alias("set"),
         F.count(F.lit(1)).alias("n"),
         F.sum("l_extendedprice").alias("price"),
         F.sum(F.col("l_extendedprice") * F.col("l_tax")).alias("freight"),
@@ -67,26 +62,34 @@ def order_item_rollup(t: Tables) -> DataFrame:
         F.sum(F.col("p_size") % 7 + 1).alias("wid"),
         F.sum(F.col("p_size") % 6).alias("photos"),
         F.max("l_linenumber").alias("max_line"),
-    ))
-    by_order = per_part.groupBy("l_orderkey").agg(
-        F.sum("n").cast("int").alias("nbr_items"),
-        F.count("l_partkey").cast("int").alias("nbr_products"),
-        F.min(F.when(F.col("l_partkey").isNotNull(),
-                     F.struct((-F.col("n")).alias("neg_n"), F.col("l_partkey").alias("v"))))
-        .getField("v").alias("product_key_mfu"),
-        F.round(F.sum("price"), 2).alias("ttl_price"),
-        F.round(F.sum("freight"), 4).alias("ttl_freight"),
-        F.sum("wt").cast("double").alias("ttl_wt"),
-        F.sum("len").cast("double").alias("ttl_length"),
-        F.sum("hgt").cast("double").alias("ttl_height"),
-        F.sum("wid").cast("double").alias("ttl_width"),
-        F.sum("photos").cast("int").alias("nbr_photos"),
+    )
+
+    # grouping_id sets a bit for each absent column: part (4), supplier (2), type (1)
+    def of(absent: int, value: str):
+        return F.when(F.col("set") == absent, F.col(value))
+
+    by_part, by_supplier, by_type = 3, 5, 6
+
+    def most_frequent(absent: int, value: str):  # ties -> smallest
+        return F.min(F.when((F.col("set") == absent) & F.col(value).isNotNull(),
+                            F.struct((-F.col("n")).alias("neg_n"), F.col(value).alias("v")))).getField("v")
+
+    return counted.groupBy("l_orderkey").agg(
+        F.sum(of(by_part, "n")).cast("int").alias("nbr_items"),
+        F.count(of(by_part, "l_partkey")).cast("int").alias("nbr_products"),
+        most_frequent(by_part, "l_partkey").alias("product_key_mfu"),
+        F.round(F.sum(of(by_part, "price")), 2).alias("ttl_price"),
+        F.round(F.sum(of(by_part, "freight")), 4).alias("ttl_freight"),
+        F.sum(of(by_part, "wt")).cast("double").alias("ttl_wt"),
+        F.sum(of(by_part, "len")).cast("double").alias("ttl_length"),
+        F.sum(of(by_part, "hgt")).cast("double").alias("ttl_height"),
+        F.sum(of(by_part, "wid")).cast("double").alias("ttl_width"),
+        F.sum(of(by_part, "photos")).cast("int").alias("nbr_photos"),
         F.max("max_line").alias("max_line"),
+        most_frequent(by_supplier, "l_suppkey").alias("seller_key"),
+        F.nullif(F.count(of(by_supplier, "l_suppkey")).cast("int"), F.lit(0)).alias("nbr_sellers"),
+        most_frequent(by_type, "p_type").alias("p_type_mfu"),
     )
-    sellers = _most_frequent(items, "l_orderkey", "l_suppkey", "seller_key", "nbr_sellers")
-    types = _most_frequent(items, "l_orderkey", "p_type", "p_type_mfu")
-    return (by_order.join(sellers, "l_orderkey", "left")
-            .join(types, "l_orderkey", "left"))
 
 
 def _place_columns(key: Column, nation_name: Column, nationkey: Column, prefix: str) -> list[Column]:
@@ -97,7 +100,7 @@ def _place_columns(key: Column, nation_name: Column, nationkey: Column, prefix:
     ]
 
 
-# customer / supplier dimension rows broadcast when the bounded probe proves
+# customer / supplier dimension rows broadcast when a count proves
 # them within this many rows; larger dimensions join by shuffle
 DIM_BROADCAST_ROWS = 500_000
 
@@ -214,7 +217,8 @@ def order_items(t: Tables) -> DataFrame:
     k = F.col("Rww_ID")
     slf = F.col("ship_limit_final")
     return df.select(
-        F.monotonically_increasing_id().alias("Rww_ID"),
+        # the order's key and the line's number in it: the same in every run
+        (k * ITEM_STRIDE + F.col("l_linenumber")).alias("Rww_ID"),
         "order_id",
         F.col("l_linenumber").alias("order_item_id"),
         "order_status", "customer_id",
