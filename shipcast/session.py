@@ -70,11 +70,30 @@ def stored_table(df: DataFrame, name: str) -> DataFrame:
     Unlike a checkpoint, the scan knows its size in bytes, so the planner picks
     broadcast or shuffle joins by it.
     """
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_FRESH: list[str] = []
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A folder of the shared storage that nothing else writes to."""
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    _FRESH.append(path)
+    return path
+
+
+def release_tables(spark: SparkSession) -> None:
+    """Delete what ``fresh_path`` gave out so far.  Frames that were returned but
+    not yet consumed read those folders: call it when their results are in."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _FRESH:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_FRESH.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)

@@ -42,3 +42,15 @@ def test_conditional_rates_zero_denominator_safe(spark):
     df = spark.createDataFrame([(1, 1), (1, 0), (0, 0)], "f int, late_delivery_flag int")
     got = {r.f: (r.n_orders, r.n_late, r.pct_late) for r in rollups.conditional_late_rates(df, "f").collect()}
     assert got == {1: (2, 1, 0.5), 0: (1, 0, 0.0)}
+
+
+def test_split_delivery_orders_finds_orders_with_two_dates(spark):
+    from datetime import datetime
+
+    from shipcast.operators import rollups
+
+    d = [datetime(2020, 1, 1, 5), datetime(2020, 1, 3, 7)]
+    items = spark.createDataFrame([("a", d[0]), ("a", d[1]), ("a", d[0]), ("b", d[0]), ("b", d[0]), ("c", None), ("d", d[1])],
+                                  f"order_id string, {rollups.DELIV} timestamp_ntz")
+    got = rollups.split_delivery_orders(items).collect()
+    assert [tuple(r) for r in got] == [("a", d[0], d[1])]
