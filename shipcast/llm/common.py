@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import fresh_path, stored_table
 
 TARGET_BYTES = 16 << 20
 
@@ -20,7 +19,7 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which every executor reaches."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return fresh_path(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -29,9 +28,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: tasks that run again read the files instead of repeating
     the work that made them.
     """
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored_table(df, name)
 
 
 def tokenizer_path(name: str) -> str:
