@@ -98,13 +98,16 @@ def _distinct(data: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarra
 def words(text: Text) -> Pieces:
     """Maximal runs of non-white-space of every row."""
     inside = ~WHITESPACE[text.data]
-    first = inside.copy()
+    first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
     heads = text.offsets[:-1][text.offsets[:-1] < len(inside)]
-    first[heads] = inside[heads]  # a row's first byte starts a word of its own
-    starts = np.flatnonzero(first)
-    kept = np.cumsum(inside) - inside  # place of each byte once white space is removed
-    codes, values = _distinct(text.data[inside], kept[starts], int(inside.sum()))
+    first[heads] = inside[heads]  # a row's first byte starts a word of its own, its last one ends one
+    tails = heads[heads > 0] - 1
+    last[tails] = inside[tails]
+    starts, lengths = np.flatnonzero(first), np.flatnonzero(last)
+    lengths -= starts - 1
+    codes, values = _distinct(text.data[inside], np.cumsum(lengths) - lengths, int(lengths.sum()))
     return Pieces(codes, np.searchsorted(starts, text.offsets), values)
 
 

@@ -42,7 +42,7 @@ P_MIN = 1e-5
 MIN_COUNT = 2
 MAX_DEPTH = 4
 DISCOUNT = 0.75
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20  # arrays of a block take some twenty times as much
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 32
 
@@ -75,6 +75,7 @@ def _cut(docs: DataFrame, held) -> DataFrame:
         for batch in batches:
             for part in ragged.slices(batch, "text", BLOCK_BYTES):
                 block += 1
+                pa.default_memory_pool().release_unused()
                 text = ragged.text_of(part.column("text"))
                 text.data = _FOLD[text.data]
                 found = ragged.words(text)
@@ -141,6 +142,7 @@ def _placed(cut: DataFrame, counted: DataFrame, frequent: DataFrame, n_frequent:
     end_score = math.log10(n_end + 1) - log_n
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         row = left.to_pylist()[0]
         local = right.column("local").to_numpy()
         c = np.zeros(len(local), dtype=np.int64)
@@ -224,10 +226,10 @@ def _count_level(placed: DataFrame, grams: Grams, level: int, least: int) -> tup
                 keys, counts = np.unique(contexts[-1][use] * grams.width + symbols[use], return_counts=True)
                 parts.append((keys, counts))
                 held_rows += len(keys)
-                if held_rows > 4_000_000:  # bound what a task holds
+                if held_rows > 1_000_000:  # bound what a task holds
                     parts = [merged(parts)]
                     held_rows = len(parts[0][0])
-                    if held_rows > 2_000_000:
+                    if held_rows > 500_000:
                         yield pa.RecordBatch.from_arrays([pa.array(parts[0][0]), pa.array(parts[0][1])], schema=schema)
                         parts, held_rows = [], 0
         if parts:
