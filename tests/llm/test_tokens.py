@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from shipcast.llm import common, ragged, tokens
 
-ALPHABET = ["a", "B", "the", " ", "  ", "\n", "\t", "'s", "'", ",", "!!", "_", "1", "22", "é", "É", "é", " ",
+ALPHABET = ["a", "B", "ß", "µ", "ª", "ÿ", "Þ", "æ", "Œ", "ŉ", "don", "the", " ", "  ", "\n", "\t", "'s", "'", ",", "!!", "_", "1", "22", "é", "É", "é", " ",
             "　", "·", "×", "İ", "日", "<|endoftext|>", "<|EndOfText|>", "\x1c", "«", "ﬁ"]
 
 
