@@ -153,6 +153,31 @@ def q_odds_with_others(spark, sf):
     return out.select("variabl", "ctgry_lvl_str", "nbr", "nbr_late", r6("odds"))
 
 
+_LOWCARD_IN = ", ".join(f"'{v}'" for v in V.CLF_LOWCARD)
+
+
+@register("lowcard_odds", O.on_features(
+    f"SELECT variabl, ctgry_lvl, nbr, nbr_late, round(odds, 6) AS odds FROM lo WHERE variabl IN ({_LOWCARD_IN})", _LO))
+def q_lowcard_odds(spark, sf):
+    """A9: late rates of the low-cardinality variables, in level order."""
+    _, odds = _odds(spark, sf)
+    return (odds.where(F.col("variabl").isin(V.CLF_LOWCARD)).orderBy("variabl", "ctgry_lvl")
+            .select("variabl", "ctgry_lvl", "nbr", "nbr_late", r6("odds")))
+
+
+MIN_ZIP_ROWS = 10
+
+
+@register("zip_odds", O.on_features(
+    f"SELECT ctgry_lvl AS customer_zip_code_prefix, nbr, nbr_late, round(odds, 6) AS odds FROM lo "
+    f"WHERE variabl = 'customer_zip_code_prefix' AND nbr >= {MIN_ZIP_ROWS}", _LO))
+def q_zip_odds(spark, sf):
+    """A9: late rates of the customer zip prefixes with ten orders or more."""
+    _, odds = _odds(spark, sf)
+    return (odds.where((F.col("variabl") == "customer_zip_code_prefix") & (F.col("nbr") >= MIN_ZIP_ROWS))
+            .select(F.col("ctgry_lvl").alias("customer_zip_code_prefix"), "nbr", "nbr_late", r6("odds")))
+
+
 # --- rare-level grouping and one-hot encodings ---------------------------------
 
 def _grouped_sql_cols() -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import oracle as O
-from .catalog import r6, register, s6
+from .catalog import _OE_TYPES, r6, register, s6
 from .operators import audit, distributions as D, rollups
 from .plans import datasets as ds
 from .plans import variables as V
@@ -254,3 +254,36 @@ def q_box_stats_by_flag(spark, sf):
     b = D.box_stats(lv, "value", ["variabl", "late_delivery_flag"])
     return b.select("variabl", "late_delivery_flag", "n", *[r6(c) for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")],
                     "n_outliers")
+
+
+# --- item-level rankings and further views -------------------------------------
+
+_ITEM_FEATS = [c for c in V.ITEM_NUMERIC if c != "delivery_hours"]
+_ITEM_RANK_SQL = ("SELECT feature, round(corr, 6) AS corr, round(abs(corr), 6) AS abs_corr "
+                  + _unpivot_sql("SELECT " + ", ".join(f'corr({c}, delivery_hours) AS "{c}"' for c in _ITEM_FEATS)
+                                 + " FROM ci", _ITEM_FEATS, "feature", "corr"))
+
+
+@register("item_corr_rank", O.on_items(_ITEM_RANK_SQL))
+def q_item_corr_rank(spark, sf):
+    """M2: the item-level variables ranked by their correlation with the delivery time."""
+    r = D.corr_with_target(ds.clean_items(spark, sf), "delivery_hours", V.ITEM_NUMERIC)
+    return r.select("feature", r6("corr"), r6("abs_corr"))
+
+
+TOP_ORDER = 25  # as many as the analysis lists
+
+
+@register("top_order_features", O.on_features(f"SELECT * FROM ({_RANK_SQL}) ORDER BY abs_corr DESC LIMIT {TOP_ORDER}"))
+def q_top_order(spark, sf):
+    """O2: the 25 strongest order-level correlations (the limit is the feature)."""
+    return _corr_rank(spark, sf).orderBy(F.desc("abs_corr")).limit(TOP_ORDER)
+
+
+@register("numeric_columns", O.sql(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{t}' AS data_type, count({c}) AS non_null FROM oe"
+    for c, t in _OE_TYPES.items() if t in ("int", "bigint", "double") and c != "Rww_ID")))
+def q_numeric_columns(spark, sf):
+    """P2: the numeric columns of the order table, found by type, with their non-null counts."""
+    orders = ds.orders(spark, sf)
+    return audit.profile_columns(orders.select(*audit.numeric_columns(orders, exclude=["Rww_ID"])))

@@ -39,8 +39,6 @@ REG_HICARD = ["customer_zip_code_prefix", "customer_city", "seller_id", "seller_
 # classifier exploration
 CLF_CONT_EDA = ["shipping_limit_miss_amt", "days_remaining", "distance_km", "approval_time_days", "ttl_wt",
                 "est_delivery_time_days", "ttl_height", "ttl_length", "ttl_width"]
-CLF_CONT_OTHER = ["ttl_pd", "pmt_mthds_used", "installments_used_ttl", "payment_types_used", "nbr_items",
-                  "ttl_price", "ttl_freight", "lat_customer", "long_customer", "lat_seller", "long_seller"]
 CLF_CATEGORICAL = ["customer_zip_code_prefix", "customer_city", "customer_state", "seller_id",
                    "seller_zip_code_prefix", "seller_city", "seller_state", "product_ctgry_mfu",
                    "shipping_limit_missed", "nbr_sellers", "nbr_products", "nbr_photos", "purchase_mo",
