@@ -169,8 +169,9 @@ def thresholds(rows: DataFrame, name: str) -> DataFrame:
         F.col("fences").alias("a_fences"))
     chosen = (F.when(F.col("rows") >= MIN_ROWS, F.col("fences")).when(F.col("w_rows") >= MIN_ROWS, F.col("w_fences"))
               .otherwise(F.col("a_fences")))
-    return (own.join(wide, F.col("lang").eqNullSafe(F.col("w_lang")), "left").crossJoin(F.broadcast(whole))  # one row
-            .select("lang", "source", chosen.alias("fences")))
+    found = (own.join(wide, F.col("lang").eqNullSafe(F.col("w_lang")), "left").crossJoin(F.broadcast(whole))  # one row
+             .select("lang", "source", chosen.alias("fences")))
+    return common.stored(found, "quality-fences")  # the planner then joins the texts with it by its size
 
 
 def _verdict(c, f):
