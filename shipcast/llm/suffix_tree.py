@@ -104,12 +104,15 @@ def _cut(docs: DataFrame, held) -> DataFrame:
     return common.stored(rows.mapInArrow(run, kinds), "lm-blocks")
 
 
-def _counted(cut: DataFrame) -> DataFrame:
-    """block, local, word, c (training count of the word in the corpus), first (one row per word has it)."""
+def _counted(cut: DataFrame, least: int) -> DataFrame:
+    """block, local, word, c (training count of the word in the corpus), first (one row per word has it).
+
+    Only words with ``least`` or more are spelt out; the others are done with."""
     every = Window.partitionBy("key", "word")
     rows = (cut.where("word is not null").select("block", "local", "word", "n", F.xxhash64("word").alias("key"))
             .withColumn("c", F.sum("n").over(every)).withColumn("first", F.min("block").over(every) == F.col("block")))
-    return common.stored(rows.select("block", "local", "word", "c", "first"), "lm-words")
+    return common.stored(rows.select("block", "local", F.when(F.col("c") >= least, F.col("word")).alias("word"), "c",
+                                     "first"), "lm-words")
 
 
 # --- 3: blocks in frequent-word numbers ----------------------------------------
@@ -331,13 +334,13 @@ def suffix_tree_scores(docs: DataFrame, held, p_min: float = P_MIN, max_depth: i
     are those of a uniform choice among one token: 0.
     """
     cut = _cut(docs, held)
-    counted = _counted(cut)
     n_end = docs.where(~held).count()
-    words, distinct = counted.where("first").agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
-    n, v = (words or 0) + n_end, (distinct or 0) + int(n_end > 0)
+    n = (cut.agg(F.sum("n")).first()[0] or 0) + n_end
     least = max(MIN_COUNT, math.ceil(p_min * n))
+    counted = _counted(cut, least)
+    v = counted.where(F.col("first") & (F.col("c") > 0)).count() + int(n_end > 0)
     # at most n / least <= 1 / p_min words
-    listed = counted.where(F.col("first") & (F.col("c") >= least)).select("word", "c").toArrow().to_pylist()
+    listed = counted.where(F.col("first") & F.col("word").isNotNull()).select("word", "c").toArrow().to_pylist()
     listed.sort(key=lambda r: (-r["c"], r["word"]))
     spark = docs.sparkSession
     frequent = spark.createDataFrame([(bytearray(r["word"]), i) for i, r in enumerate(listed)], "word binary, number int")
