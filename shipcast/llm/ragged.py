@@ -161,7 +161,7 @@ class Memo:
         self.known = {names[k]: i for i, k in enumerate(keep.tolist())}  # known is in row order
         ends = np.cumsum(lengths)
         self.ids = self.ids[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        self.extra = self.extra[keep]
+        self.extra = self.extra[keep] if self.n_extra else self.extra
         self.starts, self.lengths, self.uses = ends - lengths, lengths, np.ones(len(keep), dtype=np.int64)
 
     def rows(self, values: list[bytes]) -> np.ndarray:

@@ -20,19 +20,29 @@ def test_ids_equal_the_library(name, texts):
         assert ids[bounds[i]:bounds[i + 1]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_memo_forgets_without_changing_results():
-    calls = []
+@pytest.mark.parametrize("n_extra", [0, 1])
+def test_memo_forgets_without_changing_results(n_extra):
+    encoded = []
 
     def encode(values):
-        calls.append(len(values))
-        return ragged.flat([[len(v), v[0]] for v in values])
-
-    memo = ragged.Memo(encode, limit=6)
-    for words in (b"a bb c", b"a bb d ee", b"f g a", b"h i j k l m n", b"a f"):
-        pieces = ragged.words(ragged.text_of(pa.array([words.decode()])))
-        bounds, ids = memo.gather(pieces)
-        assert ids.tolist() == [x for w in words.split() for x in (len(w), w[0])]
-        assert bounds.tolist() == [0, len(ids)]
+        encoded.extend(values)
+        found = ragged.flat([[len(v), v[0]] * (len(v) % 2) for v in values])
+        return (*found, np.array([[len(v)] for v in values])) if n_extra else found
+
+    memo = ragged.Memo(encode, limit=12, n_extra=n_extra)
+    rng = np.random.default_rng(0)
+    common_words = [b"a", b"bb", b"ccc"]
+    for turn in range(40):
+        words = [*common_words, *(f"w{turn}x{i}".encode() for i in range(rng.integers(0, 9)))]
+        words = [words[i] for i in rng.integers(0, len(words), 30)] + common_words
+        pieces = ragged.words(ragged.text_of(pa.array([b" ".join(words).decode()])))
+        rows = memo.rows(pieces.values.to_pylist())
+        bounds, ids = memo.gather(pieces, rows)
+        assert ids.tolist() == [x for w in words for x in (len(w), w[0]) if len(w) % 2]
+        assert bounds.tolist() == [0, len(ids)] and len(memo.known) <= 24
+        if n_extra:
+            assert memo.extra[rows, 0].tolist() == [len(v) for v in pieces.values.to_pylist()]
+    assert encoded.count(b"bb") < 10  # words of many slices are kept
 
 
 def test_words_and_chunks_of_rows():
