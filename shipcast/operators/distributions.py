@@ -54,7 +54,8 @@ def group_quantiles(df: DataFrame, by: list[str], value: str, ps: list[float], e
     def value_at(pos):
         lo, hi = F.floor(pos).cast("bigint"), F.ceil(pos).cast("bigint")
         low, high = F.element_at("_at", lo), F.element_at("_at", hi)
-        return F.when(lo == hi, low).otherwise((hi - pos) * low + (pos - lo) * high)
+        # between equal values nothing is interpolated: rounding would leave the value by one digit
+        return F.when(low == high, low).otherwise((hi - pos) * low + (pos - lo) * high)
 
     return found.select(*by, "n", F.array(*[value_at(x) for x in positions]).alias("q"))
 

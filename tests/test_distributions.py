@@ -68,6 +68,8 @@ def test_group_quantiles_vs_numpy(spark):
     df = spark.createDataFrame(rows, "g string, v double")
     got = {r.g: (r.n, r.q) for r in D.group_quantiles(df, ["g"], "v", ps).collect()}
     assert set(got) == set(groups)
+    tied = spark.createDataFrame([("t", 1627.9903171)] * 7 + [("t", 1.0)], "g string, v double")
+    assert set(D.group_quantiles(tied, ["g"], "v", [i / 50 for i in range(10, 51)]).first().q) == {1627.9903171}
     for g, vs in groups.items():
         assert got[g][0] == len(vs)
         assert got[g][1] == pytest.approx(np.quantile(vs, ps).tolist(), abs=1e-12)
