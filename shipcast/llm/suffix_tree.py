@@ -1,16 +1,16 @@
 """Operator 8: language-model scores from a probabilistic suffix tree over words.
 
 The tree's root is the add-one unigram distribution of all training tokens.  A
-context of up to ``MAX_DEPTH`` words enters it if it makes up at least ``P_MIN`` of
-the training tokens and its next-symbol distribution diverges from that of its
-longest suffix in the tree.  Next-symbol counts below the same share are folded
-into the escape weight, and distributions are interpolated with the suffix's
-(absolute discounting), so every state's probabilities sum to one.  A token is
-scored in the state of the longest suffix of the words before it.
+context of up to ``MAX_DEPTH`` words enters it if one of its continuations occurs at
+least ``MIN_COUNT`` times in training, at any corpus size, and its next-symbol
+distribution diverges from that of its longest suffix in the tree.  Rarer
+continuations are folded into the escape weight, and distributions are interpolated
+with the suffix's (absolute discounting), so every state's probabilities sum to one.
+A token is scored in the state of the longest suffix of the words before it.
 
-``P_MIN`` is a share of the corpus, so at most 1 / P_MIN words, and as many
-contexts of each length, can pass it: that is the bound on what is collected and
-sent to the tasks, at any corpus size.  All counts are over all training rows.
+The model grows with the corpus, so all of it is held in tables of the shared folder
+keyed by a 64-bit hash of the n-gram; the driver sees totals only, and a task only what
+its blocks look up.  All counts are over all training rows.
 
 Steps, each a Spark job over tables in the shared folder:
 
@@ -18,11 +18,12 @@ Steps, each a Spark job over tables in the shared folder:
    numbers, local to it, and a row per distinct word with its training count.
 2. Counts are summed by word and go back to the blocks' word lists (a window:
    one row per block and word, so a frequent word is not a hot group).
-3. Each block is joined with its list: base scores, and the words renumbered to
-   the frequent words' numbers, -1 for others.
+3. Each block is joined with its list: counts and hashes of its words.
 4. One pass per context length counts the n-grams whose prefix and suffix both
-   passed the length before.
-5. The tree is built from those bounded lists, and one pass scores the blocks.
+   passed the length before; an n-gram cannot be more frequent than those, so none
+   that reaches the count is missed.  As with words, a row per block and n-gram.
+5. States are chosen length by length, by joins of an n-gram with its context and its
+   suffix; what a block's n-grams weigh goes back to it, and it is scored.
 """
 
 from __future__ import annotations
@@ -38,11 +39,12 @@ from pyspark.sql.window import Window
 
 from . import common, ragged
 
-P_MIN = 1e-5
+P_MIN = 0.0  # share of the training tokens that an n-gram must reach, besides MIN_COUNT
 MIN_COUNT = 2
 MAX_DEPTH = 4
 DISCOUNT = 0.75
 BLOCK_BYTES = 6 << 20  # arrays of a block take some twenty times as much
+END = 1  # stands for the hash of the end symbol; 0 for infrequent words
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 32
 
@@ -115,15 +117,11 @@ def _counted(cut: DataFrame, least: int) -> DataFrame:
                                      "first"), "lm-words")
 
 
-# --- 3: blocks in frequent-word numbers ----------------------------------------
+# --- 3: blocks with the counts and hashes of their words -------------------------
 
-_PLACED = [("doc_ids", pa.binary()), ("nulls", pa.binary()), ("held", pa.binary()), ("bounds", pa.binary()),
-           ("symbols", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("rare", pa.binary())]
-
-
-def _per_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(values)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+_PLACED = [("block", pa.int64()), ("doc_ids", pa.binary()), ("nulls", pa.binary()), ("held", pa.binary()),
+           ("bounds", pa.binary()), ("symbols", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())]
+_PLACED_KINDS = "block long, " + ", ".join(f"{name} binary" for name, _ in _PLACED[1:])
 
 
 def _row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -135,194 +133,164 @@ def _row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _placed(cut: DataFrame, counted: DataFrame, frequent: DataFrame, n_frequent: int, n: int, v: int,
-            n_end: int) -> DataFrame:
-    """Blocks with symbols (frequent-word numbers, -1 for others, n_frequent for the end) and base sums."""
+def _placed(cut: DataFrame, counted: DataFrame, n_end: int) -> DataFrame:
+    """Blocks with symbols (local word numbers, the next one for the end), and every symbol's count and hash."""
     blocks = cut.where("word is null").select(*(f for f, _ in _BLOCK))
-    lists = (counted.join(F.broadcast(frequent), "word", "left")  # at most 1 / P_MIN rows
-             .select("block", "local", "c", F.coalesce("number", F.lit(-1)).alias("number")))
-    log_n = math.log10(n + v + 1)
-    end_score = math.log10(n_end + 1) - log_n
+    lists = counted.select("block", "local", "c", F.when(F.col("word").isNotNull(), F.xxhash64("word"))
+                           .otherwise(F.lit(0)).alias("gram"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         pa.default_memory_pool().release_unused()
         row = left.to_pylist()[0]
         local = right.column("local").to_numpy()
-        c = np.zeros(len(local), dtype=np.int64)
-        number = np.zeros(len(local), dtype=np.int32)
-        c[local], number[local] = right.column("c").to_numpy(), right.column("number").to_numpy()
+        counts = np.full(len(local) + 1, n_end, dtype=np.int64)
+        keys = np.full(len(local) + 1, END, dtype=np.int64)
+        counts[local], keys[local] = right.column("c").to_numpy(), right.column("gram").to_numpy()
         bounds, codes = _expand(row["bounds"], np.int64), _expand(row["codes"], np.int32)
-        scores = np.log10(c + 1.0) - log_n
-        symbols = np.full(len(codes) + len(bounds) - 1, n_frequent, dtype=np.int32)
+        symbols = np.full(len(codes) + len(bounds) - 1, len(local), dtype=np.int32)
         moved = bounds + np.arange(len(bounds))  # every document ends with the end symbol
         inside = np.ones(len(symbols), dtype=bool)
         inside[moved[1:] - 1] = False
-        symbols[inside] = number[codes]
+        symbols[inside] = codes
         return pa.Table.from_arrays(
-            [pa.array([x], type=pa.binary()) for x in (
-                row["doc_ids"], row["nulls"], row["held"], _squeeze(moved), _squeeze(symbols),
-                _squeeze(_per_row(c[codes] > 0, bounds) + int(n_end > 0)),
-                _squeeze(_row_sums(scores[codes], bounds) + end_score),
-                _squeeze(_row_sums(np.where(number[codes] < 0, scores[codes], 0.0), bounds)))], schema=pa.schema(_PLACED))
-
-    kinds = ", ".join(f"{name} binary" for name, _ in _PLACED)
-    return common.stored(blocks.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(run, kinds), "lm-placed")
-
-
-# --- 4: n-grams above the share --------------------------------------------------
-
-class Grams:
-    """The n-grams that passed: level k maps (number of a k-gram, symbol) to a (k+1)-gram's number."""
-
-    def __init__(self, n_frequent: int):
-        self.end, self.width = n_frequent, np.int64(n_frequent + 1)
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-
-    def find(self, level: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Numbers of the (level + 1)-grams, -1 where they did not pass."""
-        out = np.full(len(symbol), -1, dtype=np.int64)
-        at = np.flatnonzero((context >= 0) & (symbol >= 0))
-        keys = self.keys[level - 1]
-        if len(at) and len(keys):
-            key = context[at] * self.width + symbol[at]
-            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[place] == key
-            out[at[hit]] = place[hit]
-        return out
-
-    def contexts(self, symbols: np.ndarray, bounds: np.ndarray, depth: int) -> list[np.ndarray]:
-        """For k = 1 to depth: the number of the k-gram that ends just before each token, or -1."""
-        first = np.zeros(len(symbols), dtype=bool)
-        first[bounds[:-1][np.diff(bounds) > 0]] = True
-
-        def before(ends):  # k-grams ending at a token -> ending just before the next one
-            out = np.concatenate([[-1], ends[:-1]]) if len(ends) else ends
-            out[first] = -1
-            return out
-
-        plain = np.where(symbols == self.end, -1, symbols).astype(np.int64)  # no context holds the end
-        found = [before(plain)]
-        for level in range(1, depth):
-            found.append(before(self.find(level, found[-1], plain)))
-        return found
-
-
-def _count_level(placed: DataFrame, grams: Grams, level: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and training counts of the (level + 1)-grams that reach ``least``."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
-
-    def merged(parts):
-        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return keys, np.bincount(at, weights=np.concatenate([c for _, c in parts]), minlength=len(keys)).astype(np.int64)
+            [pa.array([row["block"]], type=pa.int64()),
+             *(pa.array([x], type=pa.binary()) for x in (row["doc_ids"], row["nulls"], row["held"], _squeeze(moved),
+                                                         _squeeze(symbols), _squeeze(counts), _squeeze(keys)))],
+            schema=pa.schema(_PLACED))
 
-    def run(batches):
-        parts, held_rows = [], 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                symbols, bounds = _expand(row["symbols"], np.int32), _expand(row["bounds"], np.int64)
-                held = _expand(row["held"], bool)
-                contexts = grams.contexts(symbols, bounds, level)
-                use = (contexts[-1] >= 0) & (symbols >= 0) & ~np.repeat(held, np.diff(bounds))
-                if level > 1:  # the suffix of the n-gram must have passed, too
-                    use[use] = grams.find(level - 1, contexts[-2][use], symbols[use].astype(np.int64)) >= 0
-                keys, counts = np.unique(contexts[-1][use] * grams.width + symbols[use], return_counts=True)
-                parts.append((keys, counts))
-                held_rows += len(keys)
-                if held_rows > 1_000_000:  # bound what a task holds
-                    parts = [merged(parts)]
-                    held_rows = len(parts[0][0])
-                    if held_rows > 500_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(parts[0][0]), pa.array(parts[0][1])], schema=schema)
-                        parts, held_rows = [], 0
-        if parts:
-            keys, counts = merged(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], schema=schema)
-
-    rows = (placed.select("symbols", "bounds", "held").mapInArrow(run, "key long, n long")
-            .groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy("key").toArrow())
-    return rows.column("key").to_numpy(), rows.column("n").to_numpy()
-
-
-# --- 5: the tree -------------------------------------------------------------------
-
-class Tree:
-    """States and their smoothed distributions, as arrays beside ``Grams``.
-
-    ``score[k][j]``: log10 probability of the last symbol of (k+1)-gram j in the state
-    of its first k words; ``escape[k][i]``: log10 weight of the suffix's distribution
-    in the state of k-gram i; ``state[k][i]``: whether k-gram i is a state.
-    """
+    return common.stored(blocks.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(run, _PLACED_KINDS),
+                         "lm-placed")
 
-    def __init__(self, grams: Grams, word_counts: np.ndarray, base: np.ndarray):
-        self.grams, self.base = grams, base  # base: log10 probability of every frequent symbol at the root
-        depth = len(grams.keys)
-        # suffixes[k][i]: number of the (k-1)-gram that k-gram i ends with
-        suffixes: list = [None, np.full(len(word_counts), -1)]
-        counts = [None, word_counts]
-        self.state, self.escape, self.score = [None], [None], [None]
-        for k in range(1, depth + 1):
-            keys, n = grams.keys[k - 1], grams.counts[k - 1]
-            context, symbol = keys // grams.width, keys % grams.width
-            total = counts[k]
-            kept = np.maximum(n - DISCOUNT, 0.0)
-            mass = np.bincount(context, weights=kept, minlength=len(total))
-            escape = np.where(total > 0, 1.0 - mass / np.maximum(total, 1), 1.0)
-            parent = self._probability(k - 1, suffixes[k][context], suffixes, symbol) if k > 1 else 10.0 ** base[symbol]
-            p = kept / total[context] + escape[context] * parent
-            # N * divergence from the suffix's distribution: listed symbols, and all the others at once
-            gain = np.bincount(context, weights=total[context] * p * np.log(p / parent), minlength=len(total))
-            listed = np.bincount(context, weights=parent, minlength=len(total))
-            entries = np.bincount(context, minlength=len(total))
-            rest = np.clip(escape * (1.0 - listed), 0, None)
-            gain += total * rest * np.log(np.maximum(escape, 1e-12))
-            keep = (entries > 0) & (gain >= 2.0 * (entries + 1))
-            self.state.append(keep)
-            with np.errstate(divide="ignore"):
-                self.escape.append(np.where(keep, np.log10(np.maximum(escape, 1e-12)), 0.0))
-            self.score.append(np.log10(p))
-            if k < depth:
-                ends = np.where(symbol == grams.end, -1, symbol)
-                suffixes.append(ends if k == 1 else grams.find(k - 1, suffixes[k][context], ends))
-                counts.append(n)
-
-    def _probability(self, level: int, context: np.ndarray, suffixes: list, symbol: np.ndarray) -> np.ndarray:
-        """Probability of symbols in the states of the longest suffixes of ``level``-grams."""
-        out = np.zeros(len(symbol))
-        todo = np.ones(len(symbol), dtype=bool)
-        for k in range(level, 0, -1):
-            here = todo & (context >= 0)
-            here[here] = self.state[k][context[here]]
-            found = np.full(len(symbol), -1, dtype=np.int64)
-            found[here] = self.grams.find(k, context[here], symbol[here])
-            hit = found >= 0
-            out[hit] += self.score[k][found[hit]]
-            todo &= ~hit
-            miss = here & ~hit
-            out[miss] += self.escape[k][context[miss]]
-            context = np.where(context >= 0, suffixes[k][np.maximum(context, 0)], -1) if k > 1 else context
-        out[todo] += self.base[symbol[todo]]
-        return 10.0 ** out
-
-    def token_scores(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """log10 probability of every token; infrequent words get their escapes only."""
-        symbols = symbols.astype(np.int64)
-        depth = len(self.grams.keys)
-        out, todo = np.zeros(len(symbols)), np.ones(len(symbols), dtype=bool)
-        contexts = self.grams.contexts(symbols, bounds, depth)
-        for k in range(depth, 0, -1):
-            context = contexts[k - 1]
-            here = todo & (context >= 0)
-            here[here] = self.state[k][context[here]]
-            at = np.flatnonzero(here)
-            found = self.grams.find(k, context[at], symbols[at])
-            hit = found >= 0
-            out[at[hit]] += self.score[k][found[hit]]
-            todo[at[hit]] = False
-            out[at[~hit]] += self.escape[k][context[at[~hit]]]
-        last = todo & (symbols >= 0)
-        out[last] += self.base[symbols[last]]
-        return out
+
+# --- 4: n-grams that reach the count ----------------------------------------------
+
+_GRAM = [("block", pa.int64()), ("gram", pa.int64()), ("context", pa.int64()), ("suffix", pa.int64()), ("n", pa.int64())]
+_GRAM_KINDS = "block long, gram long, context long, suffix long, n long"
+
+
+def _before(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Each token's value moved to the next token of its document; 0 at the first."""
+    out = np.concatenate([values[:1] * 0, values[:-1]])
+    out[bounds[:-1][np.diff(bounds) > 0]] = 0
+    return out
+
+
+def _longer(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams from those of all words but the last and of the last word; 0 where either is 0."""
+    h = context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + symbol.view(np.uint64)
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(factor)
+    h ^= h >> np.uint64(32)
+    h[(context == 0) | (symbol == 0)] = 0
+    return h.view(np.int64)
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of ``wanted`` in the sorted ``keys``, -1 where they are not."""
+    if not len(keys):
+        return np.full(len(wanted), -1, dtype=np.int64)
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[place] == wanted, place, -1)
+
+
+def _level_rows(row: dict, level: int, passed: np.ndarray | None) -> pa.Table:
+    """The distinct (level + 1)-grams of a block whose prefix and suffix passed, with their training counts in it."""
+    bounds, symbols = _expand(row["bounds"], np.int64), _expand(row["symbols"], np.int32)
+    words = _expand(row["keys"], np.int64)[symbols]
+    grams = words
+    for _ in range(1, level):
+        grams = _longer(_before(grams, bounds), words)
+    if passed is not None:
+        grams = np.where(_found(passed, grams) >= 0, grams, 0)
+    context = _before(grams, bounds)
+    at = np.flatnonzero((context != 0) & (grams != 0))
+    train = ~np.repeat(_expand(row["held"], bool), np.diff(bounds))
+    keys, first, inverse = np.unique(_longer(context[at], words[at]), return_index=True, return_inverse=True)
+    n = np.bincount(inverse, weights=train[at], minlength=len(keys)).astype(np.int64)
+    return pa.Table.from_arrays([pa.array(np.full(len(keys), row["block"], dtype=np.int64)), pa.array(keys),
+                                 pa.array(context[at][first]), pa.array(grams[at][first]), pa.array(n)],
+                                schema=pa.schema(_GRAM))
+
+
+def _count_level(placed: DataFrame, passed: DataFrame | None, level: int, least: int) -> DataFrame:
+    """block, gram, context, suffix, c, first of the (level + 1)-grams that reach ``least``: a row per block and n-gram."""
+    if passed is None:
+        def run(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    pa.default_memory_pool().release_unused()
+                    yield from _level_rows(row, level, None).to_batches(max_chunksize=50000)
+
+        rows = placed.mapInArrow(run, _GRAM_KINDS)
+    else:
+        def run_passed(left: pa.Table, right: pa.Table) -> pa.Table:
+            pa.default_memory_pool().release_unused()
+            if not left.num_rows or not right.num_rows:
+                return pa.schema(_GRAM).empty_table()
+            return _level_rows(left.to_pylist()[0], level, np.sort(right.column("gram").to_numpy()))
+
+        rows = (placed.groupBy("block").cogroup(passed.select("block", "gram").groupBy("block"))
+                .applyInArrow(run_passed, _GRAM_KINDS))
+    every = Window.partitionBy("gram")
+    counted = rows.withColumn("c", F.sum("n").over(every)).withColumn("first", F.min("block").over(every) == F.col("block"))
+    return common.stored(counted.where(F.col("c") >= least).drop("n"), f"lm-grams-{level}")
+
+
+# --- 5: states, and the scores of blocks -------------------------------------------
+
+def _states(grams: DataFrame, shorter: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gram, c, p) and (context, escape) of one length, from ``grams(gram, context, suffix, c)``.
+
+    ``shorter(gram, c, p)`` is the length before.  ``p`` is the probability of an n-gram's last word in
+    the state of the longest suffix of the words before it; ``escape`` the suffix's weight in a state.
+    An n-gram's suffix is at least as frequent, so it is in ``shorter``, and so is its context.
+    """
+    kept = F.greatest(F.col("c") - DISCOUNT, F.lit(0.0))
+    totals = shorter.select(F.col("gram").alias("context"), F.col("c").alias("total"))
+    parents = shorter.select(F.col("gram").alias("suffix"), F.col("p").alias("parent"))
+    contexts = (grams.groupBy("context").agg(F.sum(kept).alias("mass"), F.count(F.lit(1)).alias("entries"))
+                .join(totals, "context").select("context", "total", "entries",
+                                                (1.0 - F.col("mass") / F.col("total")).alias("escape")))
+    # written as it is joined: no aggregate keeps the planner from splitting a skewed join
+    own = common.stored(grams.join(parents, "suffix").join(contexts, "context").withColumn(
+        "own", kept / F.col("total") + F.col("escape") * F.col("parent")), "lm-own")
+    # N * divergence from the suffix's distribution: listed symbols, and all the others at once
+    logs = F.log(F.greatest("escape", F.lit(1e-12)))
+    rest = F.greatest(F.col("escape") * (1.0 - F.col("listed")), F.lit(0.0))
+    gains = own.groupBy("context").agg(
+        F.first("total").alias("total"), F.first("entries").alias("entries"), F.first("escape").alias("escape"),
+        F.sum("parent").alias("listed"), F.sum(F.col("total") * F.col("own") * F.log(F.col("own") / F.col("parent"))).alias("gain"))
+    states = common.stored(gains.where(F.col("gain") + F.col("total") * rest * logs >= 2.0 * (F.col("entries") + 1))
+                           .select("context", F.greatest("escape", F.lit(1e-12)).alias("escape")), "lm-states")
+    chosen = own.join(states.select("context", F.lit(True).alias("state")), "context", "left")
+    return common.stored(chosen.select("gram", "c", F.when(F.col("state"), F.col("own")).otherwise(F.col("parent")).alias("p")),
+                         "lm-probabilities"), states
+
+
+def _token_scores(symbols: np.ndarray, bounds: np.ndarray, words: np.ndarray, base: np.ndarray, depth: int,
+                  level: np.ndarray, gram: np.ndarray, p: np.ndarray, escape: np.ndarray) -> np.ndarray:
+    """log10 probability of every token, from what the block's n-grams weigh (``level`` words before the last)."""
+    tables = []
+    for k in range(depth + 1):
+        at = np.flatnonzero(level == k)
+        at = at[np.argsort(gram[at])]
+        tables.append((gram[at], np.log10(p[at]), np.log10(escape[at])))
+    grams, scores, escapes = words, [], []
+    for k in range(depth + 1):
+        grams = _longer(_before(grams, bounds), words) if k else grams
+        keys, log_p, log_escape = tables[k]
+        at = _found(keys, grams)
+        scores.append(np.where(at >= 0, np.append(log_p, 0.0)[at], np.nan))
+        escapes.append(_before(np.where(at >= 0, np.append(log_escape, 0.0)[at], 0.0), bounds))
+    out, todo = np.zeros(len(symbols)), np.ones(len(symbols), dtype=bool)
+    for k in range(depth, 0, -1):
+        hit = todo & ~np.isnan(scores[k])
+        out[hit] += scores[k][hit]
+        todo &= ~hit
+        out[todo] += escapes[k - 1][todo]
+    out[todo] += base[symbols[todo]]
+    return out
 
 
 def suffix_tree_scores(docs: DataFrame, held, p_min: float = P_MIN, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -339,44 +307,55 @@ def suffix_tree_scores(docs: DataFrame, held, p_min: float = P_MIN, max_depth: i
     least = max(MIN_COUNT, math.ceil(p_min * n))
     counted = _counted(cut, least)
     v = counted.where(F.col("first") & (F.col("c") > 0)).count() + int(n_end > 0)
-    # at most n / least <= 1 / p_min words
-    listed = counted.where(F.col("first") & F.col("word").isNotNull()).select("word", "c").toArrow().to_pylist()
-    listed.sort(key=lambda r: (-r["c"], r["word"]))
-    spark = docs.sparkSession
-    frequent = spark.createDataFrame([(bytearray(r["word"]), i) for i, r in enumerate(listed)], "word binary, number int")
-    placed = _placed(cut, counted, frequent, len(listed), n, v, n_end)
-
-    grams = Grams(len(listed))
+    log_n = math.log10(n + v + 1)
+    placed = _placed(cut, counted, n_end)
+
+    words = counted.where("word is not null").select("block", F.xxhash64("word").alias("gram"), "c", "first")
+    end = docs.sparkSession.range(1).select(F.lit(END).cast("long").alias("gram"), F.lit(n_end).cast("long").alias("c"))
+    shorter = (words.where("first").select("gram", "c").union(end)
+               .withColumn("p", (F.col("c") + 1.0) / float(n + v + 1)))
+    rows, passed, weights = words.select("block", "gram"), None, []
     for level in range(1, max_depth + 1):
-        keys, counts = _count_level(placed, grams, level, least)
-        if not len(keys):
-            break
-        grams.keys.append(keys)
-        grams.counts.append(counts)
-    counts = np.array([r["c"] for r in listed], dtype=np.int64)
-    base = np.log10(np.append(counts, n_end) + 1.0) - math.log10(n + v + 1)
-    tree = Tree(grams, counts, base)
+        passed = _count_level(placed, passed, level, least)
+        longer, states = _states(passed.where("first").select("gram", "context", "suffix", "c"), shorter)
+        weights.append((rows, shorter, states))
+        rows, shorter = passed.select("block", "gram"), longer
+    weights.append((rows, shorter, None))
+
+    looked_up = None
+    for level, (rows, known, states) in enumerate(weights):
+        found = known.select("gram", "p")
+        if states is not None:
+            found = found.join(states.select(F.col("context").alias("gram"), "escape"), "gram", "left")
+        else:
+            found = found.withColumn("escape", F.lit(None).cast("double"))
+        mine = rows.join(found, "gram").select("block", F.lit(level).alias("level"), "gram", "p",
+                                               F.coalesce("escape", F.lit(1.0)).alias("escape"))
+        looked_up = mine if looked_up is None else looked_up.unionByName(mine)
+    looked_up = common.stored(looked_up, "lm-weights")
 
     names = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
              ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
     schema = pa.schema(names)
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                bounds = _expand(row["bounds"], np.int64)
-                scores = _row_sums(tree.token_scores(_expand(row["symbols"], np.int32), bounds), bounds)
-                size = len(bounds) - 1
-                columns = [pa.array(_expand(row["doc_ids"], np.int64), mask=_expand(row["nulls"], bool)),
-                           pa.array(_expand(row["held"], bool)), pa.array(np.diff(bounds)),
-                           pa.array(_expand(row["known"], np.int64)), pa.array(np.full(size, n, dtype=np.int64)),
-                           pa.array(_expand(row["base"], np.float64)),
-                           pa.array(scores + _expand(row["rare"], np.float64))]
-                whole = pa.RecordBatch.from_arrays(columns, schema=schema)
-                yield from (whole.slice(at, 10000) for at in range(0, size, 10000))
-
-    return placed.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                                  "base_score double, score double")
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
+        row = left.to_pylist()[0]
+        bounds, symbols = _expand(row["bounds"], np.int64), _expand(row["symbols"], np.int32)
+        counts = _expand(row["counts"], np.int64)
+        base = np.log10(counts + 1.0) - log_n
+        scores = _token_scores(symbols, bounds, _expand(row["keys"], np.int64)[symbols], base, max_depth,
+                               *(right.column(c).to_numpy() for c in ("level", "gram", "p", "escape")))
+        known = np.concatenate([[0], np.cumsum(counts[symbols] > 0)])[bounds]
+        return pa.Table.from_arrays(
+            [pa.array(_expand(row["doc_ids"], np.int64), mask=_expand(row["nulls"], bool)),
+             pa.array(_expand(row["held"], bool)), pa.array(np.diff(bounds)), pa.array(np.diff(known)),
+             pa.array(np.full(len(bounds) - 1, n, dtype=np.int64)), pa.array(_row_sums(base[symbols], bounds)),
+             pa.array(_row_sums(scores, bounds))], schema=schema)
+
+    return (placed.groupBy("block").cogroup(looked_up.groupBy("block"))
+            .applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+                               "base_score double, score double"))
 
 
 def query(spark, sf_dir) -> DataFrame:

@@ -127,3 +127,15 @@ def test_awkward_rows_and_empty_tables(spark):
     assert suffix_tree.suffix_tree_scores(helpers.empty(spark), held).count() == 0
     untaught = suffix_tree.suffix_tree_scores(helpers.awkward(spark), F.lit(True)).collect()
     assert all(r.score == r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in untaught)
+
+
+def test_small_counts_teach_in_a_large_corpus(spark):
+    """A pair seen three times counts the same beside 600,000 other tokens."""
+    filler = " ".join(f"w{i}" for i in np.random.default_rng(2).integers(0, 40, 200_000))
+    texts = dict(enumerate([filler] * 3 + ["glass harbour lantern violet"] * 3 + ["glass harbour lantern", "harbour lantern violet"]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = suffix_tree.suffix_tree_scores(docs, F.col("doc_id") >= 6, max_depth=2).where("doc_id >= 3").collect()
+    brute = _BruteTree([t for i, t in texts.items() if i < 6], 0.0, 2)
+    assert len(rows) == 5 and brute.least == 2
+    for r in rows:
+        assert r.score == pytest.approx(brute.score(texts[r.doc_id]), rel=1e-9)
