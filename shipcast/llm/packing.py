@@ -5,7 +5,7 @@ packed on its own: a best-fit start, then a local search that moves a piece, or
 exchanges one piece for one, two for one or one for two, between underfull bins.
 A step is taken when it raises the sum of squared fills, which drains the
 emptiest bins into the fuller ones until they are empty.  The search ends when
-the group meets its lower bound, ceil(total / capacity), or when no step helps.
+the group meets a lower bound of any packing, or when no underfull bin has a step.
 A group can lose at most part of one bin to being packed apart from the others.
 """
 
@@ -50,9 +50,43 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 def _pair_sums(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct sums of two of the items, and one pair of places for each."""
-    a, b = np.triu_indices(len(sizes), k=1)
-    sums, at = np.unique(sizes[a] + sizes[b], return_index=True)
-    return sums, np.stack([a[at], b[at]], axis=1)
+    order = np.argsort(sizes, kind="stable")
+    ranked = sizes[order]
+    some = order[np.concatenate([np.ones(min(2, len(sizes)), dtype=bool), ranked[2:] != ranked[:-2]])]  # two of a size do
+    a, b = np.triu_indices(len(some), k=1)
+    sums, at = np.unique(sizes[some[a]] + sizes[some[b]], return_index=True)
+    return sums, np.stack([some[a[at]], some[b[at]]], axis=1)
+
+
+def lower_bound(sizes: np.ndarray, capacity: int) -> int:
+    """Bins that any packing needs: by total size, and where items over half a bin leave no room for the others."""
+    count = np.bincount(sizes, minlength=capacity + 1)[:capacity + 1]
+    weight = count * np.arange(capacity + 1)
+    upto, weight_upto = np.cumsum(count), np.cumsum(weight)
+    half = capacity // 2
+    least = np.arange(1, half + 1)  # items below this size are left out
+    alone = upto[capacity] - upto[capacity - least]
+    large = upto[capacity - least] - upto[half]
+    room = large * capacity - (weight_upto[capacity - least] - weight_upto[half])
+    small = weight_upto[half] - weight_upto[least - 1]
+    needed = alone + large + np.maximum(0, -((room - small) // capacity))
+    return max(-(-int(sizes.sum()) // capacity), int(needed.max(initial=0)))
+
+
+class _Index:
+    """For a weight and a fill x: the greatest fill up to x among the bins that hold the weight."""
+
+    def __init__(self, capacity: int):
+        self.n = np.zeros((capacity + 1, capacity + 1), dtype=np.int32)
+        self.last = np.full((capacity + 1, capacity + 1), -1, dtype=np.int16 if capacity < 1 << 15 else np.int64)
+        self.fills = np.arange(capacity + 1)
+
+    def add(self, weights: np.ndarray, fill: int, by: int) -> None:
+        before = self.n[weights, fill]
+        self.n[weights, fill] = before + by
+        changed = weights[(before == 0) | (before + by == 0)]
+        if len(changed):
+            self.last[changed] = np.maximum.accumulate(np.where(self.n[changed] > 0, self.fills, -1), axis=1)
 
 
 class LocalSearch:
@@ -62,89 +96,115 @@ class LocalSearch:
     there in exchange for one smaller item, or one item goes for two smaller ones.
     Of all such steps the one with the greatest gain is taken, until the bin is
     empty or has no step; then the next emptiest gives.  Shifting weight d from a
-    bin filled f to one filled t gains 2 d (t - f + d).
+    bin filled f to one filled t gains 2 d (t - f + d), so for each d the fullest bin
+    with the room is the best; an index by weight and fill finds it among all bins.
     """
 
     def __init__(self, sizes: np.ndarray, bins: np.ndarray, capacity: int):
         self.sizes, self.bins, self.capacity = sizes.astype(np.int64), bins.copy(), capacity
         self.fill = np.bincount(bins, weights=sizes).astype(np.int64) if len(bins) else np.zeros(0, dtype=np.int64)
-        self.bound = -(-int(self.sizes.sum()) // capacity)
-        under = np.flatnonzero(self.fill < capacity)
+        self.bound = lower_bound(self.sizes, capacity)
+        under = np.flatnonzero((self.fill < capacity) & (self.fill > 0))
         self.items = {b: [] for b in under.tolist()}
         for i in np.flatnonzero(np.isin(bins, under)).tolist():
             self.items[int(bins[i])].append(i)
-        self.left = len(self.fill)
+        self.left = int((self.fill > 0).sum())
+        self.indexed = False
+
+    def _start(self) -> None:
+        self.indexed = True
+        self.one, self.two = _Index(self.capacity), _Index(self.capacity)  # one item (or none: 0), two items
+        self.by_fill: list[dict] = [{} for _ in range(self.capacity)]
+        self.held: dict = {}
+        for b in self.items:
+            self._list(b)
+
+    def _list(self, b: int) -> None:
+        """Enter a bin in the index, with the weights that it can give back."""
+        own = self.sizes[self.items[b]]
+        self.held[b] = np.append(0, np.unique(own)), _pair_sums(own)[0]
+        self._count(b, 1)
+        self.by_fill[self.fill[b]][b] = None
+
+    def _count(self, b: int, by: int) -> None:
+        for index, weights in zip((self.one, self.two), self.held[b]):
+            index.add(weights, int(self.fill[b]), by)
+
+    def _unlist(self, b: int) -> None:
+        self._count(b, -1)
+        del self.by_fill[self.fill[b]][b], self.held[b]
 
     def _step(self, donor: int) -> bool:
-        sizes, fill = self.sizes, self.fill
+        if not self.indexed:
+            self._start()
+        sizes, fill = self.sizes, int(self.fill[donor])
         own = np.array(self.items[donor])
-        targets = np.array([t for t in self.items if t != donor])
-        if not len(targets):
-            return False
-        room, t_fill, d_fill = self.capacity - fill[targets], fill[targets], fill[donor]
         single, at = np.unique(sizes[own], return_index=True)
-        gives = [[int(own[k])] for k in at]
         sums, pairs = _pair_sums(sizes[own])
-        weights = np.concatenate([single, sums])
-        gives += [[int(own[a]), int(own[b])] for a, b in pairs]
-
+        gives = [[int(own[k])] for k in at] + [[int(own[a]), int(own[b])] for a, b in pairs]
+        self._count(donor, -1)  # it is no target of its own
         best = (0, None)
-        # a move: no weight comes back
-        d = weights[:, None]
-        gain = np.where(d <= room[None, :], d * (t_fill[None, :] - d_fill + d), 0)
-        k = int(gain.argmax())
-        if gain.flat[k] > best[0]:
-            best = (int(gain.flat[k]), (gives[k // len(targets)], [], int(targets[k % len(targets)])))
-        # an exchange for one smaller item
-        pool = np.concatenate([self.items[t] for t in targets.tolist()]).astype(np.int64)
-        owner = self.bins[pool]
-        d = weights[:, None] - sizes[pool][None, :]
-        gain = np.where((d > 0) & (d <= (self.capacity - fill[owner])[None, :]), d * (fill[owner][None, :] - d_fill + d), 0)
-        k = int(gain.argmax())
-        if gain.flat[k] > best[0]:
-            i = int(pool[k % len(pool)])
-            best = (int(gain.flat[k]), (gives[k // len(pool)], [i], int(self.bins[i])))
-        # one item for two smaller ones, where it would gain more than the steps so far
-        for t in targets[np.argsort(room)[::-1][:64]].tolist():
-            there = np.array(self.items[t])
-            back, places = _pair_sums(sizes[there])
-            if not len(back):
-                continue
-            d = single[:, None] - back[None, :]
-            gain = np.where((d > 0) & (d <= self.capacity - fill[t]), d * (fill[t] - d_fill + d), 0)
-            k = int(gain.argmax())
-            if gain.flat[k] > best[0]:
-                a, b = places[k % len(back)]
-                best = (int(gain.flat[k]), (gives[k // len(back)], [int(there[a]), int(there[b])], t))
+        for index, weights in ((self.one, np.concatenate([single, sums])), (self.two, single)):
+            back = np.flatnonzero(index.last[:, -1] >= 0)
+            d = weights[:, None] - back[None, :]
+            target = index.last[back[None, :], np.where(d > 0, self.capacity - d, 0)].astype(np.int64)
+            gain = np.where((d > 0) & (target >= 0), d * (target - fill + d), 0)
+            if gain.size:
+                k = int(gain.argmax())
+                if gain.flat[k] > best[0]:
+                    best = (int(gain.flat[k]), (index, gives[k // len(back)], int(back[k % len(back)]), int(target.flat[k])))
+        self._count(donor, 1)
         if best[1] is None:
             return False
-        give, back, target = best[1]
-        for moved, source, to in ((give, donor, target), (back, target, donor)):
+        index, give, weight, t_fill = best[1]
+        which = 0 if index is self.one else 1
+        to = next(b for b in self.by_fill[t_fill] if b != donor and (self.held[b][which] == weight).any())
+        there = np.array(self.items[to])
+        if which:
+            found, places = _pair_sums(sizes[there])
+            back = there[places[int(np.searchsorted(found, weight))]].tolist()
+        else:
+            back = [int(there[sizes[there] == weight][0])] if weight else []
+        for b in (donor, to):
+            self._unlist(b)
+        for moved, source, into in ((give, donor, to), (back, to, donor)):
             for i in moved:
                 self.items[source].remove(i)
-                self.items[to].append(i)
-                self.bins[i] = to
+                self.items[into].append(i)
+                self.bins[i] = into
                 self.fill[source] -= sizes[i]
-                self.fill[to] += sizes[i]
-        for b in (donor, target):
+                self.fill[into] += sizes[i]
+        for b in (donor, to):
             if self.fill[b] in (0, self.capacity):
                 self.left -= self.fill[b] == 0
                 del self.items[b]
+            else:
+                self._list(b)
         return True
 
-    def run(self, max_steps: int = 2000, max_stuck: int = 16) -> np.ndarray:
-        """Drain bins until the bound is met, ``max_stuck`` bins in a row have no step, or
-        ``max_steps`` are taken.  The limits bound time; every item stays packed."""
+    def run(self, max_steps: int | None = None, max_stuck: int | None = None) -> np.ndarray:
+        """Drain bins until the bound is met or no underfull bin has a step.
+
+        ``max_steps`` and ``max_stuck``, the emptiest bins to try, cut the search short where given.
+        """
         steps = 0
-        while self.left > self.bound and steps < max_steps:
-            before = steps
+        while self.left > self.bound and (max_steps is None or steps < max_steps):
+            before, stuck = steps, set()  # stuck: contents of bins without a step since the last one
             for donor in sorted(self.items, key=lambda b: self.fill[b])[:max_stuck]:
-                while donor in self.items and self.left > self.bound and steps < max_steps and self._step(donor):
+                while donor in self.items and self.left > self.bound and (max_steps is None or steps < max_steps):
+                    content = tuple(sorted(self.sizes[self.items[donor]].tolist()))
+                    if content in stuck:
+                        break
+                    if not self._step(donor):
+                        stuck.add(content)
+                        break
                     steps += 1
+                    stuck.clear()
                 if self.left <= self.bound:
                     break
             if steps == before:
                 break
+        self.steps = steps
         return self.bins
 
 

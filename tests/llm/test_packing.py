@@ -42,6 +42,46 @@ def test_exchange_where_no_move_fits():
     assert len(set(bins.tolist())) == 2 or np.bincount(bins, weights=sizes).max() <= 10
 
 
+def _gaining_step(sizes, bins, capacity):
+    """Whether any step between two underfull bins raises the sum of squared fills, by trying all."""
+    held = [sizes[bins == b].tolist() for b in np.unique(bins)]
+    held = [(sum(h), h) for h in held if sum(h) < capacity]
+    pairs = [[a + b for k, a in enumerate(h) for b in h[k + 1:]] for _, h in held]
+    for i, (fill, own) in enumerate(held):
+        for j, (t, there) in enumerate(held):
+            if i != j:
+                shifts = {w - back for w in own + pairs[i] for back in [0, *there]} | {w - back for w in own for back in pairs[j]}
+                if any(0 < d <= capacity - t and t - fill + d > 0 for d in shifts):
+                    return True
+    return False
+
+
+def test_search_ends_only_without_a_step():
+    rng = np.random.default_rng(3)
+    for sizes in (rng.integers(300, 500, 600), rng.choice([301, 343, 411, 517, 209], 600), rng.integers(200, 340, 400)):
+        search = packing.LocalSearch(sizes, packing.best_fit(sizes, 1024), 1024)
+        bins = search.run()
+        fill = np.bincount(bins, weights=sizes)
+        assert fill.max() <= 1024 and search.left == (fill > 0).sum() >= search.bound
+        assert search.left == search.bound or not _gaining_step(sizes, bins, 1024)
+
+
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=9))
+@settings(max_examples=60, deadline=None)
+def test_bound_is_a_lower_bound(sizes):
+    def fewest(rest, rooms):
+        if not rest:
+            return len(rooms)
+        tried = {r for r in rooms if r >= rest[0]}
+        best = fewest(rest[1:], [*rooms, 12 - rest[0]])
+        for r in tried:
+            k = rooms.index(r)
+            best = min(best, fewest(rest[1:], [*rooms[:k], r - rest[0], *rooms[k + 1:]]))
+        return best
+
+    assert packing.lower_bound(np.array(sizes), 12) <= fewest(sorted(sizes, reverse=True), [])
+
+
 def _check(rows, docs, capacity=1024, end_id=2):
     from tokenizers import Tokenizer
 
