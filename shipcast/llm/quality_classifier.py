@@ -7,7 +7,7 @@ which class it resembles, and a logistic curve, fitted on labelled texts that
 the dictionaries have not seen, turns it into the probability of label 1.
 
 Training reads a bounded sample of the labelled rows: the ``SAMPLE_DOCS`` rows of
-each class that come first in a hash order, half of them for the dictionaries
+each class that come first in a hash order, one text for each id, half of them for the dictionaries
 (``SAMPLE_BLOCKS`` distinct blocks of a class), half for the curve.  Classes are weighted
 back to their counts among all labelled rows.  Scoring uses every byte.
 """
@@ -103,10 +103,12 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5) -> Model:
     order = F.xxhash64(F.lit("quality-sample"), "doc_id")
     picked = [usable.where(F.col("quality") == c).orderBy(order, "doc_id").limit(SAMPLE_DOCS) for c in (0, 1)]
     picked = picked[0].union(picked[1]).dropDuplicates(["doc_id"])
-    # at most 2 * SAMPLE_DOCS ids and labels
+    # at most 2 * SAMPLE_DOCS ids and labels; of rows with one id, the text that comes first in a hash order
+    text = F.min(F.struct(F.xxhash64("text").alias("place"), "text"))["text"]
     sample = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-              .join(F.broadcast(picked), "doc_id")
+              .join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(text.alias("text"))
               .withColumn("for_curve", F.pmod(F.xxhash64(F.lit("quality-half"), "doc_id"), F.lit(2)) == 1))
+    sample = common.stored(sample, "quality-sample")
 
     def cut(batches):
         schema = pa.schema([("quality", pa.int32()), ("block", pa.binary())])
@@ -138,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5) -> Model:
                                       [gap(text.row(i), pair) for i in range(len(text))])
 
     rows = (sample.where("for_curve").select("quality", "text").mapInArrow(measure, "quality int, gap double")
-            .orderBy("quality", "gap").limit(2 * SAMPLE_DOCS).collect())
+            .orderBy("quality", "gap").collect())  # at most a row per id of the sample
     quality, gaps = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     if len(np.unique(quality)) < 2:
         return constant

@@ -58,6 +58,18 @@ def test_classifier_without_a_class_gives_one_score(spark, rows):
     assert len(scores) == 1
 
 
+def test_repeated_ids_do_not_push_a_class_out(spark):
+    """7,000 copies of one text of class 0 leave the model as it is."""
+    docs, labels = common.documents(spark, SF), common.documents(spark, SF, "labels")
+    half = F.pmod(F.xxhash64(F.lit("quality-half"), F.col("doc_id").cast("long")), F.lit(2)) == 1
+    one = (docs.join(labels.where("quality = 0"), "doc_id").where(half & ~common.crc32_held(F.col("doc_id"), 5, 0))
+           .orderBy(F.length("text"), "doc_id").where("length(text) > 0").select(docs.columns).limit(1))
+    copies = one.crossJoin(spark.range(7000).select()).select(docs.columns)
+    assert copies.count() == 7000
+    model = quality_classifier.fit(docs.union(copies), labels)
+    assert model.slope > 0 and model == quality_classifier.fit(docs, labels)
+
+
 # --- rules -----------------------------------------------------------------------
 
 def _counts(text):
