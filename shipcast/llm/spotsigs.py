@@ -28,6 +28,7 @@ from . import common
 from .components import connected_components
 
 CHAIN = 2
+TILE_ROWS = 1024
 # Common function words of English, German, French and Spanish.
 ANCHORS = frozenset(w.encode() for w in """
 a an and are as at be by for from in is it of on or that the this to was with
@@ -142,8 +143,7 @@ def similar_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
     lists = nodes.select("node", "signatures")
     checked = (pairs.join(lists.withColumnRenamed("node", "u").withColumnRenamed("signatures", "a"), "u")
                .join(lists.withColumnRenamed("node", "v").withColumnRenamed("signatures", "b"), "v"))
-    shared = F.size(F.array_intersect("a", "b"))
-    edges = checked.where(shared >= least * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
+    edges = checked.select("u", "v", "a", "b").mapInArrow(_alike(least), "u long, v long")
     labels = connected_components(edges)
     named = nodes.join(labels, "node", "left").select("fingerprint", F.coalesce("label", "node").alias("label"))
     found = rows.select("doc_id", "fingerprint").join(named, "fingerprint", "left")
@@ -152,12 +152,38 @@ def similar_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
     return (found.withColumn("label", label).join(ids, "label").select("doc_id", "fingerprint", "component_id"))
 
 
-def _candidates(met: DataFrame, least: float) -> DataFrame:
+def _alike(least: float):
+    """For mapInArrow: the pairs (u, v) of rows (u, v, a, b) whose sets have likeness ``least`` or more."""
+
+    def run(batches):
+        for batch in batches:
+            sides = [batch.column(c) for c in ("a", "b")]
+            keep = [likeness(*(set(side[i].values.to_numpy().tolist()) for side in sides), least) > 0
+                    for i in range(batch.num_rows)]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, type=pa.bool_()))
+
+    return run
+
+
+def _tiles(met: DataFrame, tile_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the comparison of the groups of ``met(key, node, n, m)``, by key and tile (i, j).
+
+    A group of m rows is split by a hash into parts of about ``tile_rows``; tile (i, j) has the
+    left rows of part i and the right rows of part j, so every pair meets in one tile.
+    """
+    parts = F.ceil(F.col("m") / tile_rows).cast("int")
+    rows = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = rows.select("key", F.col("part").alias("i"), every.alias("j"), F.col("node").alias("u"), F.col("n").alias("u_n"))
+    right = rows.select("key", every.alias("i"), F.col("part").alias("j"), F.col("node").alias("v"), F.col("n").alias("v_n"))
+    return left, right
+
+
+def _candidates(met: DataFrame, least: float, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Distinct pairs of nodes that meet under a key and whose lengths allow ``least``."""
-    left = met.select("key", F.col("node").alias("u"), F.col("n").alias("u_n"))
-    right = met.select("key", F.col("node").alias("v"), F.col("n").alias("v_n"))
+    left, right = _tiles(met, tile_rows)
     near = F.least("u_n", "v_n") >= F.greatest("u_n", "v_n") * least - 1e-9
-    return left.join(right, "key").where((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
+    return left.join(right, ["key", "i", "j"]).where((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
 
 
 # --- likeness to an edited text and to the next document ------------------------

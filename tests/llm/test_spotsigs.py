@@ -2,6 +2,7 @@ import hashlib
 
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shipcast.llm import common, spotsigs
 
@@ -80,3 +81,18 @@ def test_similar_documents_match_all_pairs(spark):
     assert found == label
     assert spotsigs.similar_documents(helpers.empty(spark)).count() == 0
     assert spotsigs.similar_documents(helpers.awkward(spark)).count() == len(helpers.AWKWARD)
+
+
+def test_large_groups_are_compared_in_tiles(spark):
+    met = spark.createDataFrame([(1, i, 10, 300) for i in range(300)] + [(2, i, 10 + i, 5) for i in range(5)],
+                                "key long, node long, n long, m long")
+    left, right = spotsigs._tiles(met, 50)
+    assert all(side.groupBy("key", "i", "j").count().agg(F.max("count")).first()[0] <= 100 for side in (left, right))
+    found = {(r.u, r.v) for r in spotsigs._candidates(met, 0.8, 50).collect()}
+    assert found == {(u, v) for u in range(300) for v in range(u + 1, 300)}
+
+
+def test_pairs_are_checked_with_the_pruned_likeness(spark):
+    rows = [(1, 2, list(range(10)), list(range(9))), (3, 4, list(range(10)), list(range(7))), (5, 6, [1, 2, 3], [1, 2, 9])]
+    pairs = spark.createDataFrame(rows, "u long, v long, a array<bigint>, b array<bigint>")
+    assert [tuple(r) for r in pairs.mapInArrow(spotsigs._alike(0.8), "u long, v long").collect()] == [(1, 2)]
