@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from . import (
     bitpack,
+    hash_forest,
+    multi_index,
     nbest,
     packing,
     quality_classifier,
@@ -13,6 +15,7 @@ from . import (
     spotsigs,
     suffix_tree,
     token_counts,
+    zone_clusters,
 )
 
 QUERIES = {
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_suffix_tree_scores": suffix_tree.query,
     "op9_nbest_segmentations": nbest.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_hash_forest": hash_forest.query,
+    "op12_zone_clusters": zone_clusters.query,
+    "op13_hard_negatives": multi_index.query,
 }
 ORACLE: dict[str, str] = {
     "op10_quality_rules": quality_rules.ORACLE_SQL,
