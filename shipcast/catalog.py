@@ -375,4 +375,4 @@ def q_delivery_stats(spark, sf):
 
 
 # further query groups register themselves on import
-from . import catalog_levels, catalog_models, catalog_prep, catalog_profile, catalog_sources  # noqa: E402,F401,I001
+from . import catalog_decisions, catalog_levels, catalog_models, catalog_prep, catalog_profile, catalog_sources  # noqa: E402,F401,I001

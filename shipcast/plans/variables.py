@@ -49,6 +49,8 @@ CLF_HICARD = ["customer_city", "seller_city", "customer_zip_code_prefix", "selle
 CLF_BASIC = ["est_delivery_time_days", "shipping_limit_missed", "shipping_limit_miss_amt", "days_remaining",
              "distance_km", "approval_time_days", "nbr_items", "nbr_sellers", "nbr_products", "ttl_pd", "ttl_wt",
              "ttl_length", "ttl_height", "ttl_width", "states_same_or_diff"]
+# predictors that depend on what has happened by the decision time; the others are known at purchase
+KNOWN_MASKED = ["shipping_limit_missed", "shipping_limit_miss_amt", "days_remaining", "approval_time_days"]
 CLF_NOT_SCALED = ["states_same_or_diff", "shipping_limit_missed"]
 
 # item-level numeric columns of the timeline correlation (numeric columns minus
