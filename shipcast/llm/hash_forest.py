@@ -72,7 +72,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _hashed(df: DataFrame, forest: Forest) -> DataFrame:
-    """``df`` with the strings of its column ``vec``, a row per tree: tree, hash."""
+    """``df`` with the strings of its column ``vec``, a row per tree: tree, hash.  Hashed once: written as a list for each row."""
     def run(batches):
         planes = forest.planes()
         for batch in batches:
@@ -82,8 +82,8 @@ def _hashed(df: DataFrame, forest: Forest) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, "hashes"])
 
     spelled = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return (df.mapInArrow(run, f"{spelled}, hashes array<bigint>")
-            .select(*df.columns, F.posexplode("hashes").alias("tree", "hash")))
+    table = common.stored(df.mapInArrow(run, f"{spelled}, hashes array<bigint>"), "forest-strings")
+    return table.select(*df.columns, F.posexplode("hashes").alias("tree", "hash"))
 
 
 def _shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -193,7 +193,7 @@ class _Search:
         shift = BITS - self.depth
         cell = F.shiftright("hash", shift).alias("cell")
         self.rows = _hashed(nodes, forest).select("*", cell)
-        self.queries = common.stored(_hashed(asked, forest).select("*", cell), "forest-queries")
+        self.queries = _hashed(asked, forest).select("*", cell)
         sizes = self.rows.groupBy("tree", "cell").agg(F.count(F.lit(1)).alias("n"))
         self.cells = common.stored(
             sizes.withColumn("slices", F.ceil(F.col("n") / (2 * block_rows)).cast("int")), "forest-cells")

@@ -146,8 +146,9 @@ def _routed(searches: DataFrame, index: MultiIndex, first_rows: int, later: bool
 
     kinds = dict(searches.dtypes)
     spelled = ", ".join(f"{c} {kinds[c]}" for c in columns)
-    return (searches.mapInArrow(run, f"{spelled}, blocks array<bigint>")
-            .select(*columns, F.explode("blocks").alias("block")))
+    # written: the visits are counted for each block before they are dealt
+    visits = common.stored(searches.mapInArrow(run, f"{spelled}, blocks array<bigint>"), "negatives-visits")
+    return visits.select(*columns, F.explode("blocks").alias("block"))
 
 
 def _first_of_block(k: int, same: bool):
