@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as E
 from ..operators.distributions import group_quantiles
 from ..session import cut_lineage, stored_table
+from .forest import forest_table, staged_predictions, staged_scores
 
 SEED = 42
 INTERCEPT = "(Intercept)"
@@ -202,32 +203,23 @@ RF_DEPTHS = list(range(1, 11)) + list(range(12, 31, 2))
 
 
 def rf_sweep(train: DataFrame, test: DataFrame, label: str, cols: list[str], depths: list[int] = RF_DEPTHS,
-             trees: list[int] = (20,), train_cap: float | None = 50.0, parallelism: int = 4) -> DataFrame:
+             trees: list[int] = (20,), train_cap: float | None = 50.0) -> DataFrame:
     """Random-forest regressor over a (trees x depth) grid: train/test R^2 and RMSE.
-    All features are considered at each split.  Features are assembled,
-    checkpointed and persisted once for the whole grid; up to ``parallelism``
-    grid points are fitted as concurrent Spark jobs (as ``CrossValidator``'s
-    ``parallelism`` does), so small fits do not leave the cluster idle."""
-    from concurrent.futures import ThreadPoolExecutor
+
+    All features are considered at each split, so one forest, of the largest size
+    and depth, holds every grid point: a shallower tree is the deeper one cut off,
+    a smaller forest the first trees.  Train and test are scored once, at all points.
+    """
     tr_base = train.where(F.col(label) <= train_cap) if train_cap is not None else train
     tr = cut_lineage(assemble(tr_base.withColumn("_y", F.col(label).cast("double")), cols, keep=["_y"]))
     te = cut_lineage(assemble(test.withColumn("_y", F.col(label).cast("double")), cols, keep=["_y"]))
-    tr, te = tr.persist(), te.persist()
-
-    def fit_one(point):
-        t, d = point
-        m = RandomForestRegressor(labelCol="_y", numTrees=t, maxDepth=d, featureSubsetStrategy="all",
-                                  seed=SEED, maxMemoryInMB=TREE_MEMORY_MB, cacheNodeIds=True).fit(tr)
-        a, b = _r2_rmse(m.transform(tr)), _r2_rmse(m.transform(te))
-        return (t, d, a["r2"], b["r2"], a["rmse"], b["rmse"])
-
-    grid = [(t, d) for t in trees for d in depths]
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            rows = list(pool.map(fit_one, grid))
-    finally:
-        tr.unpersist()
-        te.unpersist()
+    depths, trees = list(depths), list(trees)
+    model = RandomForestRegressor(labelCol="_y", numTrees=max(trees), maxDepth=max(depths), featureSubsetStrategy="all",
+                                  seed=SEED, maxMemoryInMB=SWEEP_MEMORY_MB).fit(tr)
+    forest = forest_table(model)
+    points = len(trees) * len(depths)
+    a, b = (staged_scores(staged_predictions(d, forest, depths, trees, ["_y"]), "_y", points) for d in (tr, te))
+    rows = [(t, d, x[0], z[0], x[1], z[1]) for (t, d), x, z in zip([(t, d) for t in trees for d in depths], a, b)]
     return train.sparkSession.createDataFrame(
         rows, "num_trees int, max_depth int, r2_train double, r2_test double, rmse_train double, rmse_test double")
 
@@ -263,6 +255,7 @@ def logistic(train: DataFrame, c: float = 1.0):
 
 
 TREE_MEMORY_MB = 1024  # node-statistics buffer per pass: more nodes split per data pass
+SWEEP_MEMORY_MB = 128
 
 
 def random_forest(trees: int = 100, depth: int = 30):
