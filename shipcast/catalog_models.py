@@ -133,16 +133,16 @@ FROM (SELECT b1, my - b1 * mx AS b0 FROM (
   FROM reg_train WHERE fulfill_duration <= {REG_CAP}))"""))
 def q_linreg_est_only(spark, sf):
     """Promised-estimate-only linear model: coefficients, train/test R^2, test RMSE."""
-    from pyspark.ml.regression import LinearRegression
     from .operators import evaluate as E
-    train, test = ds.reg_split(spark, sf)
-    tr = M.assemble(train.where(F.col(V.REG_TARGET) <= REG_CAP).withColumn("_y", F.col(V.REG_TARGET)),
-                    V.REG_ESTIMATE_ONLY, keep=["_y"])
-    te = M.assemble(test.withColumn("_y", F.col(V.REG_TARGET)), V.REG_ESTIMATE_ONLY, keep=["_y"])
-    m = LinearRegression(labelCol="_y", solver="normal", regParam=0.0).fit(tr)
-    a = E.r2_rmse(m.transform(tr), "_y", "prediction").select(F.col("r2").alias("r2_train"))
-    b = E.r2_rmse(m.transform(te), "_y", "prediction").select(F.col("r2").alias("r2_test"), "rmse")
-    coef = spark.createDataFrame([(float(m.intercept), float(m.coefficients[0]))], "intercept double, slope double")
+    from .plans.leastsquares import least_squares
+    y = F.col(V.REG_TARGET).alias("_y")
+    train, test = (d.select(y, *V.REG_ESTIMATE_ONLY) for d in ds.reg_split(spark, sf))
+    tr, te = cut_lineage(train.where(F.col("_y") <= REG_CAP)), cut_lineage(test)
+    m = least_squares(tr, "_y", V.REG_ESTIMATE_ONLY)
+    tr, te = (d.withColumn("prediction", m.fitted()) for d in (tr, te))
+    a = E.r2_rmse(tr, "_y", "prediction").select(F.col("r2").alias("r2_train"))
+    b = E.r2_rmse(te, "_y", "prediction").select(F.col("r2").alias("r2_test"), "rmse")
+    coef = spark.createDataFrame([(m.intercept, m.coefficients[0])], "intercept double, slope double")
     return (coef.crossJoin(a).crossJoin(b)
             .select(r6("intercept"), r6("slope"), r6("r2_train"), r6("r2_test"), r6("rmse", "rmse_test")))
 
@@ -234,6 +234,20 @@ def q_logreg_basic(spark, sf):
     return _clf_query(spark, sf, "logistic", long=False)
 
 
+GRADIENT_LIMIT = 1e-4
+
+
+@register("logreg_certificate", " UNION ALL ".join(
+    f"SELECT '{p}' AS predictor, true AS at_optimum" for p in [M.INTERCEPT, *V.CLF_BASIC]))
+def q_logreg_certificate(spark, sf):
+    """Whether the gradient of the penalised loss is below 1e-4 for the intercept and
+    each basic predictor at the fitted logistic regression."""
+    train, _, cols, _ = _clf_frames(spark, sf, long=False)
+    rows = M.assemble(train.withColumn("label", F.col(V.CLF_TARGET).cast("double")), cols, keep=["label"])
+    found = M.logistic_certificate(M.logistic(rows).fit(rows), rows, cols)
+    return found.select("predictor", (F.abs("gradient") < GRADIENT_LIMIT).alias("at_optimum"))
+
+
 @register("logreg_long")
 def q_logreg_long(spark, sf):
     return _clf_query(spark, sf, "logistic", long=True)

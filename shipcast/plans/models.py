@@ -13,22 +13,21 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
 from ..operators.distributions import group_quantiles
 from ..session import cut_lineage, stored_table
+from .leastsquares import INTERCEPT, LeastSquares, least_squares, t_two_sided
 from .forest import forest_table, staged_predictions, staged_scores
 
 SEED = 42
-INTERCEPT = "(Intercept)"
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features", keep: list[str] = ()) -> DataFrame:
@@ -82,7 +81,7 @@ def encode_levels(frames: list[DataFrame], levels: DataFrame, suffix: str = "__o
 
 @dataclass
 class OlsFit:
-    model: object
+    model: LeastSquares
     predictors: list[str]
     label: str
     n: int
@@ -96,30 +95,18 @@ def ols(df: DataFrame, label: str, predictors: list[str], log_label: bool = Fals
     Rows with a missing value are left out (as ``na.omit``); with ``log_label``
     non-positive labels are left out too."""
     y = F.col(label).cast("double")
-    base = df.where(y.isNotNull())
-    if log_label:
-        base = base.where(y > 0)
-        y = F.ln(y)
-    data = assemble(base.withColumn("_y", y), predictors, keep=["_y"]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = LinearRegression(featuresCol="features", labelCol="_y", solver="normal", regParam=0.0,
-                                 fitIntercept=True, standardization=False).fit(data)
-        s = model.summary
-        se, tv, pv = s.coefficientStandardErrors, s.tValues, s.pValues
-        n, p = s.numInstances, len(predictors)
-    finally:
-        data.unpersist()
-    coefs = list(model.coefficients) + [model.intercept]
-    terms = predictors + [INTERCEPT]
-    r2 = s.r2
-    stats = {"n": int(n), "r2": r2, "r2adj": s.r2adj,
-             "f_stat": (r2 / p) / ((1 - r2) / (n - p - 1)) if r2 < 1 else math.inf,
-             "sigma": math.sqrt(s.meanSquaredError * n / (n - p - 1))}
-    rows = [(t, float(c), float(e), float(v), float(q)) for t, c, e, v, q in zip(terms, coefs, se, tv, pv)]
-    spark = df.sparkSession
-    table = spark.createDataFrame(rows, "term string, estimate double, std_error double, t_value double, "
-                                        "p_value double")
-    return OlsFit(model, predictors, label, int(n), table, stats)
+    base = df.where(y > 0) if log_label else df
+    m = least_squares(base.withColumn("_y", F.ln(y) if log_label else y), "_y", predictors)
+    n, p, r2 = m.n, len(predictors), m.r2
+    stats = {"n": n, "r2": r2, "r2adj": 1 - (1 - r2) * (n - 1) / (n - p - 1),
+             "f_stat": (r2 / p) / ((1 - r2) / (n - p - 1)) if r2 < 1 else math.inf, "sigma": m.sigma}
+    rows = []
+    for term, c, e in zip([INTERCEPT, *predictors], m.beta.tolist(), m.std_errors().tolist()):
+        t = c / e if e else math.inf
+        rows.append((term, c, e, t, t_two_sided(t, m.dof)))
+    table = df.sparkSession.createDataFrame(rows[1:] + rows[:1], "term string, estimate double, std_error double, "
+                                                                 "t_value double, p_value double")
+    return OlsFit(m, predictors, label, n, table, stats)
 
 
 def ols_table(fit: OlsFit) -> DataFrame:
@@ -133,28 +120,13 @@ def ols_table(fit: OlsFit) -> DataFrame:
 
 def residual_diagnostics(df: DataFrame, fit: OlsFit, key: str) -> DataFrame:
     """Per row: fitted, residual, leverage h = x'(X'X)^-1 x, standardized residual
-    e / (sigma sqrt(1 - h)).  (X'X) is a (p+1)x(p+1) aggregate; its inverse is
-    computed on the driver and applied as a column expression."""
-    import numpy as np
-    xs = fit.predictors
-    y = F.col(fit.label).cast("double")
-    base = df.where(y.isNotNull()).dropna(subset=xs)
-    aug = ["_one"] + xs
-    b = base.select(key, y.alias("_y"), F.lit(1.0).alias("_one"), *[F.col(c).cast("double").alias(c) for c in xs])
-    gram = b.agg(*[F.sum(F.col(i) * F.col(j)).alias(f"{i}|{j}") for k, i in enumerate(aug) for j in aug[k:]]).first()
-    m = np.zeros((len(aug), len(aug)))
-    for k, i in enumerate(aug):
-        for l_, j in enumerate(aug[k:], start=k):
-            m[k, l_] = m[l_, k] = gram[f"{i}|{j}"]
-    inv = np.linalg.inv(m)
-    lev = sum(F.lit(float(inv[k, l_])) * F.col(aug[k]) * F.col(aug[l_])
-              for k in range(len(aug)) for l_ in range(len(aug)))
-    coefs = fit.model.coefficients
-    fitted = F.lit(float(fit.model.intercept)) + sum(F.lit(float(c)) * F.col(x) for c, x in zip(coefs, xs))
-    sigma = fit.stats["sigma"]
-    return (b.select(key, F.col("_y").alias("actual"), fitted.alias("fitted"), lev.alias("leverage"))
+    e / (sigma sqrt(1 - h)).  The leverage comes from the triangular factor of the
+    fit, as a sum of squares of column expressions."""
+    base = df.where(F.col(fit.label).isNotNull()).dropna(subset=fit.predictors)
+    return (base.select(key, F.col(fit.label).cast("double").alias("actual"), fit.model.fitted().alias("fitted"),
+                        fit.model.leverage().alias("leverage"))
             .withColumn("residual", F.col("actual") - F.col("fitted"))
-            .withColumn("std_residual", F.col("residual") / (F.lit(sigma) * F.sqrt(1 - F.col("leverage")))))
+            .withColumn("std_residual", F.col("residual") / (F.lit(fit.stats["sigma"]) * F.sqrt(1 - F.col("leverage")))))
 
 
 def residual_qq(diag: DataFrame, n_points: int = 99) -> DataFrame:
@@ -184,15 +156,13 @@ def linreg_compare(train: DataFrame, test: DataFrame, label: str, models: dict[s
     RMSE, each model scored on its own predictions.  ``train_cap``: training
     rows with label above it are left out (the test set is not capped)."""
     rows = []
-    tr_base = train.where(F.col(label) <= train_cap) if train_cap is not None else train
+    used = sorted({c for cols in models.values() for c in cols})
+    y = F.col(label).cast("double").alias("_y")
+    tr = cut_lineage((train.where(F.col(label) <= train_cap) if train_cap is not None else train).select(y, *used))
+    te = cut_lineage(test.select(y, *used))
     for name, cols in models.items():
-        tr = assemble(tr_base.withColumn("_y", F.col(label).cast("double")), cols, keep=["_y"]).persist()
-        te = assemble(test.withColumn("_y", F.col(label).cast("double")), cols, keep=["_y"])
-        try:
-            m = LinearRegression(labelCol="_y", solver="normal", regParam=0.0).fit(tr)
-            a, b = _r2_rmse(m.transform(tr)), _r2_rmse(m.transform(te))
-        finally:
-            tr.unpersist()
+        m = least_squares(tr, "_y", cols)
+        a, b = (_r2_rmse(d.dropna(subset=["_y", *cols]).select("_y", m.fitted().alias("prediction"))) for d in (tr, te))
         rows.append((name, len(cols), a["n"], b["n"], a["r2"], b["r2"], b["rmse"]))
     return train.sparkSession.createDataFrame(
         rows, "model string, n_predictors int, n_train long, n_test long, r2_train double, r2_test double, "
@@ -251,7 +221,24 @@ def logistic(train: DataFrame, c: float = 1.0):
     so lambda = 1 / (C n)."""
     n = train.count()
     return LogisticRegression(labelCol="label", regParam=1.0 / (c * n), elasticNetParam=0.0,
-                              standardization=False, maxIter=200)
+                              standardization=False, maxIter=500, tol=1e-10)
+
+
+def logistic_certificate(model, rows: DataFrame, predictors: list[str], c: float = 1.0) -> DataFrame:
+    """(predictor, coefficient, gradient): the derivative of the penalised loss
+    mean(loss) + |w|^2 / (2 C n) at the fitted model, by one aggregate over ``rows``
+    (label, features).  All near 0 proves the fit: the loss is convex.  The
+    intercept carries no penalty."""
+    x = vector_to_array("features")
+    w = [float(v) for v in model.coefficients]
+    margin = F.lit(float(model.intercept)) + sum((F.lit(v) * F.col("_x")[j] for j, v in enumerate(w)), F.lit(0.0))
+    data = rows.select(x.alias("_x"), F.col("label").cast("double").alias("_y"))
+    off = data.select("_x", (1 / (1 + F.exp(-margin)) - F.col("_y")).alias("_off"))
+    sums = off.agg(F.count(F.lit(1)), F.avg("_off"), *[F.avg(F.col("_off") * F.col("_x")[j]) for j in range(len(w))]).first()
+    n, at_intercept, *at = sums
+    found = [(INTERCEPT, float(model.intercept), at_intercept)]
+    found += [(p, v, g + v / (c * n)) for p, v, g in zip(predictors, w, at)]
+    return rows.sparkSession.createDataFrame(found, "predictor string, coefficient double, gradient double")
 
 
 TREE_MEMORY_MB = 1024  # node-statistics buffer per pass: more nodes split per data pass
