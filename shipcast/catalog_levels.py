@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from . import oracle as O
 from .catalog import r6, r9, register
 from .operators import levels as L
+from .operators import levelstate as S
 from .plans import datasets as ds
 from .plans import variables as V
+from .session import stored_table
 
 LVL_PS = [0.25, 0.75]
 
@@ -126,6 +128,52 @@ def q_level_cardinality(spark, sf):
     return L.level_cardinality(odds)
 
 
+LATER = 1996  # purchase year from which orders count as the later batch
+_DAY_UNITS = 86400.0  # durations in days are whole seconds
+
+
+def _batches(df):
+    later = F.year("order_purchase_timestamp") >= LATER
+    return df.where(~later), df.where(later)
+
+
+@register("level_state", O.on_features("""
+SELECT variabl, ctgry_lvl, nbr, round(lvl_mean, 6) AS lvl_mean, round(lvl_std, 6) AS lvl_std, lvl_min, lvl_max,
+       true AS lvl_1qtle_ok, true AS lvl_3qtle_ok FROM ls""", _LS))
+def q_level_state(spark, sf):
+    """Level statistics of the duration from the stored state of the earlier orders and
+    that of a later batch, merged; and whether the merged sketch's quartiles keep the
+    promised rank among all values of their level."""
+    train, _ = ds.reg_split(spark, sf)
+    train = stored_table(train.select("order_purchase_timestamp", V.REG_TARGET, *V.REG_HICARD), "level-rows")
+    stored = None
+    for i, batch in enumerate(_batches(train)):
+        new = S.level_state(batch, V.REG_HICARD, V.REG_TARGET, _DAY_UNITS)
+        stored = stored_table(new if stored is None else S.merge_states(stored, new), f"level-state-{i}")
+    stats = S.state_stats(stored, _DAY_UNITS, LVL_PS)
+    rows = L.long_levels(train.where(F.col(V.REG_TARGET).isNotNull()), V.REG_HICARD, [V.REG_TARGET])
+    x = F.col(V.REG_TARGET)
+    ranks = rows.join(stats.select("variabl", "ctgry_lvl", "q"), ["variabl", "ctgry_lvl"]).groupBy("variabl", "ctgry_lvl").agg(
+        *[F.count_if(x < F.col("q")[i]).alias(f"below{i}") for i in range(2)],
+        *[F.count_if(x <= F.col("q")[i]).alias(f"upto{i}") for i in range(2)])
+    ok = [(S.rank_gap(F.col(f"below{i}"), F.col(f"upto{i}"), F.col("nbr"), p) <= S.RANK_ERROR).alias(name)
+          for i, (p, name) in enumerate(zip(LVL_PS, ("lvl_1qtle_ok", "lvl_3qtle_ok")))]
+    return stats.join(ranks, ["variabl", "ctgry_lvl"]).select(
+        "variabl", "ctgry_lvl", "nbr", r6("lvl_mean"), r6("lvl_std"), "lvl_min", "lvl_max", *ok)
+
+
+@register("level_cardinality_sketch", O.on_features(
+    "SELECT variabl, count(DISTINCT ctgry_lvl) AS nbr_lvls, true AS within_bound FROM lo GROUP BY variabl", _LO))
+def q_level_cardinality_sketch(spark, sf):
+    """A10: distinct levels per variable beside the estimate of sketches merged from two
+    batches: whether the exact count is within the estimate's bounds."""
+    train, odds = _odds(spark, sf)
+    estimate = S.distinct_estimate(S.merge_distinct(*[S.distinct_state(b, V.CLF_CATEGORICAL) for b in _batches(train)]))
+    n = F.col("nbr_lvls")
+    return L.level_cardinality(odds).join(estimate, "variabl").select(
+        "variabl", "nbr_lvls", ((n >= F.col("low_est")) & (n <= F.col("high_est"))).alias("within_bound"))
+
+
 @register("late_rate_by_month", O.on_features("""
 SELECT CAST(ctgry_lvl AS INTEGER) AS purchase_yr_and_mo, round(odds, 6) AS odds,
        round(round(CAST(ctgry_lvl AS INTEGER) / 100, 0) + (CAST(ctgry_lvl AS INTEGER) % 100) / 12, 6) AS prch_yr_and_mo

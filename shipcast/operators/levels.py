@@ -10,7 +10,7 @@ shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored_table
@@ -111,24 +111,47 @@ def odds_with_others(odds: DataFrame, key_levels: DataFrame) -> DataFrame:
             .withColumn("odds", F.try_divide(F.col("nbr_late").cast("double"), F.col("nbr").cast("double"))))
 
 
-def group_rare_levels(df: DataFrame, movers: DataFrame, cols: list[str], suffix: str = "__grpd") -> DataFrame:
-    """Add ``<col>__grpd``: the level when (col, level) is a significant level,
-    else ' ALL OTHERS' (a missing level too).  Fitted on training statistics,
-    applied to any frame.
+DICTIONARY_LEVELS = 5_000  # levels that travel as one broadcast row of maps
+MAX_SLOTS = 200_000  # levels of a dictionary altogether; a model's vector has a slot for each
+
+
+def level_dictionary(levels: DataFrame) -> DataFrame:
+    """(variabl, ctgry_lvl, slot): the listed levels of all variables, numbered from 0 in
+    alphabetical order within their variable.  Written, so that its size is known;
+    more than ``MAX_SLOTS`` levels are refused."""
+    listed = stored_table(levels.select("variabl", "ctgry_lvl").distinct(), "levels")
+    n = listed.count()
+    if n > MAX_SLOTS:
+        raise ValueError(f"{n} levels, more than the {MAX_SLOTS} that a dictionary holds: group rare levels first")
+    place = F.row_number().over(Window.partitionBy("variabl").orderBy("ctgry_lvl")) - 1
+    return stored_table(listed.withColumn("slot", place), "level-dictionary")
+
+
+def with_slots(df: DataFrame, dictionary: DataFrame, cols: list[str], key: str, most: int = DICTIONARY_LEVELS) -> DataFrame:
+    """``df`` with ``<col>__slot`` for each of ``cols``: the level's slot, null for any other.
 
-    The significant levels are written to the shared folder once, so each
-    column's left join is a broadcast or a shuffle join by their known size.
+    All columns are looked up in one step.  A dictionary of at most ``most`` levels
+    becomes one row of maps, broadcast to every task.  A larger one is joined once
+    with the long form of the columns, and the slots come back by the rows' unique ``key``.
     """
-    sig = stored_table(movers.select("variabl", "ctgry_lvl").distinct(), "significant-levels")
-    out = df
-    for c in cols:
-        lv = (sig.where(F.col("variabl") == c)
-              .select(F.col("ctgry_lvl").alias(f"_lvl_{c}"), F.lit(True).alias(f"_hit_{c}")))
-        out = (out.join(lv, F.col(c).cast("string") == F.col(f"_lvl_{c}"), "left")
-               .withColumn(c + suffix, F.when(F.col(f"_hit_{c}"), F.col(c).cast("string"))
-                           .otherwise(F.lit(ALL_OTHERS_GROUPED)))
-               .drop(f"_lvl_{c}", f"_hit_{c}"))
-    return out
+    if dictionary.count() <= most:
+        each = dictionary.groupBy("variabl").agg(F.map_from_entries(F.collect_list(F.struct("ctgry_lvl", "slot"))).alias("m"))
+        maps = each.agg(F.map_from_entries(F.collect_list(F.struct("variabl", "m"))).alias("_maps"))
+        found = [F.try_element_at(F.try_element_at("_maps", F.lit(c)), F.col(c).cast("string")).alias(f"{c}__slot") for c in cols]
+        return df.crossJoin(F.broadcast(maps)).select(*df.columns, *found)  # one row
+    hits = long_levels(df, cols, [key]).join(dictionary, ["variabl", "ctgry_lvl"])
+    slots = hits.groupBy(key).agg(*[F.max(F.when(F.col("variabl") == c, F.col("slot"))).alias(f"{c}__slot") for c in cols])
+    return df.join(slots, key, "left")
+
+
+def group_rare_levels(df: DataFrame, movers: DataFrame, cols: list[str], suffix: str = "__grpd", key: str = "Rww_ID") -> DataFrame:
+    """Add ``<col>__grpd``: the level when (col, level) is a significant level,
+    else ' ALL OTHERS' (a missing level too).  Fitted on training statistics,
+    applied to any frame, for all columns in one step."""
+    found = with_slots(df, level_dictionary(movers), cols, key)
+    grouped = [F.when(F.col(f"{c}__slot").isNotNull(), F.col(c).cast("string")).otherwise(F.lit(ALL_OTHERS_GROUPED)).alias(c + suffix)
+               for c in cols]
+    return found.select(*df.columns, *grouped)
 
 
 def one_hot_long(df: DataFrame, key: str, cols: list[str], levels: DataFrame, sep: str,
@@ -142,10 +165,3 @@ def one_hot_long(df: DataFrame, key: str, cols: list[str], levels: DataFrame, se
     prefix = (F.expr(f"substring(variabl, 1, length(variabl) - {len(strip_suffix)})")
               if strip_suffix else F.col("variabl"))
     return hit.select(key, F.concat(prefix, F.lit(sep), F.regexp_replace("ctgry_lvl", " ", "_")).alias("dummy"))
-
-
-def one_hot_wide(df: DataFrame, encodings: list[tuple[str, str, str]]) -> DataFrame:
-    """Add one int indicator per (column, level, name) in a single ``select``
-    (never a ``withColumn`` loop, which grows the plan per column)."""
-    return df.select("*", *[F.coalesce(F.col(c).cast("string") == F.lit(lvl), F.lit(False)).cast("int").alias(n)
-                            for c, lvl, n in encodings])

@@ -18,12 +18,13 @@ from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
+from ..operators import levels as L
 from ..operators.distributions import group_quantiles
-from ..session import cut_lineage, stored_table
+from ..session import cut_lineage
 from .leastsquares import INTERCEPT, LeastSquares, least_squares, t_two_sided
 from .forest import forest_table, staged_predictions, staged_scores
 
@@ -40,40 +41,38 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features", keep: list[s
     return VectorAssembler(inputCols=cols, outputCol=out).transform(base).select(*keep, out)
 
 
-def encode_levels(frames: list[DataFrame], levels: DataFrame, suffix: str = "__ohe") -> tuple[list[DataFrame], list[str], list[str]]:
+def encode_levels(frames: list[DataFrame], levels: DataFrame, suffix: str = "__ohe",
+                  key: str = "Rww_ID") -> tuple[list[DataFrame], list[str], list[str]]:
     """One sparse indicator vector per variable for the listed levels only.
 
     ``levels`` is a table (variabl, ctgry_lvl); levels are compared as strings.
     A vector has one slot per listed level, in alphabetical order; any other
     level, a missing one, or one unseen in training is a vector of zeros.  The
-    frames get ``<var>__ohe`` columns by a left join with the level table, which
-    is written to the shared folder first, so the planner knows its size.
+    slots of all variables come from one dictionary in one step.
 
     Returns the frames, the new columns, and the name ``<var>=<level>`` of every
     slot, in the order in which the assembled vectors have them.
     """
-    table = stored_table(levels.select("variabl", "ctgry_lvl").distinct().withColumn(
-        "slot", (F.row_number().over(Window.partitionBy("variabl").orderBy("ctgry_lvl")) - 1).cast("double")), "levels")
+    dictionary = L.level_dictionary(levels)
     listed: dict[str, list[str]] = {}
-    for r in table.orderBy("variabl", "slot").collect():  # a name for every slot of the model's vector
+    for r in dictionary.orderBy("variabl", "slot").collect():  # a name for every slot; the dictionary's size is bounded
         listed.setdefault(r["variabl"], []).append(r["ctgry_lvl"])
     if not listed:
         return list(frames), [], []
     variables = list(listed)
+    slots = [f"{v}__slot" for v in variables]
     # category sizes come from one row holding each variable's last slot
-    last = table.sparkSession.createDataFrame([tuple(float(len(v) - 1) for v in listed.values())],
-                                              ", ".join(f"`{v}__slot` double" for v in variables))
-    encoder = OneHotEncoder(inputCols=[f"{v}__slot" for v in variables], outputCols=[v + suffix for v in variables],
-                            dropLast=True, handleInvalid="keep").fit(last)
+    last = dictionary.sparkSession.createDataFrame([tuple(float(len(v) - 1) for v in listed.values())],
+                                                   ", ".join(f"`{s}` double" for s in slots))
+    encoder = OneHotEncoder(inputCols=slots, outputCols=[v + suffix for v in variables], dropLast=True,
+                            handleInvalid="keep").fit(last)
     out = []
     for df in frames:
-        for v in variables:
-            slots = table.where(F.col("variabl") == v).select(F.col("ctgry_lvl").alias("__lvl"),
-                                                              F.col("slot").alias(f"{v}__slot"))
-            # a slot past the last is invalid to the encoder, which writes zeros for it
-            df = (df.join(slots, F.col(v).cast("string") == F.col("__lvl"), "left").drop("__lvl")
-                  .withColumn(f"{v}__slot", F.coalesce(f"{v}__slot", F.lit(float(len(listed[v]))))))
-        out.append(encoder.transform(df).drop(*[f"{v}__slot" for v in variables]))
+        found = L.with_slots(df, dictionary, variables, key)
+        # a slot past the last is invalid to the encoder, which writes zeros for it
+        ready = found.select(*df.columns, *[F.coalesce(F.col(s).cast("double"), F.lit(float(len(listed[v])))).alias(s)
+                                            for v, s in zip(variables, slots)])
+        out.append(encoder.transform(ready).drop(*slots))
     return out, [v + suffix for v in variables], [f"{v}={lvl}" for v in variables for lvl in listed[v]]
 
 

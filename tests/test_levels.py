@@ -1,6 +1,9 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from shipcast.operators import levels as L
+from shipcast.operators import levelstate as S
 
 
 def _frame(spark):
@@ -47,5 +50,73 @@ def test_group_rare_levels_and_encoding(spark):
     levels = spark.createDataFrame([("v", "x y"), ("v", "00123")], "variabl string, ctgry_lvl string")
     enc = {r.k: r.dummy for r in L.one_hot_long(df, "k", ["v"], levels, "_").collect()}
     assert enc == {1: "v_x_y", 4: "v_00123"}     # unseen level 'z' and null -> all zeros
-    wide = L.one_hot_wide(df, [("v", "z", "v_z")]).orderBy("k").select(F.col("v_z")).collect()
-    assert [r.v_z for r in wide] == [0, 1, 0, 0]
+
+
+def _wide(spark):
+    rows = [(i, f"u{i % 7}", None if i % 5 == 0 else f"w {i % 11}", i % 3) for i in range(200)]
+    return spark.createDataFrame(rows, "Rww_ID long, u string, w string, z int")
+
+
+def _lookup(rows, listed):
+    slots = {}
+    for v, lvl in sorted(listed):
+        slots[(v, lvl)] = sum(1 for x in slots if x[0] == v)
+    return {r[0]: tuple(slots.get((c, None if x is None else str(x))) for c, x in zip("uwz", r[1:])) for r in rows}
+
+
+def test_all_columns_are_encoded_in_one_step_both_ways(spark):
+    df = _wide(spark)
+    listed = [("u", "u1"), ("u", "u5"), ("w", "w 3"), ("w", "w 10"), ("z", "2"), ("u", "u1")]
+    dictionary = L.level_dictionary(spark.createDataFrame(listed, "variabl string, ctgry_lvl string"))
+    want = _lookup([tuple(r) for r in df.collect()], set(listed))
+    for most in (100, 2):  # one row of maps; one join of the long form
+        out = L.with_slots(df, dictionary, ["u", "w", "z"], "Rww_ID", most)
+        assert out.columns == ["Rww_ID", "u", "w", "z", "u__slot", "w__slot", "z__slot"]
+        assert {r.Rww_ID: (r.u__slot, r.w__slot, r.z__slot) for r in out.collect()} == want
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") == (1 if most == 100 else 2)  # the long form's, and back to the rows
+    none = L.level_dictionary(dictionary.limit(0))
+    assert all(r.u__slot is None for r in L.with_slots(df, none, ["u"], "Rww_ID").collect())
+
+
+def test_too_many_levels_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_SLOTS", 3)
+    with pytest.raises(ValueError, match="levels"):
+        L.level_dictionary(spark.range(4).selectExpr("'v' AS variabl", "string(id) AS ctgry_lvl"))
+
+
+def test_merged_states_equal_one_run(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"a{i % 3}", "hot" if i % 3 else f"c{i % 40}", float(rng.integers(1, 10**6)) / 86400 if i % 17 else None) for i in range(6000)]
+    df = spark.createDataFrame(rows, "a string, b string, y double").withColumn("i", F.monotonically_increasing_id())
+    batches = [df.where(f"pmod(hash(i), 3) = {k}") for k in range(3)]
+    parts = [S.level_state(b, ["a", "b"], "y", 86400.0) for b in batches]
+    merged = S.merge_states(S.merge_states(parts[2], parts[0]), parts[1])
+    one = S.level_state(df, ["a", "b"], "y", 86400.0)
+    cols = ["variabl", "ctgry_lvl", "nbr", "total", "squares", "low", "high"]
+    assert sorted(map(tuple, merged.select(*cols).collect())) == sorted(map(tuple, one.select(*cols).collect()))
+    exact = {}
+    for a, b, y in rows:
+        if y is not None:
+            exact.setdefault(("a", a), []).append(y)
+            exact.setdefault(("b", b), []).append(y)
+    ps = [0.05, 0.25, 0.5, 0.75, 0.99]
+    got = {(r.variabl, r.ctgry_lvl): r for r in S.state_stats(merged, 86400.0, ps).collect()}
+    assert set(got) == set(exact)
+    for k, values in exact.items():
+        values = np.sort(values)
+        r = got[k]
+        assert r.nbr == len(values) and r.lvl_mean == pytest.approx(values.mean(), rel=1e-12)
+        assert r.lvl_std == pytest.approx(values.std(ddof=1), rel=1e-9)
+        for p, q in zip(ps, r.q):  # rank error
+            below, upto = np.searchsorted(values, q), np.searchsorted(values, q, side="right")
+            assert max(below - p * len(values), p * len(values) - upto, 0) <= S.RANK_ERROR * len(values) + 1
+
+
+def test_distinct_sketches_merge_within_their_bound(spark):
+    df = spark.range(30000).selectExpr("string(id) AS a", "string(id % 50) AS b", "if(id % 2 = 0, string(id % 999), null) AS c", "id")
+    state = S.merge_distinct(*[S.distinct_state(df.where(f"id % 3 = {k}"), ["a", "b", "c"]) for k in range(3)])
+    got = {r.variabl: r for r in S.distinct_estimate(state).collect()}
+    for v, n in (("a", 30000), ("b", 50), ("c", 999)):
+        assert got[v].low_est <= n <= got[v].high_est
+        assert abs(got[v].nbr_lvls_est - n) <= S.DISTINCT_ERROR * n + 1
