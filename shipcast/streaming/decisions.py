@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import timing
-from ..session import scratch_path
+from ..session import fresh_path
 from .scoring import _outlier_rules_on_imputed
 
 EARLY = "30 days"  # a hand-off is looked for from so long before the purchase
@@ -117,7 +117,7 @@ def replay(orders: DataFrame, hand_offs: DataFrame, delay_days: int, slices: int
     """
     spark = orders.sparkSession
     run = uuid.uuid4().hex[:12]
-    src = {n: scratch_path(spark, f"decisions_{run}_{n}") for n in ("orders", "hand_offs", "out", "ckpt")}
+    src = {n: fresh_path(spark, f"decisions_{run}_{n}") for n in ("orders", "hand_offs", "out", "ckpt")}
     begin, limit = orders.agg(F.min(F.unix_seconds("purchased_at")), F.max(F.unix_seconds("ship_limit_at"))).first()
     handed = hand_offs.agg(F.max(F.unix_seconds("handed_at"))).first()[0]
     if begin is not None:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.variables import DISTANCE_MAX_KM, SHIP_MISS_TRIM
-from ..session import scratch_path
+from ..session import fresh_path
 
 
 def _outlier_rules_on_imputed() -> F.Column:
@@ -76,7 +76,7 @@ def stream_predictions(train: DataFrame, arrivals: DataFrame, predictors: list[s
     spark = train.sparkSession
     model = fit_scoring_model(train, predictors, unscaled, label)
     run = uuid.uuid4().hex[:12]
-    src, sink, ckpt = (scratch_path(spark, f"stream_{run}_{p}") for p in ("in", "out", "ckpt"))
+    src, sink, ckpt = (fresh_path(spark, f"stream_{run}_{p}") for p in ("in", "out", "ckpt"))
     arrivals = arrivals.select(key, label, *predictors)
     arrivals.repartition(n_files, key).write.mode("overwrite").parquet(src)
     score_stream(spark, src, arrivals.schema, model, predictors, key, label, sink, ckpt)
