@@ -89,7 +89,7 @@ SELECT rule, n_rows FROM (
   UNION ALL SELECT 'purchase_after_customer', CAST(count(*) FILTER (WHERE {O.PTS} > {O.DELIV}) AS BIGINT) FROM oif)
 """))
 def q_chronology(spark, sf):
-    return audit.chronology_violations(ds.items(spark, sf))
+    return audit.chronology_violations(ds.timeline_items(spark, sf))
 
 
 _CLEAN_COLS = ["order_id", "order_item_id", "seller_id", "product_id", O.PTS, O.APPR, O.CARR, O.DELIV, O.EST]
@@ -97,7 +97,7 @@ _CLEAN_COLS = ["order_id", "order_item_id", "seller_id", "product_id", O.PTS, O.
 
 @register("clean_timeline", O.on_items(f"SELECT {', '.join(_CLEAN_COLS)} FROM ci"))
 def q_clean_timeline(spark, sf):
-    return ds.clean_items(spark, sf).select(*_CLEAN_COLS)
+    return ds.clean_timeline_items(spark, sf).select(*_CLEAN_COLS)
 
 
 @register("suspect_approvals", O.on_items(f"""
@@ -107,7 +107,7 @@ FROM oif WHERE {O.DELIV} IS NOT NULL AND {O.CARR} IS NOT NULL AND {O.CARR} <= {O
 GROUP BY 1
 """))
 def q_suspect_approvals(spark, sf):
-    return audit.suspect_approvals(ds.items(spark, sf))
+    return audit.suspect_approvals(ds.timeline_items(spark, sf))
 
 
 def _null_census_sql(table: str, cols: list[str]) -> str:
@@ -170,7 +170,7 @@ def q_cc_clf(spark, sf):
 @register("delivery_durations", O.on_items(
     "SELECT order_id, order_item_id, delivery_hours, carrier_to_customer_hours, order_to_carrier_hours FROM oif"))
 def q_delivery_durations(spark, sf):
-    return ds.items(spark, sf).select("order_id", "order_item_id", "delivery_hours",
+    return ds.timeline_items(spark, sf).select("order_id", "order_item_id", "delivery_hours",
                                       "carrier_to_customer_hours", "order_to_carrier_hours")
 
 
@@ -261,7 +261,7 @@ slf_orders AS (
 
 @register("shipping_limit_orders", O.on_items("SELECT * FROM slf_orders", _SLO))
 def q_shipping_limit_orders(spark, sf):
-    return rollups.shipping_limit_orders(ds.clean_items(spark, sf))
+    return rollups.shipping_limit_orders(ds.clean_timeline_items(spark, sf))
 
 
 CONDITIONAL_LATE_RATES_SQL = O.on_items(f"""
@@ -272,7 +272,7 @@ FROM slf_orders GROUP BY shipping_limit_problem_flag""", _SLO)
 
 def conditional_late_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: does missing the shipping limit raise the odds of a late delivery?"""
-    orders = rollups.shipping_limit_orders(ds.clean_items(spark, sf))
+    orders = rollups.shipping_limit_orders(ds.clean_timeline_items(spark, sf))
     out = rollups.conditional_late_rates(orders, "shipping_limit_problem_flag")
     return out.withColumn("pct_late", round6("pct_late"))
 
@@ -295,7 +295,7 @@ otr AS (
 
 
 def _timing_rollup(spark, sf):
-    return rollups.order_timing_rollup(ds.clean_items(spark, sf))
+    return rollups.order_timing_rollup(ds.clean_timeline_items(spark, sf))
 
 
 @register("order_timing_rollup", O.on_items("SELECT * FROM otr", _OTR))
@@ -342,14 +342,14 @@ def q_ecdf(spark, sf):
 @register("late_distinct_orders", O.on_items(
     "SELECT count(*) AS late_items, count(DISTINCT order_id) AS late_orders FROM ci WHERE late_flag = 1"))
 def q_late_distinct(spark, sf):
-    return rollups.late_distinct_orders(ds.clean_items(spark, sf))
+    return rollups.late_distinct_orders(ds.clean_timeline_items(spark, sf))
 
 
 @register("split_delivery_orders", O.on_items(f"""
 SELECT order_id, min({O.DELIV}) AS min_delivery_dt, max({O.DELIV}) AS max_delivery_dt FROM ci
 GROUP BY order_id HAVING min({O.DELIV}) <> max({O.DELIV})"""))
 def q_split_delivery(spark, sf):
-    return rollups.split_delivery_orders(ds.clean_items(spark, sf))
+    return rollups.split_delivery_orders(ds.clean_timeline_items(spark, sf))
 
 
 @register("count_by_category", O.on_items(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import oracle as O
-from .catalog import _OE_TYPES, r6, register, s6
+from .catalog import _OE_TYPES, r6, r9, register, s6
 from .operators import audit, distributions as D, rollups
 from .plans import datasets as ds
 from .plans import variables as V
@@ -72,7 +72,7 @@ FROM (SELECT CASE WHEN approval_time < 0 THEN -1 ELSE greatest(ceil((approval_ti
 GROUP BY bin""", _otr_sql()))
 def q_histogram_hourly(spark, sf):
     """Approval time in hourly bins, right-closed with the first bin closed."""
-    otr = rollups.order_timing_rollup(ds.clean_items(spark, sf))
+    otr = rollups.order_timing_rollup(ds.clean_timeline_items(spark, sf))
     return D.histogram(otr, "approval_time", right=True, lo=0.0, width=HOUR)
 
 
@@ -208,7 +208,7 @@ JOIN ({_quant_pivot('tq', ['variabl'], {0.25: 'q25', 0.5: 'median', 0.75: 'q75'}
     O.quantiles_cte("tq", "tlv", ["variabl"], "value", [0.25, 0.5, 0.75])))
 def q_describe_timing(spark, sf):
     """A15: summary of the order-timing rollup and the promised days."""
-    otr = rollups.order_timing_rollup(ds.clean_items(spark, sf))
+    otr = rollups.order_timing_rollup(ds.clean_timeline_items(spark, sf))
     d = D.describe_numeric(otr, ["nbr_items", "approval_time", "est_time"])
     return d.select("variabl", "n", *[r6(c) for c in ("mean", "std", "min", "q25", "median", "q75", "max")])
 
@@ -271,6 +271,49 @@ def q_item_corr_rank(spark, sf):
     return r.select("feature", r6("corr"), r6("abs_corr"))
 
 
+_LEG_FEATS = [c for c in V.ITEM_NUMERIC_EXT if c != "carrier_to_customer_hours"]
+_LEG_RANK_SQL = ("SELECT feature, round(corr, 6) AS corr, round(abs(corr), 6) AS abs_corr "
+                 + _unpivot_sql("SELECT " + ", ".join(f'corr({c}, carrier_to_customer_hours) AS "{c}"' for c in _LEG_FEATS)
+                                + " FROM ci WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in V.ITEM_NUMERIC_EXT),
+                                _LEG_FEATS, "feature", "corr"))
+
+
+@register("item_corr_rank_leg", O.on_items(_LEG_RANK_SQL))
+def q_item_corr_rank_leg(spark, sf):
+    """M2: the extended item-level list ranked by its correlation with the carrier-to-customer
+    time, over the rows without a missing value."""
+    r = D.corr_with_target(ds.clean_items(spark, sf), "carrier_to_customer_hours", V.ITEM_NUMERIC_EXT, listwise=True)
+    return r.select("feature", r6("corr"), r6("abs_corr"))
+
+
+_DURATIONS = ["order_to_carrier_hours", "carrier_to_customer_hours", "delivery_hours"]
+
+
+@register("histogram_durations", O.on_items("""
+SELECT variabl, CAST(bin AS BIGINT) AS bin, round(_lo + bin * _w, 6) AS bin_left, round(_lo + (bin + 1) * _w, 6) AS bin_right, count(*) AS n
+FROM (SELECT b.variabl, r._lo, r._w, CASE WHEN r._w = 0 THEN 0 ELSE least(greatest(ceil((b.value - r._lo) / r._w) - 1, 0), 20 - 1) END AS bin
+      FROM hd b JOIN (SELECT variabl, min(value) AS _lo, (max(value) - min(value)) / 20 AS _w FROM hd GROUP BY 1) r USING (variabl))
+GROUP BY ALL""", O.long_values_cte("hd", "ci", _DURATIONS)))
+def q_histogram_durations(spark, sf):
+    """A17: the three durations of an order's way in twenty equal bins each, right-closed
+    with the first bin closed."""
+    lv = D.long_values(ds.clean_timeline_items(spark, sf), _DURATIONS)
+    h = D.histogram(lv, "value", bins=20, right=True, by=["variabl"])
+    return h.select("variabl", "bin", r6("bin_left"), r6("bin_right"), "n")
+
+
+@register("histogram_log", O.on_features("""
+SELECT CAST(bin AS BIGINT) AS bin, round(_lo + bin * _w, 6) AS bin_left, round(_lo + (bin + 1) * _w, 6) AS bin_right, count(*) AS n
+FROM (SELECT r._lo, r._w, CASE WHEN r._w = 0 THEN 0 ELSE least(floor((b.x - r._lo) / r._w), 10 - 1) END AS bin
+      FROM hlog b, (SELECT min(x) AS _lo, (max(x) - min(x)) / 10 AS _w FROM hlog) r)
+GROUP BY ALL""", "\nhlog AS (SELECT round(ln(est_delivery_time_days), 9) AS x FROM clf_train WHERE est_delivery_time_days > 0)"))
+def q_histogram_log(spark, sf):
+    """A17: the logarithm of the promised days in ten equal bins (left-closed, last closed)."""
+    train, _ = ds.clf_split(spark, sf)
+    logs = train.where("est_delivery_time_days > 0").select(r9(F.ln("est_delivery_time_days"), "x"))
+    return D.histogram(logs, "x", bins=10).select("bin", r6("bin_left"), r6("bin_right"), "n")
+
+
 TOP_ORDER = 25  # as many as the analysis lists
 
 

@@ -22,17 +22,20 @@ from ..sources.tables import sized_broadcast
 QUANTILE_ACCURACY = 100_000
 
 
-def group_quantiles(df: DataFrame, by: list[str], value: str, ps: list[float], exact: bool = True) -> DataFrame:
+def group_quantiles(df: DataFrame, by: list[str], value: str, ps: list[float], exact: bool = True,
+                    weight: str | None = None) -> DataFrame:
     """(by..., n, q): number of values and the quantiles ``ps`` of each group, as an array.
 
+    ``weight`` names a column that says how many rows a row stands for (exact only).
+
     Null values and rows with a null group column are left out.  Interpolation is
     that of ``percentile``: position p (n - 1) between its neighbouring ranks.
     """
-    base = df.select(*by, F.col(value).cast("double").alias("_v")).dropna()
+    base = df.select(*by, F.col(value).cast("double").alias("_v"), F.col(weight).alias("_w") if weight else F.lit(1).alias("_w")).dropna()
     if not exact:
         return base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
                                      F.percentile_approx("_v", [float(p) for p in ps], QUANTILE_ACCURACY).alias("q"))
-    counts = base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counts = base.groupBy(*by, "_v").agg(F.sum("_w").cast("bigint").alias("_c"))
     n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut_lineage(counts.repartitionByRange(n_parts, *by, "_v").withColumn("_pid", F.spark_partition_id()))
     # one row per (range, group): ranges + groups rows
@@ -159,11 +162,15 @@ def quantile_bin_odds(df: DataFrame, cols: list[str], flag: str = "late_delivery
     lv = long_values(df, cols, keep=[flag])
     for var, bound in (trims or {}).items():
         lv = lv.where((F.col("variabl") != var) | (F.col("value") > bound))
-    edges = group_quantiles(lv, ["variabl"], "value", ps, exact).select("variabl", F.array_distinct("q").alias("edges"))
-    edges = F.broadcast(edges)  # one row per variable: len(cols) rows
-    binned = lv.join(edges, "variabl").select(
-        "variabl", flag, F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("value")))).alias("bin"))
-    out = (binned.groupBy("variabl", "bin").agg(F.count(F.lit(1)).alias("nbr"), F.sum(flag).cast("bigint").alias("nbr_late"))
+    # the rows are read once: edges and bins come from the distinct values
+    counts = stored_table(lv.groupBy("variabl", "value").agg(F.count(F.lit(1)).alias("n"), F.sum(flag).cast("bigint").alias("late")),
+                          "value-counts")
+    edges = (group_quantiles(counts, ["variabl"], "value", ps, weight="n") if exact
+             else group_quantiles(lv, ["variabl"], "value", ps, False)).select("variabl", F.array_distinct("q").alias("edges"))
+    edges = F.broadcast(stored_table(edges, "edges"))  # one row per variable: len(cols) rows
+    binned = counts.join(edges, "variabl").select(
+        "variabl", "n", "late", F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("value")))).alias("bin"))
+    out = (binned.groupBy("variabl", "bin").agg(F.sum("n").alias("nbr"), F.sum("late").alias("nbr_late"))
            .join(edges.withColumnRenamed("edges", "_e"), "variabl"))
     left = F.element_at("_e", F.col("bin"))
     right_ = F.element_at("_e", F.col("bin") + 1)
@@ -240,10 +247,10 @@ def corr_pairs(df: DataFrame, cols: list[str], listwise: bool = False) -> DataFr
                        "corr")
 
 
-def corr_with_target(df: DataFrame, target: str, cols: list[str], exclude: list[str] = ()) -> DataFrame:
+def corr_with_target(df: DataFrame, target: str, cols: list[str], exclude: list[str] = (), listwise: bool = False) -> DataFrame:
     """(feature, corr, abs_corr) of each column with the target, strongest first."""
     feats = [c for c in cols if c != target and c not in set(exclude)]
-    pairs = corr_pairs(df, [target, *dict.fromkeys(feats)]).where(F.col("col_i") == target)
+    pairs = corr_pairs(df, [target, *dict.fromkeys(feats)], listwise).where(F.col("col_i") == target)
     return (pairs.select(F.col("col_j").alias("feature"), "corr", F.abs("corr").alias("abs_corr"))
             .orderBy(F.desc("abs_corr")))
 

@@ -59,21 +59,21 @@ def order_features(oe: DataFrame) -> DataFrame:
     )
 
 
-def item_features(oi: DataFrame) -> DataFrame:
-    """Item-level timeline features (hours), R-style late flag, masked distance."""
+def timeline_features(items: DataFrame) -> DataFrame:
+    """Durations (hours) and the R-style late flag of rows with an order's dates."""
     pts, est = F.col("order_purchase_timestamp"), F.col("order_estimated_delivery_date")
     carr, deliv = F.col("order_delivered_carrier_date"), F.col("order_delivered_customer_date")
+    total_h, leg_h = timing.hours_between(pts, deliv), timing.hours_between(carr, deliv)
+    return items.select("*", total_h.alias("delivery_hours"), leg_h.alias("carrier_to_customer_hours"),
+                        (total_h - leg_h).alias("order_to_carrier_hours"),
+                        timing.late_flag(deliv, est, "grace_strict").alias("late_flag"))
+
+
+def item_features(oi: DataFrame) -> DataFrame:
+    """Item-level timeline features (hours), R-style late flag, masked distance."""
     dist = geo.distance_km("lat_seller", "long_seller", "lat_customer", "long_customer")
-    total_h = timing.hours_between(pts, deliv)
-    leg_h = timing.hours_between(carr, deliv)
-    return oi.select(
-        "*",
-        total_h.alias("delivery_hours"),
-        leg_h.alias("carrier_to_customer_hours"),
-        (total_h - leg_h).alias("order_to_carrier_hours"),
-        timing.late_flag(deliv, est, "grace_strict").alias("late_flag"),
-        geo.mask_outside_box(dist, "lat_customer", "long_customer").alias("distance_km"),
-    )
+    return timeline_features(oi).select(
+        "*", geo.mask_outside_box(dist, "lat_customer", "long_customer").alias("distance_km"))
 
 
 def complete_cases(df: DataFrame, cols: list[str]) -> DataFrame:

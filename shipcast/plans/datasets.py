@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import audit, features, sampling
+from ..session import stored_table
 from ..sources import fixtures
 from ..sources.tables import load_tables
 
@@ -33,6 +34,15 @@ def clean_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.clean_timeline(items(spark, sf_dir))
 
 
+def timeline_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``items`` with dates, durations and late flag only: no product, place or payment."""
+    return features.timeline_features(fixtures.item_timeline(load_tables(spark, sf_dir)))
+
+
+def clean_timeline_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.clean_timeline(timeline_items(spark, sf_dir))
+
+
 def reg_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.complete_cases(order_features(spark, sf_dir), features.REG_COMPLETE_CASE_COLS)
 
@@ -48,11 +58,14 @@ def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def reg_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return split(reg_frame(spark, sf_dir))
+    """Train and test rows; the complete cases are stored once, so that the split, the fits
+    on the training rows and their application read them instead of the tables."""
+    return split(stored_table(reg_frame(spark, sf_dir), "reg-cases"))
 
 
 def clf_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return split(clf_frame(spark, sf_dir))
+    """As ``reg_split``."""
+    return split(stored_table(clf_frame(spark, sf_dir), "clf-cases"))
 
 
 def clf_prepared(spark: SparkSession, sf_dir: str, cols: list[str] | None = None):

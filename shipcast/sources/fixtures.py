@@ -92,6 +92,71 @@ def order_item_rollup(t: Tables) -> DataFrame:
     )
 
 
+def order_seller_rollup(t: Tables) -> DataFrame:
+    """The part of the rollup that an order's timeline depends on: number of lines, highest
+    line, most frequent seller.  Needs no product table."""
+    lines = t.lineitem.select("l_orderkey", "l_suppkey", "l_linenumber")
+    counted = lines.groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.max("l_linenumber").alias("max_line"))
+    return counted.groupBy("l_orderkey").agg(
+        F.sum("n").cast("int").alias("nbr_items"), F.max("max_line").alias("max_line"),
+        F.min(F.when(F.col("l_suppkey").isNotNull(), F.struct((-F.col("n")).alias("neg_n"), F.col("l_suppkey").alias("v"))))
+        .getField("v").alias("seller_key"))
+
+
+def _dated(df: DataFrame) -> DataFrame:
+    """``df(o_orderkey, o_orderdate, seller_key, c_nationkey, s_nationkey)`` with the dates of each order."""
+    k = F.col("o_orderkey")
+    pts = add_seconds(F.col("o_orderdate"), k * 7919 % DAY)
+    carr = F.when(k % 499 == 0, None).otherwise(add_seconds(
+        pts, k * 15485863 % 691200
+        + F.when(F.col("seller_key") % 10 == 0, F.lit(259200)).otherwise(F.lit(0))))
+    cn = F.col("c_nationkey")
+    sn = F.coalesce(F.col("s_nationkey"), F.lit(0))
+    delivered = (F.when(k % 37 == 0, None)
+                 .when(k % 1009 == 1, add_seconds(F.col("order_delivered_carrier_date"), F.lit(-3600)))
+                 .otherwise(add_seconds(
+                     F.col("order_delivered_carrier_date"),
+                     k * 32452843 % 1209600 + DAY * ((cn + sn) % 4)
+                     + F.when(cn % 7 == 0, F.lit(259200)).otherwise(F.lit(0)))))
+    purchased = F.col("order_purchase_timestamp")
+    return (df.withColumn("order_purchase_timestamp", pts)
+            .withColumn("order_delivered_carrier_date", carr)
+            .withColumn("order_delivered_customer_date", delivered)
+            .withColumn("order_approved_at", F.when(k % 997 == 0, None).otherwise(add_seconds(purchased, k * 104729 % 259200)))
+            # day start without a time zone: NTZ -> date -> NTZ midnight (date_trunc would
+            # return a zone-aware timestamp and depend on the session time zone)
+            .withColumn("order_estimated_delivery_date",
+                        add_seconds(F.to_date(purchased).cast("timestamp_ntz"), DAY * (16 + k * 613 % 15)))
+            .withColumn("ship_limit_final", add_seconds(purchased, DAY * (4 + k * 31 % 5))))
+
+
+TIMELINE = ["order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date", "order_delivered_customer_date",
+            "order_estimated_delivery_date"]
+
+
+def item_timeline(t: Tables) -> DataFrame:
+    """One row per line item with its order's dates and nothing else of the order: for the
+    audits that read dates only.  Products and places are not joined."""
+    cust = sized_broadcast(t.customer.select("c_custkey", "c_nationkey"), DIM_BROADCAST_ROWS)
+    supp = sized_broadcast(t.supplier.select("s_suppkey", "s_nationkey"), DIM_BROADCAST_ROWS)
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = _dated(o.join(order_seller_rollup(t), o.o_orderkey == F.col("l_orderkey"), "left")
+                    .join(cust, o.o_custkey == cust.c_custkey, "left")
+                    .join(supp, F.col("seller_key") == supp.s_suppkey, "left"))
+    orders = orders.select("o_orderkey", "max_line", "ship_limit_final", *TIMELINE)
+    li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return li.join(orders, li.l_orderkey == orders.o_orderkey, "inner").select(
+        F.col("o_orderkey").cast("string").alias("order_id"), F.col("l_linenumber").alias("order_item_id"), *TIMELINE,
+        _item_limit().alias("shipping_limit_date"), F.col("l_suppkey").cast("string").alias("seller_id"),
+        F.col("l_partkey").cast("string").alias("product_id"))
+
+
+def _item_limit() -> Column:
+    """Shipping limit of a line: the order's for its last line, a day less for the others."""
+    last = F.col("l_linenumber") == F.col("max_line")
+    return F.when(last, F.col("ship_limit_final")).otherwise(add_seconds(F.col("ship_limit_final"), F.lit(-DAY)))
+
+
 def _place_columns(key: Column, nation_name: Column, nationkey: Column, prefix: str) -> list[Column]:
     return [
         nation_name.alias(f"{prefix}_state"),
@@ -141,24 +206,8 @@ def _orders(t: Tables) -> DataFrame:
           .join(cust, o.o_custkey == cust.c_custkey, "left")
           .join(supp, F.col("seller_key") == supp.s_suppkey, "left"))
 
-    k = F.col("o_orderkey")
-    pts = add_seconds(F.col("o_orderdate"), k * 7919 % DAY)
-    carr = F.when(k % 499 == 0, None).otherwise(add_seconds(
-        pts, k * 15485863 % 691200
-        + F.when(F.col("seller_key") % 10 == 0, F.lit(259200)).otherwise(F.lit(0))))
-    cn = F.col("c_nationkey")
-    sn = F.coalesce(F.col("s_nationkey"), F.lit(0))
-    delivered = (F.when(k % 37 == 0, None)
-                 .when(k % 1009 == 1, add_seconds(F.col("order_delivered_carrier_date"), F.lit(-3600)))
-                 .otherwise(add_seconds(
-                     F.col("order_delivered_carrier_date"),
-                     k * 32452843 % 1209600 + DAY * ((cn + sn) % 4)
-                     + F.when(cn % 7 == 0, F.lit(259200)).otherwise(F.lit(0)))))
-    slf = add_seconds(pts, DAY * (4 + k * 31 % 5))
-
-    df = (df.withColumn("order_purchase_timestamp", pts)
-          .withColumn("order_delivered_carrier_date", carr)
-          .withColumn("order_delivered_customer_date", delivered))
+    df = _dated(df)
+    k, slf = F.col("o_orderkey"), F.col("ship_limit_final")
     deliv = F.col("order_delivered_customer_date")
     return df.select(
         k.alias("Rww_ID"),
@@ -166,17 +215,9 @@ def _orders(t: Tables) -> DataFrame:
         F.when(deliv.isNotNull(), F.lit("delivered")).otherwise(F.lit("shipped")).alias("order_status"),
         F.col("o_custkey").cast("string").alias("customer_id"),
         F.col("o_custkey").cast("string").alias("customer_unique_id"),
-        "order_purchase_timestamp",
-        F.when(k % 997 == 0, None).otherwise(
-            add_seconds(F.col("order_purchase_timestamp"), k * 104729 % 259200)).alias("order_approved_at"),
-        "order_delivered_carrier_date",
-        "order_delivered_customer_date",
-        # day start without a time zone: NTZ -> date -> NTZ midnight (date_trunc would
-        # return a zone-aware timestamp and depend on the session time zone)
-        add_seconds(F.to_date(F.col("order_purchase_timestamp")).cast("timestamp_ntz"),
-                    DAY * (16 + k * 613 % 15)).alias("order_estimated_delivery_date"),
+        *TIMELINE,
         F.when(F.col("nbr_items") > 1, add_seconds(slf, F.lit(-DAY))).otherwise(slf).alias("ship_limit_initial"),
-        slf.alias("ship_limit_final"),
+        "ship_limit_final",
         add_seconds(deliv, F.lit(DAY)).alias("earliest_review_dt"),
         add_seconds(deliv, F.lit(3 * DAY)).alias("latest_review_dt"),
         "customer_city", "customer_state", "customer_zip_code_prefix",
@@ -215,7 +256,6 @@ def order_items(t: Tables) -> DataFrame:
              .join(supp, li.l_suppkey == supp.s_suppkey, "left"))
     df = items.join(oe, items.l_orderkey == oe.Rww_ID, "inner")
     k = F.col("Rww_ID")
-    slf = F.col("ship_limit_final")
     return df.select(
         # the order's key and the line's number in it: the same in every run
         (k * ITEM_STRIDE + F.col("l_linenumber")).alias("Rww_ID"),
@@ -224,8 +264,7 @@ def order_items(t: Tables) -> DataFrame:
         "order_status", "customer_id",
         "order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date",
         "order_delivered_customer_date", "order_estimated_delivery_date",
-        F.when(F.col("l_linenumber") == F.col("max_line"), slf)
-        .otherwise(add_seconds(slf, F.lit(-DAY))).alias("shipping_limit_date"),
+        _item_limit().alias("shipping_limit_date"),
         F.col("item_lat_seller").alias("lat_seller"),
         F.col("item_long_seller").alias("long_seller"),
         "lat_customer", "long_customer",
