@@ -93,16 +93,19 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5) -> Model:
     """Train on ``labels(doc_id, quality)`` of ``docs(doc_id, text)`` outside the held-out fold.
 
     Rows whose crc32(doc_id as text) is divisible by ``fold`` are held out.
-    Labels other than 0 and 1, and labels without a document, are ignored.  If a
+    Labels other than 0 and 1, and labels without a document, are ignored.  A label
+    that is repeated counts once; an id labelled both 0 and 1 has no label.  If a
     class has no sample, the model gives every text the same score.
     """
     usable = (labels.where("quality in (0, 1) and doc_id is not null")
               .where(~common.crc32_held(F.col("doc_id"), fold, 0))
-              .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")))
+              .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+              .agg(F.min("quality").cast("int").alias("quality"), F.max("quality").cast("int").alias("other"))
+              .where("quality = other").drop("other"))
     totals = {r[0]: r[1] for r in usable.groupBy("quality").count().collect()}
     order = F.xxhash64(F.lit("quality-sample"), "doc_id")
     picked = [usable.where(F.col("quality") == c).orderBy(order, "doc_id").limit(SAMPLE_DOCS) for c in (0, 1)]
-    picked = picked[0].union(picked[1]).dropDuplicates(["doc_id"])
+    picked = picked[0].union(picked[1])
     # at most 2 * SAMPLE_DOCS ids and labels; of rows with one id, the text that comes first in a hash order
     text = F.min(F.struct(F.xxhash64("text").alias("place"), "text"))["text"]
     sample = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")

@@ -3,9 +3,12 @@
 Every document gets counts (words, characters, symbols, repeated lines, words in
 repeated 5-word windows).  Two base rules are fixed.  The others compare a ratio
 with fences learnt per (lang, source): a relative-error quantile sketch (counts
-of logarithmic buckets, so merging is adding) is built from all documents, and
-the fences lie several spreads from the median, the spread being measured on the
-side that the rule does not test, which junk on the other side cannot widen.
+of logarithmic buckets, so merging is adding) is built from all documents.  Where
+documents usually have some of a measure, its fences lie several spreads from the
+median, the spread being measured on the side that the rule does not test, which
+junk on the other side cannot widen.  Where most documents have none of it (repeats),
+the median says nothing: the fence lies beyond the 0.99 quantile by a multiple of
+the step from the 0.95 quantile to it, so the cleaner a group, the lower its fence.
 Sketches of small groups are merged into their language's, and those into the
 whole corpus's, until ``MIN_ROWS`` documents stand behind a fence.  Documents are
 joined with the fences of their group and filtered.
@@ -28,13 +31,15 @@ ACCURACY = 0.01  # relative error of a quantile
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
 MIN_ROWS = 100
 WINDOW = 5
-# measure -> (least spread, spreads to the upper fence, spreads to the lower fence or None)
+# measure -> (quantile the upper fence starts from, quantile its spread is measured to, least
+# spread, spreads to the upper fence, spreads to the lower fence or None)
 RULES = {
-    "symbol_ratio": (0.01, 4.0, None),
-    "repeat_ratio": (0.02, 10.0, None),
-    "line_ratio": (0.05, 8.0, None),
-    "word_length": (0.2, 10.0, 10.0),
+    "symbol_ratio": ("q50", "q25", 0.01, 4.0, None),
+    "repeat_ratio": ("q99", "q95", 0.01, 1.0, None),
+    "line_ratio": ("q99", "q95", 0.02, 1.0, None),
+    "word_length": ("q50", "q25", 0.2, 10.0, 10.0),
 }
+QUANTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95, "q99": 0.99}
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -130,7 +135,7 @@ def sketches(rows: DataFrame, name: str, keys: list[str]) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, measure, rows, q25, q50, q75 of merged sketches."""
+    """keys, measure, rows and the ``QUANTILES`` of merged sketches."""
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "measure")
     upto = group.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
@@ -139,16 +144,16 @@ def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     placed = (merged.withColumn("rows", F.sum("n").over(group)).withColumn("upto", F.sum("n").over(upto))
               .withColumn("value", value))
     reach = [F.min(F.when(F.col("upto") >= F.ceil(F.col("rows") * q), F.col("value"))).alias(a)
-             for a, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))]
+             for a, q in QUANTILES.items()]
     return placed.groupBy(*keys, "measure").agg(F.max("rows").alias("rows"), *reach)
 
 
 def _fences(found: DataFrame, keys: list[str]) -> DataFrame:
     """keys and a struct of fences, one row per group."""
     columns = []
-    for measure, (least, up, down) in RULES.items():
+    for measure, (start, other, least, up, down) in RULES.items():
         mine = F.col("measure") == measure
-        high = F.col("q50") + up * F.greatest(F.col("q50") - F.col("q25"), F.lit(least))
+        high = F.col(start) + up * F.greatest(F.col(start) - F.col(other), F.lit(least))
         columns.append(F.max(F.when(mine, high)).alias(f"{measure}_max"))
         if down is not None:
             low = F.col("q50") - down * F.greatest(F.col("q75") - F.col("q50"), F.lit(least))
@@ -170,7 +175,7 @@ def thresholds(rows: DataFrame, name: str) -> DataFrame:
     chosen = (F.when(F.col("rows") >= MIN_ROWS, F.col("fences")).when(F.col("w_rows") >= MIN_ROWS, F.col("w_fences"))
               .otherwise(F.col("a_fences")))
     found = (own.join(wide, F.col("lang").eqNullSafe(F.col("w_lang")), "left").crossJoin(F.broadcast(whole))  # one row
-             .select("lang", "source", chosen.alias("fences")))
+             .select("lang", "source", chosen.alias("fences"), (F.col("rows") >= MIN_ROWS).alias("own")))
     return common.stored(found, "quality-fences")  # the planner then joins the texts with it by its size
 
 
@@ -179,7 +184,7 @@ def _verdict(c, f):
     ok = F.lit(True)
     for measure, value in _measures(c).items():
         ok = ok & F.coalesce(value <= f[f"{measure}_max"], F.lit(True))
-        if RULES[measure][2] is not None:
+        if RULES[measure][-1] is not None:
             ok = ok & F.coalesce(value >= f[f"{measure}_min"], F.lit(True))
     return ok
 
@@ -195,6 +200,27 @@ def judged(rows: DataFrame, name: str, fences: DataFrame, verdict: str) -> DataF
     return joined.withColumn(verdict, keep).drop(*own.values())
 
 
+def rejections(rows: DataFrame, name: str, fences: DataFrame) -> DataFrame:
+    """rule, rejected, alone: how many of the rows that pass the base rules each fence
+    rejects, and how many no other fence does; and ``own`` of ``rule`` 'group': rows
+    whose (lang, source) has fences of its own."""
+    limits = fences.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), F.col("fences").alias("f"), "own")
+    joined = rows.where(~base_failed(F.col(name))).join(
+        limits, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
+    broken = []
+    for measure, value in _measures(F.col(name)).items():
+        over = value > F.col(f"f.{measure}_max")
+        if RULES[measure][-1] is not None:
+            over = over | (value < F.col(f"f.{measure}_min"))
+        broken.append(F.coalesce(over, F.lit(False)).cast("int"))
+    how_many = sum(broken[1:], broken[0])
+    each = [F.struct(F.lit(m).alias("rule"), b.alias("hit"), (b * (how_many == 1).cast("int")).alias("only"))
+            for m, b in zip(RULES, broken)]
+    each.append(F.struct(F.lit("group").alias("rule"), F.col("own").cast("int").alias("hit"), F.lit(0).alias("only")))
+    return (joined.select(F.explode(F.array(*each)).alias("x")).groupBy("x.rule")
+            .agg(F.sum("x.hit").alias("rejected"), F.sum("x.only").alias("alone"), F.count(F.lit(1)).alias("n")))
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every row of ``docs(doc_id, text, lang, source)``.
 
@@ -234,11 +260,11 @@ def _oracle() -> str:
     for scope, keys in scopes.items():
         names = "" if scope == "whole" else f"{keys}, "
         sums = ", ".join(
-            f"max(CASE WHEN measure = '{m}' THEN q50 + {up!r} * greatest(q50 - q25, {least!r}) END) AS {m}_max"
+            f"max(CASE WHEN measure = '{m}' THEN {start} + {up!r} * greatest({start} - {other}, {least!r}) END) AS {m}_max"
             + (f", max(CASE WHEN measure = '{m}' THEN q50 - {down!r} * greatest(q75 - q50, {least!r}) END) AS {m}_min"
-               if down is not None else "") for m, (least, up, down) in RULES.items())
+               if down is not None else "") for m, (start, other, least, up, down) in RULES.items())
         reach = ", ".join(f"min(CASE WHEN upto >= ceil(n_rows * {q!r}) THEN v END) AS {a}"
-                          for a, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)))
+                          for a, q in QUANTILES.items())
         parts.append(f"""
 {scope}_c AS (SELECT {names}measure, bucket, count(*) AS n FROM bucketed GROUP BY {names}measure, bucket),
 {scope}_u AS (SELECT *, sum(n) OVER (PARTITION BY {names}measure) AS n_rows,
@@ -246,11 +272,11 @@ def _oracle() -> str:
   CASE WHEN bucket IS NULL THEN 0.0 ELSE pow({GAMMA!r}, bucket) * {2.0 / (GAMMA + 1.0)!r} END AS v FROM {scope}_c),
 {scope}_q AS (SELECT {names}measure, max(n_rows) AS n_rows, {reach} FROM {scope}_u GROUP BY {names}measure),
 {scope}_f AS (SELECT {names}min(n_rows) AS n_rows, {sums} FROM {scope}_q {"GROUP BY " + keys if names else ""})""")
-    fences = [f"{m}_max" for m in RULES] + [f"{m}_min" for m in RULES if RULES[m][2] is not None]
+    fences = [f"{m}_max" for m in RULES] + [f"{m}_min" for m in RULES if RULES[m][-1] is not None]
     chosen = ", ".join(f"CASE WHEN o.n_rows >= {MIN_ROWS} THEN o.{f} WHEN w.n_rows >= {MIN_ROWS} THEN w.{f} ELSE a.{f} END AS {f}"
                        for f in fences)
     inside = " AND ".join([f"coalesce({m} <= {m}_max, true)" for m in RULES]
-                          + [f"coalesce({m} >= {m}_min, true)" for m in RULES if RULES[m][2] is not None])
+                          + [f"coalesce({m} >= {m}_min, true)" for m in RULES if RULES[m][-1] is not None])
     return f"""
 WITH docs AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 parted AS (SELECT *, regexp_extract_all(text, '{word}+') AS words,

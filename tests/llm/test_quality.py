@@ -70,6 +70,35 @@ def test_repeated_ids_do_not_push_a_class_out(spark):
     assert model.slope > 0 and model == quality_classifier.fit(docs, labels)
 
 
+def test_scores_equal_plain_zstandard(spark):
+    """Every document's score again, from the model's dictionaries and curve alone."""
+    import zstandard
+
+    docs = common.documents(spark, SF)
+    model = quality_classifier.fit(docs, common.documents(spark, SF, "labels"))
+
+    def size(text, dictionary):
+        packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary),
+                                          write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(packer.compress(text[i:i + 512])) for i in range(0, len(text), 512))
+
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.orderBy("doc_id").collect()}
+    scores = {r.doc_id: r.score for r in quality_classifier.query(spark, SF).collect()}
+    assert set(scores) == set(texts)
+    for i, text in texts.items():
+        gap = (size(text, model.bad) - size(text, model.good)) / (len(text) + 256)
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-min(max(model.slope * gap + model.intercept, -30), 30))), rel=1e-12)
+
+
+def test_clashing_and_repeated_labels(spark):
+    """An id with both labels has none; a repeated label counts once."""
+    docs, labels = common.documents(spark, SF), common.documents(spark, SF, "labels").select("doc_id", "quality")
+    odd = labels.where("doc_id % 3 = 0")
+    clash = labels.union(odd.withColumn("quality", 1 - F.col("quality")))
+    assert quality_classifier.fit(docs, clash) == quality_classifier.fit(docs, labels.where("doc_id % 3 <> 0"))
+    assert quality_classifier.fit(docs, labels.union(labels).union(labels)) == quality_classifier.fit(docs, labels)
+
+
 # --- rules -----------------------------------------------------------------------
 
 def _counts(text):
@@ -122,10 +151,11 @@ def test_query_matches_brute_force(spark):
 
     def fences(key):
         out = {}
-        for m, (least, up, down) in quality_rules.RULES.items():
+        for m, (start, other, least, up, down) in quality_rules.RULES.items():
             v = [r[m] for r in groups[key] if r[m] is not None]
-            q25, q50, q75 = (quantile(v, q) for q in (.25, .5, .75))
-            out[m] = (q50 - down * max(q75 - q50, least) if down else -math.inf, q50 + up * max(q50 - q25, least))
+            q = {name: quantile(v, at) for name, at in quality_rules.QUANTILES.items()}
+            out[m] = (q["q50"] - down * max(q["q75"] - q["q50"], least) if down else -math.inf,
+                      q[start] + up * max(q[start] - q[other], least))
         return out
 
     made = {}
@@ -139,6 +169,34 @@ def test_query_matches_brute_force(spark):
         assert r.kept == (ok and not r.base_failed)
 
 
+def test_every_rule_can_reject(spark):
+    """Fences of repeats lie below the fixed rule in clean groups, and rise with the group's own repeats."""
+    def doc(i, repeats, lang):
+        own = [f"w{(i * 7 + j) % 97}{'abcdefgh'[j % 8]}{j}" for j in range(100)]
+        again = own[:repeats] + own[:repeats] if repeats else []
+        return (i, " ".join(again + own[repeats:]), lang, "s", 0)
+
+    clean = [doc(i, 0, "en") for i in range(300)]
+    noisy = [doc(1000 + i, 9 if i % 3 == 0 else 0, "de") for i in range(300)]
+    docs = spark.createDataFrame([*clean, *noisy, doc(5000, 9, "en"), doc(5001, 9, "de"), doc(5002, 12, "en")], helpers.SCHEMA)
+    rows = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    assert not any(rows[i].base_failed for i in (5000, 5001))
+    assert rows[5001].kept and not rows[5000].kept  # usual in one group, not in the other
+    measured = quality_rules.measured(docs, "counts").cache()
+    fences = quality_rules.thresholds(measured, "counts")
+    limits = {r.lang: r.fences.repeat_ratio_max for r in fences.collect()}
+    assert limits["en"] < 0.2 and limits["en"] <= limits["de"]
+    told = {r.rule: (r.rejected, r.alone) for r in quality_rules.rejections(measured, "counts", fences).collect()}
+    passing = [r for r in rows.values() if not r.base_failed]
+    assert told["group"][0] == len(passing)
+    assert sum(not r.kept for r in passing) >= told["repeat_ratio"][1]
+    lines = spark.createDataFrame(
+        [(i, " ".join(f"u{i}x{j}" for j in range(40)), "en", "s", 0) for i in range(200)]
+        + [(900, "\n".join([f"one two three four v{j}" for j in range(10)] + ["same line"] * 3), "en", "s", 0)], helpers.SCHEMA)
+    found = {r.doc_id: r for r in quality_rules.quality_rules(lines).collect()}
+    assert not found[900].base_failed and not found[900].kept and found[5].kept
+
+
 def test_merged_sketches_equal_one_sketch(spark):
     docs, _ = helpers.documents(spark, 100)
     rows = quality_rules.measured(docs, "counts")
