@@ -1,15 +1,15 @@
 """Operator 1: token ids of documents in bit-packed binary files.
 
-File layout (little-endian), one file per range of the document order:
+File layout (little-endian), one file per range of the document order; blocks are
+written as they fill, so a task holds one block and the index, whatever the file's size:
 
-    magic        8 bytes   b"PACKIDS1"
-    bits         uint32    width of an id: the least that holds vocab_size - 1
-    block        uint32    ids per block (a multiple of 64, so blocks end on words)
-    n_docs       uint64
-    n_ids        uint64
+    payload      blocks of ids, each id in ``bits`` bits, low bit first
     doc ends     n_docs x uint64   ids up to the end of each document
     block offs   (n_blocks + 1) x uint64   byte offset of each block in the payload
-    payload      blocks of ids, each id in ``bits`` bits, low bit first
+    trailer      bits, block uint32; n_docs, n_ids uint64; magic 8 bytes b"PACKIDS2"
+
+``bits`` is the least width that holds vocab_size - 1, ``block`` the ids of a block (a
+multiple of 64, so blocks end on words).
 
 A block is read with one seek, and unpacked with numpy: its bytes are viewed as
 64-bit words, and each id is two shifts away.  ``PackedFile`` reads documents,
@@ -21,7 +21,6 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +32,8 @@ from pyspark.sql.window import Window
 
 from . import common, ragged, tokens
 
-MAGIC = b"PACKIDS1"
-HEADER = struct.Struct("<8sIIQQ")
+MAGIC = b"PACKIDS2"
+TRAILER = struct.Struct("<IIQQ8s")
 BLOCK = 8192
 
 
@@ -68,61 +67,66 @@ def unpack(data: bytes | np.ndarray, n: int, bits: int, first: int = 0) -> np.nd
 
 
 class PackedWriter:
-    """Collects the documents of one file, packing each full block at once."""
+    """Writes the documents of one file to ``out``, each block as soon as it is full."""
 
-    def __init__(self, bits: int, block: int = BLOCK):
-        self.bits, self.block = bits, block
-        self.payload: list[bytes] = []
+    def __init__(self, out, bits: int, block: int = BLOCK):
+        self.out, self.bits, self.block = out, bits, block
+        self.sizes: list[int] = []
         self.ends: list[np.ndarray] = []
         self.n_docs = self.n_ids = 0
         self.rest = np.zeros(0, dtype=np.int64)
 
+    def _write(self, ids: np.ndarray) -> None:
+        data = pack(ids, self.bits)
+        self.sizes.append(len(data))
+        self.out.write(data)
+
     def add(self, bounds: np.ndarray, ids: np.ndarray) -> None:
-        self.ends.append(bounds[1:] + self.n_ids)
+        self.ends.append((bounds[1:] + self.n_ids).astype("<u8"))
         self.n_docs += len(bounds) - 1
         self.n_ids += len(ids)
         ids = np.concatenate([self.rest, ids])
         full = len(ids) // self.block * self.block
-        self.payload += [pack(ids[i:i + self.block], self.bits) for i in range(0, full, self.block)]
+        for i in range(0, full, self.block):
+            self._write(ids[i:i + self.block])
         self.rest = ids[full:]
 
-    def parts(self) -> Iterator[bytes]:
+    def finish(self) -> None:
+        """Write what is left and the index."""
         if len(self.rest):
-            self.payload.append(pack(self.rest, self.bits))
+            self._write(self.rest)
             self.rest = self.rest[:0]
-        offsets = np.cumsum([0, *map(len, self.payload)]).astype("<u8")
-        yield HEADER.pack(MAGIC, self.bits, self.block, self.n_docs, self.n_ids)
-        yield np.concatenate([np.zeros(0, dtype=np.int64), *self.ends]).astype("<u8").tobytes()
-        yield offsets.tobytes()
-        yield from self.payload
+        for ends in self.ends:
+            self.out.write(ends.tobytes())
+        self.out.write(np.cumsum([0, *self.sizes]).astype("<u8").tobytes())
+        self.out.write(TRAILER.pack(self.bits, self.block, self.n_docs, self.n_ids, MAGIC))
 
 
 class PackedFile:
-    """Random access to a packed file through ``read(offset, length) -> bytes``."""
+    """Random access to a packed file of ``size`` bytes through ``read(offset, length) -> bytes``."""
 
-    def __init__(self, read):
+    def __init__(self, read, size: int):
         self.read = read
-        magic, self.bits, self.block, self.n_docs, self.n_ids = HEADER.unpack(read(0, HEADER.size))
-        if magic != MAGIC:
+        trailer = bytes(read(size - TRAILER.size, TRAILER.size)) if size >= TRAILER.size else b""
+        if trailer[-len(MAGIC):] != MAGIC:
             raise ValueError("not a packed id file")
+        self.bits, self.block, self.n_docs, self.n_ids, _ = TRAILER.unpack(trailer)
         n_blocks = -(-self.n_ids // self.block)
-        at = HEADER.size
-        self.ends = np.frombuffer(read(at, 8 * self.n_docs), dtype="<u8").astype(np.int64)
-        at += 8 * self.n_docs
+        at = size - TRAILER.size - 8 * (n_blocks + 1)
         self.offsets = np.frombuffer(read(at, 8 * (n_blocks + 1)), dtype="<u8").astype(np.int64)
-        self.payload = at + 8 * (n_blocks + 1)
+        self.ends = np.frombuffer(read(at - 8 * self.n_docs, 8 * self.n_docs), dtype="<u8").astype(np.int64)
 
     @classmethod
     def of_bytes(cls, content: bytes) -> PackedFile:
         view = memoryview(content)
-        return cls(lambda offset, length: view[offset:offset + length])
+        return cls(lambda offset, length: view[offset:offset + length], len(content))
 
     @classmethod
     def open(cls, path: str) -> PackedFile:
         """A file in any store pyarrow reaches; only the asked-for bytes are read."""
         files, inner = common.filesystem(path)
         handle = files.open_input_file(inner)
-        return cls(lambda offset, length: handle.read_at(length, offset))
+        return cls(lambda offset, length: handle.read_at(length, offset), handle.size())
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` of the file: touches only the blocks they lie in."""
@@ -130,7 +134,7 @@ class PackedFile:
         for b in range(start // self.block, -(-stop // self.block)):
             base = b * self.block
             lo, hi = max(start, base), min(stop, base + self.block, self.n_ids)
-            data = self.read(self.payload + self.offsets[b], self.offsets[b + 1] - self.offsets[b])
+            data = self.read(int(self.offsets[b]), int(self.offsets[b + 1] - self.offsets[b]))
             out.append(unpack(data, hi - lo, self.bits, lo - base))
         return np.concatenate(out)
 
@@ -155,23 +159,24 @@ def write_packed(docs: DataFrame, folder: str, vocabulary: str, end_id: int, n_f
 
     def run(batches):
         encoder = tokens.encoder(vocabulary)
-        writer = PackedWriter(bits_for(max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)))
-        keys, nulls = [], []
+        bits = bits_for(max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1))
+        number = TaskContext.get().partitionId()
+        files, inner = common.filesystem(folder)
+        name = f"ids-{number:06d}-{uuid.uuid4().hex}.bin"
+        writer, keys, nulls = None, [], []
         for batch in batches:
             for part in ragged.slices(batch, "text"):
+                if writer is None:
+                    files.create_dir(inner, recursive=True)
+                    writer = PackedWriter(files.open_output_stream(f"{inner}/{name}"), bits)
                 writer.add(*tokens.with_end(*encoder.ids(part.column("text")), end_id))
                 column = part.column("doc_id")
                 keys.append(column.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
                 nulls.append(column.is_null().to_numpy(zero_copy_only=False))
-        if not keys:
+        if writer is None:
             return
-        number = TaskContext.get().partitionId()
-        files, inner = common.filesystem(folder)
-        files.create_dir(inner, recursive=True)
-        name = f"ids-{number:06d}-{uuid.uuid4().hex}.bin"
-        with files.open_output_stream(f"{inner}/{name}") as out:
-            for part in writer.parts():
-                out.write(part)
+        writer.finish()
+        writer.out.close()
         yield common.batch_of(schema, [number], [name], [writer.n_docs], [writer.n_ids],
                               [np.concatenate(keys).tobytes()], [np.packbits(np.concatenate(nulls)).tobytes()])
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_path, stored_table
 
-TARGET_BYTES = 16 << 20
+TARGET_BYTES = 16 << 20  # text of a part
+MAX_PARTS = 50_000  # beyond that many, parts grow: the driver keeps a record of each
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -43,7 +44,7 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
 
 
 def parts_for(n_bytes: int, target: int = TARGET_BYTES) -> int:
-    return max(1, -(-n_bytes // target))
+    return max(1, min(-(-n_bytes // target), MAX_PARTS))
 
 
 def crc32_held(column, modulus: int, remainder: int):

@@ -1,3 +1,4 @@
+import io
 import zlib
 
 import numpy as np
@@ -32,15 +33,27 @@ def test_file_reads_documents_and_ranges():
     lengths = rng.integers(0, 50, 300)
     ids = rng.integers(0, 49408, lengths.sum())
     bounds = np.concatenate([[0], np.cumsum(lengths)])
-    writer = bitpack.PackedWriter(16, block=64)
+    out = io.BytesIO()
+    writer = bitpack.PackedWriter(out, 16, block=64)
     for lo, hi in ((0, 100), (100, 101), (101, 300)):
         writer.add(bounds[lo:hi + 1] - bounds[lo], ids[bounds[lo]:bounds[hi]])
-    packed = bitpack.PackedFile.of_bytes(b"".join(writer.parts()))
+        assert out.tell() == writer.n_ids // 64 * 128  # full blocks are written at once
+    writer.finish()
+    packed = bitpack.PackedFile.of_bytes(out.getvalue())
     for i in range(300):
         assert (packed.document(i) == ids[bounds[i]:bounds[i + 1]]).all()
     assert (packed.ids(10, 1000) == ids[10:1000]).all()
-    with pytest.raises(ValueError):
-        bitpack.PackedFile.of_bytes(b"x" * 100)
+    for wrong in (b"x" * 100, b""):
+        with pytest.raises(ValueError):
+            bitpack.PackedFile.of_bytes(wrong)
+    empty = io.BytesIO()
+    bitpack.PackedWriter(empty, 16).finish()
+    assert bitpack.PackedFile.of_bytes(empty.getvalue()).n_docs == 0
+
+
+def test_parts_grow_beyond_their_greatest_number():
+    assert common.parts_for(0) == 1 and common.parts_for(5 * common.TARGET_BYTES) == 5
+    assert common.parts_for(10**14) == common.MAX_PARTS
 
 
 def _expected(rows, end_id=1):
