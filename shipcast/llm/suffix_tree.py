@@ -16,12 +16,14 @@ Steps, each a Spark job over tables in the shared folder:
 
 1. Blocks of documents are cut into words; a block becomes one row of word
    numbers, local to it, and a row per distinct word with its training count.
-2. Counts are summed by word and go back to the blocks' word lists (a window:
-   one row per block and word, so a frequent word is not a hot group).
+2. Counts are summed by word, before they are shuffled, and joined back to the blocks'
+   word lists (one row per block and word; a frequent word is a skewed key of a join,
+   which adaptive execution splits).
 3. Each block is joined with its list: counts and hashes of its words.
 4. One pass per context length counts the n-grams whose prefix and suffix both
    passed the length before; an n-gram cannot be more frequent than those, so none
-   that reaches the count is missed.  As with words, a row per block and n-gram.
+   that reaches the count is missed.  As with words, a row per block and n-gram, and
+   the blocks' rows are made once for the sums and once for the join.
 5. States are chosen length by length, by joins of an n-gram with its context and its
    suffix; what a block's n-grams weigh goes back to it, and it is scored.
 """
@@ -35,11 +37,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common, ragged
 
-P_MIN = 0.0  # share of the training tokens that an n-gram must reach, besides MIN_COUNT
 MIN_COUNT = 2
 MAX_DEPTH = 4
 DISCOUNT = 0.75
@@ -110,9 +110,9 @@ def _counted(cut: DataFrame, least: int) -> DataFrame:
     """block, local, word, c (training count of the word in the corpus), first (one row per word has it).
 
     Only words with ``least`` or more are spelt out; the others are done with."""
-    every = Window.partitionBy("key", "word")
-    rows = (cut.where("word is not null").select("block", "local", "word", "n", F.xxhash64("word").alias("key"))
-            .withColumn("c", F.sum("n").over(every)).withColumn("first", F.min("block").over(every) == F.col("block")))
+    listed = cut.where("word is not null").select("block", "local", "word", "n", F.xxhash64("word").alias("key"))
+    totals = listed.groupBy("key", "word").agg(F.sum("n").alias("c"), F.min("block").alias("owner"))
+    rows = listed.join(totals, ["key", "word"]).withColumn("first", F.col("owner") == F.col("block"))
     return common.stored(rows.select("block", "local", F.when(F.col("c") >= least, F.col("word")).alias("word"), "c",
                                      "first"), "lm-words")
 
@@ -232,9 +232,9 @@ def _count_level(placed: DataFrame, passed: DataFrame | None, level: int, least:
 
         rows = (placed.groupBy("block").cogroup(passed.select("block", "gram").groupBy("block"))
                 .applyInArrow(run_passed, _GRAM_KINDS))
-    every = Window.partitionBy("gram")
-    counted = rows.withColumn("c", F.sum("n").over(every)).withColumn("first", F.min("block").over(every) == F.col("block"))
-    return common.stored(counted.where(F.col("c") >= least).drop("n"), f"lm-grams-{level}")
+    totals = (rows.groupBy("gram").agg(F.sum("n").alias("c"), F.min("block").alias("owner")).where(F.col("c") >= least))
+    counted = rows.join(totals, "gram").withColumn("first", F.col("owner") == F.col("block"))
+    return common.stored(counted.drop("n", "owner"), f"lm-grams-{level}")
 
 
 # --- 5: states, and the scores of blocks -------------------------------------------
@@ -293,7 +293,7 @@ def _token_scores(symbols: np.ndarray, bounds: np.ndarray, words: np.ndarray, ba
     return out
 
 
-def suffix_tree_scores(docs: DataFrame, held, p_min: float = P_MIN, max_depth: int = MAX_DEPTH) -> DataFrame:
+def suffix_tree_scores(docs: DataFrame, held, min_count: int = MIN_COUNT, max_depth: int = MAX_DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs(doc_id, text)``.
 
     ``held`` is a boolean column expression; rows where it is true teach nothing.
@@ -304,8 +304,7 @@ def suffix_tree_scores(docs: DataFrame, held, p_min: float = P_MIN, max_depth: i
     cut = _cut(docs, held)
     n_end = docs.where(~held).count()
     n = (cut.agg(F.sum("n")).first()[0] or 0) + n_end
-    least = max(MIN_COUNT, math.ceil(p_min * n))
-    counted = _counted(cut, least)
+    counted = _counted(cut, min_count)
     v = counted.where(F.col("first") & (F.col("c") > 0)).count() + int(n_end > 0)
     log_n = math.log10(n + v + 1)
     placed = _placed(cut, counted, n_end)
@@ -316,7 +315,7 @@ def suffix_tree_scores(docs: DataFrame, held, p_min: float = P_MIN, max_depth: i
                .withColumn("p", (F.col("c") + 1.0) / float(n + v + 1)))
     rows, passed, weights = words.select("block", "gram"), None, []
     for level in range(1, max_depth + 1):
-        passed = _count_level(placed, passed, level, least)
+        passed = _count_level(placed, passed, level, min_count)
         longer, states = _states(passed.where("first").select("gram", "context", "suffix", "c"), shorter)
         weights.append((rows, shorter, states))
         rows, shorter = passed.select("block", "gram"), longer

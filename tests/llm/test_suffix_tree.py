@@ -20,11 +20,11 @@ def _tokens(text):
 class _BruteTree:
     """The same tree from plain dictionaries."""
 
-    def __init__(self, texts, p_min, depth):
+    def __init__(self, texts, least, depth):
         docs = [_tokens(t) for t in texts]
         self.counts = collections.Counter(t for d in docs for t in d)
         self.n, self.v = sum(self.counts.values()), len(self.counts)
-        self.least = max(suffix_tree.MIN_COUNT, math.ceil(p_min * self.n))
+        self.least = least
         grams = collections.Counter(tuple(d[i:i + k]) for d in docs for k in range(2, depth + 2)
                                     for i in range(len(d) - k + 1))
         frequent = {(t,) for t, c in self.counts.items() if c >= self.least} | {(END,)}
@@ -82,12 +82,12 @@ def _chained(spark, n=150):
     return spark.createDataFrame(rows, "doc_id long, text string"), dict(rows)
 
 
-@pytest.mark.parametrize("p_min,depth", [(1e-5, 4), (4e-3, 2), (1e-5, 1)])
-def test_scores_equal_a_dictionary_tree(spark, p_min, depth):
+@pytest.mark.parametrize("least,depth", [(2, 4), (20, 2), (2, 1)])
+def test_scores_equal_a_dictionary_tree(spark, least, depth):
     docs, texts = _chained(spark)
     held = common.crc32_held(F.col("doc_id"), 7, 2)
-    rows = suffix_tree.suffix_tree_scores(docs, held, p_min, depth).collect()
-    brute = _BruteTree([t for i, t in texts.items() if not _held(i)], p_min, depth)
+    rows = suffix_tree.suffix_tree_scores(docs, held, least, depth).collect()
+    brute = _BruteTree([t for i, t in texts.items() if not _held(i)], least, depth)
     assert len(rows) == len(texts) and len(brute.states) > 5
     for r in rows:
         tokens = _tokens(texts[r.doc_id])
@@ -100,7 +100,7 @@ def test_scores_equal_a_dictionary_tree(spark, p_min, depth):
 
 
 def test_states_are_distributions(spark):
-    tree = _BruteTree(_chained(spark)[1].values(), 1e-5, 3)
+    tree = _BruteTree(_chained(spark)[1].values(), 2, 3)
     assert tree.states
     for s in tree.states:
         total = sum(tree.probability(list(s), t) for t in tree.counts)
@@ -121,7 +121,7 @@ def test_held_out_text_scores_above_the_base(spark):
 def test_awkward_rows_and_empty_tables(spark):
     held = common.crc32_held(F.col("doc_id"), 7, 2)
     rows = suffix_tree.suffix_tree_scores(helpers.awkward(spark), held).collect()
-    brute = _BruteTree([r[1] for r in helpers.AWKWARD if not _held(r[0])], suffix_tree.P_MIN, suffix_tree.MAX_DEPTH)
+    brute = _BruteTree([r[1] for r in helpers.AWKWARD if not _held(r[0])], suffix_tree.MIN_COUNT, suffix_tree.MAX_DEPTH)
     want = sorted((str(r[0]), round(brute.score(r[1]), 5)) for r in helpers.AWKWARD)
     assert sorted((str(r.doc_id), round(r.score, 5)) for r in rows) == want
     assert suffix_tree.suffix_tree_scores(helpers.empty(spark), held).count() == 0
@@ -135,7 +135,7 @@ def test_small_counts_teach_in_a_large_corpus(spark):
     texts = dict(enumerate([filler] * 3 + ["glass harbour lantern violet"] * 3 + ["glass harbour lantern", "harbour lantern violet"]))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows = suffix_tree.suffix_tree_scores(docs, F.col("doc_id") >= 6, max_depth=2).where("doc_id >= 3").collect()
-    brute = _BruteTree([t for i, t in texts.items() if i < 6], 0.0, 2)
+    brute = _BruteTree([t for i, t in texts.items() if i < 6], 2, 2)
     assert len(rows) == 5 and brute.least == 2
     for r in rows:
         assert r.score == pytest.approx(brute.score(texts[r.doc_id]), rel=1e-9)
