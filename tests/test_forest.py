@@ -66,6 +66,20 @@ def test_sweep_scores_every_point(spark, data):
     assert got[(5, 8)].r2_train > got[(5, 1)].r2_train
 
 
+def test_indicator_splits_follow_the_model(spark, data):
+    """Encoded levels are split as categories."""
+    df, _ = data
+    rows = df.withColumn("u", F.concat(F.lit("l"), (F.col("id") % 5).cast("string"))).withColumn(
+        "y", F.col("y") + F.when(F.col("u") == "l3", 9).when(F.col("u") == "l1", -5).otherwise(0))
+    levels = spark.createDataFrame([("u", f"l{i}") for i in range(4)], "variabl string, ctgry_lvl string")
+    (encoded,), cols, _ = M.encode_levels([rows], levels, key="id")
+    frame = M.assemble(encoded, ["a", *cols, "b"], keep=["id", "y"]).cache()
+    model = fit(frame, 4, 6)
+    want = predictions(model.transform(frame))
+    got = T.staged_predictions(frame, T.forest_table(model), [6], [4], ["id"]).collect()
+    assert all(r.predictions[0] == pytest.approx(want[r.id]) for r in got)
+
+
 def test_limits_of_a_forest(spark, data):
     _, frame = data
     forest = T.forest_table(fit(frame, 2, 3))
