@@ -8,29 +8,32 @@ continuations are folded into the escape weight, and distributions are interpola
 with the suffix's (absolute discounting), so every state's probabilities sum to one.
 A token is scored in the state of the longest suffix of the words before it.
 
-The model grows with the corpus, so all of it is held in tables of the shared folder
-keyed by a 64-bit hash of the n-gram; the driver sees totals only, and a task only what
-its blocks look up.  All counts are over all training rows.
-
-Steps, each a Spark job over tables in the shared folder:
-
-1. Blocks of documents are cut into words; a block becomes one row of word
-   numbers, local to it, and a row per distinct word with its training count.
-2. Counts are summed by word, before they are shuffled, and joined back to the blocks'
-   word lists (one row per block and word; a frequent word is a skewed key of a join,
-   which adaptive execution splits).
-3. Each block is joined with its list: counts and hashes of its words.
-4. One pass per context length counts the n-grams whose prefix and suffix both
-   passed the length before; an n-gram cannot be more frequent than those, so none
-   that reaches the count is missed.  As with words, a row per block and n-gram, and
-   the blocks' rows are made once for the sums and once for the join.
-5. States are chosen length by length, by joins of an n-gram with its context and its
-   suffix; what a block's n-grams weigh goes back to it, and it is scored.
+The model grows with the corpus.  Words and n-grams are known by a 64-bit hash; two of
+one hash count as one.  All counts are over all training rows.
+
+Blocks of documents are cut into words once and stay where they are (a table bucketed by
+the task that cut them, so no pass shuffles them).  What a block must know of the whole
+corpus it asks for in passes: it sends, for each range of hashes, one row with its sorted
+distinct hashes (differences, compressed) and what it adds to each; the task of a range
+adds the rows up with numpy and answers each block in the block's own order.  One block
+owns each hash, so what is added once for every n-gram is added by its owner.
+
+* ``count``: training counts of words, then of the n-grams whose prefix and suffix both
+  reach the count (an n-gram cannot be more frequent than those).
+* ``mass``: for each context, the counts and number of its listed continuations.
+* ``state``: for each context, its divergence from the longest suffix, summed over the
+  continuations; the answer is whether it is a state.
+
+Pass t asks for the counts of length t, the masses of length t - 1 and the states of
+length t - 2.  A block holds the answers as short arrays and works probabilities out
+again from them, the same in every block.  A word in every block adds one entry a block
+to its range, as any other, never one an occurrence.  The driver sees totals only.
 """
 
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,42 +41,68 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import fresh_table
 from . import common, ragged
 
 MIN_COUNT = 2
 MAX_DEPTH = 4
 DISCOUNT = 0.75
 BLOCK_BYTES = 6 << 20  # arrays of a block take some twenty times as much
-END = 1  # stands for the hash of the end symbol; 0 for infrequent words
+RANGE_TOKENS = 2_000_000  # tokens of the corpus for each range of hashes
+LEAST_RANGES = 64
+MAX_BUCKETS = 50_000
+END = 1  # hash of the end symbol
+TINY = 1e-12  # least escape weight of a state
+COUNT, MASS, STATE = range(3)
+_WIDTH = {COUNT: (1, 2), MASS: (2, 2), STATE: (5, 1)}  # columns of a request, and of its answer
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 32
 
 
-def _squeeze(values: np.ndarray) -> bytes:
+def _pack(values: np.ndarray) -> bytes:
+    """Compressed bytes of an array, all first bytes of its items before all second ones."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+    values = np.ascontiguousarray(values)
+    planes = values.reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def _expand(data: bytes, dtype) -> np.ndarray:
+def _unpack(data: bytes, dtype) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=dtype)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(dtype)
 
 
-# --- 1, 2: words of blocks and their counts -----------------------------------
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
 
-_BLOCK = [("block", pa.int64()), ("doc_ids", pa.binary()), ("nulls", pa.binary()), ("held", pa.binary()),
-          ("bounds", pa.binary()), ("codes", pa.binary())]
-_WORD = [("word", pa.binary()), ("local", pa.int32()), ("n", pa.int64())]
 
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
 
-def _cut(docs: DataFrame, held) -> DataFrame:
-    """Rows of blocks (word null) and of their distinct words."""
-    schema = pa.schema(_BLOCK + _WORD)
+
+# --- blocks -------------------------------------------------------------------------
+
+_BLOCK = [("home", pa.int64()), ("block", pa.int64()), ("tokens", pa.int64()), ("trained", pa.int64()),
+          ("doc_ids", pa.binary()), ("nulls", pa.binary()), ("held", pa.binary()), ("bounds", pa.binary()),
+          ("codes", pa.binary()), ("keys", pa.binary())]
+_BLOCK_KINDS = "home long, block long, tokens long, trained long, " + ", ".join(f"{n} binary" for n, _ in _BLOCK[4:])
+
+
+def _cut(docs: DataFrame, held, buckets: int) -> DataFrame:
+    """A row per block of documents: its tokens as places in the sorted hashes of its distinct words.
+
+    Every document ends with the end symbol."""
+    schema = pa.schema(_BLOCK)
 
     def run(batches):
-        block = TaskContext.get().partitionId() << 24
+        import xxhash
+
+        home = TaskContext.get().partitionId()
+        block = home << 24
         for batch in batches:
             for part in ragged.slices(batch, "text", BLOCK_BYTES):
                 block += 1
@@ -81,218 +110,273 @@ def _cut(docs: DataFrame, held) -> DataFrame:
                 text = ragged.text_of(part.column("text"))
                 text.data = _FOLD[text.data]
                 found = ragged.words(text)
+                hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_py()) for w in found.values), dtype=np.uint64,
+                                     count=len(found.values))
+                hashes[hashes <= END] += np.uint64(2)
+                keys, place = np.unique(np.append(hashes, np.uint64(END)), return_inverse=True)
+                bounds = found.bounds + np.arange(len(found.bounds))
+                inside = np.ones(int(bounds[-1]), dtype=bool)
+                inside[bounds[1:] - 1] = False
+                codes = np.full(len(inside), place[-1], dtype=np.int32)
+                codes[inside] = place[found.codes]
                 out = part.column("held").to_numpy(zero_copy_only=False)
                 ids = part.column("doc_id")
-                trains = np.repeat(~out, np.diff(found.bounds))
-                counts = np.bincount(found.codes[trains], minlength=len(found.values))
-                none = [None] * len(_WORD)
                 yield common.batch_of(
-                    schema, [block], [_squeeze(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))],
-                    [_squeeze(ids.is_null().to_numpy(zero_copy_only=False))], [_squeeze(out)],
-                    [_squeeze(found.bounds.astype(np.int64))], [_squeeze(found.codes.astype(np.int32))],
-                    *([v] for v in none))
-                n = len(found.values)
-                empty = [pa.nulls(n, t) for _, t in _BLOCK[1:]]
-                for at in range(0, n, 20000):
-                    m = min(20000, n - at)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(m, block)), *(e.slice(at, m) for e in empty),
-                         found.values.slice(at, m).cast(pa.binary()), pa.array(np.arange(at, at + m), type=pa.int32()),
-                         pa.array(counts[at:at + m].astype(np.int64))], schema=schema)
-
-    kinds = ("block long, doc_ids binary, nulls binary, held binary, bounds binary, codes binary, "
-             "word binary, local int, n long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), "text")
-    return common.stored(rows.mapInArrow(run, kinds), "lm-blocks")
-
-
-def _counted(cut: DataFrame, least: int) -> DataFrame:
-    """block, local, word, c (training count of the word in the corpus), first (one row per word has it).
-
-    Only words with ``least`` or more are spelt out; the others are done with."""
-    listed = cut.where("word is not null").select("block", "local", "word", "n", F.xxhash64("word").alias("key"))
-    totals = listed.groupBy("key", "word").agg(F.sum("n").alias("c"), F.min("block").alias("owner"))
-    rows = listed.join(totals, ["key", "word"]).withColumn("first", F.col("owner") == F.col("block"))
-    return common.stored(rows.select("block", "local", F.when(F.col("c") >= least, F.col("word")).alias("word"), "c",
-                                     "first"), "lm-words")
-
-
-# --- 3: blocks with the counts and hashes of their words -------------------------
-
-_PLACED = [("block", pa.int64()), ("doc_ids", pa.binary()), ("nulls", pa.binary()), ("held", pa.binary()),
-           ("bounds", pa.binary()), ("symbols", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())]
-_PLACED_KINDS = "block long, " + ", ".join(f"{name} binary" for name, _ in _PLACED[1:])
-
-
-def _row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums of float rows, each added up on its own."""
-    out = np.zeros(len(bounds) - 1)
-    full = np.flatnonzero(np.diff(bounds) > 0)
-    if len(full):
-        out[full] = np.add.reduceat(values, bounds[:-1][full])
-    return out
-
-
-def _placed(cut: DataFrame, counted: DataFrame, n_end: int) -> DataFrame:
-    """Blocks with symbols (local word numbers, the next one for the end), and every symbol's count and hash."""
-    blocks = cut.where("word is null").select(*(f for f, _ in _BLOCK))
-    lists = counted.select("block", "local", "c", F.when(F.col("word").isNotNull(), F.xxhash64("word"))
-                           .otherwise(F.lit(0)).alias("gram"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        pa.default_memory_pool().release_unused()
-        row = left.to_pylist()[0]
-        local = right.column("local").to_numpy()
-        counts = np.full(len(local) + 1, n_end, dtype=np.int64)
-        keys = np.full(len(local) + 1, END, dtype=np.int64)
-        counts[local], keys[local] = right.column("c").to_numpy(), right.column("gram").to_numpy()
-        bounds, codes = _expand(row["bounds"], np.int64), _expand(row["codes"], np.int32)
-        symbols = np.full(len(codes) + len(bounds) - 1, len(local), dtype=np.int32)
-        moved = bounds + np.arange(len(bounds))  # every document ends with the end symbol
-        inside = np.ones(len(symbols), dtype=bool)
-        inside[moved[1:] - 1] = False
-        symbols[inside] = codes
-        return pa.Table.from_arrays(
-            [pa.array([row["block"]], type=pa.int64()),
-             *(pa.array([x], type=pa.binary()) for x in (row["doc_ids"], row["nulls"], row["held"], _squeeze(moved),
-                                                         _squeeze(symbols), _squeeze(counts), _squeeze(keys)))],
-            schema=pa.schema(_PLACED))
+                    schema, [home % buckets], [block], [len(codes)], [int(np.diff(bounds)[~out].sum())],
+                    [_pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))],
+                    [_pack(ids.is_null().to_numpy(zero_copy_only=False))], [_pack(out)],
+                    [_pack(bounds.astype(np.int64))], [_pack(codes)], [_pack_sorted(keys)])
 
-    return common.stored(blocks.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(run, _PLACED_KINDS),
-                         "lm-placed")
-
-
-# --- 4: n-grams that reach the count ----------------------------------------------
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), "text")
+    table, path = fresh_table(docs.sparkSession, "lm_blocks")
+    (rows.mapInArrow(run, _BLOCK_KINDS).write.bucketBy(buckets, "home").option("path", path).format("parquet")
+     .saveAsTable(table))
+    return docs.sparkSession.table(table)
 
-_GRAM = [("block", pa.int64()), ("gram", pa.int64()), ("context", pa.int64()), ("suffix", pa.int64()), ("n", pa.int64())]
-_GRAM_KINDS = "block long, gram long, context long, suffix long, n long"
 
+# --- n-grams of a block, and what it knows of them -------------------------------------
 
 def _before(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Each token's value moved to the next token of its document; 0 at the first."""
     out = np.concatenate([values[:1] * 0, values[:-1]])
-    out[bounds[:-1][np.diff(bounds) > 0]] = 0
+    out[bounds[:-1]] = 0
     return out
 
 
-def _longer(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """Hashes of n-grams from those of all words but the last and of the last word; 0 where either is 0."""
-    h = context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + symbol.view(np.uint64)
+def _longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams from those of all words but the last and of the last word."""
+    h = context * np.uint64(0x9E3779B97F4A7C15) + word
     for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
         h ^= h >> np.uint64(31)
         h *= np.uint64(factor)
-    h ^= h >> np.uint64(32)
-    h[(context == 0) | (symbol == 0)] = 0
-    return h.view(np.int64)
-
-
-def _found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of ``wanted`` in the sorted ``keys``, -1 where they are not."""
-    if not len(keys):
-        return np.full(len(wanted), -1, dtype=np.int64)
-    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[place] == wanted, place, -1)
-
-
-def _level_rows(row: dict, level: int, passed: np.ndarray | None) -> pa.Table:
-    """The distinct (level + 1)-grams of a block whose prefix and suffix passed, with their training counts in it."""
-    bounds, symbols = _expand(row["bounds"], np.int64), _expand(row["symbols"], np.int32)
-    words = _expand(row["keys"], np.int64)[symbols]
-    grams = words
-    for _ in range(1, level):
-        grams = _longer(_before(grams, bounds), words)
-    if passed is not None:
-        grams = np.where(_found(passed, grams) >= 0, grams, 0)
-    context = _before(grams, bounds)
-    at = np.flatnonzero((context != 0) & (grams != 0))
-    train = ~np.repeat(_expand(row["held"], bool), np.diff(bounds))
-    keys, first, inverse = np.unique(_longer(context[at], words[at]), return_index=True, return_inverse=True)
-    n = np.bincount(inverse, weights=train[at], minlength=len(keys)).astype(np.int64)
-    return pa.Table.from_arrays([pa.array(np.full(len(keys), row["block"], dtype=np.int64)), pa.array(keys),
-                                 pa.array(context[at][first]), pa.array(grams[at][first]), pa.array(n)],
-                                schema=pa.schema(_GRAM))
-
-
-def _count_level(placed: DataFrame, passed: DataFrame | None, level: int, least: int) -> DataFrame:
-    """block, gram, context, suffix, c, first of the (level + 1)-grams that reach ``least``: a row per block and n-gram."""
-    if passed is None:
-        def run(batches):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    pa.default_memory_pool().release_unused()
-                    yield from _level_rows(row, level, None).to_batches(max_chunksize=50000)
-
-        rows = placed.mapInArrow(run, _GRAM_KINDS)
-    else:
-        def run_passed(left: pa.Table, right: pa.Table) -> pa.Table:
-            pa.default_memory_pool().release_unused()
-            if not left.num_rows or not right.num_rows:
-                return pa.schema(_GRAM).empty_table()
-            return _level_rows(left.to_pylist()[0], level, np.sort(right.column("gram").to_numpy()))
+    return h ^ (h >> np.uint64(32))
 
-        rows = (placed.groupBy("block").cogroup(passed.select("block", "gram").groupBy("block"))
-                .applyInArrow(run_passed, _GRAM_KINDS))
-    totals = (rows.groupBy("gram").agg(F.sum("n").alias("c"), F.min("block").alias("owner")).where(F.col("c") >= least))
-    counted = rows.join(totals, "gram").withColumn("first", F.col("owner") == F.col("block"))
-    return common.stored(counted.drop("n", "owner"), f"lm-grams-{level}")
 
+class _Length:
+    """The distinct n-grams of one length in a block whose prefix and suffix reach the count.
 
-# --- 5: states, and the scores of blocks -------------------------------------------
+    ``keys`` sorted hashes; ``context``, ``suffix`` places in the length before; ``n`` training
+    counts in the block; ``at`` each token's place, -1 where its n-gram is not listed.  With answers:
+    ``c`` counts in the corpus, ``own``, ``listed`` (reaches the count), ``p`` probabilities, and of each
+    n-gram as a context: ``mass`` (sum of counts), ``entries``, ``escape`` and ``state``.
+    """
 
-def _states(grams: DataFrame, shorter: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gram, c, p) and (context, escape) of one length, from ``grams(gram, context, suffix, c)``.
+    def __init__(self, keys, context, suffix, n):
+        self.keys, self.context, self.suffix, self.n = keys, context, suffix, n
+        self.c = self.p = self.mass = self.state = None
 
-    ``shorter(gram, c, p)`` is the length before.  ``p`` is the probability of an n-gram's last word in
-    the state of the longest suffix of the words before it; ``escape`` the suffix's weight in a state.
-    An n-gram's suffix is at least as frequent, so it is in ``shorter``, and so is its context.
-    """
-    kept = F.greatest(F.col("c") - DISCOUNT, F.lit(0.0))
-    totals = shorter.select(F.col("gram").alias("context"), F.col("c").alias("total"))
-    parents = shorter.select(F.col("gram").alias("suffix"), F.col("p").alias("parent"))
-    contexts = (grams.groupBy("context").agg(F.sum(kept).alias("mass"), F.count(F.lit(1)).alias("entries"))
-                .join(totals, "context").select("context", "total", "entries",
-                                                (1.0 - F.col("mass") / F.col("total")).alias("escape")))
-    # written as it is joined: no aggregate keeps the planner from splitting a skewed join
-    own = common.stored(grams.join(parents, "suffix").join(contexts, "context").withColumn(
-        "own", kept / F.col("total") + F.col("escape") * F.col("parent")), "lm-own")
-    # N * divergence from the suffix's distribution: listed symbols, and all the others at once
-    logs = F.log(F.greatest("escape", F.lit(1e-12)))
-    rest = F.greatest(F.col("escape") * (1.0 - F.col("listed")), F.lit(0.0))
-    gains = own.groupBy("context").agg(
-        F.first("total").alias("total"), F.first("entries").alias("entries"), F.first("escape").alias("escape"),
-        F.sum("parent").alias("listed"), F.sum(F.col("total") * F.col("own") * F.log(F.col("own") / F.col("parent"))).alias("gain"))
-    states = common.stored(gains.where(F.col("gain") + F.col("total") * rest * logs >= 2.0 * (F.col("entries") + 1))
-                           .select("context", F.greatest("escape", F.lit(1e-12)).alias("escape")), "lm-states")
-    chosen = own.join(states.select("context", F.lit(True).alias("state")), "context", "left")
-    return common.stored(chosen.select("gram", "c", F.when(F.col("state"), F.col("own")).otherwise(F.col("parent")).alias("p")),
-                         "lm-probabilities"), states
-
-
-def _token_scores(symbols: np.ndarray, bounds: np.ndarray, words: np.ndarray, base: np.ndarray, depth: int,
-                  level: np.ndarray, gram: np.ndarray, p: np.ndarray, escape: np.ndarray) -> np.ndarray:
-    """log10 probability of every token, from what the block's n-grams weigh (``level`` words before the last)."""
-    tables = []
-    for k in range(depth + 1):
-        at = np.flatnonzero(level == k)
-        at = at[np.argsort(gram[at])]
-        tables.append((gram[at], np.log10(p[at]), np.log10(escape[at])))
-    grams, scores, escapes = words, [], []
+
+def _lengths(row: dict, got: dict, least: int, depth: int, n_total: int, v: int) -> list[_Length]:
+    """Lengths 0 to ``depth`` of a block, as far as the answers ``got`` by (kind, length) reach."""
+    bounds, codes = _unpack(row["bounds"], np.int64), _unpack(row["codes"], np.int32)
+    train = np.repeat(~_unpack(row["held"], bool), np.diff(bounds)).astype(np.float64)
+    keys = _unpack_sorted(row["keys"])
+    words = keys[codes]
+    places, codes = np.arange(len(codes)), codes.astype(np.int64)
+    hashes, context, suffix = words, None, None
+    out = []
     for k in range(depth + 1):
-        grams = _longer(_before(grams, bounds), words) if k else grams
-        keys, log_p, log_escape = tables[k]
-        at = _found(keys, grams)
-        scores.append(np.where(at >= 0, np.append(log_p, 0.0)[at], np.nan))
-        escapes.append(_before(np.where(at >= 0, np.append(log_escape, 0.0)[at], 0.0), bounds))
-    out, todo = np.zeros(len(symbols)), np.ones(len(symbols), dtype=bool)
-    for k in range(depth, 0, -1):
-        hit = todo & ~np.isnan(scores[k])
-        out[hit] += scores[k][hit]
+        if k:
+            last = out[-1]
+            if last.c is None:
+                break
+            before = _before(last.at + 1, bounds) - 1
+            places = np.flatnonzero((before >= 0) & (last.at >= 0))
+            hashes = _longer(_before(hashes, bounds)[places], words[places])
+            keys, first, codes = np.unique(hashes, return_index=True, return_inverse=True)
+            context, suffix = before[places][first], last.at[places][first]
+        new = _Length(keys, context, suffix, np.bincount(codes, weights=train[places], minlength=len(keys)).astype(np.int64))
+        out.append(new)
+        if (COUNT, k) not in got:
+            break
+        new.c, own = got[COUNT, k]
+        new.own = own > 0
+        new.listed = (new.c >= least) | ((new.keys == END) if k == 0 else False)
+        new.at = np.full(len(words), -1, dtype=np.int64)
+        new.at[places] = np.where(new.listed[codes], codes, -1)
+        spread = np.zeros(len(words), dtype=np.uint64)
+        spread[places] = hashes
+        hashes = spread
+    for k, new in enumerate(out[:-1]):
+        if (MASS, k + 1) in got:
+            new.mass, new.entries = (np.zeros(len(new.keys), dtype=np.int64) for _ in range(2))
+            new.mass[new.listed], new.entries[new.listed] = got[MASS, k + 1]
+            new.escape = _escape(new.c, new.mass, new.entries)
+        if (STATE, k + 1) in got:
+            new.state = np.zeros(len(new.keys), dtype=bool)
+            new.state[new.entries > 0] = got[STATE, k + 1][0] > 0
+    for k, new in enumerate(out):
+        if k == 0 and new.c is not None:
+            new.p = (new.c + 1.0) / float(n_total + v + 1)
+        elif k and out[k - 1].state is not None:
+            own, parent = _weights(new, out[k - 1])
+            new.p = np.where(out[k - 1].state[new.context], own, parent)
+    return out
+
+
+def _escape(total: np.ndarray, mass: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    return 1.0 - (mass - DISCOUNT * entries) / np.maximum(total, 1)
+
+
+def _weights(new: _Length, last: _Length) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of n-grams in their context were it a state, and in its suffix."""
+    parent = last.p[new.suffix]
+    return np.maximum(new.c - DISCOUNT, 0.0) / np.maximum(last.c[new.context], 1) + last.escape[new.context] * parent, parent
+
+
+# --- passes: requests of blocks, answers of ranges ---------------------------------------
+
+_ASK = [("home", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("length", pa.int32()), ("part", pa.int64()),
+        ("keys", pa.binary()), ("columns", pa.binary())]
+_ASK_KINDS = "home long, block long, kind int, length int, part long, keys binary, columns binary"
+_ANSWER = [*_ASK[:5], ("fresh", pa.int64()), ("columns", pa.binary())]
+_ANSWER_KINDS = "home long, block long, kind int, length int, part long, fresh long, columns binary"
+
+
+def _requests(lengths: list[_Length], kind: int, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted hashes a block asks about, and what it adds to each."""
+    new = lengths[k]
+    if kind == COUNT:
+        return new.keys, [new.n]
+    last = lengths[k - 1]
+    mine = new.own & new.listed  # every n-gram is added once in the corpus
+    of, size = new.context[mine], len(last.keys)
+    if kind == MASS:
+        mass = np.bincount(of, weights=new.c[mine], minlength=size).astype(np.int64)
+        return last.keys[last.listed], [mass[last.listed], np.bincount(of, minlength=size)[last.listed]]
+    own, parent = (x[mine] for x in _weights(new, last))
+    gain = np.bincount(of, weights=last.c[of] * own * np.log(own / parent), minlength=size)
+    listed = np.bincount(of, weights=parent, minlength=size)
+    asked = last.entries > 0
+    once = [np.where(last.own, x, 0)[asked] for x in (last.c, last.mass, last.entries)]
+    return last.keys[asked], [gain[asked].view(np.int64), listed[asked].view(np.int64), *once]
+
+
+def _answers(right: pa.Table) -> dict:
+    """Answers of a home by block, then by (kind, length): arrays in the order of the block's hashes.
+
+    A block that asked about nothing in a step has no answer to it."""
+    rows = right.select(["block", "kind", "length", "part", "columns"]).sort_by(
+        [("block", "ascending"), ("kind", "ascending"), ("length", "ascending"), ("part", "ascending")]).to_pydict()
+    pieces: dict = {}
+    for block, kind, length, data in zip(rows["block"], rows["kind"], rows["length"], rows["columns"]):
+        pieces.setdefault(block, {}).setdefault((kind, length), []).append(
+            _unpack(data, np.int64).reshape(_WIDTH[kind][1], -1))
+    return {b: {step: np.concatenate(x, axis=1) for step, x in steps.items()} for b, steps in pieces.items()}
+
+
+def _of_block(known: dict, block: int, done: list[tuple[int, int]]) -> dict:
+    """A block's answers to all the steps that are done."""
+    return {step: np.zeros((_WIDTH[step[0]][1], 0), dtype=np.int64) for step in done} | known.pop(block, {})
+
+
+def _state_bits(gain, listed, total, mass, entries) -> np.ndarray:
+    """Whether contexts are states: total times the divergence, of listed symbols and of all others at once."""
+    escape = _escape(total, mass, entries)
+    rest = np.maximum(escape * (1.0 - listed), 0.0)
+    return gain + total * rest * np.log(np.maximum(escape, TINY)) >= 2.0 * (entries + 1)
+
+
+def _add_up(group: pa.Table, least: int) -> pa.Table:
+    """Answers of one range of hashes and one step."""
+    pa.default_memory_pool().release_unused()
+    group = group.sort_by("block")  # sums of floats, and owners, in one order
+    kind, k = group.column("kind")[0].as_py(), group.column("length")[0].as_py()
+    keys = [_unpack_sorted(x) for x in group.column("keys").to_pylist()]
+    bounds = np.cumsum([0, *map(len, keys)])
+    columns = np.concatenate([_unpack(x, np.int64).reshape(_WIDTH[kind][0], -1) for x in group.column("columns").to_pylist()],
+                             axis=1)
+    _, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+
+    def total(i, floats=False):
+        sums = np.bincount(inverse, weights=columns[i].view(np.float64) if floats else columns[i], minlength=len(first))
+        return sums if floats else sums.astype(np.int64)
+
+    fresh = np.zeros(bounds[-1], dtype=np.int64)
+    if kind == COUNT:
+        c = total(0)
+        fresh[first] = c > 0
+        own = np.zeros(bounds[-1], dtype=np.int64)
+        own[first] = 1
+        found = [(c if k == 0 else np.where(c >= least, c, 0))[inverse], own]
+    elif kind == MASS:
+        found = [total(0)[inverse], total(1)[inverse]]
+    else:
+        bits = _state_bits(total(0, True), total(1, True), total(2), total(3), total(4))
+        found = [bits.astype(np.int64)[inverse]]
+    answer = np.stack(found)
+    counted = np.concatenate([[0], np.cumsum(fresh)])
+    return pa.Table.from_arrays(
+        [*(group.column(n).combine_chunks() for n, _ in _ASK[:5]), pa.array(counted[bounds[1:]] - counted[bounds[:-1]]),
+         pa.array([_pack(answer[:, a:b]) for a, b in zip(bounds[:-1], bounds[1:])], type=pa.binary())],
+        schema=pa.schema(_ANSWER))
+
+
+def _pass(blocks: DataFrame, answers: DataFrame, done: list[tuple[int, int]], steps: list[tuple[int, int]], parts: int,
+          least: int, n_total: int, v: int) -> DataFrame:
+    """Ask for ``steps`` of (kind, length) with the answers to those ``done``."""
+    reach = max(k for _, k in steps)
+    schema = pa.schema(_ASK)
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, out = _answers(right), []
+        for i in range(left.num_rows):
+            pa.default_memory_pool().release_unused()
+            row = left.slice(i, 1).to_pylist()[0]
+            lengths = _lengths(row, _of_block(known, row["block"], done), least, reach, n_total, v)
+            for kind, k in steps:
+                keys, columns = _requests(lengths, kind, k)
+                part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+                columns = np.stack(columns)
+                full = np.flatnonzero(np.diff(cuts))
+                out.append(pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(full), x), type=t.type) for x, t in zip((row["home"], row["block"], kind, k), schema)]
+                    + [pa.array(full, type=pa.int64()),
+                       pa.array([_pack_sorted(keys[cuts[j]:cuts[j + 1]]) for j in full], type=pa.binary()),
+                       pa.array([_pack(columns[:, cuts[j]:cuts[j + 1]]) for j in full], type=pa.binary())], schema=schema))
+        return pa.Table.from_batches(out, schema=schema)
+
+    asked = blocks.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(ask, _ASK_KINDS)
+    told = asked.groupBy("part", "kind", "length").applyInArrow(lambda group: _add_up(group, least), _ANSWER_KINDS)
+    return common.stored(told, "lm-answers")
+
+
+@contextmanager
+def _short_shuffles(spark):
+    """Shuffle files of a job go when the job is done: its result is a written table."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+# --- scores -----------------------------------------------------------------------------
+
+def _token_scores(lengths: list[_Length], bounds: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """log10 probability of every token: its n-gram's at the longest listed length, and the escapes on the way there."""
+    out, todo = np.zeros(len(base)), np.ones(len(base), dtype=bool)
+    for k in range(len(lengths) - 1, 0, -1):
+        new, last = lengths[k], lengths[k - 1]
+        hit = todo & (new.at >= 0)
+        out[hit] += np.log10(new.p[new.at[hit]])
         todo &= ~hit
-        out[todo] += escapes[k - 1][todo]
-    out[todo] += base[symbols[todo]]
+        context = _before(last.at + 1, bounds) - 1
+        weights = np.where(last.state, np.log10(np.maximum(last.escape, TINY)), 0.0)
+        leave = todo & (context >= 0)
+        out[leave] += weights[context[leave]]
+    out[todo] += base[todo]
     return out
 
 
+def _row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of rows, each added up on its own; no row is empty."""
+    return np.add.reduceat(values, bounds[:-1])
+
+
 def suffix_tree_scores(docs: DataFrame, held, min_count: int = MIN_COUNT, max_depth: int = MAX_DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs(doc_id, text)``.
 
@@ -301,60 +385,45 @@ def suffix_tree_scores(docs: DataFrame, held, min_count: int = MIN_COUNT, max_de
     row.  Null text is empty: its end alone.  Without training rows both scores
     are those of a uniform choice among one token: 0.
     """
-    cut = _cut(docs, held)
-    n_end = docs.where(~held).count()
-    n = (cut.agg(F.sum("n")).first()[0] or 0) + n_end
-    counted = _counted(cut, min_count)
-    v = counted.where(F.col("first") & (F.col("c") > 0)).count() + int(n_end > 0)
+    spark = docs.sparkSession
+    with _short_shuffles(spark):
+        blocks = _cut(docs, held, max(1, min(docs.rdd.getNumPartitions(), MAX_BUCKETS)))
+        tokens, n = (x or 0 for x in blocks.agg(F.sum("tokens"), F.sum("trained")).first())
+        parts = max(LEAST_RANGES, -(-tokens // RANGE_TOKENS))
+        answers, v, done = spark.createDataFrame([], _ANSWER_KINDS), 0, []
+        for t in range(max_depth + 3):
+            steps = [(kind, t - kind) for kind in (COUNT, MASS, STATE) if (0 if kind == COUNT else 1) <= t - kind <= max_depth]
+            told = _pass(blocks, answers, list(done), steps, parts, min_count, n, v)
+            done += steps
+            if t == 0:
+                v = told.agg(F.sum("fresh")).first()[0] or 0
+                answers = told
+            else:
+                answers = answers.unionByName(told)
+
     log_n = math.log10(n + v + 1)
-    placed = _placed(cut, counted, n_end)
-
-    words = counted.where("word is not null").select("block", F.xxhash64("word").alias("gram"), "c", "first")
-    end = docs.sparkSession.range(1).select(F.lit(END).cast("long").alias("gram"), F.lit(n_end).cast("long").alias("c"))
-    shorter = (words.where("first").select("gram", "c").union(end)
-               .withColumn("p", (F.col("c") + 1.0) / float(n + v + 1)))
-    rows, passed, weights = words.select("block", "gram"), None, []
-    for level in range(1, max_depth + 1):
-        passed = _count_level(placed, passed, level, min_count)
-        longer, states = _states(passed.where("first").select("gram", "context", "suffix", "c"), shorter)
-        weights.append((rows, shorter, states))
-        rows, shorter = passed.select("block", "gram"), longer
-    weights.append((rows, shorter, None))
-
-    looked_up = None
-    for level, (rows, known, states) in enumerate(weights):
-        found = known.select("gram", "p")
-        if states is not None:
-            found = found.join(states.select(F.col("context").alias("gram"), "escape"), "gram", "left")
-        else:
-            found = found.withColumn("escape", F.lit(None).cast("double"))
-        mine = rows.join(found, "gram").select("block", F.lit(level).alias("level"), "gram", "p",
-                                               F.coalesce("escape", F.lit(1.0)).alias("escape"))
-        looked_up = mine if looked_up is None else looked_up.unionByName(mine)
-    looked_up = common.stored(looked_up, "lm-weights")
-
-    names = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-             ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
-    schema = pa.schema(names)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        pa.default_memory_pool().release_unused()
-        row = left.to_pylist()[0]
-        bounds, symbols = _expand(row["bounds"], np.int64), _expand(row["symbols"], np.int32)
-        counts = _expand(row["counts"], np.int64)
-        base = np.log10(counts + 1.0) - log_n
-        scores = _token_scores(symbols, bounds, _expand(row["keys"], np.int64)[symbols], base, max_depth,
-                               *(right.column(c).to_numpy() for c in ("level", "gram", "p", "escape")))
-        known = np.concatenate([[0], np.cumsum(counts[symbols] > 0)])[bounds]
-        return pa.Table.from_arrays(
-            [pa.array(_expand(row["doc_ids"], np.int64), mask=_expand(row["nulls"], bool)),
-             pa.array(_expand(row["held"], bool)), pa.array(np.diff(bounds)), pa.array(np.diff(known)),
-             pa.array(np.full(len(bounds) - 1, n, dtype=np.int64)), pa.array(_row_sums(base[symbols], bounds)),
-             pa.array(_row_sums(scores, bounds))], schema=schema)
-
-    return (placed.groupBy("block").cogroup(looked_up.groupBy("block"))
-            .applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                               "base_score double, score double"))
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                        ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, out = _answers(right), []
+        for i in range(left.num_rows):
+            pa.default_memory_pool().release_unused()
+            row = left.slice(i, 1).to_pylist()[0]
+            lengths = _lengths(row, _of_block(known, row["block"], done), min_count, max_depth, n, v)
+            bounds, codes = _unpack(row["bounds"], np.int64), _unpack(row["codes"], np.int32)
+            base = (np.log10(lengths[0].c + 1.0) - log_n)[codes]
+            taught = np.concatenate([[0], np.cumsum(lengths[0].c[codes] > 0)])[bounds]
+            out.append(pa.RecordBatch.from_arrays(
+                [pa.array(_unpack(row["doc_ids"], np.int64), mask=_unpack(row["nulls"], bool)),
+                 pa.array(_unpack(row["held"], bool)), pa.array(np.diff(bounds)), pa.array(np.diff(taught)),
+                 pa.array(np.full(len(bounds) - 1, n, dtype=np.int64)), pa.array(_row_sums(base, bounds)),
+                 pa.array(_row_sums(_token_scores(lengths, bounds, base), bounds))], schema=schema))
+        return pa.Table.from_batches(out, schema=schema)
+
+    return blocks.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(
+        score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
+               "score double")
 
 
 def query(spark, sf_dir) -> DataFrame:
