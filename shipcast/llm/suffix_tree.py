@@ -136,11 +136,15 @@ def _cut(docs: DataFrame, held, buckets: int) -> DataFrame:
 
 # --- n-grams of a block, and what it knows of them -------------------------------------
 
-def _before(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Each token's value moved to the next token of its document; 0 at the first."""
-    out = np.concatenate([values[:1] * 0, values[:-1]])
-    out[bounds[:-1]] = 0
-    return out
+def _grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, a place of each among ``hashes``, and the number of each place's hash."""
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    new = np.ones(len(hashes), dtype=bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=new[1:])
+    number = np.empty(len(hashes), dtype=np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return hashes[new], order[new], number
 
 
 def _longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -155,48 +159,53 @@ def _longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 class _Length:
     """The distinct n-grams of one length in a block whose prefix and suffix reach the count.
 
-    ``keys`` sorted hashes; ``context``, ``suffix`` places in the length before; ``n`` training
-    counts in the block; ``at`` each token's place, -1 where its n-gram is not listed.  With answers:
-    ``c`` counts in the corpus, ``own``, ``listed`` (reaches the count), ``p`` probabilities, and of each
-    n-gram as a context: ``mass`` (sum of counts), ``entries``, ``escape`` and ``state``.
+    ``keys`` sorted hashes; ``context``, ``suffix`` places in the length before.  Unanswered: ``n``,
+    training counts in the block.  With answers: ``c`` counts in the corpus, ``own``, ``listed`` (reaches
+    the count), ``at`` each token's place (-1 where its n-gram is not listed), ``p`` probabilities, and of
+    each n-gram as a context: ``mass`` (sum of counts), ``entries``, ``escape`` and ``state``.
     """
 
-    def __init__(self, keys, context, suffix, n):
-        self.keys, self.context, self.suffix, self.n = keys, context, suffix, n
-        self.c = self.p = self.mass = self.state = None
+    def __init__(self, keys, context, suffix):
+        self.keys, self.context, self.suffix = keys, context, suffix
+        self.n = self.c = self.at = self.p = self.mass = self.state = None
+
 
+def _lengths(row: dict, got: dict, least: int, depth: int, n_total: int, v: int, scored: bool = False) -> list[_Length]:
+    """Lengths 0 to ``depth`` of a block, as far as the answers ``got`` by (kind, length) reach.
 
-def _lengths(row: dict, got: dict, least: int, depth: int, n_total: int, v: int) -> list[_Length]:
-    """Lengths 0 to ``depth`` of a block, as far as the answers ``got`` by (kind, length) reach."""
+    ``at`` is kept if they are to be ``scored``."""
     bounds, codes = _unpack(row["bounds"], np.int64), _unpack(row["codes"], np.int32)
-    train = np.repeat(~_unpack(row["held"], bool), np.diff(bounds)).astype(np.float64)
     keys = _unpack_sorted(row["keys"])
-    words = keys[codes]
-    places, codes = np.arange(len(codes)), codes.astype(np.int64)
-    hashes, context, suffix = words, None, None
-    out = []
+    words = hashes = keys[codes]
+    places, context, suffix, out = slice(None), None, None, []
     for k in range(depth + 1):
         if k:
             last = out[-1]
-            if last.c is None:
-                break
-            before = _before(last.at + 1, bounds) - 1
-            places = np.flatnonzero((before >= 0) & (last.at >= 0))
-            hashes = _longer(_before(hashes, bounds)[places], words[places])
-            keys, first, codes = np.unique(hashes, return_index=True, return_inverse=True)
-            context, suffix = before[places][first], last.at[places][first]
-        new = _Length(keys, context, suffix, np.bincount(codes, weights=train[places], minlength=len(keys)).astype(np.int64))
+            listed = last.at >= 0
+            follows = listed.copy()
+            follows[1:] &= listed[:-1]
+            follows[bounds[:-1]] = False
+            places = np.flatnonzero(follows)
+            grams = _longer(hashes[places - 1], words[places])
+            keys, first, codes = _grouped(grams)
+            first = places[first]
+            context, suffix = last.at[first - 1], last.at[first]
+            hashes = np.empty(len(words), dtype=np.uint64)  # read only where an n-gram is listed
+            hashes[places] = grams
+            if not scored:
+                last.at = None
+        new = _Length(keys, context, suffix)
         out.append(new)
         if (COUNT, k) not in got:
+            train = np.repeat(~_unpack(row["held"], bool), np.diff(bounds))
+            new.n = np.bincount(codes, weights=train[places], minlength=len(keys)).astype(np.int64)
             break
         new.c, own = got[COUNT, k]
         new.own = own > 0
         new.listed = (new.c >= least) | ((new.keys == END) if k == 0 else False)
-        new.at = np.full(len(words), -1, dtype=np.int64)
-        new.at[places] = np.where(new.listed[codes], codes, -1)
-        spread = np.zeros(len(words), dtype=np.uint64)
-        spread[places] = hashes
-        hashes = spread
+        if k < depth or scored:
+            new.at = np.full(len(words), -1, dtype=np.int32)
+            new.at[places] = np.where(new.listed, np.arange(len(keys), dtype=np.int32), np.int32(-1))[codes]
     for k, new in enumerate(out[:-1]):
         if (MASS, k + 1) in got:
             new.mass, new.entries = (np.zeros(len(new.keys), dtype=np.int64) for _ in range(2))
@@ -253,21 +262,25 @@ def _requests(lengths: list[_Length], kind: int, k: int) -> tuple[np.ndarray, li
 
 
 def _answers(right: pa.Table) -> dict:
-    """Answers of a home by block, then by (kind, length): arrays in the order of the block's hashes.
+    """Answers of a home by block, then by (kind, length), compressed, in the order of the block's hashes.
 
     A block that asked about nothing in a step has no answer to it."""
     rows = right.select(["block", "kind", "length", "part", "columns"]).sort_by(
         [("block", "ascending"), ("kind", "ascending"), ("length", "ascending"), ("part", "ascending")]).to_pydict()
     pieces: dict = {}
     for block, kind, length, data in zip(rows["block"], rows["kind"], rows["length"], rows["columns"]):
-        pieces.setdefault(block, {}).setdefault((kind, length), []).append(
-            _unpack(data, np.int64).reshape(_WIDTH[kind][1], -1))
-    return {b: {step: np.concatenate(x, axis=1) for step, x in steps.items()} for b, steps in pieces.items()}
+        pieces.setdefault(block, {}).setdefault((kind, length), []).append(data)
+    return pieces
 
 
 def _of_block(known: dict, block: int, done: list[tuple[int, int]]) -> dict:
     """A block's answers to all the steps that are done."""
-    return {step: np.zeros((_WIDTH[step[0]][1], 0), dtype=np.int64) for step in done} | known.pop(block, {})
+    mine, out = known.pop(block, {}), {}
+    for kind, k in done:
+        width = _WIDTH[kind][1]
+        found = [_unpack(x, np.int64).reshape(width, -1) for x in mine.pop((kind, k), [])]
+        out[kind, k] = np.concatenate(found, axis=1) if found else np.zeros((width, 0), dtype=np.int64)
+    return out
 
 
 def _state_bits(gain, listed, total, mass, entries) -> np.ndarray:
@@ -286,7 +299,7 @@ def _add_up(group: pa.Table, least: int) -> pa.Table:
     bounds = np.cumsum([0, *map(len, keys)])
     columns = np.concatenate([_unpack(x, np.int64).reshape(_WIDTH[kind][0], -1) for x in group.column("columns").to_pylist()],
                              axis=1)
-    _, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    _, first, inverse = _grouped(np.concatenate(keys))
 
     def total(i, floats=False):
         sums = np.bincount(inverse, weights=columns[i].view(np.float64) if floats else columns[i], minlength=len(first))
@@ -316,6 +329,7 @@ def _pass(blocks: DataFrame, answers: DataFrame, done: list[tuple[int, int]], st
           least: int, n_total: int, v: int) -> DataFrame:
     """Ask for ``steps`` of (kind, length) with the answers to those ``done``."""
     reach = max(k for _, k in steps)
+    starts = np.array([-(-(j << 32) // parts) << 32 for j in range(parts)], dtype=np.uint64)
     schema = pa.schema(_ASK)
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -326,8 +340,7 @@ def _pass(blocks: DataFrame, answers: DataFrame, done: list[tuple[int, int]], st
             lengths = _lengths(row, _of_block(known, row["block"], done), least, reach, n_total, v)
             for kind, k in steps:
                 keys, columns = _requests(lengths, kind, k)
-                part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-                cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+                cuts = np.append(np.searchsorted(keys, starts), len(keys))
                 columns = np.stack(columns)
                 full = np.flatnonzero(np.diff(cuts))
                 out.append(pa.RecordBatch.from_arrays(
@@ -364,7 +377,8 @@ def _token_scores(lengths: list[_Length], bounds: np.ndarray, base: np.ndarray)
         hit = todo & (new.at >= 0)
         out[hit] += np.log10(new.p[new.at[hit]])
         todo &= ~hit
-        context = _before(last.at + 1, bounds) - 1
+        context = np.append(np.int32(-1), last.at[:-1])
+        context[bounds[:-1]] = -1
         weights = np.where(last.state, np.log10(np.maximum(last.escape, TINY)), 0.0)
         leave = todo & (context >= 0)
         out[leave] += weights[context[leave]]
@@ -410,7 +424,7 @@ def suffix_tree_scores(docs: DataFrame, held, min_count: int = MIN_COUNT, max_de
         for i in range(left.num_rows):
             pa.default_memory_pool().release_unused()
             row = left.slice(i, 1).to_pylist()[0]
-            lengths = _lengths(row, _of_block(known, row["block"], done), min_count, max_depth, n, v)
+            lengths = _lengths(row, _of_block(known, row["block"], done), min_count, max_depth, n, v, scored=True)
             bounds, codes = _unpack(row["bounds"], np.int64), _unpack(row["codes"], np.int32)
             base = (np.log10(lengths[0].c + 1.0) - log_n)[codes]
             taught = np.concatenate([[0], np.cumsum(lengths[0].c[codes] > 0)])[bounds]
