@@ -139,3 +139,14 @@ def test_small_counts_teach_in_a_large_corpus(spark):
     assert len(rows) == 5 and brute.least == 2
     for r in rows:
         assert r.score == pytest.approx(brute.score(texts[r.doc_id]), rel=1e-9)
+
+
+def test_query_equals_a_dictionary_tree_on_a_whole_table(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in common.documents(spark, sf_dir).collect()}
+    brute = _BruteTree([t for i, t in texts.items() if not _held(i)], suffix_tree.MIN_COUNT, suffix_tree.MAX_DEPTH)
+    rows = suffix_tree.query(spark, sf_dir).collect()
+    assert len(rows) == len(texts) and brute.states
+    for r in rows:
+        assert (r.train_tokens, r.n_tokens) == (brute.n, len(_tokens(texts[r.doc_id])))
+        assert r.score == pytest.approx(brute.score(texts[r.doc_id]), rel=1e-9)
