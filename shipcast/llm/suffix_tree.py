@@ -12,7 +12,7 @@ The model grows with the corpus.  Words and n-grams are known by a 64-bit hash;
 one hash count as one.  All counts are over all training rows.
 
 Blocks of documents are cut into words once and stay where they are (a table bucketed by
-the task that cut them, so no pass shuffles them).  What a block must know of the whole
+the task that cut them, and so are their answers: no pass shuffles what it has).  What a block must know of the whole
 corpus it asks for in passes: it sends, for each range of hashes, one row with its sorted
 distinct hashes (differences, compressed) and what it adds to each; the task of a range
 adds the rows up with numpy and answers each block in the block's own order.  One block
@@ -54,26 +54,44 @@ MAX_BUCKETS = 50_000
 END = 1  # hash of the end symbol
 TINY = 1e-12  # least escape weight of a state
 COUNT, MASS, STATE = range(3)
-_WIDTH = {COUNT: (1, 2), MASS: (2, 2), STATE: (5, 1)}  # columns of a request, and of its answer
+_WIDTH = {COUNT: 2, MASS: 2, STATE: 1}  # columns of an answer
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 32
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Compressed bytes of an array, all first bytes of its items before all second ones."""
+def _pack(*columns: np.ndarray) -> bytes:
+    """Compressed bytes of arrays of one length, whole numbers in the least width that holds them.
+
+    All first bytes of an array's items go before all second ones."""
     import zstandard
 
-    values = np.ascontiguousarray(values)
-    planes = values.reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    sizes, planes = [], []
+    for values in columns:
+        values = np.ascontiguousarray(values)
+        if values.dtype.kind in "iu" and len(values) and values.min() >= 0:
+            values = values.astype(np.min_scalar_type(values.max()), copy=False)
+        sizes.append(values.itemsize)
+        planes.append(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).reshape(-1))
+    head = np.array([len(sizes), *sizes], dtype=np.uint8)
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate([head, *planes]))
 
 
-def _unpack(data: bytes, dtype) -> np.ndarray:
+def _unpack_all(data: bytes, dtype) -> list[np.ndarray]:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(dtype)
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    sizes = data[1:data[0] + 1].tolist()
+    at, n, out = len(sizes) + 1, (len(data) - len(sizes) - 1) // sum(sizes), []
+    for size in sizes:
+        planes = np.ascontiguousarray(data[at:at + n * size].reshape(size, n).T).reshape(-1)
+        at += n * size
+        full = size == np.dtype(dtype).itemsize
+        out.append(planes.view(dtype) if full else planes.view(f"u{size}").astype(dtype))
+    return out
+
+
+def _unpack(data: bytes, dtype) -> np.ndarray:
+    return _unpack_all(data, dtype)[0]
 
 
 def _pack_sorted(keys: np.ndarray) -> bytes:
@@ -110,7 +128,7 @@ def _cut(docs: DataFrame, held, buckets: int) -> DataFrame:
                 text = ragged.text_of(part.column("text"))
                 text.data = _FOLD[text.data]
                 found = ragged.words(text)
-                hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_py()) for w in found.values), dtype=np.uint64,
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, found.values.to_pylist()), dtype=np.uint64,
                                      count=len(found.values))
                 hashes[hashes <= END] += np.uint64(2)
                 keys, place = np.unique(np.append(hashes, np.uint64(END)), return_inverse=True)
@@ -128,18 +146,32 @@ def _cut(docs: DataFrame, held, buckets: int) -> DataFrame:
                     [_pack(bounds.astype(np.int64))], [_pack(codes)], [_pack_sorted(keys)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), "text")
-    table, path = fresh_table(docs.sparkSession, "lm_blocks")
-    (rows.mapInArrow(run, _BLOCK_KINDS).write.bucketBy(buckets, "home").option("path", path).format("parquet")
-     .saveAsTable(table))
-    return docs.sparkSession.table(table)
+    return _bucketed(rows.mapInArrow(run, _BLOCK_KINDS), buckets, fresh_table(docs.sparkSession, "lm_blocks"))
 
 
 # --- n-grams of a block, and what it knows of them -------------------------------------
 
+def _sorted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the hashes in ascending order, and the hashes in it.
+
+    Sorts their leading bits with the place in the bits below, which is faster than argsort; should hashes
+    differ in the bits below only, and not come out in order, argsort it is."""
+    low = np.uint64(max(len(hashes) - 1, 1).bit_length())
+    packed = hashes >> low << low
+    packed |= np.arange(len(hashes), dtype=np.uint64)
+    packed.sort()
+    packed &= (np.uint64(1) << low) - np.uint64(1)
+    order = packed.view(np.int64)
+    found = hashes[order]
+    if not np.all(found[1:] >= found[:-1]):
+        order = np.argsort(hashes)
+        found = hashes[order]
+    return order, found
+
+
 def _grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct hashes, a place of each among ``hashes``, and the number of each place's hash."""
-    order = np.argsort(hashes)
-    hashes = hashes[order]
+    order, hashes = _sorted(hashes)
     new = np.ones(len(hashes), dtype=bool)
     np.not_equal(hashes[1:], hashes[:-1], out=new[1:])
     number = np.empty(len(hashes), dtype=np.int32)
@@ -171,7 +203,7 @@ class _Length:
 
 
 def _lengths(row: dict, got: dict, least: int, depth: int, n_total: int, v: int, scored: bool = False) -> list[_Length]:
-    """Lengths 0 to ``depth`` of a block, as far as the answers ``got`` by (kind, length) reach.
+    """Lengths 0 to ``depth`` of a block, as far as the answers ``got`` by (kind, length) reach (taken out of it).
 
     ``at`` is kept if they are to be ``scored``."""
     bounds, codes = _unpack(row["bounds"], np.int64), _unpack(row["codes"], np.int32)
@@ -200,7 +232,7 @@ def _lengths(row: dict, got: dict, least: int, depth: int, n_total: int, v: int,
             train = np.repeat(~_unpack(row["held"], bool), np.diff(bounds))
             new.n = np.bincount(codes, weights=train[places], minlength=len(keys)).astype(np.int64)
             break
-        new.c, own = got[COUNT, k]
+        new.c, own = got.pop((COUNT, k))
         new.own = own > 0
         new.listed = (new.c >= least) | ((new.keys == END) if k == 0 else False)
         if k < depth or scored:
@@ -209,7 +241,7 @@ def _lengths(row: dict, got: dict, least: int, depth: int, n_total: int, v: int,
     for k, new in enumerate(out[:-1]):
         if (MASS, k + 1) in got:
             new.mass, new.entries = (np.zeros(len(new.keys), dtype=np.int64) for _ in range(2))
-            new.mass[new.listed], new.entries[new.listed] = got[MASS, k + 1]
+            new.mass[new.listed], new.entries[new.listed] = got.pop((MASS, k + 1))
             new.escape = _escape(new.c, new.mass, new.entries)
         if (STATE, k + 1) in got:
             new.state = np.zeros(len(new.keys), dtype=bool)
@@ -277,9 +309,9 @@ def _of_block(known: dict, block: int, done: list[tuple[int, int]]) -> dict:
     """A block's answers to all the steps that are done."""
     mine, out = known.pop(block, {}), {}
     for kind, k in done:
-        width = _WIDTH[kind][1]
-        found = [_unpack(x, np.int64).reshape(width, -1) for x in mine.pop((kind, k), [])]
-        out[kind, k] = np.concatenate(found, axis=1) if found else np.zeros((width, 0), dtype=np.int64)
+        width = _WIDTH[kind]
+        found = [_unpack_all(x, np.int64) for x in mine.pop((kind, k), [])]
+        out[kind, k] = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, dtype=np.int64)] * width
     return out
 
 
@@ -297,8 +329,7 @@ def _add_up(group: pa.Table, least: int) -> pa.Table:
     kind, k = group.column("kind")[0].as_py(), group.column("length")[0].as_py()
     keys = [_unpack_sorted(x) for x in group.column("keys").to_pylist()]
     bounds = np.cumsum([0, *map(len, keys)])
-    columns = np.concatenate([_unpack(x, np.int64).reshape(_WIDTH[kind][0], -1) for x in group.column("columns").to_pylist()],
-                             axis=1)
+    columns = [np.concatenate(x) for x in zip(*(_unpack_all(x, np.int64) for x in group.column("columns").to_pylist()))]
     _, first, inverse = _grouped(np.concatenate(keys))
 
     def total(i, floats=False):
@@ -317,16 +348,15 @@ def _add_up(group: pa.Table, least: int) -> pa.Table:
     else:
         bits = _state_bits(total(0, True), total(1, True), total(2), total(3), total(4))
         found = [bits.astype(np.int64)[inverse]]
-    answer = np.stack(found)
     counted = np.concatenate([[0], np.cumsum(fresh)])
     return pa.Table.from_arrays(
         [*(group.column(n).combine_chunks() for n, _ in _ASK[:5]), pa.array(counted[bounds[1:]] - counted[bounds[:-1]]),
-         pa.array([_pack(answer[:, a:b]) for a, b in zip(bounds[:-1], bounds[1:])], type=pa.binary())],
+         pa.array([_pack(*(x[a:b] for x in found)) for a, b in zip(bounds[:-1], bounds[1:])], type=pa.binary())],
         schema=pa.schema(_ANSWER))
 
 
 def _pass(blocks: DataFrame, answers: DataFrame, done: list[tuple[int, int]], steps: list[tuple[int, int]], parts: int,
-          least: int, n_total: int, v: int) -> DataFrame:
+          buckets: int, least: int, n_total: int, v: int) -> DataFrame:
     """Ask for ``steps`` of (kind, length) with the answers to those ``done``."""
     reach = max(k for _, k in steps)
     starts = np.array([-(-(j << 32) // parts) << 32 for j in range(parts)], dtype=np.uint64)
@@ -341,18 +371,24 @@ def _pass(blocks: DataFrame, answers: DataFrame, done: list[tuple[int, int]], st
             for kind, k in steps:
                 keys, columns = _requests(lengths, kind, k)
                 cuts = np.append(np.searchsorted(keys, starts), len(keys))
-                columns = np.stack(columns)
                 full = np.flatnonzero(np.diff(cuts))
                 out.append(pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(full), x), type=t.type) for x, t in zip((row["home"], row["block"], kind, k), schema)]
                     + [pa.array(full, type=pa.int64()),
                        pa.array([_pack_sorted(keys[cuts[j]:cuts[j + 1]]) for j in full], type=pa.binary()),
-                       pa.array([_pack(columns[:, cuts[j]:cuts[j + 1]]) for j in full], type=pa.binary())], schema=schema))
+                       pa.array([_pack(*(x[cuts[j]:cuts[j + 1]] for x in columns)) for j in full], type=pa.binary())], schema=schema))
         return pa.Table.from_batches(out, schema=schema)
 
     asked = blocks.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(ask, _ASK_KINDS)
     told = asked.groupBy("part", "kind", "length").applyInArrow(lambda group: _add_up(group, least), _ANSWER_KINDS)
-    return common.stored(told, "lm-answers")
+    return told.repartition(buckets, "home")
+
+
+def _bucketed(rows: DataFrame, buckets: int, place: tuple[str, str]) -> DataFrame:
+    """The rows added to a table in buckets by home: what groups it by home reads it without a shuffle."""
+    table, path = place
+    rows.write.mode("append").bucketBy(buckets, "home").option("path", path).format("parquet").saveAsTable(table)
+    return rows.sparkSession.table(table)
 
 
 @contextmanager
@@ -379,7 +415,8 @@ def _token_scores(lengths: list[_Length], bounds: np.ndarray, base: np.ndarray)
         todo &= ~hit
         context = np.append(np.int32(-1), last.at[:-1])
         context[bounds[:-1]] = -1
-        weights = np.where(last.state, np.log10(np.maximum(last.escape, TINY)), 0.0)
+        weights = np.zeros(len(last.keys))
+        weights[last.state] = np.log10(np.maximum(last.escape[last.state], TINY))
         leave = todo & (context >= 0)
         out[leave] += weights[context[leave]]
     out[todo] += base[todo]
@@ -401,19 +438,19 @@ def suffix_tree_scores(docs: DataFrame, held, min_count: int = MIN_COUNT, max_de
     """
     spark = docs.sparkSession
     with _short_shuffles(spark):
-        blocks = _cut(docs, held, max(1, min(docs.rdd.getNumPartitions(), MAX_BUCKETS)))
+        buckets = max(1, min(docs.rdd.getNumPartitions(), MAX_BUCKETS))
+        blocks = _cut(docs, held, buckets)
         tokens, n = (x or 0 for x in blocks.agg(F.sum("tokens"), F.sum("trained")).first())
         parts = max(LEAST_RANGES, -(-tokens // RANGE_TOKENS))
         answers, v, done = spark.createDataFrame([], _ANSWER_KINDS), 0, []
+        place = fresh_table(spark, "lm_answers")
         for t in range(max_depth + 3):
             steps = [(kind, t - kind) for kind in (COUNT, MASS, STATE) if (0 if kind == COUNT else 1) <= t - kind <= max_depth]
-            told = _pass(blocks, answers, list(done), steps, parts, min_count, n, v)
+            told = _pass(blocks, answers, list(done), steps, parts, buckets, min_count, n, v)
+            answers = _bucketed(told, buckets, place)
             done += steps
             if t == 0:
-                v = told.agg(F.sum("fresh")).first()[0] or 0
-                answers = told
-            else:
-                answers = answers.unionByName(told)
+                v = answers.agg(F.sum("fresh")).first()[0] or 0
 
     log_n = math.log10(n + v + 1)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
