@@ -47,7 +47,7 @@ from . import common, ragged
 MIN_COUNT = 2
 MAX_DEPTH = 4
 DISCOUNT = 0.75
-BLOCK_BYTES = 6 << 20  # arrays of a block take some twenty times as much
+BLOCK_BYTES = 4 << 20  # arrays of a block take some twenty times as much
 RANGE_TOKENS = 2_000_000  # tokens of the corpus for each range of hashes
 LEAST_RANGES = 64
 MAX_BUCKETS = 50_000
@@ -205,7 +205,7 @@ class _Length:
 def _lengths(row: dict, got: dict, least: int, depth: int, n_total: int, v: int, scored: bool = False) -> list[_Length]:
     """Lengths 0 to ``depth`` of a block, as far as the answers ``got`` by (kind, length) reach (taken out of it).
 
-    ``at`` is kept if they are to be ``scored``."""
+    If they are to be ``scored``, ``at`` is kept, and what only requests read is not."""
     bounds, codes = _unpack(row["bounds"], np.int64), _unpack(row["codes"], np.int32)
     keys = _unpack_sorted(row["keys"])
     words = hashes = keys[codes]
@@ -238,20 +238,26 @@ def _lengths(row: dict, got: dict, least: int, depth: int, n_total: int, v: int,
         if k < depth or scored:
             new.at = np.full(len(words), -1, dtype=np.int32)
             new.at[places] = np.where(new.listed, np.arange(len(keys), dtype=np.int32), np.int32(-1))[codes]
+        if scored:
+            new.keys = new.own = None
     for k, new in enumerate(out[:-1]):
         if (MASS, k + 1) in got:
-            new.mass, new.entries = (np.zeros(len(new.keys), dtype=np.int64) for _ in range(2))
+            new.mass, new.entries = (np.zeros(len(new.c), dtype=np.int64) for _ in range(2))
             new.mass[new.listed], new.entries[new.listed] = got.pop((MASS, k + 1))
             new.escape = _escape(new.c, new.mass, new.entries)
         if (STATE, k + 1) in got:
-            new.state = np.zeros(len(new.keys), dtype=bool)
+            new.state = np.zeros(len(new.c), dtype=bool)
             new.state[new.entries > 0] = got[STATE, k + 1][0] > 0
+        if scored:
+            new.mass = new.entries = new.listed = None
     for k, new in enumerate(out):
         if k == 0 and new.c is not None:
             new.p = (new.c + 1.0) / float(n_total + v + 1)
         elif k and out[k - 1].state is not None:
             own, parent = _weights(new, out[k - 1])
             new.p = np.where(out[k - 1].state[new.context], own, parent)
+            if scored:
+                new.context = new.suffix = None
     return out
 
 
@@ -415,7 +421,7 @@ def _token_scores(lengths: list[_Length], bounds: np.ndarray, base: np.ndarray)
         todo &= ~hit
         context = np.append(np.int32(-1), last.at[:-1])
         context[bounds[:-1]] = -1
-        weights = np.zeros(len(last.keys))
+        weights = np.zeros(len(last.state))
         weights[last.state] = np.log10(np.maximum(last.escape[last.state], TINY))
         leave = todo & (context >= 0)
         out[leave] += weights[context[leave]]
