@@ -34,7 +34,9 @@ def _factor(rows: np.ndarray) -> np.ndarray:
 def triangular_factor(df: DataFrame, columns: list[str], fan_in: int = FAN_IN) -> tuple[np.ndarray, int]:
     """(R, n): factor of the matrix of ``columns`` over rows without a missing value, and their number."""
     width = len(columns)
-    data = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)]).dropna()
+    # incomplete rows are left out in the batches: a filter on all columns under these new names would have the
+    # optimizer list every mixture of old and new names (2 to the number of columns) when the factors are checkpointed
+    data = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
     schema = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("r", pa.list_(pa.float64()))])
 
     def local(batches):
@@ -42,6 +44,7 @@ def triangular_factor(df: DataFrame, columns: list[str], fan_in: int = FAN_IN) -
         r, n = np.zeros((width, width)), 0
         for batch in batches:
             rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rows = rows[~np.isnan(rows).any(axis=1)]  # a missing value is NaN here
             if len(rows):
                 r, n = _factor(np.vstack([r, rows])), n + len(rows)
         if n:

@@ -111,3 +111,17 @@ def test_gradient_of_the_logistic_loss(spark):
     assert max(abs(want)) < 1e-6
     worse = M.logistic(rows).setMaxIter(1).fit(rows)
     assert max(abs(r.gradient) for r in M.logistic_certificate(worse, rows, ["a", "b"]).collect()) > 1e-3
+
+
+def test_many_whole_number_columns_with_missing_values(spark):
+    """The plan's size does not double with each column (30 columns never ended)."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 50, size=(400, 30))
+    y = x @ np.arange(30.0) + rng.normal(size=400)
+    rows = [(*map(int, r), float(v)) for r, v in zip(x, y)]
+    rows += [(None, *[1] * 29, 1.0), (*[1] * 30, None), (*[1] * 30, float("nan"))]
+    cols = [f"x{i}" for i in range(30)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} int" for c in cols) + ", y double")
+    m = Q.least_squares(df, "y", cols)
+    want, *_ = np.linalg.lstsq(np.column_stack([np.ones(400), x]), y, rcond=None)
+    assert m.n == 400 and list(m.beta) == pytest.approx(list(want))
