@@ -123,7 +123,7 @@ def q_drop_outliers(spark, sf):
 def q_semi_align(spark, sf):
     """Labels of the training and test rows that survive the outlier rules (semi join)."""
     train, test = ds.clf_split(spark, sf)
-    _, _, tr, te, _, _ = ds.clf_prepared(spark, sf)
+    _, _, tr, te, _, _ = ds.clf_prepared(spark, sf, parts=(train, test))
     out = [d.select("Rww_ID", F.lit(part).alias("part"), V.CLF_TARGET).join(o.select("Rww_ID"), "Rww_ID", "left_semi")
            for part, d, o in (("train", train, tr), ("test", test, te))]
     return out[0].unionByName(out[1])

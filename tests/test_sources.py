@@ -90,3 +90,41 @@ def test_workers_find_the_package_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows 1" in out.stdout, out.stderr[-2000:]
+
+
+def test_long_and_short_orders_roll_up_alike(spark, tmp_path):
+    """Orders on both sides of the bound, ties, missing keys and a product listed twice."""
+    import random
+
+    from shipcast.sources import fixtures
+    from shipcast.sources.tables import load_tables
+
+    rng = random.Random(3)
+    lines = [(o, rng.choice([None, 1, 2, 3, 4]), rng.choice([None, 7, 8]), i + 1, float(rng.randint(1, 99)), 0.05)
+             for o, n in ((1, 1), (2, 4), (3, fixtures.LONG_ORDER), (4, fixtures.LONG_ORDER + 1), (5, 300), (None, 90)) for i in range(n)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, "
+                                 "l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "a", 3), (2, "b", 4), (2, "b", 4), (3, None, None)], "p_partkey long, p_type string, p_size int").write.parquet(
+        f"{tmp_path}/part.parquet")
+    t = load_tables(spark, str(tmp_path))
+    items = fixtures._items_with_part(t)
+    want = sorted(fixtures._rollup_in_two_levels(items).collect(), key=str)
+    assert sorted(fixtures._rollup_at_once(items).collect(), key=str) == want
+    assert sorted(fixtures.order_item_rollup(t).collect(), key=str) == want
+    assert len(want) == 6
+
+
+def test_queries_leave_no_method_the_jvm_would_not_compile(spark):
+    import __spark_entry__ as entry
+
+    from shipcast.session import JIT_METHOD_BYTES
+    entry.queries()["null_census"](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == JIT_METHOD_BYTES <= 8000
+
+
+def test_order_features_shuffle_lines_once(spark):
+    from shipcast.sources import fixtures
+    from shipcast.sources.tables import load_tables
+    rollup = fixtures.order_item_rollup(load_tables(spark, "/root/testdata/sf0.001"))
+    plan = rollup._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1 and "Expand" not in plan
