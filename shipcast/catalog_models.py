@@ -8,6 +8,7 @@ rows-only (their results depend on the library's randomisation / solver).
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from . import oracle as O
@@ -286,21 +287,15 @@ def q_one_hot_vector_counts(spark, sf):
     """Ones per indicator in train and test, read back from the encoded vectors."""
     train, test = (cut_lineage(d) for d in ds.clf_split(spark, sf))
     (tr, te), cols, names = M.encode_levels([train, test], _major_levels(train))
-    offset, parts = 0, []
-    sizes = [sum(n.startswith(c.removesuffix("__ohe") + "=") for n in names) for c in cols]
-    for c, size in zip(cols, sizes):
-        for part, df in (("train", tr), ("test", te)):
-            hot = F.explode(F.filter(F.transform(vector_to_array(c), lambda x, i: F.when(x == 1.0, i)),
-                                     lambda i: i.isNotNull())).alias("i")
-            parts.append(df.select(hot).select((F.col("i") + offset).alias("slot"), F.lit(part).alias("part")))
-        offset += size
-    ones = parts[0]
-    for p in parts[1:]:
-        ones = ones.union(p)
+    both = tr.select(F.lit("train").alias("part"), *cols).unionByName(te.select(F.lit("test").alias("part"), *cols))
+    # counted in the sparse vectors: a row of counts per part, a count per slot
+    counted = both.groupBy("part").agg(*[Summarizer.numNonZeros(F.col(c)).alias(c) for c in cols])
+    ones = (counted.select("part", F.posexplode(F.concat(*[vector_to_array(c) for c in cols])).alias("slot", "n"))
+            .where("n > 0"))
     slots = spark.createDataFrame(list(enumerate(names)), "slot int, name string")
     return (ones.join(slots, "slot").groupBy(F.col("name").alias("slot"))
-            .agg(F.count_if(F.col("part") == "train").alias("ones_train"),
-                 F.count_if(F.col("part") == "test").alias("ones_test")))
+            .agg(*[F.coalesce(F.sum(F.when(F.col("part") == p, F.col("n"))), F.lit(0.0)).cast("bigint").alias(f"ones_{p}")
+                   for p in ("train", "test")]))
 
 
 @register("rf_undersampled")

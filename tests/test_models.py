@@ -85,3 +85,12 @@ def test_importances_have_a_row_per_slot(spark):
     assert sum(r.importance for r in imp) == pytest.approx(1)
     with pytest.raises(ValueError):
         M.rf_importances(tr, "y", ["x", *cols], ["x", "c=a"], trees=2, depth=2)
+
+
+def test_ones_are_counted_in_the_sparse_vectors(spark):
+    from shipcast import catalog
+    import shipcast.catalog_models  # noqa: F401 - registers the query
+    df = catalog.QUERIES["one_hot_vector_counts"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 1  # one pass, not a branch for each variable and part
+    assert df.dtypes == [("slot", "string"), ("ones_train", "bigint"), ("ones_test", "bigint")]
