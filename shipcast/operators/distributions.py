@@ -42,14 +42,19 @@ def group_quantiles(df: DataFrame, by: list[str], value: str, ps: list[float], e
     totals = ranged.groupBy("_pid", *by).agg(F.sum("_c").alias("_t"))
     group = Window.partitionBy(*by)
     before = group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *by, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"),
+    offsets = totals.select("_pid", *by, "_t", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"),
                             F.sum("_t").over(group).alias("n"))
+    places = F.array(*[F.lit(float(p)) for p in ps])
+    positions = F.transform(places, lambda p: p * (F.col("n") - 1))
+    ranks = F.array_distinct(F.concat(F.transform(positions, lambda x: F.floor(x).cast("bigint")),
+                                      F.transform(positions, lambda x: F.ceil(x).cast("bigint"))))
+    # a range's rows carry only the ranks that lie in it, and ranges without any are not read
+    offsets = offsets.select("_pid", *by, "_before", "n", F.filter(
+        ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_t"))).alias("_ranks")).where(F.size("_ranks") > 0)
     upto = Window.partitionBy("_pid", *by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = (ranged.withColumn("_upto", F.sum("_c").over(upto)).join(offsets, ["_pid", *by])
                .withColumn("_upto", F.col("_upto") + F.col("_before")))
-    positions = [F.lit(float(p)) * (F.col("n") - 1) for p in ps]
-    ranks = F.array_distinct(F.array(*[f(x).cast("bigint") for x in positions for f in (F.floor, F.ceil)]))
-    inside = F.filter(ranks, lambda r: (r >= F.col("_upto") - F.col("_c")) & (r < F.col("_upto")))
+    inside = F.filter("_ranks", lambda r: (r >= F.col("_upto") - F.col("_c")) & (r < F.col("_upto")))
     hits = running.select(*by, "n", "_v", F.explode(inside).alias("_rank"))  # two ranks per quantile at most
     at = F.map_from_entries(F.collect_list(F.struct("_rank", "_v")))
     found = hits.groupBy(*by, "n").agg(at.alias("_at"))
@@ -60,7 +65,7 @@ def group_quantiles(df: DataFrame, by: list[str], value: str, ps: list[float], e
         # between equal values nothing is interpolated: rounding would leave the value by one digit
         return F.when(low == high, low).otherwise((hi - pos) * low + (pos - lo) * high)
 
-    return found.select(*by, "n", F.array(*[value_at(x) for x in positions]).alias("q"))
+    return found.select(*by, "n", F.transform(positions, value_at).alias("q"))
 
 
 def long_values(df: DataFrame, cols: list[str], keep: list[str] = (), name: str = "variabl",

@@ -88,3 +88,18 @@ def test_rounding_leaves_large_values_alone(spark):
     got = df.select(r6("x", "a"), r9("x", "b")).collect()
     assert [r.a for r in got] == [2.5e10, -2.5e10, 1e300, 1.234568, -0.5, None]
     assert [r.b for r in got] == [2.5e10, -2.5e10, 1e300, 1.23456789, -0.5, None]
+
+
+def test_many_quantiles_take_no_expression_each(spark):
+    """1,000 quantiles (unrolled, their code passed the 64 KB of a JVM method and ran uncompiled)."""
+    import numpy as np
+
+    from shipcast.operators import distributions as D
+    values = np.random.default_rng(2).normal(size=3000).round(2)
+    df = spark.createDataFrame([(i % 2, float(v)) for i, v in enumerate(values)], "g int, v double")
+    ps = [i / 999 for i in range(1000)]
+    q = D.group_quantiles(df, ["g"], "v", ps)
+    assert q._jdf.queryExecution().optimizedPlan().toString().count("element_at") <= 8
+    for r in q.collect():
+        assert r.n == 1500
+        assert np.allclose(r.q, np.quantile(values[r.g::2], ps), atol=1e-12)
