@@ -36,13 +36,13 @@ def text_schema(schema: StructType) -> tuple[StructType, list[str]]:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; timestamps written in the parse pattern."""
+    """CSV with a header, compressed; timestamps written in the parse pattern."""
     # NTZ -> text by cast: 'yyyy-MM-dd HH:mm:ss' for whole seconds, zone-free
     # (date_format would route the value through the session time zone)
     cols = [F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, TimestampNTZType)
             else F.date_format(F.col(f.name), TS_FORMAT).alias(f.name) if isinstance(f.dataType, TimestampType)
             else F.col(f.name) for f in df.schema.fields]
-    df.select(*cols).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*cols).write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
