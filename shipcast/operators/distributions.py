@@ -232,7 +232,8 @@ def _co_moments(df: DataFrame, cols: list[str], listwise: bool = False) -> DataF
 
 def _pair_corr(base: DataFrame, cols: list[str], listwise: bool = False) -> DataFrame:
     """(i, j, corr) of all pairs of columns i < j, in one pass over the rows."""
-    part = _co_moments(base, cols, listwise).where("n > 0")
+    # stored: the means and the sums around them read it, and the rows are read once
+    part = stored_table(_co_moments(base, cols, listwise), "co-moments").where("n > 0")  # a row per pair and task
     means = part.groupBy("i", "j").agg(F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("_mx"),
                                        (F.sum(F.col("n") * F.col("my")) / F.sum("n")).alias("_my"))
     # between-task terms around the merged means

@@ -103,3 +103,19 @@ def test_many_quantiles_take_no_expression_each(spark):
     for r in q.collect():
         assert r.n == 1500
         assert np.allclose(r.q, np.quantile(values[r.g::2], ps), atol=1e-12)
+
+
+def test_correlations_read_the_rows_once(spark):
+    from shipcast.operators import distributions as D
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def passing(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.range(100).selectExpr("cast(id as double) a", "cast(id * id as double) b").mapInPandas(passing, "a double, b double")
+    want = np.corrcoef(np.arange(100.0), np.arange(100.0) ** 2)[0, 1]
+    assert D.corr_pairs(df, ["a", "b"]).first()["corr"] == pytest.approx(want)
+    assert seen.value == 100
