@@ -60,7 +60,7 @@ us AS (
 
 
 def _undersampled(spark, sf):
-    train, _ = ds.clf_split(spark, sf)
+    train, _ = ds.clf_split(spark, sf, [V.CLF_TARGET])
     return train, S.undersample_balanced(train.select("Rww_ID", V.CLF_TARGET), V.CLF_TARGET, "Rww_ID",
                                          seed=US_SEED)
 
@@ -122,7 +122,7 @@ def q_drop_outliers(spark, sf):
     f"WHERE EXISTS (SELECT 1 FROM clf_{part}_o o WHERE o.Rww_ID = t.Rww_ID)" for part in ("train", "test")), _PREP))
 def q_semi_align(spark, sf):
     """Labels of the training and test rows that survive the outlier rules (semi join)."""
-    train, test = ds.clf_split(spark, sf)
+    train, test = ds.clf_split(spark, sf, [V.CLF_TARGET, *V.CLF_BASIC, *ds.OUTLIER_COLS])
     _, _, tr, te, _, _ = ds.clf_prepared(spark, sf, parts=(train, test))
     out = [d.select("Rww_ID", F.lit(part).alias("part"), V.CLF_TARGET).join(o.select("Rww_ID"), "Rww_ID", "left_semi")
            for part, d, o in (("train", train, tr), ("test", test, te))]
@@ -147,7 +147,7 @@ _RULE_PRED, _RULE_SCORE = "shipping_limit_missed", "shipping_limit_miss_amt"
 
 
 def _test(spark, sf):
-    _, test = ds.clf_split(spark, sf)
+    _, test = ds.clf_split(spark, sf, [V.CLF_TARGET, _RULE_PRED, _RULE_SCORE])
     return test
 
 
@@ -211,7 +211,7 @@ SELECT count(*) AS n, round(1 - sum(power(fulfill_duration - est_delivery_time_d
 FROM reg_test"""))
 def q_r2_rmse(spark, sf):
     """R^2 / MSE / RMSE of the promised estimate used as the prediction."""
-    _, test = ds.reg_split(spark, sf)
+    _, test = ds.reg_split(spark, sf, [V.REG_TARGET, "est_delivery_time_days"])
     m = E.r2_rmse(test, V.REG_TARGET, "est_delivery_time_days")
     return m.select("n", r9("r2"), r9("mse"), r9("rmse"))
 
@@ -219,6 +219,6 @@ def q_r2_rmse(spark, sf):
 @register("baseline_rmse", O.on_features(
     "SELECT round(sqrt(avg(power(fulfill_duration - est_delivery_time_days, 2))), 9) AS rmse FROM reg_test"))
 def q_baseline_rmse(spark, sf):
-    _, test = ds.reg_split(spark, sf)
+    _, test = ds.reg_split(spark, sf, [V.REG_TARGET, "est_delivery_time_days"])
     err = F.col(V.REG_TARGET) - F.col("est_delivery_time_days")
     return test.agg(F.sqrt(F.avg(err * err)).alias("rmse")).select(r9("rmse"))

@@ -112,7 +112,7 @@ GROUP BY l.variabl, l.bin, e.edges""",
     O.quantiles_cte("qb_q", "qb_lv", ["variabl"], "value", _QB_PS),
     "\nqb_edges AS (SELECT variabl, list_sort(list_distinct(list(v))) AS edges FROM qb_q GROUP BY variabl)"))
 def q_odds_by_qbin(spark, sf):
-    train, _ = ds.clf_split(spark, sf)
+    train, _ = ds.clf_split(spark, sf, [V.CLF_TARGET, *V.CLF_CONT_EDA])
     o = D.quantile_bin_odds(train, V.CLF_CONT_EDA, trims={"shipping_limit_miss_amt": V.SHIP_MISS_TRIM})
     return o.select("variabl", F.col("bin").cast("int").alias("bin"), r6("bin_left"), r6("bin_right"),
                     r6("bin_midpt"), "nbr", "nbr_late", r6("pct_late"))
@@ -134,7 +134,7 @@ SELECT split_part(pair, '|', 1) AS col_i, split_part(pair, '|', 2) AS col_j,
 
 @register("corr_pairwise", O.on_features(_corr_sql("reg_train", V.REG_CORR_VARS)))
 def q_corr_pairwise(spark, sf):
-    train, _ = ds.reg_split(spark, sf)
+    train, _ = ds.reg_split(spark, sf, V.REG_CORR_VARS)
     return D.corr_pairs(train, V.REG_CORR_VARS).select("col_i", "col_j", r6("corr"))
 
 
@@ -152,7 +152,7 @@ _RANK_SQL = ("SELECT feature, round(corr, 6) AS corr, round(abs(corr), 6) AS abs
 
 
 def _corr_rank(spark, sf):
-    train, _ = ds.reg_split(spark, sf)
+    train, _ = ds.reg_split(spark, sf, V.REG_CORR_VARS)
     r = D.corr_with_target(train, V.REG_TARGET, V.REG_CORR_VARS, exclude=V.LATE_KNOWN_VARS)
     return r.select("feature", r6("corr"), r6("abs_corr"))
 
@@ -224,7 +224,7 @@ FROM (
 GROUP BY ALL""", O.long_values_cte("hl", "clf_train", V.CLF_CONT_EDA, keep=["late_delivery_flag"])))
 def q_histogram_by_flag(spark, sf):
     """A17: ten equal-width bins of every continuous variable per late flag."""
-    train, _ = ds.clf_split(spark, sf)
+    train, _ = ds.clf_split(spark, sf, [V.CLF_TARGET, *V.CLF_CONT_EDA])
     lv = D.long_values(train, V.CLF_CONT_EDA, keep=["late_delivery_flag"])
     h = D.histogram(lv, "value", bins=10, by=["variabl", "late_delivery_flag"])
     return h.select("variabl", "late_delivery_flag", "bin", r6("bin_left"), r6("bin_right"), "n")
@@ -249,7 +249,7 @@ fb_piv AS (
     USING (variabl, late_delivery_flag) GROUP BY 1, 2)"""))
 def q_box_stats_by_flag(spark, sf):
     """A16: box statistics of every continuous variable by late flag."""
-    train, _ = ds.clf_split(spark, sf)
+    train, _ = ds.clf_split(spark, sf, [V.CLF_TARGET, *V.CLF_CONT_EDA])
     lv = D.long_values(train, V.CLF_CONT_EDA, keep=["late_delivery_flag"])
     b = D.box_stats(lv, "value", ["variabl", "late_delivery_flag"])
     return b.select("variabl", "late_delivery_flag", "n", *[r6(c) for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")],

@@ -65,7 +65,7 @@ def q_checkpoint_roundtrip(spark, sf):
     """Prepared training and test rows written (typed parquet + predictor list)
     to the shared folder and read back for a later session."""
     out = None
-    for part, rows in zip(("train", "test"), ds.reg_split(spark, sf)):
+    for part, rows in zip(("train", "test"), ds.reg_split(spark, sf, [*V.REG_PREDICTORS, V.REG_TARGET])):
         path = files.write_prepared(rows.select("Rww_ID", *V.REG_PREDICTORS, V.REG_TARGET),
                                     f"reg_{part}", V.REG_PREDICTORS)
         df, preds = files.read_prepared(spark, path)
@@ -143,7 +143,7 @@ def q_bucketed_handoff(spark, sf):
 
 
 def handoff_tables(spark, sf):
-    train, test = ds.reg_split(spark, sf)
+    train, test = ds.reg_split(spark, sf, [V.REG_TARGET, *V.REG_HICARD])
     both = (train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
             .select("Rww_ID", "part", V.REG_TARGET, *V.REG_HICARD))
     both = stored_table(both, "prepared-orders")
@@ -164,7 +164,7 @@ def handoff_join(orders, items):
     f"SELECT Rww_ID, '{part}' AS part, " + ", ".join(V.CLF_BASIC) + f" FROM clf_{part}" for part in ("train", "test"))))
 def q_project(spark, sf):
     """Column projection by name list (pruned down to the parquet scans)."""
-    train, test = ds.clf_split(spark, sf)
+    train, test = ds.clf_split(spark, sf, [*V.CLF_BASIC])
     return (train.select("Rww_ID", F.lit("train").alias("part"), *V.CLF_BASIC)
             .unionByName(test.select("Rww_ID", F.lit("test").alias("part"), *V.CLF_BASIC)))
 
@@ -195,7 +195,7 @@ bl_piv AS (
 def q_box_stats_by_level(spark, sf):
     """Box statistics of the delivery time per level of several categorical
     variables at once (long form, one quartile job and one whisker job)."""
-    train, _ = ds.reg_split(spark, sf)
+    train, _ = ds.reg_split(spark, sf, [V.REG_TARGET, *V.REG_LOWCARD])
     lv = L.long_levels(train.where(F.col(V.REG_TARGET).isNotNull()), _BOX_VARS, [V.REG_TARGET])
     b = D.box_stats(lv, V.REG_TARGET, ["variabl", "ctgry_lvl"])
     return b.select("variabl", "ctgry_lvl", "n", r9("q1"), r9("median"), r9("q3"), "whisker_lo", "whisker_hi",

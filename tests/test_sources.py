@@ -128,3 +128,33 @@ def test_order_features_shuffle_lines_once(spark):
     rollup = fixtures.order_item_rollup(load_tables(spark, "/root/testdata/sf0.001"))
     plan = rollup._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 1 and "Expand" not in plan
+
+
+def test_most_frequent_value_without_counting(spark, tmp_path):
+    """Orders whose values all differ take the smallest; others count, ties to the smallest."""
+    from shipcast.sources import fixtures
+
+    rows = [(1, 5, 9, 1), (1, 3, 8, 2), (2, 4, 7, 1), (2, 4, 7, 2), (2, 1, 6, 3), (3, 2, 5, 1), (3, 2, 4, 2), (3, 1, 5, 3), (3, 1, 4, 4),
+            (4, None, None, 1)]
+    items = spark.createDataFrame([(o, p, s, n, 1.0, 0.1, f"t{p}" if p else None, 2) for o, p, s, n in rows],
+                                  "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, "
+                                  "l_tax double, p_type string, p_size int")
+    out = fixtures._rollup_at_once(items)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"array_min({c}#" in plan for c in ("parts", "sellers", "types"))
+    got = {r.l_orderkey: (r.product_key_mfu, r.seller_key, r.p_type_mfu) for r in out.collect()}
+    assert got == {1: (3, 8, "t3"), 2: (4, 7, "t4"), 3: (1, 4, "t1"), 4: (None, None, None)}
+
+
+def test_splits_store_the_columns_their_caller_reads(spark):
+    from shipcast.operators import features
+    from shipcast.plans import datasets as ds
+
+    sf = "/root/testdata/sf0.001"
+    for split, complete in ((ds.clf_split, features.CLF_COMPLETE_CASE_COLS), (ds.reg_split, features.REG_COMPLETE_CASE_COLS)):
+        parts = split(spark, sf, ["ttl_pd", "state_pair"])
+        assert all(p.columns == ["Rww_ID", "ttl_pd", "state_pair"] for p in parts)
+        rows = ds.order_features(spark, sf).dropna(subset=complete).select("Rww_ID", "ttl_pd", "state_pair")
+        got = parts[0].unionByName(parts[1])
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str) and rows.count() < 1500
+        assert split(spark, sf)[0].columns == ds.order_features(spark, sf).columns
