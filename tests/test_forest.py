@@ -91,3 +91,36 @@ def test_limits_of_a_forest(spark, data):
     leaves = forest.where("feature IS NULL")
     assert leaves.where("left_child >= 0 OR threshold IS NOT NULL").count() == 0
     assert forest.where("node = 0").agg(F.min("n")).first()[0] > 500
+
+
+@pytest.mark.parametrize("part_nodes", [T.PART_NODES, 100])
+def test_forest_classifier_is_scored_from_its_table(spark, data, monkeypatch, part_nodes):
+    """The table gives MLlib's probabilities and flags; no frame is sent the model."""
+    from pyspark.ml.functions import vector_to_array
+    monkeypatch.setattr(T, "PART_NODES", part_nodes)  # trees fetched together or one by one
+    df, _ = data
+    rows = df.withColumn("u", F.concat(F.lit("l"), (F.col("id") % 5).cast("string"))).withColumn(
+        "late", (F.col("y") + F.when(F.col("u") == "l3", 2).otherwise(0) > 1).cast("int"))
+    levels = spark.createDataFrame([("u", f"l{i}") for i in range(4)], "variabl string, ctgry_lvl string")
+    (encoded,), vectors, _ = M.encode_levels([rows], levels, key="id")
+    cols = ["a", *vectors, "b"]
+    train, test = (encoded.where(c).select("id", "late", *cols).cache() for c in ("id % 3 > 0", "id % 3 = 0"))
+    got = M.classify(train, {"test": test, "none": test.limit(0)}, cols, "late", "rf", key="id", trees=5, depth=6)
+    for name, df in (("train", train), ("test", test)):
+        plan = got[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "probability" not in plan
+        want = {r.id: r for r in got["_model"].transform(M._with_features(df, cols, "late", "id"))
+                .select("id", "label", "prediction", vector_to_array("probability")[1].alias("p")).collect()}
+        found = got[name].collect()
+        assert len(found) == len(want) == df.count()
+        for r in found:
+            assert (r.late, r.predicted_late_flag, r.prob_late) == (want[r.id].label, want[r.id].prediction, want[r.id].p)
+    assert got["none"].collect() == []
+
+
+def test_forest_classifier_with_one_class(spark, data):
+    """No row is late: no vote is for late, and a tree is its root."""
+    _, frame = data
+    rows = frame.select("id", F.col("features").alias("x"), F.lit(0).alias("late"))
+    got = M.classify(rows, {}, ["x"], "late", "rf", key="id", trees=2, depth=3)["train"].collect()
+    assert len(got) == 900 and {(r.late, r.predicted_late_flag, r.prob_late) for r in got} == {(0, 0, 0.0)}
