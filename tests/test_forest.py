@@ -124,3 +124,14 @@ def test_forest_classifier_with_one_class(spark, data):
     rows = frame.select("id", F.col("features").alias("x"), F.lit(0).alias("late"))
     got = M.classify(rows, {}, ["x"], "late", "rf", key="id", trees=2, depth=3)["train"].collect()
     assert len(got) == 900 and {(r.late, r.predicted_late_flag, r.prob_late) for r in got} == {(0, 0, 0.0)}
+
+
+def test_importances_of_a_classifier_score_nothing(spark, data, monkeypatch):
+    from shipcast import catalog, catalog_models
+    _, frame = data
+    rows = frame.select(F.col("id").alias("Rww_ID"), F.col("features").alias("x"), (F.col("y") > 1).cast("int").alias("late_delivery_flag"))
+    monkeypatch.setattr(catalog_models, "_clf_frames", lambda *a, **k: (rows, rows, ["x"], list("abcd")))
+    monkeypatch.setattr(M, "classify", lambda *a, **k: pytest.fail("frames are scored"))
+    monkeypatch.setattr(M, "random_forest", lambda trees, depth, make=M.random_forest: make(3, 4))
+    got = catalog.QUERIES["rf_clf_importances"](spark, "")
+    assert {r.feature for r in got.collect()} == set("abcd")
