@@ -135,3 +135,15 @@ def test_importances_of_a_classifier_score_nothing(spark, data, monkeypatch):
     monkeypatch.setattr(M, "random_forest", lambda trees, depth, make=M.random_forest: make(3, 4))
     got = catalog.QUERIES["rf_clf_importances"](spark, "")
     assert {r.feature for r in got.collect()} == set("abcd")
+
+
+@pytest.mark.parametrize("depth", [10, 12])
+def test_deep_sweep_keeps_the_nodes_of_rows(spark, data, monkeypatch, depth):
+    """Passes over deep trees are not sent the trees; the fitted forest is read once for train and test."""
+    made, read = [], []
+    monkeypatch.setattr(M, "RandomForestRegressor", lambda **k: made.append(k) or RandomForestRegressor(**k))
+    monkeypatch.setattr(T._Trees, "__init__", lambda *a, init=T._Trees.__init__: read.append(1) or init(*a))
+    df, _ = data
+    got = M.rf_sweep(df.where("id < 200"), df.where("id >= 800"), "y", list("abcd"), depths=[2, depth], trees=[2], train_cap=None)
+    assert len(got.collect()) == 2 and len(read) == 1
+    assert [k["cacheNodeIds"] for k in made] == [depth > 10]
