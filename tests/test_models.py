@@ -94,3 +94,25 @@ def test_ones_are_counted_in_the_sparse_vectors(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate ") == 1  # one pass, not a branch for each variable and part
     assert df.dtypes == [("slot", "string"), ("ones_train", "bigint"), ("ones_test", "bigint")]
+
+
+def test_importances_prepare_the_training_rows_alone(spark, monkeypatch):
+    """The test rows are not grouped, stored or encoded: reading them fails here."""
+    from pyspark.sql import functions as F
+    from shipcast import catalog, catalog_models as C
+    from shipcast.plans import variables as V
+
+    level = (F.col("id") % 5).cast("string")
+    train = spark.range(300).select(
+        F.col("id").alias("Rww_ID"), ((F.col("id") * 37) % 11 + F.when(F.col("id") % 5 == 2, 20).otherwise(3)).cast("double").alias(V.REG_TARGET),
+        *[((F.col("id") * (i + 3)) % 17).cast("double").alias(c) for i, c in enumerate(V.REG_PREDICTORS)],
+        *[F.when(F.col("id") % 50 > 0, F.concat(F.lit(c), level)).alias(c) for c in V.REG_HICARD])
+    unread = train.withColumn(V.REG_TARGET, F.when(F.col("Rww_ID") >= 0, F.raise_error(F.lit("a test row is read")).cast("double")))
+    monkeypatch.setattr(C.ds, "reg_split", lambda *a: (train, train.where("Rww_ID % 3 = 0")))
+    both, te, cols, names = C._reg_with_dummies(spark, "")
+    assert te.count() == 100 and f"{V.REG_HICARD[0]}__grpd={V.REG_HICARD[0]}2" in names
+    monkeypatch.setattr(C.ds, "reg_split", lambda *a: (train, unread))
+    monkeypatch.setattr(M, "rf_importances", lambda *a, make=M.rf_importances, **k: make(*a, **{**k, "trees": 3, "depth": 3}))
+    got = catalog.QUERIES["rf_importances"](spark, "").collect()
+    want = M.rf_importances(both, V.REG_TARGET, cols, names, train_cap=C.REG_CAP).collect()
+    assert got == want and {r.feature for r in got} == set(names)
