@@ -75,8 +75,9 @@ def _movers(spark, sf):
     return L.big_movers(stats, train, V.REG_TARGET, MIN_MOVER)
 
 
-def _odds(spark, sf):
-    train, _ = ds.clf_split(spark, sf, [V.CLF_TARGET, *V.CLF_CATEGORICAL])
+def _odds(spark, sf, keep=()):
+    """Training rows (with the columns ``keep`` too) and their level odds."""
+    train, _ = ds.clf_split(spark, sf, [V.CLF_TARGET, *V.CLF_CATEGORICAL, *keep])
     return train, L.level_odds(train, V.CLF_CATEGORICAL, V.CLF_TARGET)
 
 
@@ -167,7 +168,7 @@ def q_level_state(spark, sf):
 def q_level_cardinality_sketch(spark, sf):
     """A10: distinct levels per variable beside the estimate of sketches merged from two
     batches: whether the exact count is within the estimate's bounds."""
-    train, odds = _odds(spark, sf)
+    train, odds = _odds(spark, sf, ["order_purchase_timestamp"])
     estimate = S.distinct_estimate(S.merge_distinct(*[S.distinct_state(b, V.CLF_CATEGORICAL) for b in _batches(train)]))
     n = F.col("nbr_lvls")
     return L.level_cardinality(odds).join(estimate, "variabl").select(

@@ -120,3 +120,22 @@ def test_distinct_sketches_merge_within_their_bound(spark):
     for v, n in (("a", 30000), ("b", 50), ("c", 999)):
         assert got[v].low_est <= n <= got[v].high_est
         assert abs(got[v].nbr_lvls_est - n) <= S.DISTINCT_ERROR * n + 1
+
+
+def test_distinct_sketch_query_splits_its_batches_by_date(spark, monkeypatch):
+    """The rows that the query stores hold the date that its two batches are told apart by."""
+    from shipcast import catalog, catalog_levels as C
+    from shipcast.operators import features
+    from shipcast.plans import variables as V
+
+    cols = dict.fromkeys([*features.CLF_COMPLETE_CASE_COLS, V.CLF_TARGET, *V.CLF_CATEGORICAL])
+    rows = spark.range(400).select(
+        F.col("id").alias("Rww_ID"),
+        *[F.when(F.col("id") % 4 > 0, F.make_date(1990 + F.col("id") % 10, F.lit(1), F.lit(1)).cast("timestamp_ntz"))
+          .otherwise(F.lit("1995-12-31 23:59:59").cast("timestamp_ntz")).alias(c) if c == "order_purchase_timestamp"
+          else (F.col("id") % (3 + i)).alias(c) for i, c in enumerate(cols)])
+    monkeypatch.setattr(C.ds, "order_features", lambda *a: rows)
+    got = {r.variabl: (r.nbr_lvls, r.within_bound) for r in catalog.QUERIES["level_cardinality_sketch"](spark, "").collect()}
+    train, _ = C.ds.split(rows)
+    want = train.agg(*[F.count_distinct(c).alias(c) for c in V.CLF_CATEGORICAL]).first().asDict()
+    assert got == {c: (n, True) for c, n in want.items()}
