@@ -12,7 +12,9 @@ The model grows with the corpus.  Words and n-grams are known by a 64-bit hash;
 one hash count as one.  All counts are over all training rows.
 
 Blocks of documents are cut into words once and stay where they are (a table bucketed by
-the task that cut them, and so are their answers: no pass shuffles what it has).  What a block must know of the whole
+their home, and so are their answers: no pass shuffles what it has).  A home is a few
+blocks in a row of one task: a task of a pass holds one home and its answers at a time,
+however large the files' splits are.  What a block must know of the whole
 corpus it asks for in passes: it sends, for each range of hashes, one row with its sorted
 distinct hashes (differences, compressed) and what it adds to each; the task of a range
 adds the rows up with numpy and answers each block in the block's own order.  One block
@@ -48,6 +50,7 @@ MIN_COUNT = 2
 MAX_DEPTH = 4
 DISCOUNT = 0.75
 BLOCK_BYTES = 4 << 20  # arrays of a block take some twenty times as much
+HOME_BYTES = 16 << 20  # texts and ids of a home
 RANGE_TOKENS = 2_000_000  # tokens of the corpus for each range of hashes
 LEAST_RANGES = 64
 MAX_BUCKETS = 50_000
@@ -119,14 +122,18 @@ def _cut(docs: DataFrame, held, buckets: int) -> DataFrame:
     def run(batches):
         import xxhash
 
-        home = TaskContext.get().partitionId()
-        block = home << 24
+        home = block = TaskContext.get().partitionId() << 24
+        held_bytes = 0
         for batch in batches:
             for part in ragged.slices(batch, "text", BLOCK_BYTES):
                 block += 1
                 pa.default_memory_pool().release_unused()
                 text = ragged.text_of(part.column("text"))
                 text.data = _FOLD[text.data]
+                size = len(text.data) + 8 * len(text)
+                if held_bytes and held_bytes + size > HOME_BYTES:
+                    home, held_bytes = home + 1, 0
+                held_bytes += size
                 found = ragged.words(text)
                 hashes = np.fromiter(map(xxhash.xxh64_intdigest, found.values.to_pylist()), dtype=np.uint64,
                                      count=len(found.values))
@@ -140,7 +147,7 @@ def _cut(docs: DataFrame, held, buckets: int) -> DataFrame:
                 out = part.column("held").to_numpy(zero_copy_only=False)
                 ids = part.column("doc_id")
                 yield common.batch_of(
-                    schema, [home % buckets], [block], [len(codes)], [int(np.diff(bounds)[~out].sum())],
+                    schema, [home], [block], [len(codes)], [int(np.diff(bounds)[~out].sum())],
                     [_pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))],
                     [_pack(ids.is_null().to_numpy(zero_copy_only=False))], [_pack(out)],
                     [_pack(bounds.astype(np.int64))], [_pack(codes)], [_pack_sorted(keys)])

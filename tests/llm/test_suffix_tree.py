@@ -150,3 +150,24 @@ def test_query_equals_a_dictionary_tree_on_a_whole_table(spark):
     for r in rows:
         assert (r.train_tokens, r.n_tokens) == (brute.n, len(_tokens(texts[r.doc_id])))
         assert r.score == pytest.approx(brute.score(texts[r.doc_id]), rel=1e-9)
+
+
+def test_a_home_is_bounded_however_large_the_partition(spark, monkeypatch):
+    """A task of a pass holds a home at a time: all rows of one partition are many homes, with the same scores."""
+    docs, texts = _chained(spark)
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(suffix_tree, "HOME_BYTES", 2_000)
+    one = docs.coalesce(1)
+    blocks = suffix_tree._cut(one, F.col("doc_id") < 0, 2).select("home", "block", "doc_ids").collect()
+    homes = collections.defaultdict(list)
+    for r in blocks:
+        homes[r.home] += suffix_tree._unpack(r.doc_ids, np.int64).tolist()
+    assert sorted(i for ids in homes.values() for i in ids) == sorted(texts)
+    assert len({r.block for r in blocks}) == len(blocks) > len(homes) > 3
+    for ids in homes.values():
+        assert sum(len(texts[i]) + 8 for i in ids) <= 2_000
+    brute = _BruteTree([t for i, t in texts.items() if not _held(i)], 2, 4)
+    rows = suffix_tree.suffix_tree_scores(one, common.crc32_held(F.col("doc_id"), 7, 2)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.score == pytest.approx(brute.score(texts[r.doc_id]), rel=1e-9)
