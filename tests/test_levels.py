@@ -79,6 +79,24 @@ def test_all_columns_are_encoded_in_one_step_both_ways(spark):
     assert all(r.u__slot is None for r in L.with_slots(df, none, ["u"], "Rww_ID").collect())
 
 
+def test_a_large_dictionary_is_looked_up_without_a_join(spark):
+    """Rows are not shuffled and carry no dictionary; lookups agree with the joins, also where keys repeat."""
+    df = spark.range(9000).select((F.col("id") % 4000).alias("Rww_ID"), F.concat(F.lit("é:"), F.col("id") % 7000).alias("u"),
+                                  F.when(F.col("id") % 5 > 0, F.col("id") % 9).alias("u:1"))
+    levels = (spark.range(6500).select(F.lit("u").alias("variabl"), F.concat(F.lit("é:"), "id").alias("ctgry_lvl"))
+              .unionByName(spark.createDataFrame([("u:1", "3"), ("u:1", "8"), ("u", "1:3"), ("u", "")], "variabl string, ctgry_lvl string")))
+    dictionary = L.level_dictionary(levels)
+    out = L.with_slots(df, dictionary, ["u", "u:1"], "Rww_ID")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("scalar-subquery", 1)[0] and plan.count("Join ") == 0
+    slots = {(r.variabl, r.ctgry_lvl): r.slot for r in dictionary.collect()}
+    rows = out.collect()
+    assert len(rows) == 9000 and len(slots) == 6504
+    for r in rows:
+        assert r["u__slot"] == slots.get(("u", r["u"]))
+        assert r["u:1__slot"] == slots.get(("u:1", None if r["u:1"] is None else str(r["u:1"])))
+
+
 def test_too_many_levels_are_refused(spark, monkeypatch):
     monkeypatch.setattr(L, "MAX_SLOTS", 3)
     with pytest.raises(ValueError, match="levels"):
